@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_dedup
+from plumbline.llm import exact_dedup, mixing, packing, simhash
 
-QUERIES = {"op5_exact_dedup": exact_dedup.op5_exact_dedup}
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.OP5_SQL}
+QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_packing": packing.op7_packing,
+    "op10_mixing": mixing.op10_mixing,
+}
+ORACLE_SQL = {"op5_exact_dedup": exact_dedup.OP5_SQL, "op10_mixing": mixing.OP10_SQL}
