@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_dedup, mixing, packing, simhash
+from plumbline.llm import exact_dedup, language, mixing, packing, quality, simhash, topk, urlfilter
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op3_urlfilter": urlfilter.op3_urlfilter,
+    "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_language": language.op6_language,
     "op7_packing": packing.op7_packing,
+    "op8_topk": topk.op8_topk,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.OP5_SQL, "op10_mixing": mixing.OP10_SQL}
+ORACLE_SQL = {
+    "op3_urlfilter": urlfilter.OP3_SQL,
+    "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op8_topk": topk.OP8_SQL,
+    "op10_mixing": mixing.OP10_SQL,
+}
