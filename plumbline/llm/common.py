@@ -12,7 +12,10 @@ BATCH_BYTES = "32m"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the Arrow batches and sees that checkpoints have a folder.
+    """Bounds the Arrow batches, fixes how scans are split, and sees that checkpoints have a folder.
+
+    The least number of splits of a scan follows the number of cores at the moment; fixing it for
+    the session gives a row the same number in each scan, also after an executor is lost.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where
     that is unset (tests, a laptop) a temporary one is made.
@@ -21,6 +24,8 @@ def prepare(spark: SparkSession) -> None:
     if spark.sparkContext.getConf().get(key) is None:
         spark.conf.set(key, BATCH_BYTES)
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(context.defaultParallelism))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints-")

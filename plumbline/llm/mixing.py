@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights: dict | None = None, epochs: float = 1.0, seed:
         .withColumn("__plumbline_u", u)
         .withColumn("__plumbline_n", copies)
         .where("__plumbline_n > 0")
-        .select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__plumbline_n"))).alias("copy"))
+        .select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__plumbline_n"))).alias("copy"))
         .withColumn("shuffle_key", F.substring(F.md5(F.concat(F.lit(seed + ":"), ident, F.lit(":"), F.col("copy").cast("string"))), 1, 16))
     )
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

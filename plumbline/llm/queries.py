@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_dedup, language, mixing, packing, quality, simhash, topk, urlfilter
+from plumbline.llm import exact_dedup, language, mixing, packing, quality, simhash, substring_dedup, tokencount, topk, urlfilter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_simhash": simhash.op2_simhash,
     "op3_urlfilter": urlfilter.op3_urlfilter,
     "op4_quality": quality.op4_quality,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_language": language.op6_language,
     "op7_packing": packing.op7_packing,
     "op8_topk": topk.op8_topk,
+    "op9_tokencount": tokencount.op9_tokencount,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {

@@ -62,7 +62,7 @@ def _batches(batches, queries: dict[int, tuple[np.ndarray, np.ndarray]]):
                 yield n, np.array([ids[i] for i in part]), _int_matrix([vectors[i] for i in part])
 
 
-_NONE = np.iinfo(np.int64).min
+_NONE = -(2**62)  # below every score, and its negative is a long too
 
 
 def _gather(shared, keep: int):
@@ -96,7 +96,7 @@ def _collect(shared, cutoffs, keep: int):
         held: dict[int, list] = {n: [np.zeros(0, np.int64)] * 3 for n in queries}
         for n, least, rows in _batches(batches, queries):
             limit = np.array([limits.get(int(i), _NONE) for i in queries[n][0]], np.int64)
-            share = -(-limit // SLICES)  # of integers that add up to the limit one is as large
+            share = np.where(limit == _NONE, _NONE, -(-limit // SLICES))  # of integers that add up to the limit one is as large
             local = _local(rows, queries[n][1])
             at, which = np.nonzero(np.logical_or.reduce([x >= share for x in local]))
             score = sum(x[at, which] for x in local)
