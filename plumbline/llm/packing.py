@@ -37,7 +37,7 @@ PIECES = pa.schema(
 )
 
 
-@dataclass
+@dataclass(eq=False)
 class Example:
     doc_id: int | None
     ids: np.ndarray
@@ -52,7 +52,7 @@ class Example:
         return min(stop - start, tokens, room)
 
 
-@dataclass
+@dataclass(eq=False)
 class Sequence:
     pieces: list = field(default_factory=list)
     tokens: int = 0
