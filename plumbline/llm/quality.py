@@ -9,7 +9,7 @@ the network did not learn from, calibrates the probabilities.
 
 The word vectors are sums over all documents: a task adds up its own counts, Spark adds those by
 bucket, and the table that reaches the driver has ``BUCKETS`` rows at any corpus size. The
-network learns from at most ``MAX_LABELLED`` rows, those with the smallest hash of doc_id.
+network learns from at most ``MAX_LABELLED`` labelled ids, those with the smallest hash.
 
 Defined results: null, empty and blank texts have the zero vector and its score; a document with
 several labels has the largest; without labels every score is 0.5, with labels of one class the
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.bytesview import flat, runs
-from plumbline.llm.common import crc_of_id, cut, prepare, table
+from plumbline.llm.common import crc_of_id, cut, prepare, smallest_by_hash, table
 
 BUCKETS, DIMS, NONZERO, WINDOW = 8192, 64, 4, 2
 MAX_LABELLED = 20_000
@@ -212,8 +212,10 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vectors = cut(texts.mapInArrow(_pooled(spark.sparkContext.broadcast(word_vectors(texts))), "doc_id long, vector binary"))
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    sample = vectors.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
-    sample = sample.sort_values("doc_id", kind="stable")
+    known = cut(known)
+    chosen = F.broadcast(smallest_by_hash(known, "doc_id", max_labelled, known.count()))  # max_labelled rows at most
+    sample = vectors.join(chosen, "doc_id").toPandas()
+    sample = sample.sort_values(["doc_id", "vector"]).drop_duplicates("doc_id")
     x, y = _matrix(sample["vector"]), sample["label"].to_numpy(np.float64)
     network = Network().fit(x, y, np.arange(len(y)) % 5 == 4)
     return vectors.mapInArrow(_scored(spark.sparkContext.broadcast(network)), "doc_id long, score double")

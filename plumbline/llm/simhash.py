@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import connected_components, cut, prepare, table
+from plumbline.llm.common import connected_components, cut, prepare, smallest_by_hash, table
 
 SAMPLE = 65_536
 LEAF_TARGET = 256
@@ -184,7 +184,7 @@ def near_links(points: DataFrame, distance: int = 4) -> DataFrame:
     """Links ``a, b`` between the distinct fingerprints ``points(fp)``: every pair within
     ``distance`` bits is connected by links of the result, and each link is such a chain."""
     total = points.count()
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = smallest_by_hash(points, "fp", SAMPLE, total).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     forest = Forest(sample, total, distance)
     counts = points.mapInArrow(_visits(forest, None), "leaf long, visits long").groupBy("leaf").agg(F.sum("visits").alias("visits"))
     # at most 3 << MAX_DEPTH leaves exist, whatever the input
