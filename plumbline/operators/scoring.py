@@ -54,10 +54,15 @@ def roc_auc(scored: DataFrame, score: str = "score", relevant: str = "relevant")
 
 
 def average_precision(scored: DataFrame, case: str = "case_id", score: str = "score", relevant: str = "relevant") -> DataFrame:
-    """Mean precision at the relevant ranks; score falling, ties by case id."""
-    order = Window.orderBy(F.desc(score), case)
-    ranked = scored.withColumn("rank", F.row_number().over(order)).withColumn("hits", F.sum(F.col(relevant).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.where(F.col(relevant)).agg(F.avg(F.col("hits") / F.col("rank")).alias("average_precision"))
+    """Mean precision at the relevant ranks; score falling, ties by case id. Ranks are those within
+    equal scores plus the rows of all higher scores, so only distinct scores meet in one task."""
+    counts = scored.groupBy(score).agg(F.count("*").alias("n"), F.count_if(F.col(relevant)).alias("pos"))
+    above = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(score, F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"), F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("hits_before"))
+    within = Window.partitionBy(score).orderBy(case)
+    ranked = scored.select(score, relevant, F.row_number().over(within).alias("place"), F.sum(F.col(relevant).cast("long")).over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
+    ranked = ranked.where(F.col(relevant)).join(counts, score)
+    return ranked.agg(F.avg((F.col("hits_before") + F.col("hits")) / (F.col("before") + F.col("place"))).alias("average_precision"))
 
 
 # The kinds of case of a group.
