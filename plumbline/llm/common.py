@@ -76,19 +76,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     before = measure(pairs)
+    # files of some size: a round's tables are about as large as the first one
+    parts = min(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), before[0] // 20_000 + 1)
     while before[0]:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts))
         large = cut(
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(parts)
         )
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
         joined = large.join(low, "u")
         pairs = cut(
             joined.where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
+            .coalesce(parts)
         )
         after = measure(pairs)
         if after == before:

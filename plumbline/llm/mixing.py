@@ -44,7 +44,7 @@ def rates(docs: DataFrame, weights: dict | None = None, epochs: float = 1.0) ->
     """``source, rate`` of each source; ``weights`` None means equal weights, else the sources'
     shares (scaled to add up to one over the sources that there are). The output has about
     ``epochs`` times as many rows as the input."""
-    sizes = cut(docs.groupBy("source").agg(F.count("*").alias("size")))
+    sizes = cut(docs.groupBy("source").agg(F.count("*").alias("size")).coalesce(8))  # a row for each source
     if weights is None:
         weight = F.lit(1.0)
     else:
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: dict | None = None, epochs: float = 1.0, seed:
     highest, count = table_.agg(F.max("rate"), F.count("*")).first()
     if count and highest > MAX_RATE:
         raise ValueError(f"a repetition rate of {highest:.0f} is above {MAX_RATE:.0f}")
-    table_ = cut(table_.where("rate > 0").select(F.col("source").alias("__plumbline_source"), poisson_cdf(F.col("rate")).alias("__plumbline_cdf")))
+    table_ = table_.where("rate > 0").select(F.col("source").alias("__plumbline_source"), poisson_cdf(F.col("rate")).alias("__plumbline_cdf"))
     if count <= MAX_BROADCAST:
         table_ = F.broadcast(table_)
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
