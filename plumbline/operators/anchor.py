@@ -38,9 +38,12 @@ def window_similarity(needle: str, haystack: str) -> float:
     return max([best, *map(share, fine)])
 
 
-@F.pandas_udf("double")
-def _similarity(needle: pd.Series, haystack: pd.Series) -> pd.Series:
-    return pd.Series([window_similarity(a, b) for a, b in zip(needle, haystack, strict=True)], dtype="float64")
+def similarity(needle: Column, haystack: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(needles: pd.Series, haystacks: pd.Series) -> pd.Series:
+        return pd.Series([window_similarity(a, b) for a, b in zip(needles, haystacks, strict=True)], dtype="float64")
+
+    return run(needle, haystack)
 
 
 def exact_anchors(claims: DataFrame, needle: Column, haystack: Column) -> DataFrame:
@@ -65,7 +68,7 @@ def anchor_excerpts(pairs: DataFrame, excerpt: str = "excerpt", text: str = "sou
     settled = (F.col("anchor") == "found") | (F.coalesce(F.length("__n"), F.lit(0)) == 0) | (F.coalesce(F.length("__h"), F.lit(0)) == 0)
     rest = rows.where(~((F.length("__n") > 0) & (F.length("__h") > 0) & (F.instr("__h", F.col("__n")) > 0)) & (F.length("__n") > 0) & (F.length("__h") > 0))
     numbers = F.forall(numeric_tokens(F.col("__n")), lambda t: F.instr(F.col("__h"), t) > 0)
-    fuzzy = rest.withColumn("score", _similarity("__n", "__h"))
+    fuzzy = rest.withColumn("score", similarity(F.col("__n"), F.col("__h")))
     label = F.when((F.col("score") >= FOUND) & numbers, "found").when(F.col("score") >= AMBIGUOUS, "ambiguous").otherwise("not_found")
     fuzzy = fuzzy.withColumn("anchor", label).withColumn("method", F.lit("fuzzy"))
     return exact.where(settled).unionByName(fuzzy).drop("__n", "__h")
@@ -131,22 +134,17 @@ def rate_envelopes(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def substring_join(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str, words: int = 4) -> DataFrame:
+def substring_join(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str) -> DataFrame:
     """F10 without a nested loop: pairs in which a normalised haystack holds a normalised needle.
 
-    A needle's words but the first and last stand whole in the haystack, so the run of ``words`` from
-    its second word on is a hash key that both sides share. Needles too short for a key are looked
-    for in every haystack.
+    A needle's words but the first and last stand whole in the haystack, so the longest of them is a
+    key that both sides share. Needles of one or two words are looked for in every haystack.
     """
-    def run(text: Column, at: Column | int) -> Column:
-        return F.xxhash64(F.array_join(F.slice(text, at, words), " "))
-
-    parts = F.split(F.col(needle), " ")
-    keyed = needles.withColumn("__parts", parts)
-    long = keyed.where(F.size("__parts") >= words + 2).withColumn("__key", run(F.col("__parts"), 2)).drop("__parts")
-    short = keyed.where((F.size("__parts") < words + 2) & (F.length(needle) > 0)).drop("__parts")
-    tokens = F.split(F.col(haystack), " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - words + 1)), lambda i: run(tokens, i))
-    probes = haystacks.withColumn("__key", F.explode(F.array_distinct(grams)))
-    hits = probes.join(long, "__key").where(F.instr(F.col(haystack), F.col(needle)) > 0).drop("__key")
+    words = F.split(F.col(needle), " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
+    longest = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
+    keyed = needles.withColumn("__key", F.when(F.size(words) > 2, longest))
+    probes = haystacks.withColumn("__key", F.explode(F.array_distinct(F.split(F.col(haystack), " "))))
+    hits = probes.join(keyed.where("__key is not null"), "__key").where(F.instr(F.col(haystack), F.col(needle)) > 0).drop("__key")
+    short = keyed.where("__key is null").where(F.length(needle) > 0).drop("__key")
     return hits.unionByName(haystacks.join(short, F.instr(F.col(haystack), F.col(needle)) > 0))

@@ -68,10 +68,16 @@ def offsets(text: Column, quote: Column) -> Column:
 
 
 def overlapping_offsets(text: Column, quote: Column) -> Column:
-    """Starts of all occurrences, overlapping ones too."""
-    last = F.length(text) - F.length(quote)
-    found = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(text, i + 1, F.length(quote)) == quote)
-    return F.when((F.length(quote) > 0) & (F.instr(text, quote) > 0), found).otherwise(F.array().cast("array<int>"))
+    """Starts of all occurrences, overlapping ones too: the text is cut before each of them."""
+    literal = F.concat(F.lit(r"(?=\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    pieces = F.transform(F.split(text, literal), F.length)
+    first = F.when(F.startswith(text, quote), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    later = F.aggregate(
+        F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.array().cast("array<int>").alias("found"), F.lit(0).alias("at")),
+        lambda acc, n: F.struct(F.concat(acc["found"], F.array(acc["at"] + n)).alias("found"), (acc["at"] + n).alias("at")),
+        lambda acc: acc["found"],
+    )
+    return F.when((F.length(quote) > 0) & (F.instr(text, quote) > 0), F.concat(first, later)).otherwise(F.array().cast("array<int>"))
 
 
 def overlapping_pairs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
