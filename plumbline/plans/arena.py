@@ -1,4 +1,74 @@
-"""Queries."""
+"""Sentences, tasks and adjudication. Attacks and rulings are made of the conversations' turns."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.operators import arena as A
+from plumbline.plans.tools import Plans, space_sql, table
+
+plans = Plans()
+QUERIES, ORACLE_SQL = plans.queries, plans.sql
+
+#: The documents are invented prose: their own word endings take the place of the English patterns.
+PROFILE = A.Profile(inferential=[r"\bthe\b.*ing\b"], derived=[r"\w*ation\b"], absence=[r"\bno\w+"])
+
+_SENTENCES = f"""
+lines AS (SELECT doc_id AS doc, i, {space_sql("line")} AS line FROM (
+  SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '[*_`>|]', ' ', 'g'), chr(10)) AS l FROM documents))),
+parts AS (SELECT doc, i, generate_subscripts(p, 1) AS j, trim(unnest(p)) AS text FROM (
+  SELECT doc, i, string_split(regexp_replace(line, '([.!?])\\s+([A-Z$£€0-9''"])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM lines WHERE line <> '')),
+sentences AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY i, j) AS ordinal, text FROM parts WHERE length(text) >= 8)"""
+
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+
+
+@plans.add(f"WITH {_SENTENCES} SELECT doc, 0::BIGINT AS section, ordinal::INTEGER AS ordinal, text FROM sentences WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND doc % 2 = 0")
+def sentence_sections(spark, sf_dir):
+    docs = documents(spark, sf_dir).where("doc % 2 = 0")
+    return A.sentences(docs).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+
+
+@plans.add()
+def emitted_tasks(spark, sf_dir):
+    return A.emit_tasks(documents(spark, sf_dir), PROFILE)
+
+
+@plans.add()
+def page_sections(spark, sf_dir):
+    return A.sentences(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.col("html").alias("text")), html=True)
+
+
+_ARENA = """
+tasks AS (SELECT DISTINCT conv_id AS task_id FROM conversations),
+attacks AS (SELECT conv_id AS task_id, 'l' || (turn % 3) AS lens, CASE WHEN (conv_id + turn) % 5 <> 0 THEN 'attack' END AS attack, 's' || turn AS session_id
+  FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) = 1),
+rulings AS (SELECT task_id, lens, k, CASE WHEN (task_id + k) % 4 = 0 THEN 'lands' WHEN task_id % 3 = 0 THEN 'glances' ELSE 'misses' END AS ruling, 'f' || k AS model_family, 'r' || k AS session_id
+  FROM attacks, range(2) r(k) WHERE attack IS NOT NULL AND NOT (task_id % 11 = 0 AND k = 1)),
+agreed AS (SELECT task_id, lens, CASE WHEN count(*) <> 2 THEN 'incomplete' WHEN count(DISTINCT ruling) > 1 THEN 'disagrees' ELSE min(ruling) END AS consensus FROM rulings GROUP BY ALL),
+rows AS (SELECT a.task_id, CASE WHEN attack IS NULL THEN 'not_required' ELSE coalesce(consensus, 'incomplete') END AS c FROM attacks a LEFT JOIN agreed USING (task_id, lens)),
+verdicts AS (SELECT task_id, count(c) AS attacks, CASE WHEN count(c) = 0 THEN 'unattacked' WHEN count(c) <> 3 THEN 'unruled' WHEN bool_or(c = 'incomplete') THEN 'unruled' WHEN bool_or(c = 'lands') THEN 'flagged'
+  WHEN bool_or(c = 'glances') THEN 'contested' WHEN bool_or(c = 'disagrees') THEN 'withheld' ELSE 'stands' END AS verdict FROM tasks LEFT JOIN rows USING (task_id) GROUP BY task_id)"""
+
+
+def findings(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task_id"), "turn")
+    lens = F.concat(F.lit("l"), (F.col("turn") % 3).cast("string"))
+    attacks = turns.withColumn("lens", lens).groupBy("task_id", "lens").agg(F.min("turn").alias("turn"))
+    attacks = attacks.withColumn("attack", F.when((F.col("task_id") + F.col("turn")) % 5 != 0, "attack")).withColumn("session_id", F.concat(F.lit("s"), F.col("turn").cast("string")))
+    rulings = attacks.where("attack is not null").select("task_id", "lens", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("k")).where("NOT (task_id % 11 = 0 AND k = 1)")
+    ruling = F.when((F.col("task_id") + F.col("k")) % 4 == 0, "lands").when(F.col("task_id") % 3 == 0, "glances").otherwise("misses")
+    rulings = rulings.select("task_id", "lens", ruling.alias("ruling"), F.concat(F.lit("f"), "k").alias("model_family"), F.concat(F.lit("r"), "k").alias("session_id"))
+    return A.adjudicate(turns.select("task_id").distinct(), attacks, rulings, ["l0", "l1", "l2"], 2)
+
+
+@plans.add(f"WITH {_ARENA} SELECT task_id, attacks, verdict FROM verdicts")
+def arena_adjudication(spark, sf_dir):
+    return findings(spark, sf_dir)
+
+
+@plans.add(f"WITH {_ARENA} SELECT count(*) AS tasks, count(*) FILTER (verdict = 'withheld') AS withheld, count(*) FILTER (verdict = 'withheld')::DOUBLE / count(*) AS withheld_density, bool_and(verdict = 'stands') AS passed FROM verdicts")
+def withheld_density(spark, sf_dir):
+    return A.arena_summary(findings(spark, sf_dir))

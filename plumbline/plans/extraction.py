@@ -1,4 +1,133 @@
-"""Queries."""
+r"""Findings, coverage and their scoring. Predictions and gold are made of the documents' lines:
+a document's first six lines are found quotes, every second one cut short; gold are those of even
+documents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.operators import extraction as X
+from plumbline.plans.tools import Plans, table
+
+plans = Plans()
+QUERIES, ORACLE_SQL = plans.queries, plans.sql
+
+CATEGORIES = ["c0", "c1", "c2", "c3"]
+
+_LINES = """
+lines AS (SELECT doc_id, i - 1 AS ord, string_split(text, chr(10))[i] AS line FROM documents, range(1, 7) r(i) WHERE i <= len(string_split(text, chr(10)))),
+pred AS (SELECT doc_id AS doc, 'c' || (ord % 4) AS category, ord, CASE WHEN ord % 2 = 1 THEN substr(line, 1, 25) ELSE line END AS quote FROM lines),
+gold AS (SELECT doc_id AS doc, 'c' || (ord % 4) AS category, ord, line AS span FROM lines WHERE doc_id % 2 = 0 AND ord <> 4)"""
+
+
+def lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.slice(F.split("text", "\n"), 1, 6)).alias("ord", "line")).withColumn("category", F.concat(F.lit("c"), (F.col("ord") % 4).cast("string")))
+
+
+def predictions(spark, sf_dir):
+    quote = F.when(F.col("ord") % 2 == 1, F.substring("line", 1, 25)).otherwise(F.col("line"))
+    return lines(spark, sf_dir).select("doc", "category", "ord", quote.alias("quote"))
+
+
+def gold(spark, sf_dir):
+    return lines(spark, sf_dir).where("doc % 2 = 0 AND ord <> 4").select("doc", "category", "ord", F.col("line").alias("span"))
+
+
+_TOKENS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+_MATCH = f"""
+pt AS (SELECT *, {_TOKENS.format("quote")} AS t FROM pred), gt AS (SELECT *, {_TOKENS.format("span")} AS t FROM gold),
+hits AS (SELECT p.doc, p.category, p.ord AS p_ord, g.ord AS g_ord FROM pt p JOIN gt g USING (doc, category)
+  WHERE len(p.t) > 0 AND len(g.t) > 0 AND len(list_intersect(p.t, g.t))::DOUBLE / (len(p.t) + len(g.t) - len(list_intersect(p.t, g.t))) >= 0.5),
+pc AS (SELECT category, count(*) FILTER (h) AS tp, count(*) FILTER (NOT h) AS fp FROM (SELECT category, EXISTS (SELECT 1 FROM hits WHERE hits.doc = pred.doc AND hits.category = pred.category AND hits.p_ord = pred.ord) AS h FROM pred) GROUP BY category),
+gc AS (SELECT category, count(*) FILTER (NOT h) AS fn FROM (SELECT category, EXISTS (SELECT 1 FROM hits WHERE hits.doc = gold.doc AND hits.category = gold.category AND hits.g_ord = gold.ord) AS h FROM gold) GROUP BY category),
+counts AS (SELECT category, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM pc FULL JOIN gc USING (category)),
+scores AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS recall FROM counts),
+prf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM scores)"""
+
+
+@plans.add(f"WITH {_LINES}, {_MATCH} SELECT category, tp, fp, fn, precision, recall, f1 FROM prf")
+def jaccard_prf_by_category(spark, sf_dir):
+    return X.precision_recall(X.match_counts(predictions(spark, sf_dir), gold(spark, sf_dir))).select("category", "tp", "fp", "fn", "precision", "recall", "f1")
+
+
+_NORM = "lower(trim(regexp_replace(translate({}, '‘’“”–— ', '''''\"\"-- '), '\\s+', ' ', 'g')))"
+_GROUND = f"ground AS (SELECT p.*, contains({_NORM.format('d.text')}, {_NORM.format('p.quote')}) AS grounded FROM pred p JOIN documents d ON d.doc_id = p.doc WHERE trim(quote) <> '')"
+
+
+@plans.add(f"WITH {_LINES}, {_GROUND} SELECT count(*) FILTER (grounded) AS grounded, count(*) AS quotes FROM ground")
+def grounding_rate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return X.grounding(predictions(spark, sf_dir), docs).agg(F.count_if("grounded").alias("grounded"), F.count("*").alias("quotes"))
+
+
+@plans.add(f"WITH {_LINES}, {_MATCH} SELECT coalesce(sum(tp), 0)::BIGINT AS tp, coalesce(sum(fp), 0)::BIGINT AS fp FROM counts WHERE category IN ('c2', 'c3')")
+def high_severity_precision(spark, sf_dir):
+    severity = spark.createDataFrame([("c0", 1), ("c1", 3), ("c2", 4), ("c3", 5)], "category string, severity int")
+    return X.severe_precision(predictions(spark, sf_dir), gold(spark, sf_dir), severity)
+
+
+@plans.add(
+    f"""WITH {_LINES}, {_MATCH}, {_GROUND}, v AS (SELECT (SELECT avg(f1) FROM prf WHERE tp + fp + fn > 0) AS macro_f1,
+  (SELECT count(*) FILTER (grounded)::DOUBLE / count(*) FROM ground) AS grounding, (SELECT sum(tp)::DOUBLE / sum(tp + fp) FROM counts WHERE category IN ('c2', 'c3')) AS severe)
+SELECT 'macro_f1' AS criterion, macro_f1 AS value, coalesce(macro_f1 >= 0.55, false) AS passed FROM v
+UNION ALL SELECT 'grounding', grounding, coalesce(grounding >= 0.95, false) FROM v
+UNION ALL SELECT 'severe_precision', severe, coalesce(severe >= 0.70, false) FROM v
+UNION ALL SELECT 'probe_gap', NULL, false"""
+)
+def macro_f1_gate(spark, sf_dir):
+    p, g = predictions(spark, sf_dir), gold(spark, sf_dir)
+    scores = X.precision_recall(X.match_counts(p, g)).where("tp + fp + fn > 0").agg(F.avg("f1").alias("macro_f1"))
+    row = scores.crossJoin(grounding_rate(spark, sf_dir)).crossJoin(high_severity_precision(spark, sf_dir))  # one row each
+    return X.gate(row.withColumn("probe_gap", F.lit(None).cast("double")))
+
+
+@plans.add(
+    """WITH l AS (SELECT doc_id AS doc, 'c' || (i % 2) AS category, i - 1 AS ord, string_split(text, chr(10))[i] AS quote FROM documents, range(1, 1000) r(i) WHERE i <= len(string_split(text, chr(10)))),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc, category, lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))) ORDER BY ord) AS n FROM l WHERE ord < 999)
+SELECT doc, category, ord::INTEGER AS ord FROM k WHERE n = 1"""
+)
+def merge_findings_dedupe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.slice(F.split("text", "\n"), 1, 999)).alias("ord", "quote"))
+    found = found.withColumn("category", F.concat(F.lit("c"), ((F.col("ord") + 1) % 2).cast("string"))).withColumn("segment", F.lit(0))
+    return X.merge_findings(found).select("doc", "category", "ord")
+
+
+@plans.add(
+    """WITH s AS (SELECT doc_id AS doc, seg, CASE WHEN (doc_id + seg) % 9 <> 0 THEN list_filter(['c0', 'c1', 'c2', 'c3'], lambda c: (doc_id + seg + c[2]::INTEGER) % 5 <> 0 OR doc_id % 2 = 0) END AS checked FROM documents, range(3) r(seg)),
+t AS (SELECT doc, count(*) AS total, count(checked) AS completed FROM s GROUP BY doc),
+c AS (SELECT unnest(['c0', 'c1', 'c2', 'c3']) AS category),
+k AS (SELECT doc, category, count(*) FILTER (list_contains(checked, category)) AS ticked FROM s, c GROUP BY doc, category)
+SELECT doc, category, CASE WHEN doc % 10 = 3 AND category = 'c1' THEN 'risk_found' WHEN completed = total AND ticked = total THEN 'checked_clear' ELSE 'incomplete' END AS status FROM t JOIN k USING (doc)"""
+)
+def coverage_status(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
+    segments = docs.select("doc", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("segment"))
+    names = F.array(*map(F.lit, CATEGORIES))
+    ticked = F.filter(names, lambda c: ((F.col("doc") + F.col("segment") + F.substring(c, 2, 1).cast("int")) % 5 != 0) | (F.col("doc") % 2 == 0))
+    segments = segments.withColumn("checked", F.when((F.col("doc") + F.col("segment")) % 9 != 0, ticked))
+    found = docs.where("doc % 10 = 3").withColumn("category", F.lit("c1"))
+    return X.coverage(segments, found, spark.createDataFrame([(c,) for c in CATEGORIES], "category string")).select("doc", "category", "status")
+
+
+@plans.add("SELECT role AS backend, 'm' || (turn % 2) AS model, count(*) AS calls, sum(greatest(1, length(text) // 4))::BIGINT AS in_tokens, sum(turn)::BIGINT AS out_tokens FROM conversations GROUP BY ALL")
+def usage_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    usage = rows.select(F.col("role").alias("backend"), F.concat(F.lit("m"), (F.col("turn") % 2).cast("string")).alias("model"), X.token_estimate(F.col("text")).alias("in_tokens"), F.col("turn").alias("out_tokens"))
+    return X.usage_totals(usage)
+
+
+@plans.add(
+    """SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN substr(text, 1, 20) END AS quote, CASE WHEN doc_id % 4 = 0 THEN 1 END AS checked FROM
+(SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS text FROM documents)"""
+)
+def reply_parse(spark, sf_dir):
+    """Replies in prose, broken ones and bare ones around an object."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z ]", "").alias("t"))
+    quote = F.substring("t", 1, 20)
+    whole = F.concat(F.lit('Sure: {"findings": {"c": ["'), quote, F.lit('"]}, "checked_categories": ["c"]} done'))
+    part = F.concat(F.lit('{"findings": {"c": ["'), quote, F.lit('"]}}'))
+    reply = F.when(F.col("doc_id") % 4 == 0, whole).when(F.col("doc_id") % 4 == 1, "no object here").when(F.col("doc_id") % 4 == 2, '{"findings": {"c": [').otherwise(part)
+    parsed = X.parse_findings(docs.withColumn("reply", reply))
+    return parsed.select("doc_id", F.col("findings")["c"][0].alias("quote"), F.nullif(F.size("checked"), F.lit(-1)).alias("checked"))

@@ -1,4 +1,78 @@
-"""Queries."""
+"""Navigation over the documents' lines: each line is a node, a question is made of words of a document."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.functions.text import content_tokens
+from plumbline.operators import navigation as N
+from plumbline.plans.tools import Plans, table
+
+plans = Plans()
+QUERIES, ORACLE_SQL = plans.queries, plans.sql
+
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+
+
+def nodes(spark, sf_dir):
+    return N.paragraph_nodes(documents(spark, sf_dir), 1000, lines=True)
+
+
+def cases(spark, sf_dir):
+    """A case for each document of 300 characters or more: its question are characters 101 to 180."""
+    docs = documents(spark, sf_dir).where(F.length("text") >= 300)
+    return docs.select(F.concat(F.lit("q"), F.col("doc").cast("string")).alias("case_id"), "doc", F.substring("text", 101, 80).alias("question"), F.lit(100).alias("gold_start"), F.lit(180).alias("gold_end"))
+
+
+@plans.add()
+def paragraph_nodes(spark, sf_dir):
+    return nodes(spark, sf_dir)
+
+
+@plans.add(
+    """SELECT doc_id AS doc, substr(sha256('{"source_end":' || length(text) || ',"source_sha256":"' || sha256(text) || '","source_start":0,"text_sha256":"' || sha256(text) || '"}'), 1, 24) AS node_id
+FROM documents WHERE regexp_matches(text, '\\S')"""
+)
+def root_node_ids(spark, sf_dir):
+    return N.paragraph_nodes(documents(spark, sf_dir)).where("parent_id is null").select("doc", "node_id")
+
+
+@plans.add("SELECT NULL::BIGINT AS doc, NULL::VARCHAR AS rule, NULL::VARCHAR AS node_id WHERE false")
+def tree_integrity(spark, sf_dir):
+    return N.tree_violations(nodes(spark, sf_dir))
+
+
+@plans.add()
+def lexical_topk_nodes(spark, sf_dir):
+    return N.select_lexical(nodes(spark, sf_dir), cases(spark, sf_dir), 3)
+
+
+def evaluated(spark, sf_dir):
+    n, c = nodes(spark, sf_dir), cases(spark, sf_dir)
+    chosen = N.select_lexical(n, c, 3)
+    return N.evaluate(chosen, N.gold_nodes(c, n), N.fetch_nodes(chosen, c, n, documents(spark, sf_dir)))
+
+
+@plans.add()
+def navigation_eval(spark, sf_dir):
+    return evaluated(spark, sf_dir)
+
+
+@plans.add()
+def navigation_summary(spark, sf_dir):
+    return N.evaluation_summary(evaluated(spark, sf_dir))
+
+
+@plans.add(
+    """WITH w AS (SELECT conv_id, turn, role, list_filter(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+')), lambda t: NOT list_contains(
+  ['a','an','and','are','as','at','be','by','do','does','for','from','how','in','is','it','of','on','or','that','the','this','to','what','when','where','which','who','why','with'], t)) AS t FROM conversations)
+SELECT q.conv_id, q.turn, coalesce(len(list_intersect(q.t, a.t))::DOUBLE / nullif(len(q.t), 0), 0.0) AS relevance FROM w q JOIN w a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'"""
+)
+def lexical_relevance(spark, sf_dir):
+    """Share of a user turn's words that the assistant's next turn has."""
+    turns = table(spark, sf_dir, "conversations").withColumn("t", content_tokens(F.col("text")))
+    q = turns.where("role = 'user'").select("conv_id", "turn", "t")
+    a = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("a"))
+    return q.join(a, ["conv_id", "turn"]).select("conv_id", "turn", F.coalesce(F.try_divide(F.size(F.array_intersect("t", "a")), F.size("t")), F.lit(0.0)).alias("relevance"))

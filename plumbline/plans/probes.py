@@ -1,4 +1,99 @@
-"""Queries."""
+"""Seeds, candidates and probe cases made of spans of the documents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.functions.text import lexical_overlap as overlap
+from plumbline.operators import probes as P
+from plumbline.plans.tools import Plans, table
+
+plans = Plans()
+QUERIES, ORACLE_SQL = plans.queries, plans.sql
+
+_SEEDS = """
+spans AS (SELECT doc_id, text, i, i * 90 AS s, i * 90 + CASE WHEN i = 1 THEN 120 ELSE 60 END AS e FROM documents, range(3) r(i) WHERE length(text) >= 400),
+seeds AS (SELECT 'd' || doc_id AS source_id, sha256(text) AS source_sha256, s, e, substr(text, s + 1, e - s) AS span_text, 'q' || i AS question,
+  substr(sha256(sha256(text) || chr(0) || s || chr(0) || e || chr(0) || 'q' || i), 1, 20) AS seed_id FROM spans)"""
+
+
+def seeds(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 400)
+    corpus = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), "text")
+    tests = corpus.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select(
+        F.concat(F.lit("q"), "i").alias("query"),
+        F.array(F.struct(F.col("source_id").alias("file_path"), F.array(F.col("i") * 90, F.col("i") * 90 + F.when(F.col("i") == 1, 120).otherwise(60)).cast("array<long>").alias("span"))).alias("snippets"),
+    )
+    return P.import_seeds(tests, corpus)
+
+
+@plans.add(f"WITH {_SEEDS} SELECT seed_id, source_id, span_text FROM seeds")
+def span_seeds(spark, sf_dir):
+    return seeds(spark, sf_dir).where("problem is null").select("seed_id", "source_id", "span_text")
+
+
+@plans.add(
+    f"""WITH {_SEEDS} SELECT substr(sha256(t.source_sha256 || chr(0) || t.seed_id || chr(0) || d.seed_id), 1, 20) AS candidate_id, t.source_id
+FROM seeds t JOIN seeds d USING (source_id, source_sha256) WHERE t.seed_id <> d.seed_id AND t.question <> d.question AND t.span_text <> d.span_text AND NOT (t.s < d.e AND d.s < t.e)"""
+)
+def candidate_pairs(spark, sf_dir):
+    return P.candidate_pairs(seeds(spark, sf_dir).drop("problem")).select("candidate_id", "source_id")
+
+
+@plans.add()
+def sampled_candidates(spark, sf_dir):
+    """The report of a review batch: 20 candidates in seeded order, one for each source."""
+    return P.sample_candidates(P.candidate_pairs(seeds(spark, sf_dir).drop("problem")), 20, 991, envelope=400).select("candidate_id", "source_id", "place")
+
+
+@plans.add(
+    """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\pL\\pN_]+')) AS t FROM documents)
+SELECT a.doc_id, round(len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS overlap FROM w a JOIN w b ON b.doc_id = a.doc_id + 1"""
+)
+def lexical_overlap(spark, sf_dir):
+    """Each document against the next one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return docs.join(other, "doc_id").select("doc_id", overlap(F.col("text"), F.col("other")).alias("overlap"))
+
+
+_FLIP_TEXT = "substr(text, 1, 200) || [' It shall not pass.', ' It is not so.', ' It may pass.', ' It was so.', ''][doc_id % 5 + 1]"
+
+
+@plans.add(
+    f"""WITH t AS (SELECT doc_id, {_FLIP_TEXT} AS t FROM documents),
+r AS (SELECT doc_id, t, CASE WHEN regexp_matches(t, '(?i)\\b(shall|must|will|should|may|can)\\s+not\\b') THEN 1 WHEN regexp_matches(t, '(?i)\\b(is|are|was|were|has|have|had)\\s+not\\b') THEN 2
+  WHEN regexp_matches(t, '(?i)\\b(shall|must|will|should|may|can)\\b') THEN 3 WHEN regexp_matches(t, '(?i)\\b(is|are|was|were|has|have|had)\\b') THEN 4 END AS rule FROM t)
+SELECT doc_id, rule, CASE rule WHEN 1 THEN regexp_replace(t, '(?i)\\b(shall|must|will|should|may|can)\\s+not\\b', '\\1') WHEN 2 THEN regexp_replace(t, '(?i)\\b(is|are|was|were|has|have|had)\\s+not\\b', '\\1')
+  WHEN 3 THEN regexp_replace(t, '(?i)\\b(shall|must|will|should|may|can)\\b', '\\1 not') WHEN 4 THEN regexp_replace(t, '(?i)\\b(is|are|was|were|has|have|had)\\b', '\\1 not') END AS flip FROM r"""
+)
+def negation_flip(spark, sf_dir):
+    tail = F.element_at(F.array(*map(F.lit, [" It shall not pass.", " It is not so.", " It may pass.", " It was so.", ""])), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), tail).alias("t"))
+    flip, rule = P.negation_flip(F.col("t"))
+    return rows.select("doc_id", rule.alias("rule"), flip.alias("flip"))
+
+
+@plans.add("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0)")
+def duplicate_content_holdout_antijoin(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return docs.join(docs.where("doc_id % 10 = 0").select("sha").distinct(), "sha", "left_anti").select("doc_id")
+
+
+@plans.add(
+    """SELECT doc_id, to_json(list_filter([CASE WHEN doc_id % 4 = 1 THEN 'irrelevance_rejected' END, CASE WHEN doc_id % 5 = 1 THEN 'contradiction_unsure' END,
+  CASE WHEN doc_id % 10 NOT BETWEEN 2 AND 8 THEN 'paraphrase_overlap_outside_frozen_band' END, CASE WHEN doc_id % 6 = 0 THEN 'paraphrase_present_in_context' END], lambda x: x IS NOT NULL))::VARCHAR AS reasons FROM documents"""
+)
+def screened_suggestions(spark, sf_dir):
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(d % 4 == 1, "rejected").otherwise("accepted").alias("irrelevant_decision"), F.when(d % 5 == 1, "unsure").otherwise("accepted").alias("contradiction_decision"),
+        (d % 10 / 10).alias("overlap"), (d % 6 != 0).alias("absent"),
+    )
+    return P.screen(rows, 0.2, 0.8).select("doc_id", F.to_json("reasons").alias("reasons"))
+
+
+@plans.add("SELECT conv_id, replace(replace(text, 'the', 'THE'), 'an', 'AN') AS text FROM conversations WHERE turn = 0")
+def perturbed_texts(spark, sf_dir):
+    pairs = F.array(F.struct(F.lit("an").alias("old"), F.lit("AN").alias("new")), F.struct(F.lit("the").alias("old"), F.lit("THE").alias("new")))
+    return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", P.perturb(F.col("text"), pairs).alias("text"))

@@ -1,4 +1,106 @@
-"""Queries."""
+"""Acquisition, hashes, page texts, claims of artifacts, parity."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.functions import canonical
+from plumbline.operators import decisions, parity
+from plumbline.plans.tools import Plans, table
+from plumbline.sources import artifacts, readers
+
+plans = Plans()
+QUERIES, ORACLE_SQL = plans.queries, plans.sql
+
+
+@plans.add("SELECT doc_id, sha256(text) AS sha256, length(text) AS characters, substr(sha256('doc:' || doc_id), 1, 24) AS snapshot_key FROM documents")
+def source_hashes(spark, sf_dir):
+    key = canonical.snapshot_key(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("characters"), key.alias("snapshot_key"))
+
+
+@plans.add(
+    """SELECT 'p' || page_id AS source_id, CASE WHEN page_id % 4 = 0 THEN 'snapshot' WHEN page_id % 4 = 1 THEN 'snapshot_invalid' WHEN page_id % 8 = 2 THEN 'live_archived' ELSE 'live_failed' END AS strategy,
+  CASE WHEN page_id % 4 = 1 THEN 'source_changed' WHEN page_id % 4 = 0 OR page_id % 8 = 2 THEN NULL WHEN page_id % 8 = 6 THEN 'source_paywalled' ELSE 'source_unreachable' END AS failure, page_id % 4 >= 2 AS live_attempted FROM pages"""
+)
+def acquisition_strategy(spark, sf_dir):
+    pages, p = table(spark, sf_dir, "pages").withColumn("uri", F.concat("url", F.lit("#"), F.col("page_id").cast("string"))), F.col("page_id")
+    source = F.concat(F.lit("p"), p.cast("string"))
+    snapshots = pages.where("page_id % 4 < 2").select(source.alias("source_id"), "uri", F.col("html").alias("text"), F.sha2(F.when(p % 4 == 0, F.col("html")).otherwise(F.lit("other")), 256).alias("sha256"))
+    live = pages.where("page_id % 2 = 0").select("uri", F.when(p % 8 != 6, F.col("html")).alias("text"), F.when(p % 8 == 6, "source_paywalled").alias("failure"))
+    return decisions.acquire(pages.select(source.alias("source_id"), "uri"), snapshots, live, "snapshot_preferred").select("source_id", "strategy", "failure", "live_attempted")
+
+
+@plans.add("SELECT page_id, [NULL, 'source_paywalled', 'source_unreachable', 'pdf_unsupported'][page_id % 4 + 1] AS failure FROM pages")
+def fetch_failures(spark, sf_dir):
+    p = F.col("page_id")
+    status = F.when(p % 4 == 1, 403).when(p % 4 == 2, 404).otherwise(200)
+    return table(spark, sf_dir, "pages").select("page_id", decisions.http_failure(status, F.when(p % 4 == 3, "application/pdf").otherwise("text/html")).alias("failure"))
+
+
+@plans.add()
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", readers.html_to_text(F.col("html")).alias("text"))
+
+
+@plans.add("""SELECT page_id, len(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1))::INTEGER AS links FROM pages""")
+def page_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(artifacts.links_of(F.col("html"))).alias("links"))
+
+
+@plans.add()
+def page_claims(spark, sf_dir):
+    """The pages' links are relative, so they are first made absolute on the page's url."""
+    base = F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1)
+    html = F.expr("regexp_replace(html, 'href=\"/', concat('href=\"', base, '/'))")
+    docs = table(spark, sf_dir, "pages").withColumn("base", base).select(F.col("page_id").alias("doc"), html.alias("text"))
+    return artifacts.extract_html(docs)
+
+
+@plans.add(
+    """SELECT doc_id AS doc, 'c1' AS claim_id, 'https://x.org/' || doc_id AS uri, CASE WHEN doc_id % 2 = 0 THEN t END AS excerpt, CASE WHEN doc_id % 2 = 1 THEN t END AS locator, CASE WHEN doc_id % 3 = 0 THEN 'Why so?' END AS question
+FROM (SELECT doc_id, trim(regexp_replace(substr(text, 1, 40), '[^A-Za-z]+', ' ', 'g')) AS t FROM documents) WHERE t <> ''"""
+)
+def markdown_claims(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.trim(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z]+", " ")).alias("t")).where("t <> ''")
+    kind = F.when(F.col("doc") % 2 == 0, "quote").otherwise("locator")
+    question = F.when(F.col("doc") % 3 == 0, "<!-- evidence-question: Why so? -->").otherwise("")
+    text = F.concat(F.lit("# Head\nA **claim** [label](https://x.org/"), F.col("doc").cast("string"), F.lit(")<!-- evidence-"), kind, F.lit(": "), "t", F.lit(" -->"), question, F.lit(" end."))
+    return artifacts.extract_markdown(docs.select("doc", text.alias("text"))).select("doc", "claim_id", "uri", "excerpt", "locator", "question")
+
+
+@plans.add(
+    """SELECT doc_id AS doc, 'c1' AS claim_id, CASE WHEN doc_id % 3 = 1 THEN 'a calculation names unknown claims' WHEN doc_id % 3 = 2 THEN 'a calculation names its own claim' END AS error FROM documents
+UNION ALL SELECT doc_id, 'k2', NULL FROM documents"""
+)
+def structured_claims(spark, sf_dir):
+    inputs = F.when(F.col("doc_id") % 3 == 0, "k2").when(F.col("doc_id") % 3 == 1, "zz").otherwise("c1")
+    text = F.concat(F.lit('{"claims": [{"claim_text": "one", "calculation": {"formula": "a", "inputs": [{"name": "a", "value": "1", "source_claim_ids": ["'), inputs, F.lit('"]}]}}, {"claim_id": "k2", "claim_text": "two", "source_url": "https://x.org"}]}'))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), text.alias("text"))
+    return artifacts.extract_structured(docs).select("doc", "claim_id", "error")
+
+
+@plans.add("SELECT count(*) FILTER (conv_id % 2 = 0) = count(*) AS equal, min(turn) FILTER (conv_id % 2 = 1) AS first_difference FROM conversations WHERE conv_id = 1")
+def render_first_difference(spark, sf_dir):
+    left = table(spark, sf_dir, "conversations").where("conv_id = 1").select("turn", "role", "text")
+    right = left.withColumn("text", F.concat("text", F.lit("!")))
+    return parity.first_difference(left, right, "turn", ["role", "text"])
+
+
+@plans.add("SELECT conv_id * 1000 + turn AS id, turn % 3 <> 0 AS equal FROM conversations")
+def parity_projection(spark, sf_dir):
+    left = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn", "role", "text")
+    right = left.withColumn("text", F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))).withColumn("role", F.lit("other"))
+    return parity.projected_equal(left, right, "id", ["role"])
+
+
+@plans.add()
+def claim_hashes(spark, sf_dir):
+    """What a detector's input and a component's input are known by."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.sha2("text", 256).alias("sha"), F.lit("Is it so?").alias("question"))
+    return rows.select("conv_id", "turn", canonical.input_sha256("text", "question", "sha").alias("input_sha256"))
+
+
+@plans.add()
+def unordered_table_hash(spark, sf_dir):
+    return canonical.unordered_sha256(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic")
