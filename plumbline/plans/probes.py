@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import lexical_overlap as overlap
+from plumbline.functions.text import jaccard, word_tokens
 from plumbline.operators import probes as P
 from plumbline.plans.tools import Plans, table
 
@@ -54,7 +54,9 @@ def lexical_overlap(spark, sf_dir):
     """Each document against the next one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return docs.join(other, "doc_id").select("doc_id", overlap(F.col("text"), F.col("other")).alias("overlap"))
+    words = docs.select("doc_id", word_tokens(F.col("text")).alias("a"))
+    others = other.select("doc_id", word_tokens(F.col("other")).alias("b"))
+    return words.join(others, "doc_id").select("doc_id", F.round(F.coalesce(jaccard(F.col("a"), F.col("b")), F.lit(1.0)), 6).alias("overlap"))
 
 
 _FLIP_TEXT = "substr(text, 1, 200) || [' It shall not pass.', ' It is not so.', ' It may pass.', ' It was so.', ''][doc_id % 5 + 1]"
