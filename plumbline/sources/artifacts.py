@@ -155,6 +155,8 @@ class _Page(HTMLParser):
         role = self._role(attrs)
         if tag in ("br", "hr"):
             self.lines.append([])
+        if tag != "a":
+            self._put(" ")  # a tag parts words, a link that is no citation does not
         if tag in _VOID:
             return
         self.open.append((tag, role))
@@ -176,6 +178,8 @@ class _Page(HTMLParser):
                 if role and role != "hide":
                     self._put(("role", role))
             del self.open[at:]
+        if tag != "a":
+            self._put(" ")
         if tag in _BLOCKS:
             self.lines.append([])
 
@@ -202,9 +206,9 @@ def html_claims(raw: str, profile: ArtifactProfile) -> Iterator[dict]:
     page.close()
     number = 0
     for line in page.lines:
-        words = [x if isinstance(x, str) else x[1] for x in line if isinstance(x, str) or x[0] == "link"]
+        words = [x if isinstance(x, str) else f" {x[1]} " for x in line if isinstance(x, str) or x[0] == "link"]
         roles = {x[1] for x in line if not isinstance(x, str) and x[0] == "role"}
-        text = _plain(" ".join(words))
+        text = _plain("".join(words))
         declared = "declared" in roles
         kind = _one_class({r.removeprefix("class:") for r in roles if r.startswith("class:")})
         if declared and kind == UNCLASSIFIED:
@@ -266,9 +270,9 @@ def extract_structured(docs: DataFrame, profile: ArtifactProfile | None = None)
     name unknown claims or their own in ``error``; an artifact without an array of claims is one error row."""
     profile = profile or ArtifactProfile()
     name = dict(profile.fields)
-    text_fields = [f for f in name if f != "declared_analysis"]
-    inner = ", ".join([*(f"`{name[f]}` string" for f in text_fields), f"`{name['declared_analysis']}` boolean", "calculation struct<formula:string,note:string,inputs:array<struct<name:string,value:string,source_claim_ids:array<string>>>>"])
-    rows = docs.select("doc", F.from_json("text", f"`{profile.claims_key}` array<struct<{inner.replace(' string', ':string').replace(' boolean', ':boolean').replace('calculation struct', 'calculation:struct')}>>").alias("v"))
+    kinds = ",".join(f"`{column}`:{'boolean' if f == 'declared_analysis' else 'string'}" for f, column in name.items())
+    calculation = "calculation:struct<formula:string,note:string,inputs:array<struct<name:string,value:string,source_claim_ids:array<string>>>>"
+    rows = docs.select("doc", F.from_json("text", f"`{profile.claims_key}` array<struct<{kinds},{calculation}>>").alias("v"))
     claims = rows.select("doc", F.posexplode(f"v.{profile.claims_key}").alias("i", "c"))
     field = lambda f: F.col("c").getField(name[f])
     uri = F.nullif(field("uri"), F.lit(""))
