@@ -141,10 +141,12 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy:
     """The machines fitted on ``labelled(doc_id, text, lang)``; at most ``per_language`` rows of each
     language reach the driver, as feature vectors."""
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
-    chosen = known.select("doc_id", "lang", F.pmod(F.xxhash64("lang", "doc_id"), F.lit(64)).alias("part"))
-    for keys in (["lang", "part"], ["lang"]):  # first within 64 parts of each language, so that no task sees a hot one whole
-        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
-        chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    # only rows below a hash bound that about per_language rows of a language pass are ranked, so a hot one is no large group
+    counts = known.groupBy("lang").agg(F.count("*").alias("of_lang"))
+    share = F.lit(per_language + 12 * per_language**0.5 + 100) / F.col("of_lang")
+    chosen = known.select("doc_id", "lang").join(counts, "lang").where(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= share)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     chosen = F.broadcast(chosen.select("doc_id", "lang"))  # per_language ids for each language at most
     rows = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
     sample = rows.select("lang", "text").mapInArrow(_sampled, "lang string, vector binary").toPandas()
