@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut, prepare, table
 
 SENTENCES = 2
-WORDS = 12
+WORDS = 20
 
 _END = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*")
 

@@ -59,12 +59,21 @@ def test_a_planted_passage_leaves_the_first_document_only(spark, tmp_path):
     passage = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu nu xi. Omicron pi rho sigma tau upsilon phi chi psi omega."
     rows = [(1, f"Clean start here. {passage} Clean end here."), (2, f"Another one begins {passage}\nAnd ends."), (3, "Nothing shared at all. In this text here.")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
-    got = {r.doc_id: r for r in D.substring_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    got = {r.doc_id: r for r in D.substring_dedup(spark.read.parquet(str(tmp_path / "d")), least_words=12).collect()}
     assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
     assert "kappa" not in got[2].text and got[2].removed == 2 and "begins" in got[2].text and got[2].text.endswith("And ends.")
     assert [(s.start, s.stop) for s in got[2].removed_spans] == [(rows[1][1].index("Eta"), rows[1][1].index("And ends"))]
 
 
+def test_the_defaults_leave_short_shared_lines_alone(spark, tmp_path):
+    line = "All rights are reserved here. Ask before you copy it."
+    passage = " ".join(f"Sentence {w} of the passage that repeats has some ten words." for w in "one two three four five six".split())
+    rows = [(i, f"Document {i} begins so. {line} Number {i} has its own words. " + (passage if i % 2 else "")) for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.removed for r in D.substring_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert got == {i: 6 * (i % 2 and i > 1) for i in range(8)}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e"))
     assert D.substring_dedup(spark.read.parquet(str(tmp_path / "e"))).count() == 0
