@@ -56,6 +56,7 @@ class Profile:
 
 def plain_lines(text: Column, html: bool) -> Column:
     """Markup to lines; a heading, section or slide starts a line with the section mark."""
+    # What is dropped, what starts a section, what ends a line.
     if html:
         rules = [
             (r"(?is)<script.*?</script>|<style.*?</style>", " "), (r"(?i)<(?:section|article)\b[^>]*>", f"\n{SECTION}"),

@@ -149,3 +149,48 @@ def perturb(text: Column, pairs: Column) -> Column:
     """Replaces each (old, new) of an array of structs, the longest old first (then as text)."""
     ordered = F.array_sort(F.transform(pairs, lambda p: F.struct((-F.length(p["old"])).alias("n"), p["old"].alias("old"), p["new"].alias("new"))))
     return F.aggregate(ordered, text, lambda t, p: F.replace(t, p["old"], p["new"]))
+
+
+# What each kind of case must expect, and the provenance that it needs.
+CASE_RULES = {
+    "verbatim_supported": ("supported", ["attested"]),
+    "paraphrase_supported": ("supported", ["authored", "model_authored"]),
+    "contradicted": ("contradicted", ["derived"]),
+    "present_irrelevant": ("insufficient", ["adjudicated"]),
+}
+
+
+def case_violations(cases: DataFrame) -> DataFrame:
+    """``case_id, rule`` of cases with another status, provenance or span than their kind has, of derived
+    cases without a parent, and of model-authored or adjudicated ones that nobody reviewed. Columns: kind, expected_status,
+    provenance, parents, reviewers, original_start, original_end, original_text, claim_text, present_start, present_end."""
+    kind, present = F.col("kind"), F.col("kind").isin("verbatim_supported", "present_irrelevant")
+    wrong_status, wrong_source = F.lit(False), F.lit(False)
+    for name, (status, sources) in CASE_RULES.items():
+        wrong_status = wrong_status | ((kind == name) & (F.col("expected_status") != status))
+        wrong_source = wrong_source | ((kind == name) & ~F.col("provenance").isin(sources))
+    placed = F.col("present_start").isNotNull() & F.col("present_end").isNotNull()
+    rules = {
+        "unknown_kind": ~kind.isin(list(CASE_RULES)), "wrong_status": wrong_status, "wrong_provenance": wrong_source,
+        "no_parent": (F.col("provenance") == "derived") & (F.size("parents") < 1),
+        "not_reviewed": F.col("provenance").isin("model_authored", "adjudicated") & (F.size("reviewers") < 1),
+        "span_length": F.length("original_text") != F.col("original_end") - F.col("original_start"),
+        "claim_offsets": (present != placed) | (placed & (F.length("claim_text") != F.col("present_end") - F.col("present_start"))),
+        "not_verbatim": (kind == "verbatim_supported") & ((F.col("claim_text") != F.col("original_text")) | (F.col("present_start") != F.col("original_start"))),
+    }
+    found = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items())))
+    return cases.select("case_id", F.explode(found).alias("rule"))
+
+
+def span_violations(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows whose source has another hash, or another text between ``start`` and ``end``. Rows: source_id,
+    source_sha256, start, end, span_text; docs: source_id, text."""
+    held = F.expr("substring(text, int(start) + 1, int(end - start))") == F.col("span_text")
+    good = (F.sha2("text", 256) == F.col("source_sha256")) & held
+    return rows.join(docs.select("source_id", "text"), "source_id", "left").where(~F.coalesce(good, F.lit(False))).drop("text")
+
+
+def relevance_strata(claims: DataFrame, anchors: DataFrame) -> DataFrame:
+    """M9: claims with an excerpt as cases of a stratum named by how their anchor came out."""
+    rows = claims.where(F.length(F.trim("excerpt")) > 0).join(anchors.select("claim_id", "anchor"), "claim_id", "left")
+    return rows.select(F.col("claim_id").alias("case_id"), F.col("text").alias("query_text"), F.col("excerpt").alias("evidence_text"), F.concat(F.lit("anchor_"), F.coalesce("anchor", F.lit("null"))).alias("stratum"))

@@ -131,3 +131,27 @@ def quote_measures(occurrences: DataFrame, segments: DataFrame, key: str, quote:
         F.count("*").alias("grounded"), F.count_if(F.col("most") > 0).alias("contained"),
         F.count_if(F.col("most") == 0).alias("cut"), F.sum(F.when(F.col("most") > 0, F.col("extra")).otherwise(0)).alias("duplicate_exposures"),
     )
+
+
+def pack_sentences(sentences: Column, budget: int = 500) -> Column:
+    """Sentences joined up to a budget of words; a sentence over the budget stands alone."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("words"))
+
+    def add(acc, s):
+        n = F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
+        full = (F.size(acc["open"]) > 0) & (acc["words"] + n > budget)
+        done = F.when(full, F.concat(acc["done"], F.array(F.array_join(acc["open"], " ")))).otherwise(acc["done"])
+        open_ = F.when(full, F.array(s)).otherwise(F.concat(acc["open"], F.array(s)))
+        return F.struct(done.alias("done"), open_.alias("open"), F.when(full, n).otherwise(acc["words"] + n).alias("words"))
+
+    return F.aggregate(sentences, start, add, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["open"], " ")))).otherwise(acc["done"]))
+
+
+def even_chunks(text: Column, sentences: Column, budget: int = 350) -> Column:
+    """As many equal runs of sentences as the text has budgets of words, and one more; a text without
+    sentences is one chunk."""
+    own = F.when(F.size(sentences) > 0, sentences).otherwise(F.array(text))
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    each = F.greatest(F.floor(F.size(own) / (F.floor(words / budget) + 1)).cast("int"), F.lit(1))
+    firsts = F.sequence(F.lit(1), F.size(own), each)
+    return F.transform(firsts, lambda i: F.array_join(F.slice(own, i, each), " "))

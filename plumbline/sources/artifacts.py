@@ -25,6 +25,7 @@ CLAIM = (
 ANALYST = {"analyst_calculation", "analyst_inference", "recommendation"}
 UNCLASSIFIED = "unclassified"
 
+# The form of a citation, of a quote in its title, and the elements that end a line.
 _LINK = re.compile(r'\[([^\]]+)\]\((https?://[^\s)"]+)(?:\s+"([^"]*)")?\)')
 _QUOTE_TITLE = re.compile(r"(?:^|\|)\s*quote:\s*(.+)$", re.I)
 _BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "section", "article", "header", "footer", "blockquote"}

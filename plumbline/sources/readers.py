@@ -109,11 +109,34 @@ def read_domains(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prompt_block(categories: DataFrame) -> DataFrame:
-    """Each domain's categories as lines of a prompt, in the order of their keys."""
-    line = F.format_string("- %s (severity %d): %s", "name", "severity", "description")
+    """M2: each domain's categories as lines of a prompt, in the order of their keys; a description stands
+    after a colon if there is one."""
+    tail = F.when(F.length(F.trim("description")) > 0, F.concat(F.lit(": "), "description")).otherwise("")
+    line = F.concat(F.lit("- "), "name", tail)
     return categories.groupBy("domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", line.alias("line")))), lambda x: x["line"]), "\n").alias("block"))
 
 
+#: What a completion is asked for; a profile may bring its own.
+TEMPLATE = """{context}
+
+Find text for each category below. Copy it from the {noun} word by word, one sentence for one finding.
+Answer with one JSON object: "findings" maps a category to a list of the copied texts, and
+"checked_categories" lists every category that you looked for.
+
+Categories:
+{categories}
+
+The {noun}:
+{chunk}
+"""
+
+
+def prompts(chunks: DataFrame, block: str, context: str, noun: str, template: str = TEMPLATE) -> DataFrame:
+    """Adds ``prompt`` to each ``chunk``."""
+    before, after = template.format(context=context, noun=noun, categories=block, chunk="\0").split("\0")
+    return chunks.withColumn("prompt", F.concat(F.lit(before), "chunk", F.lit(after)))
+
+
 def restored_corpus(dataset: DataFrame, manifest: DataFrame) -> DataFrame:
     """Each manifest row (title, sha256) as ``placed``, ``changed`` or ``missing``."""
     d = dataset.select("title", F.sha2("text", 256).alias("found"))

@@ -308,7 +308,7 @@ def test_readers(spark, tmp_path):
     assert rows(readers.read_jsonl(spark, str(tmp_path / "l"), schema, strict=True), "a", "problem") == [(1, None), (2, "unknown_fields"), (None, "malformed")]
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "x.json").write_text(json.dumps({"key": "k", "categories": [{"key": "b", "name": "B", "severity": 2, "description": "two"}, {"key": "a", "name": "A", "severity": 5, "description": "one"}]}))
-    assert readers.prompt_block(readers.read_domains(spark, str(tmp_path / "d"))).first().block == "- A (severity 5): one\n- B (severity 2): two"
+    assert readers.prompt_block(readers.read_domains(spark, str(tmp_path / "d"))).first().block == "- A: one\n- B: two"
 
 
 def test_page_text():
