@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.bytesview import flat
-from plumbline.llm.common import crc_of_id, prepare, table
+from plumbline.llm.common import crc_of_id, cut, prepare, table
 
 FEATURES = 2048
 PER_LANGUAGE = 600
 STEPS, RIDGE = 300, 1e-4
+#: Up to so many languages their counts are broadcast; more are joined by shuffle.
+MAX_LANGUAGES = 10_000
 
 #: Language codes by family.
 FAMILIES = {
@@ -142,7 +144,9 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy:
     language reach the driver, as feature vectors."""
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
     # only rows below a hash bound that about per_language rows of a language pass are ranked, so a hot one is no large group
-    counts = known.groupBy("lang").agg(F.count("*").alias("of_lang"))
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("of_lang")).coalesce(8))
+    if counts.count() <= MAX_LANGUAGES:
+        counts = F.broadcast(counts)
     share = F.lit(per_language + 12 * per_language**0.5 + 100) / F.col("of_lang")
     chosen = known.select("doc_id", "lang").join(counts, "lang").where(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
