@@ -41,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 2048 tokens, with their ids."""
-    return pack(docs)
+    return pack(docs.select("doc_id", "text"))
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixing", mixing), ("packing", packing)]

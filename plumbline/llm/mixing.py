@@ -11,8 +11,8 @@ sources; beyond that it is joined by shuffle, where adaptive execution splits ho
 
 Defined results: a null source is a source of its own; a null doc_id hashes as the empty text;
 repeated rows get equal numbers of copies; a source whose weight is missing or zero has no
-copies; an empty table gives no rows; all other columns are carried along. Column names that the result adds
-(``copy``, ``shuffle_key``) must not be among the input's.
+copies; an empty table gives no rows; all other columns are carried along. Where the input has a column
+``copy`` or ``shuffle_key`` of its own, the added one has an underscore more at its end.
 """
 
 from __future__ import annotations
@@ -67,9 +67,8 @@ def mix(docs: DataFrame, weights: dict | None = None, epochs: float = 1.0, seed:
     ``shuffle_key`` (16 hex digits; a partition's keys follow those of the one before)."""
     spark = docs.sparkSession
     prepare(spark)
-    clash = {"copy", "shuffle_key"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"the input already has {sorted(clash)}")
+    taken = {c.lower() for c in docs.columns}
+    copy, key = (next(n for n in (name + "_" * i for i in range(len(taken) + 1)) if n not in taken) for name in ("copy", "shuffle_key"))
     table_ = rates(docs, weights, epochs)
     highest, count = table_.agg(F.max("rate"), F.count("*")).first()
     if count and highest > MAX_RATE:
@@ -85,12 +84,12 @@ def mix(docs: DataFrame, weights: dict | None = None, epochs: float = 1.0, seed:
         .withColumn("__plumbline_u", u)
         .withColumn("__plumbline_n", copies)
         .where("__plumbline_n > 0")
-        .select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__plumbline_n"))).alias("copy"))
-        .withColumn("shuffle_key", F.substring(F.md5(F.concat(F.lit(seed + ":"), ident, F.lit(":"), F.col("copy").cast("string"))), 1, 16))
+        .select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__plumbline_n"))).alias(copy))
+        .withColumn(key, F.substring(F.md5(F.concat(F.lit(seed + ":"), ident, F.lit(":"), F.col(copy).cast("string"))), 1, 16))
     )
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lead = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long")
-    return rows.repartitionById(n, F.shiftright(lead * n, 32).cast("int")).sortWithinPartitions("shuffle_key", "doc_id")
+    lead = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+    return rows.repartitionById(n, F.shiftright(lead * n, 32).cast("int")).sortWithinPartitions(key, "doc_id")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,9 @@ into blocks, and each pair of blocks becomes a shard of its own, so no task gets
 leaf whole. A shard reports links as a forest (a point and its root), never all pairs of a group.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other;
-repeated rows share a fingerprint and so a component; a null doc_id takes no part in the
-smallest id (a component of null ids only has a null component_id); an empty table gives no
-rows; other columns are not looked at.
+repeated rows share a fingerprint and so a component, of which the first one is kept; a null
+doc_id sorts last (a component of null ids only has a null component_id); an empty table gives
+no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def _fingerprints(width: int):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             prints = np.array([fingerprint(t or b"", width) for t in texts], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array(prints)], names=["doc_id", "row", "fp"])
 
     return run
 
@@ -194,25 +194,28 @@ def near_links(points: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """``doc_id, fp, component_id`` of each row of ``docs(doc_id, text)``; component_id is the
-    smallest doc_id that chains of links reach, the row's own included."""
+    """``doc_id, fp, component_id, kept, row`` of each row of ``docs(doc_id, text)``; component_id is the
+    smallest doc_id that chains of links reach, the row's own included, and ``kept`` marks the first row with it.
+    ``row`` is the row's number in ``docs`` as read."""
     prepare(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(texts.mapInArrow(_fingerprints(width), "doc_id long, fp long"))
-    points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    prints = cut(texts.mapInArrow(_fingerprints(width), "doc_id long, row long, fp long"))
+    points = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("rep")))
     labels = cut(connected_components(near_links(points.select("fp"), distance)))
     linked = labels.join(points, labels.node == points.fp)
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
-    classes = cut(points.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    first = F.coalesce("least", "rep")
+    classes = cut(points.join(linked, "fp", "left").select("fp", first["doc_id"].alias("component_id"), first["row"].alias("keep_row")))
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "row")
 
 
 def keep_near(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with their columns."""
-    mark = "__plumbline_kept"
-    kept = cut(near_dedup(docs, width, distance).where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct())
-    return docs.join(kept, F.col("doc_id") == F.col(mark), "left_semi")
+    """The first row of each component, with the columns of ``docs``, which must be a stored table, so that a
+    second scan gives its rows in the same order."""
+    mark = "__plumbline_row"
+    kept = cut(near_dedup(docs, width, distance).where("kept").select(F.col("row").alias(mark)))
+    return docs.withColumn(mark, F.monotonically_increasing_id()).join(kept, mark, "left_semi").drop(mark)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

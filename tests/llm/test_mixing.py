@@ -54,8 +54,10 @@ def test_the_order_is_global(spark):
 def test_empty_clash_and_rates(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix(empty).count() == 0
-    with pytest.raises(ValueError):
-        M.mix(empty.selectExpr("*", "1 AS copy"))
+    docs, _ = frame(spark)
+    mixed = M.mix(docs.selectExpr("*", "7 AS copy", "'x' AS shuffle_key"))
+    assert mixed.columns == [*docs.columns, "copy", "shuffle_key", "copy_", "shuffle_key_"]
+    assert {r[0] for r in mixed.select("copy").distinct().collect()} == {7} and mixed.count() == M.mix(docs).count()
     docs = spark.createDataFrame([(i, "rare" if i == 0 else "x") for i in range(2000)], "doc_id long, source string")
     with pytest.raises(ValueError):
         M.mix(docs, {"rare": 1.0})

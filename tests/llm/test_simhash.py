@@ -107,4 +107,7 @@ def test_empty_table_and_null_ids(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_dedup(docs).count() == 0
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None)], "doc_id long, text string")
+    assert sorted(r.doc_id or -1 for r in S.keep_near(docs).collect()) == [-1, 3]
+    twice = spark.createDataFrame([(5, "x y z"), (5, "x y z"), (None, "x y z"), (6, "q r")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.keep_near(twice).collect()) == [5, 6]
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in S.near_dedup(docs).collect()) == [(-1, -1), (-1, -1), (3, 3)]
