@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import content_tokens
+from plumbline.functions.text import NAVIGATION_STOP, content_tokens
 from plumbline.operators import navigation as N
 from plumbline.plans.tools import Plans, table
 
@@ -12,12 +12,33 @@ plans = Plans()
 QUERIES, ORACLE_SQL = plans.queries, plans.sql
 
 
+_ID = """substr(sha256('{"source_end":' || e || ',"source_sha256":"' || sha || '","source_start":' || s || ',"text_sha256":"' || sha256(piece) || '"}'), 1, 24)"""
+
+_NODES = f"""
+l AS (SELECT doc, text, sha256(text) AS sha, p, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM (SELECT doc_id AS doc, text, string_split(text, chr(10)) AS p FROM documents)),
+o AS (SELECT doc, text, sha, i, trim(line) AS piece, (coalesce(list_sum(list_transform(p[:i - 1], lambda x: length(x) + 1)), 0) + length(line) - length(ltrim(line)))::INTEGER AS s FROM l WHERE trim(line) <> ''),
+k AS (SELECT *, (s + length(piece))::INTEGER AS e, row_number() OVER (PARTITION BY doc ORDER BY i) AS number, count(*) OVER (PARTITION BY doc) AS n FROM o),
+nodes AS (SELECT doc, {_ID} AS node_id, n = 1 AND s = 0 AND e = length(text) AS single, number::INTEGER AS number, coalesce(nullif(substr(trim(regexp_replace(piece, '\\s+', ' ', 'g')), 1, 180), ''), 'Untitled source segment') AS title, s, e FROM k)"""
+
+_WORDS = "list_filter(list_distinct(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-z0-9]+')), lambda t: NOT list_contains({}, t))"
+_STOP = str(NAVIGATION_STOP)
+_CHOSEN = f"""
+cases AS (SELECT 'q' || doc_id AS case_id, doc_id AS doc, text, {_WORDS.format("substr(text, 101, 80)", _STOP)} AS q FROM documents WHERE length(text) >= 300),
+scored AS (SELECT case_id, node_id, s, e, len(list_intersect(q, {_WORDS.format("title", _STOP)}))::DOUBLE / len(q) AS score FROM cases JOIN nodes USING (doc) WHERE len(q) > 0),
+top AS (SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, s, node_id) <= 3),
+chosen AS (SELECT case_id, count(node_id) AS selected, list(node_id ORDER BY s, node_id) FILTER (node_id IS NOT NULL) AS node_ids, coalesce(sum(e - s) + 2 * (count(node_id) - 1), 0) AS characters FROM cases LEFT JOIN top USING (case_id) GROUP BY case_id),
+gold AS (SELECT case_id, list(node_id) AS gold, any_value(length(text)) AS total FROM cases JOIN nodes USING (doc) WHERE s < 180 AND 100 < e GROUP BY case_id),
+evaluated AS (SELECT case_id, CASE WHEN selected > 0 THEN 'selected' ELSE 'abstained' END AS status, selected::INTEGER AS selected, len(list_intersect(coalesce(node_ids, []), gold))::DOUBLE / len(gold) AS recall,
+  len(list_intersect(coalesce(node_ids, []), gold)) = len(gold) AS exact, (selected - len(list_intersect(coalesce(node_ids, []), gold)))::INTEGER AS irrelevant, characters::DOUBLE / total AS context_ratio FROM chosen JOIN gold USING (case_id))"""
+
+
 def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
 
 
 def nodes(spark, sf_dir):
-    return N.paragraph_nodes(documents(spark, sf_dir), 1000, lines=True)
+    """Every line is a node, however long."""
+    return N.paragraph_nodes(documents(spark, sf_dir), 1 << 30, lines=True)
 
 
 def cases(spark, sf_dir):
@@ -28,7 +49,13 @@ def cases(spark, sf_dir):
 
 @plans.add()
 def paragraph_nodes(spark, sf_dir):
-    return nodes(spark, sf_dir)
+    """Nodes of at most 1000 characters."""
+    return N.paragraph_nodes(documents(spark, sf_dir), 1000, lines=True)
+
+
+@plans.add(f'WITH {_NODES} SELECT doc, node_id, number, title, s AS start, e AS "end" FROM nodes')
+def line_nodes(spark, sf_dir):
+    return nodes(spark, sf_dir).where("selectable").select("doc", "node_id", "number", "title", "start", "end")
 
 
 @plans.add(
@@ -44,9 +71,9 @@ def tree_integrity(spark, sf_dir):
     return N.tree_violations(nodes(spark, sf_dir))
 
 
-@plans.add()
+@plans.add(f"WITH {_NODES}, {_CHOSEN} SELECT case_id, CASE WHEN selected > 0 THEN 'selected' ELSE 'abstained' END AS status, array_to_string(coalesce(node_ids, []), ',') AS node_ids FROM chosen")
 def lexical_topk_nodes(spark, sf_dir):
-    return N.select_lexical(nodes(spark, sf_dir), cases(spark, sf_dir), 3)
+    return N.select_lexical(nodes(spark, sf_dir), cases(spark, sf_dir), 3).withColumn("node_ids", F.array_join("node_ids", ","))
 
 
 def evaluated(spark, sf_dir):
@@ -55,14 +82,19 @@ def evaluated(spark, sf_dir):
     return N.evaluate(chosen, N.gold_nodes(c, n), N.fetch_nodes(chosen, c, n, documents(spark, sf_dir)))
 
 
-@plans.add()
+@plans.add(f"WITH {_NODES}, {_CHOSEN} SELECT case_id, status, selected, round(recall, 9) AS recall, exact, irrelevant, round(context_ratio, 9) AS context_ratio FROM evaluated")
 def navigation_eval(spark, sf_dir):
-    return evaluated(spark, sf_dir)
+    return evaluated(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("recall", "context_ratio")})
 
 
-@plans.add()
+@plans.add(
+    f"""WITH {_NODES}, {_CHOSEN} SELECT count(*) AS cases, count(*) FILTER (exact) AS exact_coverage, round(avg(recall), 9) AS mean_recall, round(avg(selected), 9) AS mean_selected, round(avg(irrelevant), 9) AS mean_irrelevant,
+  round(avg(context_ratio), 9) AS mean_context_ratio, count(*) FILTER (status = 'selected') AS selected_cases, round(avg(selected) FILTER (status = 'selected'), 9) AS mean_selected_when_selected,
+  count(*) FILTER (status = 'abstained') AS abstentions, 0::BIGINT AS failures FROM evaluated"""
+)
 def navigation_summary(spark, sf_dir):
-    return N.evaluation_summary(evaluated(spark, sf_dir))
+    out = N.evaluation_summary(evaluated(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 9) for c in out.columns if c.startswith("mean_")})
 
 
 @plans.add(

@@ -78,7 +78,7 @@ def quotes(spark, sf_dir):
 p AS (SELECT doc_id, quote, string_split(text, quote) AS parts FROM q),
 o AS (SELECT doc_id, quote, i, (list_sum(list_transform(parts[:i], lambda x: length(x))) + (i - 1) * 80)::INTEGER AS s FROM (SELECT *, unnest(generate_series(1, len(parts) - 1)) AS i FROM p)),
 h AS (SELECT o.doc_id, i, count(*) FILTER (w.s <= o.s AND o.s + 80 <= w.e) AS n FROM o JOIN windows w USING (doc_id) GROUP BY o.doc_id, i)
-SELECT doc_id, 1 AS grounded, (max(n) > 0)::INTEGER AS contained, (max(n) = 0)::INTEGER AS cut, (CASE WHEN max(n) > 0 THEN sum(greatest(n - 1, 0)) ELSE 0 END)::BIGINT AS duplicate_exposures FROM h GROUP BY doc_id"""
+SELECT doc_id, 1::BIGINT AS grounded, (max(n) > 0)::BIGINT AS contained, (max(n) = 0)::BIGINT AS cut, (CASE WHEN max(n) > 0 THEN sum(greatest(n - 1, 0)) ELSE 0 END)::BIGINT AS duplicate_exposures FROM h GROUP BY doc_id"""
 )
 def quote_boundary_cuts(spark, sf_dir):
     found = quotes(spark, sf_dir).select("doc_id", "quote", "occurrence", "start", "end")
