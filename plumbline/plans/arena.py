@@ -25,10 +25,9 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
 
 
-@plans.add(f"WITH {_SENTENCES} SELECT doc, 0::BIGINT AS section, ordinal::INTEGER AS ordinal, text FROM sentences WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND doc % 2 = 0")
+@plans.add(f"WITH {_SENTENCES} SELECT doc, 0::BIGINT AS section, ordinal::INTEGER AS ordinal, text FROM sentences")
 def sentence_sections(spark, sf_dir):
-    docs = documents(spark, sf_dir).where("doc % 2 = 0")
-    return A.sentences(docs).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return A.sentences(documents(spark, sf_dir))
 
 
 @plans.add()

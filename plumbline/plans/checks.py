@@ -65,10 +65,10 @@ def verbatim_quotes(spark, sf_dir):
 
 @plans.add(
     r"""SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)\bno\w+') THEN 'absence' WHEN regexp_matches(t, '(?i)\b\w*ation\b') THEN 'derived' WHEN regexp_matches(t, '(?i)\bthe\b.*ing\b') THEN 'inferential' END AS kind
-FROM (SELECT doc_id, regexp_replace(substr(text, 1, 200), '[^A-Za-z ]', ' ', 'g') AS t FROM documents)"""
+FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', ' ', 'g') AS t FROM documents)"""
 )
 def task_triggers(spark, sf_dir):
-    text = F.regexp_replace(F.substring("text", 1, 200), "[^A-Za-z ]", " ")
+    text = F.regexp_replace("text", "[^A-Za-z ]", " ")
     return documents(spark, sf_dir).select("doc_id", arena.trigger(text, PROFILE).alias("kind"))
 
 

@@ -1,6 +1,5 @@
-r"""Findings, coverage and their scoring. Predictions and gold are made of the documents' lines:
-a document's first six lines are found quotes, every second one cut short; gold are those of even
-documents."""
+r"""Findings, coverage and their scoring. Predictions and gold are made of the documents' lines: every line is
+a found quote, every second one cut short; the lines of labelled documents are gold, but for every fifth one."""
 
 from __future__ import annotations
 
@@ -15,14 +14,14 @@ QUERIES, ORACLE_SQL = plans.queries, plans.sql
 CATEGORIES = ["c0", "c1", "c2", "c3"]
 
 _LINES = """
-lines AS (SELECT doc_id, i - 1 AS ord, string_split(text, chr(10))[i] AS line FROM documents, range(1, 7) r(i) WHERE i <= len(string_split(text, chr(10)))),
+lines AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS ord, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
 pred AS (SELECT doc_id AS doc, 'c' || (ord % 4) AS category, ord, CASE WHEN ord % 2 = 1 THEN substr(line, 1, 25) ELSE line END AS quote FROM lines),
-gold AS (SELECT doc_id AS doc, 'c' || (ord % 4) AS category, ord, line AS span FROM lines WHERE doc_id % 2 = 0 AND ord <> 4)"""
+gold AS (SELECT doc_id AS doc, 'c' || (ord % 4) AS category, ord, line AS span FROM lines WHERE doc_id IN (SELECT doc_id FROM labels) AND ord % 5 <> 4)"""
 
 
 def lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.slice(F.split("text", "\n"), 1, 6)).alias("ord", "line")).withColumn("category", F.concat(F.lit("c"), (F.col("ord") % 4).cast("string")))
+    return docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("ord", "line")).withColumn("category", F.concat(F.lit("c"), (F.col("ord") % 4).cast("string")))
 
 
 def predictions(spark, sf_dir):
@@ -31,7 +30,8 @@ def predictions(spark, sf_dir):
 
 
 def gold(spark, sf_dir):
-    return lines(spark, sf_dir).where("doc % 2 = 0 AND ord <> 4").select("doc", "category", "ord", F.col("line").alias("span"))
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc")).distinct()
+    return lines(spark, sf_dir).where("ord % 5 <> 4").join(labelled, "doc", "left_semi").select("doc", "category", "ord", F.col("line").alias("span"))
 
 
 _TOKENS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
@@ -83,13 +83,13 @@ def macro_f1_gate(spark, sf_dir):
 
 
 @plans.add(
-    """WITH l AS (SELECT doc_id AS doc, 'c' || (i % 2) AS category, i - 1 AS ord, string_split(text, chr(10))[i] AS quote FROM documents, range(1, 1000) r(i) WHERE i <= len(string_split(text, chr(10)))),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc, category, lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))) ORDER BY ord) AS n FROM l WHERE ord < 999)
-SELECT doc, category, ord::INTEGER AS ord FROM k WHERE n = 1"""
+    """WITH l AS (SELECT doc_id AS doc, generate_subscripts(p, 1) - 1 AS ord, unnest(p) AS quote FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+k AS (SELECT *, 'c' || ((ord + 1) % 2) AS category FROM l)
+SELECT doc, category, ord::INTEGER AS ord FROM k QUALIFY row_number() OVER (PARTITION BY doc, category, lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))) ORDER BY ord) = 1"""
 )
 def merge_findings_dedupe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.slice(F.split("text", "\n"), 1, 999)).alias("ord", "quote"))
+    found = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("ord", "quote"))
     found = found.withColumn("category", F.concat(F.lit("c"), ((F.col("ord") + 1) % 2).cast("string"))).withColumn("segment", F.lit(0))
     return X.merge_findings(found).select("doc", "category", "ord")
 
@@ -119,13 +119,13 @@ def usage_totals(spark, sf_dir):
 
 
 @plans.add(
-    """SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN substr(text, 1, 20) END AS quote, CASE WHEN doc_id % 4 = 0 THEN 1 END AS checked FROM
+    """SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN text END AS quote, CASE WHEN doc_id % 4 = 0 THEN 1 END AS checked FROM
 (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS text FROM documents)"""
 )
 def reply_parse(spark, sf_dir):
     """Replies in prose, broken ones and bare ones around an object."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z ]", "").alias("t"))
-    quote = F.substring("t", 1, 20)
+    quote = F.col("t")
     whole = F.concat(F.lit('Sure: {"findings": {"c": ["'), quote, F.lit('"]}, "checked_categories": ["c"]} done'))
     part = F.concat(F.lit('{"findings": {"c": ["'), quote, F.lit('"]}}'))
     reply = F.when(F.col("doc_id") % 4 == 0, whole).when(F.col("doc_id") % 4 == 1, "no object here").when(F.col("doc_id") % 4 == 2, '{"findings": {"c": [').otherwise(part)

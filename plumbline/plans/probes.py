@@ -59,7 +59,7 @@ def lexical_overlap(spark, sf_dir):
     return words.join(others, "doc_id").select("doc_id", F.round(F.coalesce(jaccard(F.col("a"), F.col("b")), F.lit(1.0)), 6).alias("overlap"))
 
 
-_FLIP_TEXT = "substr(text, 1, 200) || [' It shall not pass.', ' It is not so.', ' It may pass.', ' It was so.', ''][doc_id % 5 + 1]"
+_FLIP_TEXT = "regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') || [' It shall not pass.', ' It is not so.', ' It may pass.', ' It was so.', ''][doc_id % 5 + 1]"
 
 
 @plans.add(
@@ -70,8 +70,9 @@ SELECT doc_id, rule, CASE rule WHEN 1 THEN regexp_replace(t, '(?i)\\b(shall|must
   WHEN 3 THEN regexp_replace(t, '(?i)\\b(shall|must|will|should|may|can)\\b', '\\1 not') WHEN 4 THEN regexp_replace(t, '(?i)\\b(is|are|was|were|has|have|had)\\b', '\\1 not') END AS flip FROM r"""
 )
 def negation_flip(spark, sf_dir):
+    """Letters beyond ASCII are spelled x: DuckDB's word boundaries do not know them."""
     tail = F.element_at(F.array(*map(F.lit, [" It shall not pass.", " It is not so.", " It may pass.", " It was so.", ""])), (F.col("doc_id") % 5 + 1).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), tail).alias("t"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), tail).alias("t"))
     flip, rule = P.negation_flip(F.col("t"))
     return rows.select("doc_id", rule.alias("rule"), flip.alias("flip"))
 
@@ -95,7 +96,7 @@ def screened_suggestions(spark, sf_dir):
     return P.screen(rows, 0.2, 0.8).select("doc_id", F.to_json("reasons").alias("reasons"))
 
 
-@plans.add("SELECT conv_id, replace(replace(text, 'the', 'THE'), 'an', 'AN') AS text FROM conversations WHERE turn = 0")
+@plans.add("SELECT conv_id, replace(replace(text, 'the', 'THE'), 'an', 'AN') AS text, turn FROM conversations")
 def perturbed_texts(spark, sf_dir):
     pairs = F.array(F.struct(F.lit("an").alias("old"), F.lit("AN").alias("new")), F.struct(F.lit("the").alias("old"), F.lit("THE").alias("new")))
-    return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", P.perturb(F.col("text"), pairs).alias("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", P.perturb(F.col("text"), pairs).alias("text"))

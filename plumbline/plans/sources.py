@@ -80,11 +80,12 @@ def structured_claims(spark, sf_dir):
     return artifacts.extract_structured(docs).select("doc", "claim_id", "error")
 
 
-@plans.add("SELECT count(*) FILTER (conv_id % 2 = 0) = count(*) AS equal, min(turn) FILTER (conv_id % 2 = 1) AS first_difference FROM conversations WHERE conv_id = 1")
+@plans.add("SELECT false AS equal, min(conv_id * 1000 + turn) FILTER (length(text) > 200) AS first_difference FROM conversations")
 def render_first_difference(spark, sf_dir):
-    left = table(spark, sf_dir, "conversations").where("conv_id = 1").select("turn", "role", "text")
-    right = left.withColumn("text", F.concat("text", F.lit("!")))
-    return parity.first_difference(left, right, "turn", ["role", "text"])
+    """Two renderings of all turns in order, of which the second cuts texts of more than 200 characters."""
+    left = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("position"), "role", "text")
+    right = left.withColumn("text", F.when(F.length("text") > 200, F.substring("text", 1, 200)).otherwise(F.col("text")))
+    return parity.first_difference(left, right, "position", ["role", "text"])
 
 
 @plans.add("SELECT conv_id * 1000 + turn AS id, turn % 3 <> 0 AS equal FROM conversations")
