@@ -39,61 +39,63 @@ def window_similarity(needle: str, haystack: str) -> float:
 
 
 def similarity(needle: Column, haystack: Column) -> Column:
+    """G3 of two normalised columns; rows with a null cost nothing."""
+
     @F.pandas_udf("double")
     def run(needles: pd.Series, haystacks: pd.Series) -> pd.Series:
-        return pd.Series([window_similarity(a, b) for a, b in zip(needles, haystacks, strict=True)], dtype="float64")
+        return pd.Series([None if a is None or b is None else window_similarity(a, b) for a, b in zip(needles, haystacks, strict=True)], dtype="float64")
 
     return run(needle, haystack)
 
 
-def exact_anchors(claims: DataFrame, needle: Column, haystack: Column) -> DataFrame:
-    """G1 on normalised columns: adds ``anchor, method, score``."""
-    usable = (F.length(needle) > 0) & (F.length(haystack) > 0)
-    hit = F.coalesce(usable & (F.instr(haystack, needle) > 0), F.lit(False))
+def anchored(rows: DataFrame, needle: str, haystack: str, wanted: Column) -> DataFrame:
+    """G1 and G2 on normalised columns: adds ``anchor, method, score`` where ``wanted``, nulls elsewhere.
+
+    One pass over the rows: what is exact, or has nothing to compare, goes to Python as null. A number that
+    the source lacks turns a found excerpt into an ambiguous one.
+    """
+    n, h = F.col(needle), F.col(haystack)
+    usable = F.coalesce((F.length(n) > 0) & (F.length(h) > 0), F.lit(False))
+    rows = rows.withColumn("__wanted", F.coalesce(wanted, F.lit(False)))
+    rows = rows.withColumn("__hit", F.col("__wanted") & usable & (F.instr(h, n) > 0)).withColumn("__open", F.col("__wanted") & usable & ~F.col("__hit"))
+    rows = rows.withColumn("__s", similarity(F.when(F.col("__open"), n), F.when(F.col("__open"), h)))
+    numbers = F.forall(numeric_tokens(n), lambda t: F.instr(h, t) > 0)
+    fuzzy = F.when((F.col("__s") >= FOUND) & numbers, "found").when(F.col("__s") >= AMBIGUOUS, "ambiguous").otherwise("not_found")
     return (
-        claims.withColumn("anchor", F.when(hit, "found").otherwise("not_found"))
-        .withColumn("method", F.lit("exact"))
-        .withColumn("score", F.when(hit, 1.0).otherwise(0.0))
+        rows.withColumn("anchor", F.when(F.col("__hit"), "found").when(F.col("__open"), fuzzy).when(F.col("__wanted"), "not_found"))
+        .withColumn("method", F.when(F.col("__open"), "fuzzy").when(F.col("__wanted"), "exact"))
+        .withColumn("score", F.when(F.col("__hit"), 1.0).when(F.col("__open"), F.col("__s")).when(F.col("__wanted"), 0.0))
+        .drop("__wanted", "__hit", "__open", "__s")
     )
 
 
 def anchor_excerpts(pairs: DataFrame, excerpt: str = "excerpt", text: str = "source_text") -> DataFrame:
-    """Adds ``anchor, method, score`` to rows that hold an excerpt and its source.
-
-    Only rows without an exact hit go through Python; a number that the source lacks turns a found
-    excerpt into an ambiguous one.
-    """
+    """Adds ``anchor, method, score`` to rows that hold an excerpt and its source."""
     rows = pairs.withColumn("__n", normalise_anchor(F.col(excerpt))).withColumn("__h", normalise_anchor(F.col(text)))
-    exact = exact_anchors(rows, F.col("__n"), F.col("__h"))
-    settled = (F.col("anchor") == "found") | (F.coalesce(F.length("__n"), F.lit(0)) == 0) | (F.coalesce(F.length("__h"), F.lit(0)) == 0)
-    rest = rows.where(~((F.length("__n") > 0) & (F.length("__h") > 0) & (F.instr("__h", F.col("__n")) > 0)) & (F.length("__n") > 0) & (F.length("__h") > 0))
-    numbers = F.forall(numeric_tokens(F.col("__n")), lambda t: F.instr(F.col("__h"), t) > 0)
-    fuzzy = rest.withColumn("score", similarity(F.col("__n"), F.col("__h")))
-    label = F.when((F.col("score") >= FOUND) & numbers, "found").when(F.col("score") >= AMBIGUOUS, "ambiguous").otherwise("not_found")
-    fuzzy = fuzzy.withColumn("anchor", label).withColumn("method", F.lit("fuzzy"))
-    return exact.where(settled).unionByName(fuzzy).drop("__n", "__h")
+    return anchored(rows, "__n", "__h", F.lit(True)).drop("__n", "__h")
 
 
 def verify_claims(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """Each claim's ``anchor, method, score, failure`` under the ordered decision table.
 
     ``claims``: claim_id, source_id, uri, excerpt, locator, provenance_class; ``sources``:
-    source_id, uri, text, failure, one row for each (source_id, uri).
+    source_id, uri, text, failure, one row for each (source_id, uri). Each side is normalised once, before the join.
     """
-    sources = sources.select("source_id", "uri", F.col("text").alias("source_text"), F.col("failure").alias("source_failure"), F.lit(True).alias("resolved"))
-    joined = claims.join(sources, ["source_id", "uri"], "left")
+    sources = sources.select(
+        "source_id", "uri", F.col("text").alias("source_text"), F.col("failure").alias("source_failure"), normalise_anchor(F.col("text")).alias("__h"), F.lit(True).alias("resolved")
+    )
+    joined = claims.withColumn("__n", normalise_anchor(F.col("excerpt"))).join(sources, ["source_id", "uri"], "left")
     uncited = F.col("source_id").isNull() | F.col("uri").isNull()
     broken = F.col("resolved").isNull() | F.col("source_failure").isNotNull() | F.col("source_text").isNull()
     bare = F.coalesce(F.length("excerpt"), F.lit(0)) == 0
-    method = (
+    settled = (
         F.when(uncited, F.when(F.col("provenance_class") != "unclassified", "provenance").otherwise("no_source"))
         .when(broken, "fetch_failed")
         .when(bare, F.when(F.coalesce(F.length("locator"), F.lit(0)) > 0, "locator").otherwise("no_excerpt"))
     )
-    joined = joined.withColumn("failure", F.when(~uncited & broken, F.coalesce("source_failure", F.lit("source_unreachable")))).withColumn("method", method)
-    settled = joined.where(F.col("method").isNotNull()).withColumn("anchor", F.lit(None).cast("string")).withColumn("score", F.lit(None).cast("double"))
-    matched = anchor_excerpts(joined.where(F.col("method").isNull()).drop("method"))
-    return settled.unionByName(matched).drop("resolved", "source_failure")
+    joined = joined.withColumn("failure", F.when(~uncited & broken, F.coalesce("source_failure", F.lit("source_unreachable")))).withColumn("__settled", settled)
+    rows = anchored(joined, "__n", "__h", F.col("__settled").isNull())
+    return rows.withColumn("method", F.coalesce("__settled", "method")).drop("resolved", "source_failure", "__settled", "__n", "__h")
 
 
 def verification_counts(verified: DataFrame, by: list[str] | None = None) -> DataFrame:
