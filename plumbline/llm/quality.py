@@ -3,9 +3,10 @@
 A word, a number or a run of symbols is a token; tokens hash into ``BUCKETS`` names, apart
 by shape (lower case, capitalised, upper case, no letters). Each name has a fixed sparse
 ternary index vector; a name's word vector is the sum of the index vectors of the tokens within
-``WINDOW`` places of it, over the whole corpus. A document is the mean of its tokens' word
-vectors at unit length. A two-layer network in numpy scores it; a temperature, fitted on rows that
-the network did not learn from, calibrates the probabilities.
+``WINDOW`` places of it, over the whole corpus. A document pools its tokens' word vectors at unit length:
+their mean, their deviation, how near each is to the next one on average, and the logarithm of their number. A
+two-layer network in numpy scores it. Rows that the network does not learn from say when to stop, and a temperature
+fitted on them calibrates the probabilities.
 
 The word vectors are sums over all documents: a task adds up its own counts, Spark adds those by
 bucket, and the table that reaches the driver has ``BUCKETS`` rows at any corpus size. The
@@ -29,7 +30,8 @@ from plumbline.llm.common import crc_of_id, cut, prepare, smallest_by_hash, tabl
 
 BUCKETS, DIMS, NONZERO, WINDOW = 8192, 64, 4, 2
 MAX_LABELLED = 20_000
-HIDDEN, EPOCHS, SEED = 32, 60, 11
+HIDDEN, EPOCHS, DECAY, SEED = 32, 40, 1e-3, 11
+POOLED = 2 * DIMS + 2
 THRESHOLD = 0.7
 
 _KIND = np.zeros(256, np.uint8)  # 0 space, 1 letter, 2 digit, 3 symbol
@@ -40,6 +42,7 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
+_TOKENS = 1 << 15  # at once while pooling
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -125,34 +128,45 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def pool(vectors: np.ndarray, bucket: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """One row of pooled features for each of ``rows`` documents; tokens of a document stand together."""
+    total, squares, near = np.zeros((rows, DIMS)), np.zeros((rows, DIMS)), np.zeros(rows)
+    for i in range(0, len(bucket), _TOKENS):
+        own = row[i : i + _TOKENS]
+        v = vectors[bucket[i : i + len(own) + 1]]  # and the first token after them
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        total[own[first]] += np.add.reduceat(v[: len(own)], first, axis=0)
+        squares[own[first]] += np.add.reduceat(v[: len(own)] ** 2, first, axis=0)
+        same = row[i : i + len(v) - 1] == row[i + 1 : i + len(v)]
+        near += np.bincount(row[i : i + len(v) - 1][same], np.einsum("ij,ij->i", v[:-1], v[1:])[same], rows)
+    count = np.bincount(row, minlength=rows)
+    mean = total / np.maximum(count, 1)[:, None]
+    deviation = np.sqrt(np.maximum(squares / np.maximum(count, 1)[:, None] - mean**2, 0))
+    return np.hstack([mean, deviation, (near / np.maximum(count - 1, 1))[:, None], np.log1p(count)[:, None]]).astype(np.float32)
+
+
 def _pooled(shared):
     def run(batches):
         vectors = shared.value
         for batch in batches:
             data, bounds = flat(batch.column("text"))
-            out = np.zeros((batch.num_rows, DIMS), np.float32)
+            out = np.zeros((batch.num_rows, POOLED), np.float32)
             for a, b in runs(bounds):
-                bucket, row = tokens(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-                for i in range(0, len(bucket), 1 << 16):
-                    part = row[i : i + (1 << 16)]
-                    first = np.flatnonzero(np.diff(part, prepend=-1))
-                    out[a + part[first]] += np.add.reduceat(vectors[bucket[i : i + (1 << 16)]], first, axis=0)
-                count = np.bincount(row, minlength=b - a)[:, None]
-                out[a:b] /= np.maximum(count, 1)
+                out[a:b] = pool(vectors, *tokens(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]), b - a)
             yield pa.record_batch([batch.column("doc_id"), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "vector"])
 
     return run
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float32).reshape(-1, DIMS).astype(np.float64)
+    return np.frombuffer(b"".join(column), np.float32).reshape(-1, POOLED).astype(np.float64)
 
 
 class Network:
     """tanh layer, sigmoid output, temperature. ``fit`` is deterministic."""
 
     def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Network:
-        """``held`` marks the rows that only the temperature sees."""
+        """``held`` marks the rows that only stop the learning and set the temperature."""
         self.prior = float(y.mean()) if len(y) else 0.5
         self.weights, self.temperature = None, 1.0
         if len(np.unique(y[~held])) < 2:
@@ -160,27 +174,34 @@ class Network:
         self.mean, self.scale = x[~held].mean(0), x[~held].std(0) + 1e-6
         z = (x - self.mean) / self.scale
         rng = np.random.default_rng(SEED)
-        w = [rng.normal(0, 1 / np.sqrt(DIMS), (DIMS, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
+        w = [rng.normal(0, 1 / np.sqrt(POOLED), (POOLED, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
         m, v, step = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w], 0
-        learn = np.flatnonzero(~held)
+        learn, test = np.flatnonzero(~held), held if held.any() else ~held
+        self.weights, best, lowest = w, None, np.inf
         for _ in range(max(EPOCHS, 2000 * 64 // max(1, len(learn)))):
             for rows in np.array_split(rng.permutation(learn), max(1, len(learn) // 64)):
                 hidden = np.tanh(z[rows] @ w[0] + w[1])
                 error = (self._sigmoid(hidden @ w[2] + w[3]) - y[rows]) / len(rows)
                 back = np.outer(error, w[2]) * (1 - hidden**2)
-                grads = [z[rows].T @ back + 1e-4 * w[0], back.sum(0), hidden.T @ error + 1e-4 * w[2], error.sum(keepdims=True)]
+                grads = [z[rows].T @ back + DECAY * w[0], back.sum(0), hidden.T @ error + DECAY * w[2], error.sum(keepdims=True)]
                 step += 1
                 for i, g in enumerate(grads):
                     m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
                     w[i] -= 3e-3 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-        self.weights = w
-        test = held if held.any() else ~held
+            loss = self._loss(self._logits(x[test]), y[test])
+            if loss < lowest:
+                best, lowest = [p.copy() for p in w], loss
+        self.weights = best
         logits, truth = self._logits(x[test]), y[test]
         grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
-        loss = [np.logaddexp(0, np.where(truth == 1, -logits, logits) / t).mean() for t in grid]
+        loss = [self._loss(logits / t, truth) for t in grid]
         self.temperature = float(grid[int(np.argmin(loss))])
         return self
 
+    @staticmethod
+    def _loss(logits: np.ndarray, truth: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(truth == 1, -logits, logits)).mean())
+
     @staticmethod
     def _sigmoid(a: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(a, -40, 40)))
