@@ -59,15 +59,23 @@ def token_match(a: Column, b: Column, threshold: float = 0.5) -> Column:
 
 def match_counts(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """H8: ``category, tp, fp, fn``, many to many: a prediction counts once if any gold span matches it,
-    a gold span is missed if no prediction does. ``doc, category, quote`` / ``doc, category, span``."""
-    p = predictions.withColumn("p_id", F.monotonically_increasing_id()).withColumn("p_tokens", match_tokens(F.col("quote")))
-    g = gold.withColumn("g_id", F.monotonically_increasing_id()).withColumn("g_tokens", match_tokens(F.col("span")))
+    a gold span is missed if no prediction does. ``doc, category, quote`` / ``doc, category, span``.
+    Quotes with the same tokens are compared once."""
+
+    def grouped(rows: DataFrame, text: str, side: str) -> DataFrame:
+        tokens = F.array_sort(match_tokens(F.col(text)))
+        return rows.select("doc", "category", tokens.alias(f"{side}_tokens")).groupBy("doc", "category", f"{side}_tokens").agg(F.count("*").alias(f"{side}_n"))
+
     both = F.size(F.array_intersect("p_tokens", "g_tokens"))
     hit = (F.size("p_tokens") > 0) & (F.size("g_tokens") > 0) & (both / (F.size("p_tokens") + F.size("g_tokens") - both) >= 0.5)
-    pg = p.select("doc", "category", "p_tokens", "p_id").join(g.select("doc", "category", "g_tokens", "g_id"), ["doc", "category"], "full")
-    pg = pg.withColumn("hit", F.coalesce(hit, F.lit(False)))
-    by_p = pg.where("p_id is not null").groupBy("category", "p_id").agg(F.max("hit").alias("ok")).groupBy("category").agg(F.count_if("ok").alias("tp"), F.count_if(~F.col("ok")).alias("fp"))
-    by_g = pg.where("g_id is not null").groupBy("category", "g_id").agg(F.max("hit").alias("ok")).groupBy("category").agg(F.count_if(~F.col("ok")).alias("fn"))
+    pairs = grouped(predictions, "quote", "p").join(grouped(gold, "span", "g"), ["doc", "category"], "full").withColumn("hit", F.coalesce(hit, F.lit(False)))
+
+    def summed(side: str) -> DataFrame:
+        return pairs.where(f"{side}_n is not null").groupBy("doc", "category", f"{side}_tokens", f"{side}_n").agg(F.max("hit").alias("ok"))
+
+    n = F.col("p_n")
+    by_p = summed("p").groupBy("category").agg(F.sum(F.when(F.col("ok"), n).otherwise(0)).alias("tp"), F.sum(F.when(F.col("ok"), 0).otherwise(n)).alias("fp"))
+    by_g = summed("g").groupBy("category").agg(F.sum(F.when(F.col("ok"), 0).otherwise(F.col("g_n"))).alias("fn"))
     return by_p.join(by_g, "category", "full").fillna(0)
 
 
