@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python, so that long texts do not pile up in a worker.
-BATCH_BYTES = "32m"
+BATCH_BYTES = "8m"
 
 
 def prepare(spark: SparkSession) -> None:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -29,8 +30,14 @@ class Encoder:
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.exact = Tokenizer.from_file(tokenizer)
-        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.file = tokenizer
+        with open(tokenizer, encoding="utf-8") as text:
+            self.added = [t["content"] for t in json.load(text).get("added_tokens", [])]
+
+    @cached_property
+    def exact(self) -> Tokenizer:
+        """The tokenizer itself, read when a text needs it: it takes more memory than the ranks."""
+        return Tokenizer.from_file(self.file)
 
     def encode(self, text: str) -> np.ndarray:
         if (text.isascii() or not _OTHER.search(text)) and not any(t in text for t in self.added):
