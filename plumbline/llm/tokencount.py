@@ -87,11 +87,9 @@ def token_counts(spark: SparkSession, path: str, dtype: str = ">u2", end: int =
         raise ValueError("a block holds whole tokens")
     files = spark.read.format("binaryFile").load(path).where("length > 0")
     wrong = F.when((F.col("length") % width != 0) | (F.col("length") > MAX_FILE), F.raise_error(F.concat(F.lit("not a readable token file: "), F.col("path"))))
-    cuts = F.transform(
-        F.sequence(F.lit(0), ((F.col("length") - 1) / block_bytes).cast("int")),
-        lambda b: F.substring(F.col("content"), b * block_bytes + 1, block_bytes),
-    )
-    blocks = files.where(wrong.isNull()).select("path", cuts.alias("cuts")).select("path", F.posexplode("cuts").alias("block", "bytes"))
+    last = ((F.col("length") - 1) / block_bytes).cast("int")
+    rows = files.where(wrong.isNull()).select("path", "content", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    blocks = rows.select("path", "block", F.substring(F.col("content"), F.col("block") * block_bytes + 1, F.lit(block_bytes)).alias("bytes"))
     schema = "path string, block int, tokens long, ends long, head long, tail long, between array<bigint>"
     scanned = cut(blocks.mapInArrow(_scanned(dtype, end), schema))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
