@@ -15,8 +15,8 @@ from plumbline.llm.common import prepare
 from plumbline.llm.exact_dedup import keep_exact
 from plumbline.llm.language import keep_identified, training_rows
 from plumbline.llm.mixing import mix
+from plumbline.llm.near_dedup import keep_similar
 from plumbline.llm.packing import pack
-from plumbline.llm.simhash import keep_near
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
-    return keep_near(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more, chained) stays, the one with the smallest doc_id."""
+    return keep_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
