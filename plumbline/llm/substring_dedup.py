@@ -6,6 +6,10 @@ words. Spans are hashed (128 bits) and joined globally: of a span that occurs mo
 the first occurrence (smallest doc_id, then the earliest sentence) stays, and the sentences that any
 other occurrence covers are removed.
 
+The query also cuts sentences of more than ``LONG`` words into pieces that count as sentences. A piece begins where
+the hash of two neighbouring words is the least within ``REACH`` words, which copies of a passage agree on
+wherever it stands. A single sentence or piece of ``ALONE`` words or more is a span by itself.
+
 Hashes are counted before they are joined, with map-side sums, so a passage that a third of
 the documents share is one row a task; the join has a written table on its small side and its other
 side is split by adaptive execution. Whole texts meet only the list of their own removed sentences.
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +34,33 @@ from plumbline.llm.common import cut, prepare, table
 
 SENTENCES = 2
 WORDS = 20
+LONG = 20
+REACH = 3
+ALONE = 50
 
 _END = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*")
-
-
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, stop) of each sentence that is not blank, white space around it left out."""
+_WORD = re.compile(r"\S+")
+
+
+def pieces(text: str, start: int, stop: int, long: int) -> list[tuple[int, int]]:
+    """(start, stop) of the pieces of a sentence; one of at most ``long`` words is one piece."""
+    if len(text[start:stop].split()) <= long:
+        return [(start, stop)]
+    words = [m.span() for m in _WORD.finditer(text, start, stop)]
+    own = np.array([xxhash.xxh64_intdigest(text[a:b].encode("utf-8", "surrogatepass")) for a, b in words], np.uint64)
+    pair = (own[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ own[1:]
+    wide = np.pad(pair * np.uint64(0xBF58476D1CE4E5B9), REACH, constant_values=~np.uint64(0))
+    mid, least = wide[REACH:-REACH], np.ones(len(pair), bool)
+    for d in range(1, REACH + 1):
+        least &= (mid < wide[REACH - d : -REACH - d]) & (mid <= wide[REACH + d : len(wide) - REACH + d])
+    at = [0, *(np.flatnonzero(least) + 1).tolist(), len(words)]
+    return [(words[a][0], words[b - 1][1]) for a, b in zip(at, at[1:])]
+
+
+def sentences(text: str, long: int | None = None) -> list[tuple[int, int]]:
+    """(start, stop) of each sentence that is not blank, white space around it left out; those of more than ``long`` words in pieces."""
+    if long is not None:
+        return [piece for a, b in sentences(text) for piece in pieces(text, a, b, long)]
     out, at = [], 0
     for m in _END.finditer(text):
         if text[at : m.start()].strip():
@@ -45,16 +71,20 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str, least_sentences: int, least_words: int) -> list[tuple[int, int, bytes]]:
+def spans(text: str, least_sentences: int, least_words: int, long: int | None = None, alone: int | None = None) -> list[tuple[int, int, bytes]]:
     """(first sentence, last sentence, digest) of each span."""
-    parts = [text[a:b].split() for a, b in sentences(text)]
+    parts = [text[a:b].split() for a, b in sentences(text, long)]
     joined = [" ".join(p) for p in parts]
+
+    def short(i, stop, words):
+        return (stop - i < least_sentences and (alone is None or words < alone)) or words < least_words
+
     out, stop, words = [], 0, 0
     for i in range(len(parts)):
-        while stop < len(parts) and (stop - i < least_sentences or words < least_words):
+        while stop < len(parts) and (stop <= i or short(i, stop, words)):
             words += len(parts[stop])
             stop += 1
-        if stop - i < least_sentences or words < least_words:
+        if short(i, stop, words):
             break
         out.append((i, stop - 1, xxhash.xxh3_128_digest("\n".join(joined[i:stop]).encode())))
         words -= len(parts[i])
@@ -64,12 +94,12 @@ def spans(text: str, least_sentences: int, least_words: int) -> list[tuple[int,
 _SPANS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
 
 
-def _spans(least_sentences: int, least_words: int):
+def _spans(*rule):
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in _SPANS]
             for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                for first, last, digest in spans(text or "", least_sentences, least_words):
+                for first, last, digest in spans(text or "", *rule):
                     values = (row, doc_id, first, last, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True))
                     for to, x in zip(out, values, strict=True):
                         to.append(x)
@@ -83,48 +113,53 @@ def cover(ranges: list[tuple[int, int]]) -> list[int]:
     return sorted({i for a, b in ranges for i in range(a, b + 1)})
 
 
-def _removed(batches):
+def _removed(long: int | None):
     """Rebuilds each text from the sentences that stay; the white space after a removed one goes too."""
-    for batch in batches:
-        texts, counts, gone, ranges_out = [], [], [], []
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-            own = sentences(text or "")
-            drop = set(cover([(r["first"], r["last"]) for r in ranges or []]))
-            if drop:
-                starts = [a for a, _ in own] + [len(text)]
-                cuts = [(starts[i], starts[i + 1]) for i in sorted(drop)]
-                kept, at = [], 0
-                merged: list[list[int]] = []
-                for a, b in cuts:
-                    if merged and merged[-1][1] == a:
-                        merged[-1][1] = b
-                    else:
-                        merged.append([a, b])
-                for a, b in merged:
-                    kept.append(text[at:a])
-                    at = b
-                kept.append(text[at:])
-                text = "".join(kept).rstrip() if drop and len(own) - 1 in drop else "".join(kept)
-                ranges_out.append([{"start": a, "stop": b} for a, b in merged])
-            else:
-                ranges_out.append([])
-            texts.append(text)
-            counts.append(len(own))
-            gone.append(len(drop))
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(gone, pa.int32()), pa.array(ranges_out, kind)],
-            names=["doc_id", "text", "sentences", "removed", "removed_spans"],
-        )
-
-
-def substring_dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
+
+    def run(batches):
+        for batch in batches:
+            texts, counts, gone, ranges_out = [], [], [], []
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                own = sentences(text or "", long)
+                drop = set(cover([(r["first"], r["last"]) for r in ranges or []]))
+                if drop:
+                    starts = [a for a, _ in own] + [len(text)]
+                    cuts = [(starts[i], starts[i + 1]) for i in sorted(drop)]
+                    kept, at = [], 0
+                    merged: list[list[int]] = []
+                    for a, b in cuts:
+                        if merged and merged[-1][1] == a:
+                            merged[-1][1] = b
+                        else:
+                            merged.append([a, b])
+                    for a, b in merged:
+                        kept.append(text[at:a])
+                        at = b
+                    kept.append(text[at:])
+                    text = "".join(kept).rstrip() if drop and len(own) - 1 in drop else "".join(kept)
+                    ranges_out.append([{"start": a, "stop": b} for a, b in merged])
+                else:
+                    ranges_out.append([])
+                texts.append(text)
+                counts.append(len(own))
+                gone.append(len(drop))
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(gone, pa.int32()), pa.array(ranges_out, kind)],
+                names=["doc_id", "text", "sentences", "removed", "removed_spans"],
+            )
+
+    return run
+
+
+def substring_dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, long: int | None = None, alone: int | None = None) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``, a stored table: ``doc_id, text`` (without
     what was removed), ``sentences`` (before), ``removed`` (how many), ``removed_spans`` (code points
-    of the original text, from and up to)."""
+    of the original text, from and up to). Sentences of more than ``long`` words are cut into pieces, and a
+    sentence or piece of ``alone`` words is a span (None: neither)."""
     prepare(docs.sparkSession)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_spans(least_sentences, least_words), "row long, doc_id long, first int, last int, hi long, lo long")
+    found = texts.mapInArrow(_spans(least_sentences, least_words, long, alone), "row long, doc_id long, first int, last int, hi long, lo long")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "first")
     repeated = cut(
         found.groupBy("hi", "lo").agg(F.count("*").alias("times"), F.min(place).alias("origin")).where("times > 1")
@@ -133,8 +168,8 @@ def substring_dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_wor
     again = found.join(repeated, ["hi", "lo"]).where("NOT (row = o_row AND first = o_first)")
     ranges = cut(again.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges")))
     schema = "doc_id long, text string, sentences int, removed int, removed_spans array<struct<start:int,stop:int>>"
-    return texts.join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(_removed, schema)
+    return texts.join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(_removed(long), schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), long=LONG, alone=ALONE)

@@ -77,3 +77,20 @@ def test_the_defaults_leave_short_shared_lines_alone(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e"))
     assert D.substring_dedup(spark.read.parquet(str(tmp_path / "e"))).count() == 0
+
+
+def op1(spark, folder, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(folder / "documents.parquet"))
+    return [r.text for r in sorted(D.op1_substring_dedup(spark, str(folder)).collect(), key=lambda r: r.doc_id)]
+
+
+def test_the_query_finds_passages_of_long_sentences(spark, tmp_path):
+    rng = random.Random(2)
+    passage, other = ([f"w{rng.randrange(5000)}" for _ in range(80)] for _ in range(2))
+    own = [[f"own{i}x{k}" for k in range(30)] for i in range(5)]
+    line = " ".join(other)
+    texts = [" ".join(own[0] + passage + own[1]), " ".join(own[2] + passage + own[3]) + ".", line, line, f"Begins here so. {line} " + " ".join(own[4]), "same " * 60, "same " * 60]
+    got = op1(spark, tmp_path, texts)
+    assert got[0] == texts[0] and got[2] == texts[2] and len(got[3].split()) <= 16 and got[5] == texts[5] and got[6].strip() == ""
+    assert len(set(passage) & set(got[1].split())) <= 16 and set(own[2][:-8] + own[3][8:-1]) <= set(got[1].split())
+    assert len(set(other) & set(got[4].split())) <= 16 and set(own[4][8:]) <= set(got[4].split())
