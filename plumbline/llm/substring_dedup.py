@@ -8,7 +8,9 @@ other occurrence covers are removed.
 
 The query also cuts sentences of more than ``LONG`` words into pieces that count as sentences. A piece begins where
 the hash of two neighbouring words is the least within ``REACH`` words, which copies of a passage agree on
-wherever it stands. A single sentence or piece of ``ALONE`` words or more is a span by itself.
+wherever it stands. A single sentence or piece of ``ALONE`` words or more is a span by itself. Besides the
+shortest run from each sentence on, the query takes the shortest one that ends at each: together they
+cover every sentence of every longer run that repeats.
 
 Hashes are counted before they are joined, with map-side sums, so a passage that a third of
 the documents share is one row a task; the join has a written table on its small side and its other
@@ -71,7 +73,7 @@ def sentences(text: str, long: int | None = None) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str, least_sentences: int, least_words: int, long: int | None = None, alone: int | None = None) -> list[tuple[int, int, bytes]]:
+def spans(text: str, least_sentences: int, least_words: int, long: int | None = None, alone: int | None = None, both_ends: bool = False) -> list[tuple[int, int, bytes]]:
     """(first sentence, last sentence, digest) of each span."""
     parts = [text[a:b].split() for a, b in sentences(text, long)]
     joined = [" ".join(p) for p in parts]
@@ -88,6 +90,18 @@ def spans(text: str, least_sentences: int, least_words: int, long: int | None =
             break
         out.append((i, stop - 1, xxhash.xxh3_128_digest("\n".join(joined[i:stop]).encode())))
         words -= len(parts[i])
+    if not both_ends:
+        return out
+    seen, start, words = {(first, last) for first, last, _ in out}, 0, 0
+    for j in range(len(parts)):
+        words += len(parts[j])
+        if short(start, j + 1, words):
+            continue
+        while start < j and not short(start + 1, j + 1, words - len(parts[start])):
+            words -= len(parts[start])
+            start += 1
+        if (start, j) not in seen:
+            out.append((start, j, xxhash.xxh3_128_digest("\n".join(joined[start : j + 1]).encode())))
     return out
 
 
@@ -152,14 +166,15 @@ def _removed(long: int | None):
     return run
 
 
-def substring_dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, long: int | None = None, alone: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, long: int | None = None, alone: int | None = None, both_ends: bool = False) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``, a stored table: ``doc_id, text`` (without
     what was removed), ``sentences`` (before), ``removed`` (how many), ``removed_spans`` (code points
     of the original text, from and up to). Sentences of more than ``long`` words are cut into pieces, and a
-    sentence or piece of ``alone`` words is a span (None: neither)."""
+    sentence or piece of ``alone`` words is a span (None: neither). ``both_ends`` takes
+    the shortest run that ends at a sentence, too."""
     prepare(docs.sparkSession)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_spans(least_sentences, least_words, long, alone), "row long, doc_id long, first int, last int, hi long, lo long")
+    found = texts.mapInArrow(_spans(least_sentences, least_words, long, alone, both_ends), "row long, doc_id long, first int, last int, hi long, lo long")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "first")
     repeated = cut(
         found.groupBy("hi", "lo").agg(F.count("*").alias("times"), F.min(place).alias("origin")).where("times > 1")
@@ -172,4 +187,4 @@ def substring_dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_wor
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), long=LONG, alone=ALONE)
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), long=LONG, alone=ALONE, both_ends=True)

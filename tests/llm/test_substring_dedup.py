@@ -91,6 +91,42 @@ def test_the_query_finds_passages_of_long_sentences(spark, tmp_path):
     line = " ".join(other)
     texts = [" ".join(own[0] + passage + own[1]), " ".join(own[2] + passage + own[3]) + ".", line, line, f"Begins here so. {line} " + " ".join(own[4]), "same " * 60, "same " * 60]
     got = op1(spark, tmp_path, texts)
-    assert got[0] == texts[0] and got[2] == texts[2] and len(got[3].split()) <= 16 and got[5] == texts[5] and got[6].strip() == ""
+    assert got[0] == texts[0] and got[2] == texts[2] and got[3] == "" and got[5] == texts[5] and got[6].strip() == ""
     assert len(set(passage) & set(got[1].split())) <= 16 and set(own[2][:-8] + own[3][8:-1]) <= set(got[1].split())
     assert len(set(other) & set(got[4].split())) <= 16 and set(own[4][8:]) <= set(got[4].split())
+
+
+def test_both_ends_equal_brute_force_over_all_runs(spark, tmp_path):
+    rng = random.Random(9)
+    shared = [[" ".join(f"p{k}s{i}w{j}" for j in range(rng.choice([2, 4, 4, 25]))) + "." for i in range(rng.randint(3, 7))] for k in range(6)]
+    rows = []
+    for n in range(40):
+        parts = [" ".join(f"d{n}s{i}w{j}" for j in range(rng.randint(1, 25))) + "." for i in range(rng.randint(0, 6))]
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(parts))
+            parts[at:at] = rng.choice(shared)
+        rows.append((n, " ".join(parts)))
+    first, where, cuts = {}, [], []
+    for n, text in rows:
+        own = [text[a:b] for a, b in D.sentences(text)]
+        cuts.append(own)
+        for i in range(len(own)):
+            for j in range(i, len(own)):
+                span = tuple(own[i : j + 1])
+                words = sum(len(s.split()) for s in span)
+                if words >= 20 and (len(span) >= 2 or words >= 24):
+                    where.append((n, i, j, first.setdefault(span, (n, i))))
+    gone = [set() for _ in rows]
+    for n, i, j, origin in where:
+        if origin != (n, i):
+            gone[n].update(range(i, j + 1))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.text for r in D.substring_dedup(spark.read.parquet(str(tmp_path / "d")), alone=24, both_ends=True).collect()}
+    want = {n: " ".join(s for i, s in enumerate(cuts[n]) if i not in gone[n]) for n, _ in rows}
+    assert {n: " ".join(t.split()) for n, t in got.items()} == want and sum(map(len, gone)) > 60
+
+
+def test_the_query_removes_the_end_of_a_passage(spark, tmp_path):
+    passage = " ".join(" ".join(f"s{i}w{j}" for j in range(n)) + "." for i, n in enumerate([18, 18, 4, 4, 4]))
+    got = op1(spark, tmp_path, [f"{passage} One text ends so.", f"{passage} Another text has its own end."])
+    assert got == [f"{passage} One text ends so.", "Another text has its own end."]
