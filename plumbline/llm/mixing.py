@@ -2,7 +2,9 @@
 
 A source's mean repetition rate is its target share of the output over its share of the input.
 Each document gets a number u in [0, 1) from a hash of the seed and its doc_id, and as many
-copies as the inverse of the Poisson distribution with that mean has at u. The copies are
+copies as the inverse of the Poisson distribution with that mean has at u. Above a mean of ``MAX_DRAW``,
+where exp(-mean) nears the end of doubles, the number is a sum of draws with equal smaller means, each from a
+hash of its own; a sum of independent Poisson numbers is one with the summed mean. The copies are
 put in a global order by a second hash: the partition comes from the leading bits of the key
 (no sampling pass), rows are sorted within it. Everything runs in the JVM.
 
@@ -11,7 +13,8 @@ sources; beyond that it is joined by shuffle, where adaptive execution splits ho
 
 Defined results: a null source is a source of its own; a null doc_id hashes as the empty text;
 repeated rows get equal numbers of copies; a source whose weight is missing or zero has no
-copies; an empty table gives no rows; all other columns are carried along. Where the input has a column
+copies; given weights that ask for a mean above ``MAX_RATE`` are refused, while equal weights have no bound
+(a source of one row in a large table has a high one); an empty table gives no rows; all other columns are carried along. Where the input has a column
 ``copy`` or ``shuffle_key`` of its own, the added one has an underscore more at its end.
 """
 
@@ -24,6 +27,7 @@ from plumbline.llm.common import cut, prepare, table
 
 MAX_BROADCAST = 10_000
 MAX_RATE = 500.0
+MAX_DRAW = 700.0
 SEED = "mix-1"
 
 
@@ -71,14 +75,22 @@ def mix(docs: DataFrame, weights: dict | None = None, epochs: float = 1.0, seed:
     copy, key = (next(n for n in (name + "_" * i for i in range(len(taken) + 1)) if n not in taken) for name in ("copy", "shuffle_key"))
     table_ = rates(docs, weights, epochs)
     highest, count = table_.agg(F.max("rate"), F.count("*")).first()
-    if count and highest > MAX_RATE:
+    if weights is not None and count and highest > MAX_RATE:
         raise ValueError(f"a repetition rate of {highest:.0f} is above {MAX_RATE:.0f}")
-    table_ = table_.where("rate > 0").select(F.col("source").alias("__plumbline_source"), poisson_cdf(F.col("rate")).alias("__plumbline_cdf"))
+    rate = F.col("rate")
+    draws = F.when(rate <= MAX_DRAW, 1).otherwise(F.ceil(rate / MAX_RATE)).cast("int")
+    table_ = table_.where("rate > 0").select(F.col("source").alias("__plumbline_source"), draws.alias("__plumbline_draws"), poisson_cdf(rate / draws).alias("__plumbline_cdf"))
     if count <= MAX_BROADCAST:
         table_ = F.broadcast(table_)
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     u = _uniform(F.concat(F.lit(seed + ":"), ident))
-    copies = F.size(F.filter("__plumbline_cdf", lambda c: c <= F.col("__plumbline_u")))
+    at = lambda u: F.size(F.filter("__plumbline_cdf", lambda c: c <= u))
+    more = F.aggregate(
+        F.sequence(F.lit(1), F.col("__plumbline_draws")),
+        F.lit(0),
+        lambda n, k: n + at(_uniform(F.concat(F.lit(seed + ":"), ident, F.lit(":draw:"), k.cast("string")))),
+    )
+    copies = F.when(F.col("__plumbline_draws") == 1, at(F.col("__plumbline_u"))).otherwise(more)
     rows = (
         docs.join(table_, docs["source"].eqNullSafe(F.col("__plumbline_source")))
         .withColumn("__plumbline_u", u)

@@ -61,3 +61,25 @@ def test_empty_clash_and_rates(spark):
     docs = spark.createDataFrame([(i, "rare" if i == 0 else "x") for i in range(2000)], "doc_id long, source string")
     with pytest.raises(ValueError):
         M.mix(docs, {"rare": 1.0})
+
+
+def test_a_source_of_one_row_in_a_large_table(spark):
+    def draws(rate, doc_id):
+        n = 1 if rate <= 700 else math.ceil(rate / 500)
+        names = ["" if doc_id is None else str(doc_id)] if n == 1 else [f"{'' if doc_id is None else doc_id}:draw:{k}" for k in range(1, n + 1)]
+        return sum(quantile(rate / n, uniform(M.SEED, name)) for name in names)
+
+    small = [(None, None), (-1, "a"), (-2, "b"), (-3, "b")]
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "'x' AS source").union(spark.createDataFrame(small, "doc_id long, source string"))
+    got = Counter((r.doc_id, r.source) for r in M.mix(docs).collect() if r.source != "x")
+    sizes = Counter(s for _, s in small)
+    want = {row: draws(12_004 / 4 / sizes[row[1]], row[0]) for row in small}
+    assert got == want and abs(sum(want.values()) - 9_003) < 400
+
+
+def test_summed_draws_have_the_mean_and_the_deviation(spark):
+    docs = spark.createDataFrame([(i, f"s{i}") for i in range(100)], "doc_id long, source string")
+    copies = list(Counter(r.doc_id for r in M.mix(docs.union(spark.range(100, 200_000).selectExpr("id", "'x'"))).where("source <> 'x'").select("doc_id").collect()).values())
+    rate, mean = 200_000 / 101, sum(copies) / 100
+    deviation = math.sqrt(sum((c - mean) ** 2 for c in copies) / 99)
+    assert abs(mean - rate) < 4 * math.sqrt(rate / 100) and 0.7 < deviation / math.sqrt(rate) < 1.3
