@@ -159,6 +159,11 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy:
     return Hierarchy().fit(x, sample["lang"].to_numpy(object))
 
 
+def _blank(texts: pa.Array) -> np.ndarray:
+    """Which texts are null or without a letter."""
+    return np.array([not t or not any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+
+
 def _judged(shared):
     def run(batches):
         model = shared.value
@@ -168,8 +173,7 @@ def _judged(shared):
             for a in range(0, batch.num_rows, 1024):
                 b = min(a + 1024, batch.num_rows)
                 names[a:b], scores[a:b] = model.predict(features(data, bounds[a : b + 1]))
-            texts = batch.column("text").to_pylist()
-            blank = np.array([not t or not any(map(str.isalpha, t)) for t in texts], bool)
+            blank = _blank(batch.column("text"))
             names[blank], scores[blank] = "und", 0.0
             yield pa.record_batch([batch.column("doc_id"), pa.array(names.tolist(), pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -187,13 +191,16 @@ def identify(docs: DataFrame, labelled: DataFrame, per_language: int = PER_LANGU
 
 def keep_identified(docs: DataFrame, labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with their columns: what is ``und`` goes.
-    The texts are judged where they are read, without a shuffle."""
+    Where no language was learned only null texts and those without a letter go. The texts are judged where they are read, without a shuffle."""
     spark = docs.sparkSession
     prepare(spark)
     model = spark.sparkContext.broadcast(learn(labelled, per_language))
 
     def run(batches):
         for batch in batches:
+            if not model.value.top.classes:
+                yield batch.filter(pa.array(~_blank(batch.column("text"))))
+                continue
             texts = batch.select(["doc_id", "text"])
             names = next(_judged(model)(iter([texts]))).column("lang_pred")
             yield batch.filter(pa.compute.not_equal(names, "und"))

@@ -85,3 +85,8 @@ def test_features_do_not_depend_on_chunks(monkeypatch):
     whole = L.features(data, np.array([0, len(data)]))
     monkeypatch.setattr(L, "_CHUNK", 37)
     assert np.allclose(whole, L.features(data, np.array([0, len(data)])))
+
+
+def test_rows_stay_where_no_language_was_learned(spark):
+    docs = spark.createDataFrame([(1, "abc", None), (2, None, None), (3, "12 !", None), (4, "d", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in L.keep_identified(docs, docs).collect()) == [1, 4]
