@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,9 @@ def prepare(spark: SparkSession) -> None:
     The least number of splits of a scan follows the number of cores at the moment; fixing it for
     the session gives a row the same number in each scan, also after an executor is lost.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, a laptop) a temporary one is made.
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only on one machine
+    (tests, a laptop) a temporary one is made where that is unset; on a cluster that is an error, as
+    executors do not share a local folder.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.sparkContext.getConf().get(key) is None:
@@ -27,9 +30,10 @@ def prepare(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(context.defaultParallelism))
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,6 +42,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def done(*frames: DataFrame) -> None:
+    """Deletes the files of tables made by ``cut`` that nothing reads any more."""
+    for df in frames:
+        held = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if held.isDefined():
+            delete(df.sparkSession, held.get())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path beside the checkpoints."""
+    prepare(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def smallest_by_hash(df: DataFrame, key: str, size: int, total: int) -> DataFrame:
     """The ``size`` rows with the smallest hash of ``key``, of ``total`` rows. Only rows below a bound
     that about ``size`` rows pass are sorted, so what a sort hands to the driver does not grow."""
@@ -84,16 +107,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = cut(
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(parts)
         )
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
-        joined = large.join(low, "u")
-        pairs = cut(
+        lower = cut(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
+        joined = large.join(lower, "u")
+        new = cut(
             joined.where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
+            .union(lower.select("u", F.col("m").alias("v")))
             .distinct()
             .coalesce(parts)
         )
-        after = measure(pairs)
+        done(pairs, low, large, lower)
+        pairs, after = new, measure(new)
         if after == before:
             break
         before = after
