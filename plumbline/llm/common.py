@@ -122,4 +122,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = after
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    labels = cut(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots))
+    done(pairs)
+    return labels

@@ -1,17 +1,17 @@
-"""Near copies by the Jaccard similarity of their shingles (the pipeline's stage ``near``).
+"""Completion of operator 2 where a similarity of the shingles is asked for (the pipeline's stage ``near``).
 
-Two texts are linked when their sets of ``width``-word shingles have a similarity of ``least`` or
-more. Candidates come from min-hash bands: texts that share a band are in one bucket, and a pair at
+A similarity of 0.8 is a distance of about ten bits between fingerprints, which vantage-point trees cannot prune. The
+links that the trees miss come from min-hash bands: texts that share a band are in one bucket, and a pair at
 0.8 shares none of 24 bands of 4 with a probability of 3e-6. Every link is verified on the
-whole sets of 64-bit shingle hashes.
+whole sets of 64-bit shingle hashes, those of the trees too.
 
-A bucket is never written out as pairs. First each member meets its bucket's smallest row, which
-links large groups at a cost in proportion to their size. Then only buckets whose members are not all connected
+A bucket is never written out as pairs. First each member meets its bucket's smallest row, unless the trees connect the two
+already; that links large groups at a cost in proportion to their size. Then only buckets whose members are not all connected
 remain: the members outside the bucket's largest component meet all members of other components, in cells
 of at most ``CELL`` times ``CELL`` texts.
 
 Defined results: null, empty and blank texts are equal; a text of fewer words than a shingle is one
-shingle; of a component the row with the smallest doc_id stays (null last), then the first one.
+shingle.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import connected_components, cut, prepare
+from plumbline.llm.common import connected_components, cut, done
 
-WIDTH = 5
-LEAST = 0.8
 BANDS, BAND_ROWS = 24, 4
 CELL = 256
 _STEP = 4096
@@ -44,7 +42,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+def shingles(text: bytes, width: int) -> np.ndarray:
     """The sorted distinct hashes of a UTF-8 text's shingles; words as in ``simhash.fingerprint``."""
     words = text.lower().split()
     hashes = np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64)
@@ -73,18 +71,6 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return shared / (len(both) - shared) >= least
 
 
-def _keys(width: int):
-    def run(batches):
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            keys = [bands(shingles(t or b"", width)) for t in texts]
-            rows = np.repeat(batch.column("row").to_numpy(), BANDS)
-            keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.record_batch([pa.array(rows), pa.array(keys.view(np.int64))], names=["row", "key"])
-
-    return run
-
-
 def _sets(width: int):
     def run(batches):
         for batch in batches:
@@ -134,22 +120,33 @@ def _cell(least: float):
     return run
 
 
-def similar_links(texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Verified links ``a, b`` between rows of ``texts(row, text)`` that connect what all links connect."""
-    keys = cut(texts.select("row", "text").mapInArrow(_keys(width), "row long, key long"))
+def similar_links(texts: DataFrame, keys: DataFrame, near: DataFrame, width: int, least: float) -> DataFrame:
+    """Verified links ``a, b`` between rows of ``texts(row, text)`` that connect what all links connect. ``keys(row, key)``: the
+    texts' bands; ``near(row, other)``: pairs that are likely to be links."""
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("first")).where("size > 1").drop("size"))
-    members = cut(keys.join(shared, "key"))
-    rows = cut(members.select("row").distinct())
-    sets = cut(texts.select("row", "text").join(rows, "row", "left_semi").mapInArrow(_sets(width), "row long, own binary"))
-    stars = cut(members.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct())
-    left = stars.join(sets.select(F.col("row").alias("a"), "own"), "a")
-    both = left.join(sets.select(F.col("row").alias("b"), F.col("own").alias("other")), "b")
-    links = cut(both.select("a", "b", "own", "other").mapInArrow(_verified(least), "a long, b long"))
-
-    labels = cut(connected_components(links))
+    bucketed = cut(keys.join(shared, "key"))
+    wanted = bucketed.select("row").union(near.select("row")).union(near.select("other"))
+    rows = cut(wanted.distinct())
+    sets = cut(texts.join(rows, "row", "left_semi").mapInArrow(_sets(width), "row long, own binary"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = pairs.select(F.col("row").alias("a"), F.col("other").alias("b")).join(sets.select(F.col("row").alias("a"), "own"), "a")
+        both = left.join(sets.select(F.col("row").alias("b"), F.col("own").alias("other")), "b")
+        return cut(both.select("a", "b", "own", "other").mapInArrow(_verified(least), "a long, b long"))
+
+    seeds = verified(near)
+    roots = connected_components(seeds)
+    stars = bucketed.where("row <> first").select("row", F.col("first").alias("other")).distinct()
+    for c in ("row", "other"):
+        stars = stars.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    stars = cut(stars.where("NOT coalesce(row_root, row) = coalesce(other_root, other)").select("row", "other"))
+    links = cut(seeds.union(verified(stars)))
+
+    labels = connected_components(links)
     members = cut(
-        members.join(labels, members.row == labels.node, "left").select("key", "row", F.coalesce("root", "row").alias("component"))
+        bucketed.join(labels, bucketed.row == labels.node, "left").select("key", "row", F.coalesce("root", "row").alias("component"))
     )
+    done(shared, bucketed, rows, seeds, roots, stars, labels)
     parts = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("sum"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.sum("sum").alias("sum"))
     # buckets with the same members are looked at once
@@ -161,19 +158,7 @@ def similar_links(texts: DataFrame, width: int, least: float) -> DataFrame:
     probes = own.where("component <> main").select("key", F.expr("cast(pmod(xxhash64(row), p) as int)").alias("i"), spread(F.col("q")).alias("j"), "row", "component", F.lit(True).alias("probe"))
     rest = own.select("key", spread(F.col("p")).alias("i"), F.expr("cast(pmod(xxhash64(row), q) as int)").alias("j"), "row", "component", F.lit(False).alias("probe"))
     cells = probes.select("key", "i", "j", "row", "component", "probe").union(rest).join(sets, "row")
-    more = cells.groupBy("key", "i", "j").applyInArrow(lambda g: _cell(least)(g), "a long, b long")
-    return links.union(cut(more))
-
-
-def keep_similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """The first row of each component, with the columns of ``docs``, which must be a stored table, so that a
-    second scan gives its rows in the same order."""
-    prepare(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    labels = cut(connected_components(similar_links(texts, width, least)))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    linked = cut(texts.select("doc_id", "row").join(labels, F.col("row") == labels.node).select("doc_id", "row", "root"))
-    firsts = cut(linked.groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.row").alias("row")))
-    gone = cut(linked.select("row").join(firsts, "row", "left_anti"))
-    mark = "__plumbline_row"
-    return docs.withColumn(mark, F.monotonically_increasing_id()).join(gone.withColumnRenamed("row", mark), mark, "left_anti").drop(mark)
+    more = cut(cells.groupBy("key", "i", "j").applyInArrow(lambda g: _cell(least)(g), "a long, b long"))
+    every = cut(links.union(more))
+    done(members, mixed, sets, links, more)
+    return every

@@ -9,11 +9,15 @@ go to the inner shard, farther ones to the outer shard, and by the triangle ineq
 outer points at most the radius beyond the threshold have to visit the inner shard too; every
 other branch is pruned. A pair within the radius so meets in one leaf.
 
-The trees are fitted on a bounded sample (``SAMPLE`` points, the smallest by hash) and every
-point is routed. A leaf compares its points exactly. A leaf with more than ``LEAF_CAP`` points is cut
+The trees are fitted on a bounded sample (the points with the smallest hash, ``SAMPLE`` or
+``LEAF_SAMPLE`` a leaf) and every point is routed. Their depth follows the number of points, so that
+leaves keep their size up to ``LEAF_TARGET << MAX_DEPTH`` distinct fingerprints. A leaf compares its points exactly. A leaf with more than ``LEAF_CAP`` points is cut
 into blocks, and each pair of blocks becomes a shard of its own, so no task gets a hot
 leaf whole. A shard reports links as a forest (a point and its root), never all pairs of a group.
 
+``keep_near`` asks for a similarity of the shingles instead (the pipeline's stage ``near``): what the trees link is
+verified on the whole shingle sets, and ``similar_links`` completes what a distance cannot reach.
+
 Defined results: null, empty and blank texts have fingerprint zero and link like any other;
 repeated rows share a fingerprint and so a component, of which the first one is kept; a null
 doc_id sorts last (a component of null ids only has a null component_id); an empty table gives
@@ -28,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import connected_components, cut, prepare, smallest_by_hash, table
+from plumbline.llm.common import connected_components, cut, done, prepare, smallest_by_hash, table
+from plumbline.llm.near_dedup import bands, shingles, similar_links
 
 SAMPLE = 65_536
 LEAF_TARGET = 256
 LEAF_CAP = 1024
-MAX_DEPTH = 13
+LEAF_SAMPLE = 8
+MAX_DEPTH = 18
 _STEP = 1 << 15
 
 
@@ -75,11 +81,15 @@ def segments(distance: int, count: int = 3) -> list[tuple[int, int, int]]:
     return [(sum(sizes[:i]), sizes[i], radii[i]) for i in range(count)]
 
 
+def depth_for(points: int) -> int:
+    return int(np.clip(np.ceil(np.log2(max(1, points) / LEAF_TARGET)), 0, MAX_DEPTH))
+
+
 class Forest:
     """One vantage-point tree for each segment, in heap order, for vectorised routing."""
 
     def __init__(self, sample: np.ndarray, points: int, distance: int):
-        self.depth = int(np.clip(np.ceil(np.log2(max(1, points) / LEAF_TARGET)), 0, MAX_DEPTH))
+        self.depth = depth_for(points)
         self.parts = segments(distance)
         self.trees = [self._grow(self._cut(sample, s), s[2], k) for k, s in enumerate(self.parts)]
 
@@ -95,13 +105,12 @@ class Forest:
             own = held.pop(node, sample[:0])
             best = (float(len(own)) ** 2, None, 64)
             for v in rng.choice(own, 6) if len(own) > 1 else []:
-                counts = np.bincount(np.bitwise_count(own ^ v), minlength=66)
-                within = np.cumsum(counts)
-                for t in range(64):
-                    if within[t] and within[t] < len(own):
-                        cost = float(within[min(t + radius, 65)]) ** 2 + float(len(own) - within[t]) ** 2
-                        if cost < best[0]:
-                            best = (cost, v, t)
+                within = np.cumsum(np.bincount(np.bitwise_count(own ^ v), minlength=64 + radius)).astype(float)
+                cost = within[radius : 64 + radius] ** 2 + (len(own) - within[:64]) ** 2
+                cost[(within[:64] == 0) | (within[:64] == len(own))] = np.inf
+                t = int(np.argmin(cost))
+                if cost[t] < best[0]:
+                    best = (cost[t], v, t)
             if best[1] is not None:
                 vantage[node], limit[node] = best[1], best[2]
             far = np.bitwise_count(own ^ vantage[node])
@@ -184,7 +193,8 @@ def near_links(points: DataFrame, distance: int = 4) -> DataFrame:
     """Links ``a, b`` between the distinct fingerprints ``points(fp)``: every pair within
     ``distance`` bits is connected by links of the result, and each link is such a chain."""
     total = points.count()
-    sample = smallest_by_hash(points, "fp", SAMPLE, total).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    size = max(SAMPLE, LEAF_SAMPLE << depth_for(total))
+    sample = smallest_by_hash(points, "fp", size, total).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     forest = Forest(sample, total, distance)
     counts = points.mapInArrow(_visits(forest, None), "leaf long, visits long").groupBy("leaf").agg(F.sum("visits").alias("visits"))
     # at most 3 << MAX_DEPTH leaves exist, whatever the input
@@ -201,21 +211,60 @@ def near_dedup(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     prints = cut(texts.mapInArrow(_fingerprints(width), "doc_id long, row long, fp long"))
     points = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("rep")))
-    labels = cut(connected_components(near_links(points.select("fp"), distance)))
+    labels = connected_components(near_links(points.select("fp"), distance))
     linked = labels.join(points, labels.node == points.fp)
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
     first = F.coalesce("least", "rep")
     classes = cut(points.join(linked, "fp", "left").select("fp", first["doc_id"].alias("component_id"), first["row"].alias("keep_row")))
+    done(points, labels)
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id", (F.col("row") == F.col("keep_row")).alias("kept"), "row")
 
 
-def keep_near(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """The first row of each component, with the columns of ``docs``, which must be a stored table, so that a
-    second scan gives its rows in the same order."""
+def _sketches(width: int):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            sets = [shingles(t or b"", width) for t in texts]
+            prints = np.array([print_of(x) for x in sets], np.uint64).view(np.int64)
+            keys = pa.array([bands(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column("row"), pa.array(prints), keys], names=["row", "fp", "keys"])
+
+    return run
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingle hashes."""
+    bits = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _STEP):
+        bits += np.unpackbits(hashes[i : i + _STEP].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def keep_near(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 4) -> DataFrame:
+    """The first row of each component of texts whose sets of ``width``-word shingles have a similarity of ``least`` or
+    more, with the columns of ``docs``, which must be a stored table, so that a second scan gives its rows in the same order.
+
+    The trees link texts whose fingerprints differ in ``distance`` bits or fewer. A pair at 0.8 differs in about ten bits of 64,
+    where no branch of a tree can be pruned, so ``similar_links`` finds the links that are farther apart.
+    """
+    prepare(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    sketches = cut(texts.select("row", "text").mapInArrow(_sketches(width), "row long, fp long, keys array<bigint>"))
+    points = cut(sketches.groupBy("fp").agg(F.min("row").alias("rep")))
+    near = cut(near_links(points.select("fp"), distance))
+    ends = [points.select(F.col("fp").alias(c), F.col("rep").alias(r)) for c, r in (("a", "row"), ("b", "other"))]
+    far = near.join(ends[0], "a").join(ends[1], "b").select("row", "other")
+    copies = sketches.join(points, "fp").where("row <> rep").select("row", F.col("rep").alias("other"))
+    links = similar_links(texts.select("row", "text"), sketches.select("row", F.explode("keys").alias("key")), cut(far.union(copies)), width, least)
+    labels = connected_components(links)
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
+    linked = cut(texts.select("doc_id", "row").join(labels, F.col("row") == labels.node).select("doc_id", "row", "root"))
+    firsts = cut(linked.groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.row").alias("row")))
+    gone = cut(linked.select("row").join(firsts, "row", "left_anti"))
+    done(sketches, points, near, links, labels, linked, firsts)
     mark = "__plumbline_row"
-    kept = cut(near_dedup(docs, width, distance).where("kept").select(F.col("row").alias(mark)))
-    return docs.withColumn(mark, F.monotonically_increasing_id()).join(kept, mark, "left_semi").drop(mark)
+    return docs.withColumn(mark, F.monotonically_increasing_id()).join(gone.withColumnRenamed("row", mark), mark, "left_anti").drop(mark)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

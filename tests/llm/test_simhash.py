@@ -99,15 +99,34 @@ def test_components_equal_brute_force(spark, monkeypatch, target, cap):
     assert {d: np.uint64(f & (2**64 - 1)) for d, (f, _) in got.items()} == dict(enumerate(prints))
     assert [got[i][1] for i in range(len(texts))] == brute_components(prints, 4)
     assert len(set(c for _, c in got.values())) < len(texts) - 100
-    kept = sorted(r.doc_id for r in S.keep_near(docs).collect())
+    kept = sorted(r.doc_id for r in S.near_dedup(docs).where("kept").collect())
     assert kept == sorted({c for _, c in got.values()})
 
 
+def test_the_query_returns_its_columns(spark, tmp_path):
+    texts = near_texts(60, 8) + ["", None, "One two three four five"]
+    spark.createDataFrame([(3 * i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, fingerprint string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = S.op2_simhash(spark, str(tmp_path))
+    assert got.columns[:3] == ["doc_id", "fingerprint", "component_id"]
+    prints = [brute_print(t or "") for t in texts]
+    roots = brute_components(np.array(prints, np.uint64), 4)
+    assert sorted(tuple(r)[:3] for r in got.collect()) == sorted((3 * i, f"{p:016x}", 3 * roots[i]) for i, p in enumerate(prints))
+
+
+def test_deep_trees_are_fitted_on_more_points(monkeypatch):
+    monkeypatch.setattr(S, "LEAF_TARGET", 4)
+    assert S.depth_for(4) == 0 and S.depth_for(5) == 1 and S.depth_for(1 << 60) == S.MAX_DEPTH
+    assert S.LEAF_SAMPLE << S.MAX_DEPTH <= 1 << 21
+
+
 def test_empty_table_and_null_ids(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_dedup(docs).count() == 0
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None)], "doc_id long, text string")
+    assert sorted(r.doc_id or -1 for r in S.near_dedup(docs).where("kept").collect()) == [-1, 3]
     assert sorted(r.doc_id or -1 for r in S.keep_near(docs).collect()) == [-1, 3]
     twice = spark.createDataFrame([(5, "x y z"), (5, "x y z"), (None, "x y z"), (6, "q r")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.near_dedup(twice).where("kept").collect()) == [5, 6]
     assert sorted(r.doc_id for r in S.keep_near(twice).collect()) == [5, 6]
+    assert S.keep_near(docs.limit(0)).count() == 0
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in S.near_dedup(docs).collect()) == [(-1, -1), (-1, -1), (3, 3)]
