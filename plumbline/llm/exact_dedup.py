@@ -7,8 +7,8 @@ Documents with as many blocks and the same last name have equal texts: a name st
 block or one pair, never for a hash.
 
 Only distinct blocks travel as text, once, after each task has dropped its own repeats. The
-references to them carry a 128-bit key; the naming step holds key and text together and stops
-if two texts ever share a key, so no key can merge two texts. Hot blocks, pairs and groups are
+references to them carry a 128-bit key; the naming step holds key and text together, and if two texts ever
+share a key the blocks get new keys from another seed, so no key can merge two texts. Hot blocks, pairs and groups are
 counted before they are shuffled, and the joins have written tables on both sides, which
 adaptive execution splits.
 
@@ -20,13 +20,14 @@ other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, prepare, table
+from plumbline.llm.common import cut, done, prepare, table
 
 SPACE = b" \t\n\x0b\x0c\r"
 BLOCK_BYTES = 4096
@@ -44,7 +45,7 @@ def _pieces(text: bytes, size: int) -> list[bytes]:
     return [text[i : i + size] for i in range(0, len(text), size)] or [b""]
 
 
-def _distinct_blocks(size: int):
+def _distinct_blocks(size: int, key):
     def run(batches):
         for batch in batches:
             seen = {p for text in _normal(batch.column("text")) for p in _pieces(text, size)}
@@ -52,14 +53,14 @@ def _distinct_blocks(size: int):
             for i in range(0, len(blocks), 4096):
                 part = blocks[i : i + 4096]
                 yield pa.record_batch(
-                    [pa.array([xxhash.xxh3_128_digest(b) for b in part], pa.binary()), pa.array(part, pa.binary())],
+                    [pa.array([key(b) for b in part], pa.binary()), pa.array(part, pa.binary())],
                     names=["key", "block"],
                 )
 
     return run
 
 
-def _references(size: int):
+def _references(size: int, key):
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in _REFS]
@@ -71,7 +72,7 @@ def _references(size: int):
                 parts = _pieces(text, size)
                 sha = hashlib.sha256(text).digest()
                 for i, part in enumerate(parts):
-                    for to, x in zip(out, (row, doc_id, i, len(parts), xxhash.xxh3_128_digest(part), None if i else chars, None if i else sha), strict=True):
+                    for to, x in zip(out, (row, doc_id, i, len(parts), key(part), None if i else chars, None if i else sha), strict=True):
                         to.append(x)
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(out, _REFS, strict=True)], schema=_REFS)
 
@@ -83,26 +84,30 @@ def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, digest=xxhash.xxh3_128_digest) -> DataFrame:
     """``row, doc_id, n, name, chars, sha`` of each row of ``docs(doc_id, text)``.
 
     ``row`` is the row's number in ``docs`` as read (a file scan gives the same again);
-    (n, name) is the identity of the text.
+    (n, name) is the identity of the text. ``digest(block, seed=)`` makes the keys.
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = texts.select("text").mapInArrow(_distinct_blocks(block_bytes), "key binary, block binary").distinct()
-    names = cut(_named(blocks, ["block"]).select("key", "name"))
-    if names.groupBy("key").count().where("count > 1").limit(1).count():
-        raise RuntimeError("two different blocks share a 128-bit key; use another block_bytes")
+    for seed in range(1 << 30):
+        key = partial(digest, seed=seed)
+        blocks = texts.select("text").mapInArrow(_distinct_blocks(block_bytes, key), "key binary, block binary").distinct()
+        names = cut(_named(blocks, ["block"]).select("key", "name"))
+        if names.groupBy("key").count().where("count > 1").isEmpty():
+            break
+        done(names)
     refs = (
         texts.withColumn("row", F.monotonically_increasing_id())
         .withColumn("chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-        .mapInArrow(_references(block_bytes), "row long, doc_id long, pos int, n int, key binary, chars long, sha binary")
+        .mapInArrow(_references(block_bytes, key), "row long, doc_id long, pos int, n int, key binary, chars long, sha binary")
     )
     level = cut(refs.join(names, "key").select("row", "doc_id", "pos", "n", "name", "chars", "sha"))
     heads = level.where("pos = 0").select("row", "doc_id", "n", "chars", "sha")
-    done = level.where("n = 1").select("row", "name")
+    done(names)
+    used, ends = [level], level.where("n = 1").select("row", "name")
     rest = level.where("n > 1").select("row", "pos", F.col("n").alias("left"), "name")
     while not rest.isEmpty():
         pairs = cut(
@@ -111,9 +116,13 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         )
         names = cut(_named(pairs.select("x", "y").distinct(), ["x", "y"]))
         level = cut(pairs.join(names, ["x", "y"]).select("row", "pos", "left", "name"))
-        done = done.union(level.where("left = 1").select("row", "name"))
+        done(pairs, names)
+        used.append(level)
+        ends = ends.union(level.where("left = 1").select("row", "name"))
         rest = level.where("left > 1")
-    return cut(heads.join(done, "row"))
+    found = cut(heads.join(ends, "row"))
+    done(*used)
+    return found
 
 
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -5,8 +5,12 @@ votes of one-versus-one linear support vector machines on hashed byte n-grams (o
 three bytes, ASCII lower-cased, all that is not a letter read as a space), square-rooted and at
 unit length. Languages that ``FAMILIES`` does not list are each a family of their own.
 
-The machines are fitted in numpy on at most ``PER_LANGUAGE`` labelled documents of each language,
-those with the smallest hash of doc_id; every whole text is scored.
+The machines are fitted in numpy on a bounded sample of labelled documents: at most ``PER_LANGUAGE`` of each language,
+those with the smallest hash of doc_id, of the ``LEARNED`` languages with the most ids. So a dirty column of languages does not
+make the model grow; a rarer language is not learned. Every whole text is scored.
+
+``keep_identified`` (the pipeline's stage) rejects documents whose language is not identified: those without a letter, and those
+for which the machines' score is below ``SURE``.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; with one learned
 language every other text is that one; without any, ``und``; repeated rows get equal
@@ -19,7 +23,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +32,8 @@ from plumbline.llm.common import crc_of_id, cut, prepare, table
 FEATURES = 2048
 PER_LANGUAGE = 600
 STEPS, RIDGE = 300, 1e-4
-#: Up to so many languages their counts are broadcast; more are joined by shuffle.
-MAX_LANGUAGES = 10_000
+LEARNED = 100
+SURE = 0.1
 
 #: Language codes by family.
 FAMILIES = {
@@ -136,24 +139,24 @@ class Hierarchy:
 def _sampled(batches):
     for batch in batches:
         x = features(*flat(batch.column("text")))
-        yield pa.record_batch([batch.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "vector"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "lang", "vector"])
 
 
-def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy:
-    """The machines fitted on ``labelled(doc_id, text, lang)``; at most ``per_language`` rows of each
-    language reach the driver, as feature vectors."""
+def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, learned: int = LEARNED) -> Hierarchy:
+    """The machines fitted on ``labelled(doc_id, text, lang)``; at most ``per_language`` ids of each of ``learned``
+    languages reach the driver, as feature vectors."""
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("of_lang"))  # a sketch, which needs no shuffle of ids
+    counts = F.broadcast(cut(counts.orderBy(F.desc("of_lang"), "lang").limit(learned)))
     # only rows below a hash bound that about per_language rows of a language pass are ranked, so a hot one is no large group
-    counts = cut(known.groupBy("lang").agg(F.count("*").alias("of_lang")).coalesce(8))
-    if counts.count() <= MAX_LANGUAGES:
-        counts = F.broadcast(counts)
-    share = F.lit(per_language + 12 * per_language**0.5 + 100) / F.col("of_lang")
+    share = F.lit(1.3 * (per_language + 12 * per_language**0.5 + 100)) / F.col("of_lang")
     chosen = known.select("doc_id", "lang").join(counts, "lang").where(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    chosen = F.broadcast(chosen.select("doc_id", "lang"))  # per_language ids for each language at most
+    chosen = chosen.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    chosen = F.broadcast(chosen.select("doc_id", "lang"))  # per_language ids for each learned language at most
     rows = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
-    sample = rows.select("lang", "text").mapInArrow(_sampled, "lang string, vector binary").toPandas()
+    vectors = rows.mapInArrow(_sampled, "doc_id long, lang string, vector binary")
+    sample = vectors.groupBy("doc_id", "lang").agg(F.min("vector").alias("vector")).toPandas()  # an id may stand in any number of rows
     sample = sample.sort_values(["lang", "vector"], kind="stable")
     x = np.frombuffer(b"".join(sample["vector"]), np.float32).reshape(-1, FEATURES)
     return Hierarchy().fit(x, sample["lang"].to_numpy(object))
@@ -189,21 +192,19 @@ def identify(docs: DataFrame, labelled: DataFrame, per_language: int = PER_LANGU
     return texts.mapInArrow(_judged(model), "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with their columns: what is ``und`` goes.
-    Where no language was learned only null texts and those without a letter go. The texts are judged where they are read, without a shuffle."""
+def keep_identified(docs: DataFrame, labelled: DataFrame, sure: float = SURE, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs`` whose language is identified with a score of ``sure`` or more, with their columns. Where fewer than two
+    languages were learned there is nothing to discriminate: only null texts and those without a letter go. The texts are judged where they are read, without a shuffle."""
     spark = docs.sparkSession
     prepare(spark)
     model = spark.sparkContext.broadcast(learn(labelled, per_language))
 
     def run(batches):
         for batch in batches:
-            if not model.value.top.classes:
-                yield batch.filter(pa.array(~_blank(batch.column("text"))))
-                continue
-            texts = batch.select(["doc_id", "text"])
-            names = next(_judged(model)(iter([texts]))).column("lang_pred")
-            yield batch.filter(pa.compute.not_equal(names, "und"))
+            keep = ~_blank(batch.column("text"))
+            if sum(len(v.classes) for v in model.value.below.values()) > 1:
+                keep &= next(_judged(model)(iter([batch.select(["doc_id", "text"])]))).column("score").to_numpy() >= sure
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -235,8 +235,8 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     known = cut(known)
     chosen = F.broadcast(smallest_by_hash(known, "doc_id", max_labelled, known.count()))  # max_labelled rows at most
-    sample = vectors.join(chosen, "doc_id").toPandas()
-    sample = sample.sort_values(["doc_id", "vector"]).drop_duplicates("doc_id")
+    sample = vectors.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("vector").alias("vector"), F.max("label").alias("label")).toPandas()  # an id may stand in any number of rows
+    sample = sample.sort_values("doc_id")
     x, y = _matrix(sample["vector"]), sample["label"].to_numpy(np.float64)
     network = Network().fit(x, y, np.arange(len(y)) % 5 == 4)
     return vectors.mapInArrow(_scored(spark.sparkContext.broadcast(network)), "doc_id long, score double")

@@ -1,7 +1,8 @@
 """Token counts of flat token files by a separator scan (operator 9).
 
 A token file is nothing but ids of one width, one document after the other, each ended by the
-end-of-document id; there is no index. Files are cut into blocks of ``BLOCK_BYTES``. A block is
+end-of-document id; there is no index. Files are cut into blocks of ``BLOCK_BYTES``; only names and
+sizes are listed, and a task reads the bytes of its blocks. A block is
 searched with one vectorised comparison; it reports the counts between its separators, what
 stands before the first and after the last, and its size. A prefix scan over the blocks of
 a file (sums of separators and tokens, and the last separator's place so far) gives each block
@@ -14,26 +15,31 @@ are the UTF-8 form of one character, which the writer puts after each document.
 
 Defined results: a null text is an empty document with no tokens; ids after the last separator
 are a document with ``ended`` false; an empty file has no documents; a file whose size is no
-multiple of the width, or above ``MAX_FILE`` (Spark hands out whole files), stops the query; an
-empty table gives no rows; other columns are not looked at.
+multiple of the width stops the query, and so does a document of the table that is not found in the files; files may
+have any size; repeated rows and ids are counted each; an empty table gives no rows; other columns are not looked at.
+
+Files up to ``WHOLE`` bytes are read through Spark, from any store that it knows. Larger ones are read in ranges by
+pyarrow's file systems (local, HDFS, S3, GCS), a range of ``RANGE`` bytes at a time.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, prepare, table
+from plumbline.llm.common import cut, delete, prepare, scratch, table
 from plumbline.llm.tokens import RANKS, TOKENIZER, encoder
 
 END = 0xC480
 END_TEXT = b"\xc4\x80".decode()
 BLOCK_BYTES = 1 << 20
-MAX_FILE = 1 << 30
+WHOLE = 1 << 28
+RANGE = 1 << 24
 
 
 def _encoded(tokenizer: str, ranks: str):
@@ -47,10 +53,10 @@ def _encoded(tokenizer: str, ranks: str):
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, ranks: str = RANKS) -> None:
-    """Writes the texts of ``docs`` as flat token files, one for each partition, in row order."""
+    """Writes the texts of ``docs`` as flat token files, one for each partition, in row order. Files never roll over."""
     prepare(docs.sparkSession)
     ids = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_encoded(tokenizer, ranks), "ids binary")
-    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", END_TEXT).text(path)
+    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", END_TEXT).option("maxRecordsPerFile", 0).text(path)
 
 
 def scan_block(block: bytes, dtype: str, end: int) -> tuple[int, int, int, int, np.ndarray]:
@@ -64,16 +70,35 @@ def scan_block(block: bytes, dtype: str, end: int) -> tuple[int, int, int, int,
 
 
 _SCAN = pa.schema(
-    [("path", pa.string()), ("block", pa.int32()), ("tokens", pa.int64()), ("ends", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("between", pa.list_(pa.int64()))]
+    [("path", pa.string()), ("block", pa.int64()), ("tokens", pa.int64()), ("ends", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("between", pa.list_(pa.int64()))]
 )
 
 
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _SCAN, strict=True)], schema=_SCAN)
+
+
 def _scanned(dtype: str, end: int):
     def run(batches):
         for batch in batches:
             for path, number, block in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "bytes")), strict=True):
-                *sizes, between = scan_block(block, dtype, end)
-                yield pa.record_batch([pa.array([x], f.type) for x, f in zip((path, number, *sizes, between), _SCAN, strict=True)], schema=_SCAN)
+                yield _rows([(path, number, *scan_block(block, dtype, end))])
+
+    return run
+
+
+def _ranged(dtype: str, end: int, block_bytes: int, range_bytes: int):
+    """Blocks from ``first`` on of a large file, ``range_bytes`` of it."""
+
+    def run(batches):
+        for batch in batches:
+            for path, first in zip(*(batch.column(c).to_pylist() for c in ("path", "first")), strict=True):
+                store, name = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                with store.open_input_file(name) as file:
+                    for number in range(first, first + range_bytes // block_bytes):
+                        block = file.read_at(min(block_bytes, max(0, file.size() - number * block_bytes)), number * block_bytes)
+                        if len(block):
+                            yield _rows([(path, number, *scan_block(block, dtype, end))])
 
     return run
 
@@ -86,12 +111,18 @@ def token_counts(spark: SparkSession, path: str, dtype: str = ">u2", end: int =
     if block_bytes % width:
         raise ValueError("a block holds whole tokens")
     files = spark.read.format("binaryFile").load(path).where("length > 0")
-    wrong = F.when((F.col("length") % width != 0) | (F.col("length") > MAX_FILE), F.raise_error(F.concat(F.lit("not a readable token file: "), F.col("path"))))
-    last = ((F.col("length") - 1) / block_bytes).cast("int")
-    rows = files.where(wrong.isNull()).select("path", "content", F.explode(F.sequence(F.lit(0), last)).alias("block"))
-    blocks = rows.select("path", "block", F.substring(F.col("content"), F.col("block") * block_bytes + 1, F.lit(block_bytes)).alias("bytes"))
-    schema = "path string, block int, tokens long, ends long, head long, tail long, between array<bigint>"
-    scanned = cut(blocks.mapInArrow(_scanned(dtype, end), schema))
+    wrong = F.when(F.col("length") % width != 0, F.raise_error(F.concat(F.lit("not a whole number of tokens: "), F.col("path"))))
+    files = files.where(wrong.isNull())
+    last = ((F.col("length") - 1) / block_bytes).cast("long")
+    rows = files.where(F.col("length") <= WHOLE).select("path", "content", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    start = (F.col("block") * block_bytes + 1).cast("int")
+    blocks = rows.select("path", "block", F.substring(F.col("content"), start, F.lit(block_bytes)).alias("bytes"))
+    schema = "path string, block long, tokens long, ends long, head long, tail long, between array<bigint>"
+    range_bytes = max(1, RANGE // block_bytes) * block_bytes
+    first = F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(range_bytes // block_bytes).cast("long")))
+    ranges = files.where(F.col("length") > WHOLE).select("path", first.alias("first"))  # names and sizes only
+    ranges = ranges.repartition("path", "first").mapInArrow(_ranged(dtype, end, block_bytes, range_bytes), schema)
+    scanned = cut(blocks.mapInArrow(_scanned(dtype, end), schema).union(ranges))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     after_all = Window.partitionBy("path").orderBy(F.desc("block"))
     placed = (
@@ -113,16 +144,16 @@ def count_documents(docs: DataFrame) -> DataFrame:
     files to the checkpoint folder, counts them there, and removes them."""
     spark = docs.sparkSession
     prepare(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
+    folder = scratch(spark, "tokens")
     write_token_files(docs, folder)
     found = token_counts(spark, folder)
     # Spark numbers the files by partition, and rows as monotonically_increasing_id does
     part = F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("long")
     found = cut(found.select((F.shiftleft(part, 33) + F.col("ordinal")).alias("row"), "tokens"))
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    delete(spark, folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
-    return rows.join(found, "row").select("doc_id", F.col("tokens").alias("n_tokens"))
+    lost = F.raise_error(F.lit("the token files lack a document")).cast("long")
+    return rows.join(found, "row", "left").select("doc_id", F.when(F.col("tokens").isNull(), lost).otherwise(F.col("tokens")).alias("n_tokens"))
 
 
 def op9_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators 4 and 6: held-out accuracy, and what they do with odd inputs."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -48,6 +50,93 @@ def test_quality_without_labels_and_rows(spark):
     assert Q.classify(spark.createDataFrame([], "doc_id long, text string"), labels).count() == 0
 
 
+def naive_tokens(text):
+    """Runs of letters (all bytes beyond ASCII are letters), digits or symbols, as bucket numbers, one byte after the other."""
+    kinds, runs = {}, []
+    for b in range(256):
+        c = chr(b)
+        kinds[b] = 1 if b >= 128 or c.isalpha() and b < 128 else 2 if c.isdigit() and b < 128 else 3 if 33 <= b < 128 else 0
+    for b in text.encode():
+        if runs and runs[-1][0] == kinds[b]:
+            runs[-1][1].append(b)
+        else:
+            runs.append((kinds[b], [b]))
+    out = []
+    for kind, own in runs:
+        if kind:
+            h = sum(((b + 32 if 65 <= b <= 90 else b) + 1) * pow(Q._BASE, i, 1 << 64) for i, b in enumerate(own)) % (1 << 64)
+            h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) % (1 << 64)
+            capitals = sum(65 <= b <= 90 for b in own)
+            shape = 3 if kind != 1 else 2 if capitals == len(own) > 1 else 1 if capitals else 0
+            out.append(shape * (Q.BUCKETS // 4) + (h >> 32) % (Q.BUCKETS // 4))
+    return out
+
+
+def test_quality_equals_a_plain_computation(spark, monkeypatch):
+    """Random indexing, pooling and the network's forward pass, token by token."""
+    rows = corpus(60)
+    texts = [r[1] for r in rows] + ["", "One", "ÄÖ ß 12-34 ABC abc Abc", "same same same"]
+    dims, signs = Q.index_vectors()
+    vectors = np.zeros((Q.BUCKETS, Q.DIMS))
+    for text in texts:
+        own = naive_tokens(text)
+        for i, t in enumerate(own):
+            for j in range(max(0, i - Q.WINDOW), min(len(own), i + Q.WINDOW + 1)):
+                if j != i:
+                    for d, s in zip(dims[own[j]], signs[own[j]], strict=True):
+                        vectors[t, d] += s
+    vectors = np.array([v / max(math.sqrt(sum(x * x for x in v)), 1e-9) for v in vectors])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert np.allclose(Q.word_vectors(docs), vectors, atol=1e-6)
+    pooled = []
+    for text in texts:
+        own = [vectors[t] for t in naive_tokens(text)]
+        n = max(1, len(own))
+        mean = sum(own, np.zeros(Q.DIMS)) / n
+        spread = np.sqrt(np.maximum(sum((v * v for v in own), np.zeros(Q.DIMS)) / n - mean**2, 0))
+        near = sum(float(a @ b) for a, b in zip(own, own[1:])) / max(1, len(own) - 1)
+        pooled.append([*mean, *spread, near, math.log1p(len(own))])
+    fitted = []
+    fit = Q.Network.fit
+    monkeypatch.setattr(Q.Network, "fit", lambda self, *a: fitted.append(fit(self, *a)) or self)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, label int")
+    got = {r.doc_id: r.score for r in Q.classify(docs, labels).collect()}
+    (net,) = fitted
+    a, b, c, d = net.weights
+    for i, x in enumerate(pooled):
+        z = [(v - m) / s for v, m, s in zip(x, net.mean, net.scale, strict=True)]
+        hidden = [math.tanh(sum(z[k] * a[k, h] for k in range(len(z))) + b[h]) for h in range(Q.HIDDEN)]
+        logit = sum(u * w for u, w in zip(hidden, c, strict=True)) + d[0]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-logit / net.temperature)), abs=1e-3)
+
+
+def test_the_temperature_has_the_least_loss():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, Q.POOLED))
+    y = (x[:, 0] + rng.normal(size=400) > 0).astype(float)
+    held = np.arange(400) % 5 == 4
+    net = Q.Network().fit(x, y, held)
+
+    def loss(t):
+        p = 1 / (1 + np.exp(-net._logits(x[held]) / t))
+        return -np.mean(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p))
+
+    assert loss(net.temperature) <= min(loss(t) for t in (0.5, 1.0, 2.0, 4.0)) + 1e-3
+
+
+def test_one_labelled_id_in_very_many_rows(spark):
+    """The rows of one id reach the driver as one."""
+    rows = corpus(40)
+    many = spark.range(20_000).selectExpr("7L AS doc_id", f"'{rows[7][1]}' AS text")
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").union(many)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, label int")
+    once = {r.doc_id: r.score for r in Q.classify(docs, labels).groupBy("doc_id").agg(Q.F.max("score").alias("score")).collect()}
+    assert len(once) == 40
+    lang = docs.withColumn("lang", Q.F.when(Q.F.col("doc_id") % 2 == 0, "en").otherwise("fr"))
+    model = L.learn(lang)
+    assert model.top.classes and L.learn(lang.dropDuplicates(["doc_id"])).top.planes.tolist() == model.top.planes.tolist()
+
+
 def test_tokens_are_runs_of_one_kind_and_rows_stay_apart():
     texts = [b"ab cd", b"", b"AB!!12", b"ab"]
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -71,6 +160,88 @@ def test_language_on_held_out_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(got) - {900, 901, 902}
 
 
+def naive_features(text):
+    """Hashed one- to three-byte runs of the lower-cased letters, anything else as a space."""
+    own = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()]
+    counts = [0] * L.FEATURES
+    for n in (1, 2, 3):
+        for i in range(len(own) - n + 1):
+            gram = 0
+            for j, b in enumerate(reversed(own[i : i + n])):
+                gram += b * 257**j
+            # the newest byte has the factor 1, older ones 257 each
+            counts[(gram * (0x9E3779B97F4A7C15 + 2 * n) % (1 << 64)) >> 53] += 1
+    root = [math.sqrt(c) for c in counts]
+    norm = max(math.sqrt(sum(r * r for r in root)), 1e-9)
+    return [r / norm for r in root]
+
+
+def test_language_equals_a_plain_computation():
+    """Features, the machines' descent, the votes and the two levels, each from its definition."""
+    rows = corpus(24)
+    texts = [r[1][:60] for r in rows]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    x = L.features(data, bounds)
+    assert np.allclose(x, [naive_features(t) for t in texts], atol=1e-5)
+    languages = np.array([r[2] for r in rows], dtype=object)
+    # one machine: squared hinge loss, both sides of equal weight, by accelerated gradient
+    side = np.where(languages == "en", 1.0, -1.0)
+    w = ahead = np.zeros(L.FEATURES + 1)
+    for step in range(L.STEPS):
+        grad = L.RIDGE * ahead
+        for v, s in zip(x, side, strict=True):
+            v = np.append(v, 1.0)
+            slack = max(0.0, 1 - s * float(v @ ahead))
+            grad = grad - 2 * (0.5 / max(1, (side == s).sum())) * slack * s * v
+        new = ahead - 0.2 * grad
+        ahead, w = new + step / (step + 3) * (new - w), new
+    assert np.allclose(L.Votes._machine(x, side), w, atol=1e-4)
+    model = L.Hierarchy().fit(x, languages)
+    assert model.top.classes == ["germanic", "romance"] and model.below["romance"].classes == ["es", "fr"]
+
+    def decided(votes, v):
+        if not votes.pairs:
+            return votes.classes[0], 1 / (1 + math.exp(-4 * 20.0))
+        wins, sums, least = Counter(), Counter(), {}
+        for (a, b), plane in zip(votes.pairs, votes.planes, strict=True):
+            m = float(v @ plane[:-1] + plane[-1])
+            wins[a if m >= 0 else b] += 1
+            for c, own in ((a, m), (b, -m)):
+                sums[c] += own
+                least[c] = min(least.get(c, 20.0), own)
+        best = max(range(len(votes.classes)), key=lambda c: (wins[c], sums[c]))
+        return votes.classes[best], 1 / (1 + math.exp(-4 * least[best]))
+
+    names, scores = model.predict(x)
+    for i, v in enumerate(x):
+        kin, sure = decided(model.top, v)
+        name, score = decided(model.below[kin], v)
+        assert names[i] == name and scores[i] == pytest.approx(sure * score, abs=1e-4)
+
+
+def test_a_dirty_column_of_languages_does_not_grow_the_model(spark):
+    rows = corpus(120)
+    dirty = [(1000 + i, prose(random.Random(i), "en", 9), f"x{i}") for i in range(300)]
+    labelled = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows] + dirty, "doc_id long, text string, lang string")
+    model = L.learn(labelled, learned=5)
+    learned = sorted(c for v in model.below.values() for c in v.classes)
+    assert len(learned) == 5 and set(SYLLABLES) < set(learned)
+    assert len([c for v in L.learn(labelled, per_language=4).below.values() for c in v.classes]) == L.LEARNED
+
+
+def test_texts_of_no_language_go_from_the_pipeline(spark):
+    """Far from every language the machines disagree: the score, not the letters, decides."""
+    rows = corpus()
+    labelled = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "doc_id long, text string, lang string")
+    strange = [(5000 + i, " ".join("qxzj" [i % 4] * 9 for _ in range(40))) for i in range(4)]
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows] + strange, "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in L.identify(docs, labelled).collect()}
+    bar = (max(scores[i] for i, _ in strange) + min(scores[r[0]] for r in rows)) / 2
+    assert {r.doc_id for r in L.keep_identified(docs, labelled, bar).collect()} == {i for i, s in scores.items() if s >= bar}
+    assert {r[0] for r in rows} <= {r.doc_id for r in L.keep_identified(docs, labelled).collect()}
+
+
 def test_language_with_few_or_no_languages(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, text string, lang string")

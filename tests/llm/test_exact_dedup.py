@@ -41,3 +41,15 @@ def test_equals_brute_force(spark, size):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert E.exact_dedup(docs).count() == 0 and E.keep_exact(docs).count() == 0
+
+
+def test_blocks_with_one_key_get_others(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    import xxhash
+
+    def digest(block, seed):
+        return bytes(16) if seed == 0 else xxhash.xxh3_128_digest(block, seed=seed)
+
+    plain, other = ({(r.row, r.n): r.name for r in E.identities(docs, 7, **kw).collect()} for kw in ({}, {"digest": digest}))
+    assert len(set(plain.values())) > 3 and plain.keys() == other.keys()
+    assert len({(plain[k], other[k], k[1]) for k in plain}) == len({(x, k[1]) for k, x in plain.items()})

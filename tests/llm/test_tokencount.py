@@ -21,8 +21,11 @@ def brute(ids, end):
     return out + [(n, False)] * (n > 0)
 
 
+@pytest.mark.parametrize("whole", [1 << 28, 40])
 @pytest.mark.parametrize(("dtype", "block"), [("<u2", 8), (">u4", 16), ("<u4", 1 << 20)])
-def test_flat_files(spark, tmp_path, dtype, block):
+def test_flat_files(spark, tmp_path, monkeypatch, dtype, block, whole):
+    monkeypatch.setattr(C, "WHOLE", whole)
+    monkeypatch.setattr(C, "RANGE", 64)
     rng, files = random.Random(2), {}
     for k, size in enumerate([0, 1, 7, 400, 900]):
         ids = [rng.choice([9, 1, 2, 3, 4, 0x909]) for _ in range(size)]
@@ -46,9 +49,28 @@ def test_documents(spark, tmp_path):
     assert got == sorted(((-1 if i is None else i), len(exact.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
 
 
+def test_documents_where_a_session_rolls_files(spark, tmp_path):
+    spark.createDataFrame([(i, "word " * i, "x") for i in range(10)], "doc_id long, text string, tokens string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        got = {r.doc_id: r.n_tokens for r in C.op9_tokencount(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    exact = Tokenizer.from_file(TOKENIZER)
+    assert got == {i: len(exact.encode("word " * i, add_special_tokens=False).ids) for i in range(10)}
+
+
+def test_a_lost_document_stops_the_query(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "a b c") for i in range(8)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    write = C.write_token_files
+    monkeypatch.setattr(C, "write_token_files", lambda docs, *a: write(docs.where("doc_id < 5"), *a))
+    with pytest.raises(Exception, match="lack a document"):
+        C.op9_tokencount(spark, str(tmp_path)).collect()
+
+
 def test_errors_and_empty(spark, tmp_path):
     (tmp_path / "odd").write_bytes(b"abc")
-    with pytest.raises(Exception, match="token file"):
+    with pytest.raises(Exception, match="whole number of tokens"):
         C.token_counts(spark, str(tmp_path)).collect()
     with pytest.raises(ValueError):
         C.token_counts(spark, str(tmp_path), "<u4", 1, 6)
