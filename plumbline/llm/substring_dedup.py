@@ -3,7 +3,7 @@
 Sentences end at ``. ! ?`` before white space, or at a line end. A sentence of more than ``LONG`` words
 counts in pieces: a piece begins where the hash of two neighbouring words is the least within ``REACH`` words,
 which copies of a passage agree on wherever it stands. A span is ``SENTENCES`` consecutive
-sentences (or pieces). Every span of every text is hashed (128 bits), however short, and the hashes are
+sentences (or pieces). Every span of every text is hashed (96 bits), however short, and the hashes are
 joined globally. The first occurrence of a span (smallest doc_id, then the earliest row and sentence) stays; the
 sentences that any other occurrence covers are removed.
 
@@ -133,7 +133,7 @@ def spans(own: Units, sentences: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return own.row[whole], whole - np.searchsorted(own.row, own.row[whole]), *hashes
 
 
-_SPANS = "row long, doc_id long, first int, hi long, lo long"
+_SPANS = "row long, doc_id long, first int, hi long, lo int"
 
 
 def _spans(sentences: int, long: int | None):
@@ -143,7 +143,7 @@ def _spans(sentences: int, long: int | None):
             row, first, hi, lo = spans(units([t or b"" for t in texts], long), sentences)
             row = pa.array(row)
             yield pa.record_batch(
-                [batch.column("row").take(row), batch.column("doc_id").take(row), pa.array(first.astype(np.int32)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))],
+                [batch.column("row").take(row), batch.column("doc_id").take(row), pa.array(first.astype(np.int32)), pa.array(hi.view(np.int64)), pa.array((lo >> np.uint64(32)).astype(np.uint32).view(np.int32))],
                 names=["row", "doc_id", "first", "hi", "lo"],
             )
 
