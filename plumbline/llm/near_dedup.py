@@ -5,8 +5,8 @@ links that the trees miss come from min-hash bands: texts that share a band are
 0.8 shares none of 24 bands of 4 with a probability of 3e-6. Every link is verified on the
 whole sets of 64-bit shingle hashes, those of the trees too.
 
-A bucket is never written out as pairs. First each member meets its bucket's smallest row, unless the trees connect the two
-already; that links large groups at a cost in proportion to their size. Then only buckets whose members are not all connected
+A bucket is never written out as pairs. First each member meets its bucket's smallest row, beside the pairs that the trees link;
+that connects large groups at a cost in proportion to their size. Then only buckets whose members are not all connected
 remain: the members outside the bucket's largest component meet all members of other components, in cells
 of at most ``CELL`` times ``CELL`` texts.
 
@@ -125,28 +125,19 @@ def similar_links(texts: DataFrame, keys: DataFrame, near: DataFrame, width: int
     texts' bands; ``near(row, other)``: pairs that are likely to be links."""
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("first")).where("size > 1").drop("size"))
     bucketed = cut(keys.join(shared, "key"))
-    wanted = bucketed.select("row").union(near.select("row")).union(near.select("other"))
-    rows = cut(wanted.distinct())
+    stars = bucketed.where("row <> first").select("row", F.col("first").alias("other"))
+    pairs = cut(near.union(stars).distinct())
+    rows = cut(bucketed.select("row").union(near.select("row")).union(near.select("other")).distinct())
     sets = cut(texts.join(rows, "row", "left_semi").mapInArrow(_sets(width), "row long, own binary"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.select(F.col("row").alias("a"), F.col("other").alias("b")).join(sets.select(F.col("row").alias("a"), "own"), "a")
-        both = left.join(sets.select(F.col("row").alias("b"), F.col("own").alias("other")), "b")
-        return cut(both.select("a", "b", "own", "other").mapInArrow(_verified(least), "a long, b long"))
-
-    seeds = verified(near)
-    roots = connected_components(seeds)
-    stars = bucketed.where("row <> first").select("row", F.col("first").alias("other")).distinct()
-    for c in ("row", "other"):
-        stars = stars.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
-    stars = cut(stars.where("NOT coalesce(row_root, row) = coalesce(other_root, other)").select("row", "other"))
-    links = cut(seeds.union(verified(stars)))
+    left = pairs.select(F.col("row").alias("a"), F.col("other").alias("b")).join(sets.select(F.col("row").alias("a"), "own"), "a")
+    both = left.join(sets.select(F.col("row").alias("b"), F.col("own").alias("other")), "b")
+    links = cut(both.select("a", "b", "own", "other").mapInArrow(_verified(least), "a long, b long"))
 
     labels = connected_components(links)
     members = cut(
         bucketed.join(labels, bucketed.row == labels.node, "left").select("key", "row", F.coalesce("root", "row").alias("component"))
     )
-    done(shared, bucketed, rows, seeds, roots, stars, labels)
+    done(shared, bucketed, rows, pairs, labels)
     parts = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("sum"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.sum("sum").alias("sum"))
     # buckets with the same members are looked at once
