@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.stored import stored
+
 
 def canonical_json(value: Any) -> str:
     """B1: keys sorted, no blanks, ASCII only; values that JSON has no form for are refused."""
@@ -56,11 +58,29 @@ def row_sha256(*columns: str) -> Column:
 
 
 def unordered_sha256(rows: DataFrame, *columns: str) -> DataFrame:
-    """One hash for a set of rows, whatever their order: each row's hash, sorted. Hashes are first joined
-    within 4096 parts by their leading digits, so one task sees 4096 of them at most."""
-    hashed = rows.select(row_sha256(*columns).alias("h"))
-    parts = hashed.groupBy(F.substring("h", 1, 3).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), 256).alias("sha256"))
+    """A table's hash, whatever the order of its rows: a tree over the rows' hashes. The hashes are joined in sorted order
+    within groups that share their leading digits, the groups' hashes again by three digits less, so that a list has
+    about 4096 hashes, however large the table. The number of levels follows the number of rows."""
+    hashed = stored(rows.select(row_sha256(*columns).alias("h")))
+    count, digits = hashed.count(), 0
+    while count > 4096 << (4 * digits):
+        digits += 1
+    level = hashed.select(F.col("h").alias("path"), "h")
+    while True:
+        group = F.substring("path", 1, digits)
+        digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: x["h"]), "")
+        level = level.groupBy(group.alias("group")).agg(F.sha2(digests, 256).alias("h")).select(F.col("group").alias("path"), "h")
+        if digits == 0:
+            empty = F.lit(hashlib.sha256(b"").hexdigest())
+            return level.agg(F.coalesce(F.max("h"), empty).alias("sha256"))
+        digits = max(0, digits - 3)
+
+
+def records_sha256(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """The hash of a set of records as the canonical JSON list of them in the order of their key: a probe, a bundle or a pool, which
+    is one value."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), row_json(*columns).alias("j")))), lambda x: x["j"])
+    return rows.agg(F.sha2(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")), 256).alias("sha256"))
 
 
 def input_sha256(claim_text: str, question: str, source_sha256: str) -> Column:

@@ -44,15 +44,24 @@ def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(one), "".join(to), tuple(several)
 
 
+@lru_cache(maxsize=1)
+def _plain() -> str:
+    """A class of the characters up to U+20FF that casefold leaves as they are once lower-cased, as ranges."""
+    one, _, several = _folds()
+    odd = sorted({ord(c) for c in one} | {ord(c) for c, _ in several})
+    edges = [-1, *(p for p in odd if p < 0x2100), 0x2100]
+    return "[" + "".join(f"\\x{{{a + 1:x}}}-\\x{{{b - 1:x}}}" for a, b in zip(edges, edges[1:], strict=False) if b - a > 1) + "]"
+
+
 def casefold(x: Column) -> Column:
-    """Python's str.casefold. The many rare expansions are tried only on texts that hold one."""
+    """Python's str.casefold. ASCII is lower-cased only; the rare folds and expansions are tried only on texts with
+    characters that may have one."""
     one, to, several = _folds()
     low = F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
     rare = low
     for c, folded in several:
         rare = F.replace(rare, F.lit(c), F.lit(folded))
-    pattern = "[" + "".join(c for c, _ in several) + "]"
-    return F.translate(F.when(low.rlike(pattern), rare).otherwise(low), one, to)
+    return F.when(F.octet_length(x) == F.length(x), F.lower(x)).when(low.rlike(f"^{_plain()}*+$"), low).otherwise(F.translate(rare, one, to))
 
 
 def collapse(x: Column) -> Column:

@@ -24,18 +24,24 @@ def window_similarity(needle: str, haystack: str) -> float:
     at = np.minimum(np.searchsorted(grams, other), len(grams) - 1)
     known = np.where(grams[at] == other, at, len(grams))
 
-    def share(start: int) -> float:
-        have = np.bincount(known[start : start + width - 1], minlength=len(grams) + 1)[:-1]
-        return 2 * int(np.minimum(have, need).sum()) / ((len(needle) - 1) + (width - 1))
+    most = max(1, (1 << 20) // width)
+
+    def shares(starts: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts))
+        for i in range(0, len(starts), most):
+            part = starts[i : i + most]
+            cells = known[part[:, None] + np.arange(width - 1)] + (len(grams) + 1) * np.arange(len(part))[:, None]
+            have = np.bincount(cells.ravel(), minlength=(len(grams) + 1) * len(part)).reshape(len(part), -1)[:, :-1]
+            out[i : i + most] = 2 * np.minimum(have, need).sum(1) / ((len(needle) - 1) + (width - 1))
+        return out
 
-    if len(haystack) <= width:
-        return share(0)
     stride, last = max(1, len(needle) // 4), len(haystack) - width
-    coarse = [(share(i), -i) for i in range(0, last + 1, stride)]
-    best, place = max(coarse)
-    place = -place if best > 0 else 0
-    fine = range(max(0, place - stride), min(last, place + stride) + 1, 7)
-    return max([best, *map(share, fine)])
+    coarse = np.arange(0, last + 1, stride)
+    found = shares(coarse)
+    best = float(found.max())
+    place = int(coarse[int(found.argmax())]) if best > 0 else 0
+    fine = np.arange(max(0, place - stride), min(last, place + stride) + 1, 7)
+    return max(best, float(shares(fine).max())) if len(haystack) > width else best
 
 
 def similarity(needle: Column, haystack: Column) -> Column:
@@ -136,17 +142,28 @@ def rate_envelopes(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def substring_join(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str) -> DataFrame:
-    """F10 without a nested loop: pairs in which a normalised haystack holds a normalised needle.
+GRAM = 3
+
+
+def grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
+
+
+def substring_join(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str, key: str) -> DataFrame:
+    """F10 without a nested loop: pairs in which a normalised haystack holds a normalised needle; ``key`` names a haystack.
 
     A needle's words but the first and last stand whole in the haystack, so the longest of them is a
-    key that both sides share. Needles of one or two words are looked for in every haystack.
+    word that both sides share. Needles of one or two words share their first ``GRAM`` characters (or all of them).
+    Only keys meet; a text is read once for each needle that it may hold.
     """
     words = F.split(F.col(needle), " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
     longest = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
-    keyed = needles.withColumn("__key", F.when(F.size(words) > 2, longest))
-    probes = haystacks.withColumn("__key", F.explode(F.array_distinct(F.split(F.col(haystack), " "))))
-    hits = probes.join(keyed.where("__key is not null"), "__key").where(F.instr(F.col(haystack), F.col(needle)) > 0).drop("__key")
-    short = keyed.where("__key is null").where(F.length(needle) > 0).drop("__key")
-    return hits.unionByName(haystacks.join(short, F.instr(F.col(haystack), F.col(needle)) > 0))
+    keyed = needles.where(F.length(needle) > 0).withColumn("__part", F.when(F.size(words) > 2, longest))
+    text = F.col(haystack)
+    parts = haystacks.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("__part"))
+    short = keyed.where("__part is null").withColumn("__part", F.substring(needle, 1, GRAM))
+    runs = F.flatten(F.array(*(grams(text, n) for n in range(1, GRAM + 1))))
+    spots = parts.join(keyed.where("__part is not null"), "__part").unionByName(haystacks.select(key, F.explode(runs).alias("__part")).join(short, "__part"))
+    return spots.drop("__part").join(haystacks, key).where(F.instr(text, F.col(needle)) > 0)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import collapse, emission_key, sentences_of_line
 from plumbline.operators.decisions import first_match
+from plumbline.sources.pages import page_lines
 
 SECTION = "\x1e"
 
@@ -56,23 +58,22 @@ class Profile:
 
 def plain_lines(text: Column, html: bool) -> Column:
     """Markup to lines; a heading, section or slide starts a line with the section mark."""
-    # What is dropped, what starts a section, what ends a line.
     if html:
-        rules = [
-            (r"(?is)<script.*?</script>|<style.*?</style>", " "), (r"(?i)<(?:section|article)\b[^>]*>", f"\n{SECTION}"),
-            (r"""(?i)<div\b[^>]*class=["'][^"']*\bslide\b[^"']*["'][^>]*>""", f"\n{SECTION}"), (r"(?i)<h[1-6]\b[^>]*>", f"\n{SECTION}"),
-            (r"(?i)</(?:p|div|li|h[1-6]|td|th|tr|section|article|header|footer|blockquote)>", "\n"), (r"(?i)<(?:br|hr)\s*/?>", "\n"), (r"<[^>]+>", " "),
-        ]
-    else:
-        rules = [(r"(?m)^#{1,6}\s+", SECTION), (r'\[([^\]]+)\]\((?:https?://[^\s)"]+)(?:\s+"[^"]*")?\)', "$1"), (r"[*_`>|]", " ")]
-    for pattern, value in rules:
+        return _page_lines(text)
+    # A heading, a link, the marks that are dropped.
+    for pattern, value in ((r"(?m)^#{1,6}\s+", SECTION), (r'\[([^\]]+)\]\((?:https?://[^\s)"]+)(?:\s+"[^"]*")?\)', "$1"), (r"[*_`>|]", " ")):
         text = F.regexp_replace(text, pattern, value)
-    if html:
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-            text = F.replace(text, F.lit(entity), F.lit(char))
     return F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1d\x{85}\x{2028}\x{2029}]")
 
 
+def _page_lines(html: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: page_lines(page, SECTION))
+
+    return run(html)
+
+
 def sentences(docs: DataFrame, html: bool = False, key: str = "doc") -> DataFrame:
     """``key, section, ordinal, text``. Sections count headings so far, ordinals sentences from 1."""
     lines = docs.select(key, F.posexplode(plain_lines(F.col("text"), html)).alias("line", "raw"))
@@ -94,12 +95,19 @@ def trigger(text: Column, profile: Profile) -> Column:
     return first_match([(c, n) for c, n in rules if c is not None])
 
 
+#: Neighbours on either side that are looked at before the whole section is.
+NEAR = 32
+
+
 def contexts(stream: DataFrame, targets: DataFrame, profile: Profile, key: str = "doc") -> DataFrame:
     """The nearest sentences of a target's section (by distance, then place), skipping those that
-    would pass the characters, joined in text order. ``targets``: key, section, ordinal."""
-    t = targets.select(key, "section", F.col("ordinal").alias("target"))
-    near = stream.join(t, [key, "section"]).where("ordinal <> target")
-    listed = near.groupBy(key, "section", "target").agg(F.array_sort(F.collect_list(F.struct(F.abs(F.col("ordinal") - F.col("target")).alias("far"), "ordinal", "text"))).alias("near"))
+    would pass the characters, joined in text order. ``targets``: key, section, ordinal.
+
+    A section's sentences stand in one array and its targets in another, so neither is copied for the other. The
+    neighbours come first; the whole section is only looked at where they leave room.
+    """
+    whole = stream.groupBy(key, "section").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("own"))
+    asked = targets.groupBy(key, "section").agg(F.collect_list("ordinal").alias("asked"))
     start = F.struct(F.array().cast("array<struct<ordinal:int,text:string>>").alias("kept"), F.lit(0).alias("used"))
 
     def take(acc, row):
@@ -107,8 +115,18 @@ def contexts(stream: DataFrame, targets: DataFrame, profile: Profile, key: str =
         grown = F.concat(acc["kept"], F.array(F.struct(row["ordinal"].alias("ordinal"), row["text"].alias("text"))))
         return F.struct(F.when(room, grown).otherwise(acc["kept"]).alias("kept"), F.when(room, acc["used"] + F.length(row["text"])).otherwise(acc["used"]).alias("used"))
 
-    kept = F.aggregate("near", start, take, lambda acc: acc["kept"])
-    joined = listed.select(key, F.col("target").alias("ordinal"), F.array_join(F.transform(F.array_sort(kept), lambda r: r["text"]), " ").alias("context"))
+    def nearest(rows, target):
+        far = F.transform(F.filter(rows, lambda r: r["ordinal"] != target), lambda r: F.struct(F.abs(r["ordinal"] - target).alias("far"), r["ordinal"].alias("ordinal"), r["text"].alias("text")))
+        return F.aggregate(F.array_sort(far), start, take, lambda acc: acc["kept"])
+
+    def context(target):
+        own = F.col("own")
+        place = target - F.get(own, F.lit(0))["ordinal"] + 1
+        close = nearest(F.slice(own, F.greatest(F.lit(1), place - NEAR), F.lit(2 * NEAR + 1)), target)
+        kept = F.when((F.size(own) <= NEAR) | (F.size(close) >= profile.context_sentences), close).otherwise(nearest(own, target))
+        return F.struct(target.alias("ordinal"), F.array_join(F.transform(F.array_sort(kept), lambda r: r["text"]), " ").alias("context"))
+
+    joined = whole.join(asked, [key, "section"]).select(key, F.explode(F.transform("asked", context)).alias("c")).select(key, "c.ordinal", "c.context")
     return targets.join(joined, [key, "ordinal"], "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
@@ -141,8 +159,12 @@ def self_rulings(attacks: DataFrame, rulings: DataFrame) -> DataFrame:
 
 
 def adjudicate(tasks: DataFrame, attacks: DataFrame, rulings: DataFrame, lenses: list[str], required: int) -> DataFrame:
-    """``task_id, attacks, verdict``."""
-    agreed = consensus(rulings, required)
+    """``task_id, attacks, verdict``. A ruling on no attack, on a null one, or by the attack's own session
+    stops the adjudication."""
+    a = attacks.select("task_id", "lens", "attack", F.col("session_id").alias("a_session"))
+    own = F.col("attack").isNull() | F.coalesce(F.col("session_id") == F.col("a_session"), F.lit(False))
+    guard = F.when(own, F.raise_error(F.concat(F.lit("no ruling is possible here: "), F.coalesce(F.col("task_id").cast("string"), F.lit("?")), F.lit(" "), F.coalesce("lens", F.lit("?")))).cast("boolean"))
+    agreed = consensus(rulings.join(a, ["task_id", "lens"], "left").where(guard.otherwise(True)).select(rulings.columns), required)
     rows = attacks.where(F.col("lens").isin(lenses)).join(agreed, ["task_id", "lens"], "left")
     rows = rows.withColumn("consensus", F.when(F.col("attack").isNull(), "not_required").otherwise(F.coalesce("consensus", F.lit("incomplete"))))
     any_of = {c: F.bool_or(F.col("consensus") == c).alias(c) for c in ("incomplete", "lands", "glances", "disagrees")}

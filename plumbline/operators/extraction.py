@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import match_tokens, merge_key, normalise_grounding
+from plumbline.functions.text import collapse, match_tokens, merge_key, normalise_grounding
+from plumbline.operators.anchor import grams
 
 
 def reply_object(reply: Column) -> Column:
@@ -43,7 +44,7 @@ def coverage(segments: DataFrame, findings: DataFrame, categories: DataFrame) ->
     totals = segments.groupBy("doc").agg(F.count("*").alias("total"), F.count("checked").alias("completed"))
     ticks = segments.select("doc", "segment", F.explode(F.array_distinct("checked")).alias("category")).groupBy("doc", "category").agg(F.count("*").alias("ticked"))
     found = findings.groupBy("doc", "category").agg(F.count("*").alias("found"))
-    rows = totals.join(F.broadcast(categories.select("category")), how="cross")  # the checklist is a domain pack of a few dozen
+    rows = totals.join(categories.select("category"), how="cross")  # a row for each pair is the result asked for
     rows = rows.join(ticks, ["doc", "category"], "left").join(found, ["doc", "category"], "left").fillna(0, ["ticked", "found"])
     full = (F.col("total") > 0) & (F.col("completed") == F.col("total")) & (F.col("ticked") == F.col("total"))
     status = F.when(F.col("found") > 0, "risk_found").when(full, "checked_clear").otherwise("incomplete")
@@ -57,26 +58,41 @@ def token_match(a: Column, b: Column, threshold: float = 0.5) -> Column:
     return (F.size(x) > 0) & (F.size(y) > 0) & (both / (F.size(x) + F.size(y) - both) >= threshold)
 
 
-def match_counts(predictions: DataFrame, gold: DataFrame) -> DataFrame:
-    """H8: ``category, tp, fp, fn``, many to many: a prediction counts once if any gold span matches it,
-    a gold span is missed if no prediction does. ``doc, category, quote`` / ``doc, category, span``.
-    Quotes with the same tokens are compared once."""
+def _both_sides(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row for each (doc, category): its distinct token sets ``p`` and ``g`` of either side, each with its number of rows."""
+
+    def held(rows: DataFrame, text: str, side: str) -> DataFrame:
+        tokens = rows.select("doc", "category", F.array_sort(match_tokens(F.col(text))).alias("t"))
+        counted = tokens.groupBy("doc", "category", "t").agg(F.count("*").alias("n"))
+        return counted.groupBy("doc", "category").agg(F.collect_list(F.struct("t", "n")).alias(side))
+
+    both = held(predictions, "quote", "p").join(held(gold, "span", "g"), ["doc", "category"], "full")
+    none = F.array().cast("array<struct<t:array<string>,n:bigint>>")
+    return both.withColumn("p", F.coalesce("p", none)).withColumn("g", F.coalesce("g", none))
+
+
+def _rows_of(side: str, other: str, matched: bool) -> Column:
+    """How many rows of a side match some row of the other, or none."""
+
+    def hit(x: Column, y: Column) -> Column:
+        shared = F.size(F.array_intersect(x["t"], y["t"]))
+        return (F.size(x["t"]) > 0) & (F.size(y["t"]) > 0) & (shared / (F.size(x["t"]) + F.size(y["t"]) - shared) >= 0.5)
+
+    own = F.filter(side, lambda x: F.exists(other, lambda y: hit(x, y)) == matched)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda total, x: total + x["n"])
 
-    def grouped(rows: DataFrame, text: str, side: str) -> DataFrame:
-        tokens = F.array_sort(match_tokens(F.col(text)))
-        return rows.select("doc", "category", tokens.alias(f"{side}_tokens")).groupBy("doc", "category", f"{side}_tokens").agg(F.count("*").alias(f"{side}_n"))
 
-    both = F.size(F.array_intersect("p_tokens", "g_tokens"))
-    hit = (F.size("p_tokens") > 0) & (F.size("g_tokens") > 0) & (both / (F.size("p_tokens") + F.size("g_tokens") - both) >= 0.5)
-    pairs = grouped(predictions, "quote", "p").join(grouped(gold, "span", "g"), ["doc", "category"], "full").withColumn("hit", F.coalesce(hit, F.lit(False)))
+def unmatched_gold(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """H8: ``doc, category, n`` of the gold spans that no prediction matches."""
+    return _both_sides(predictions, gold).select("doc", "category", _rows_of("g", "p", False).alias("n")).where("n > 0")
 
-    def summed(side: str) -> DataFrame:
-        return pairs.where(f"{side}_n is not null").groupBy("doc", "category", f"{side}_tokens", f"{side}_n").agg(F.max("hit").alias("ok"))
 
-    n = F.col("p_n")
-    by_p = summed("p").groupBy("category").agg(F.sum(F.when(F.col("ok"), n).otherwise(0)).alias("tp"), F.sum(F.when(F.col("ok"), 0).otherwise(n)).alias("fp"))
-    by_g = summed("g").groupBy("category").agg(F.sum(F.when(F.col("ok"), 0).otherwise(F.col("g_n"))).alias("fn"))
-    return by_p.join(by_g, "category", "full").fillna(0)
+def match_counts(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """H8: ``category, tp, fp, fn``, many to many: a prediction counts once if any gold span matches it,
+    a gold span is missed if no prediction does. ``doc, category, quote`` / ``doc, category, span``.
+    Quotes with the same tokens are compared once, within the row of their (doc, category)."""
+    counts = _both_sides(predictions, gold).select("category", _rows_of("p", "g", True).alias("tp"), _rows_of("p", "g", False).alias("fp"), _rows_of("g", "p", False).alias("fn"))
+    return counts.groupBy("category").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
 
 
 def precision_recall(counts: DataFrame) -> DataFrame:
@@ -87,10 +103,26 @@ def precision_recall(counts: DataFrame) -> DataFrame:
 
 
 def grounding(predictions: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each non-blank quote of a document that there is, with ``grounded``."""
-    texts = docs.select("doc", normalise_grounding(F.col("text")).alias("__t"))
-    quotes = predictions.where(F.length(F.trim("quote")) > 0).join(texts, "doc")
-    return quotes.withColumn("grounded", F.instr(F.col("__t"), normalise_grounding(F.col("quote"))) > 0).drop("__t")
+    """Each non-blank quote of a document that there is, with ``grounded``. A text is normalised once and meets
+    all quotes of its document together."""
+    quotes = predictions.where(F.length(F.trim("quote")) > 0)
+    others = [c for c in predictions.columns if c != "doc"]
+    held = quotes.groupBy("doc").agg(F.collect_list(F.struct(*others)).alias("__rows"))
+    rows = held.join(docs.select("doc", normalise_grounding(F.col("text")).alias("__t")), "doc")
+    found = F.transform("__rows", lambda r: F.struct(r.alias("r"), (F.instr(F.col("__t"), normalise_grounding(r["quote"])) > 0).alias("grounded")))
+    rows = rows.select("doc", F.explode(found).alias("__f"))
+    return rows.select(*(F.col("doc") if c == "doc" else F.col(f"__f.r.{c}").alias(c) for c in predictions.columns), F.col("__f.grounded").alias("grounded"))
+
+
+def ungrounded(grounded: DataFrame, cap: int = 10) -> DataFrame:
+    """The report of the first ``cap`` quotes that are not in their document, the first 80 characters of each."""
+    rows = grounded.where("NOT grounded").select("doc", "category", F.substring(collapse(F.col("quote")), 1, 80).alias("head"))
+    return rows.orderBy("doc", "category", "head").limit(cap)
+
+
+def missed_pairs(predictions: DataFrame, gold: DataFrame, cap: int = 20) -> DataFrame:
+    """I4: the report of the first ``cap`` (doc, category) with a gold span that no prediction matches."""
+    return unmatched_gold(predictions, gold).select("doc", "category").distinct().orderBy("doc", "category").limit(cap)
 
 
 def severe_precision(predictions: DataFrame, gold: DataFrame, severity: DataFrame, least: int = 4) -> DataFrame:
@@ -119,11 +151,20 @@ def gate(row: DataFrame) -> DataFrame:
 
 
 def literal_overlap(literals: DataFrame, gold: DataFrame, least: int = 25) -> DataFrame:
-    """String literals of at least that length that hold a gold text or stand in one. Gold is a list
-    of an evaluation, the literals those of one code base."""
-    a = literals.select("file", merge_key(F.col("literal")).alias("l")).where(F.length("l") >= least)
+    """Files with a string literal of at least that length that holds a gold text or stands in one. The first ``least`` characters of
+    the shorter text are a run of the longer one, so both meet on a key."""
+    a = literals.select("file", merge_key(F.col("literal")).alias("l")).where(F.length("l") >= least).distinct()
     b = gold.select(merge_key(F.col("span")).alias("g")).where(F.length("g") >= least).distinct()
-    return a.join(b, (F.instr("l", F.col("g")) > 0) | (F.instr("g", F.col("l")) > 0), "left_semi").select("file").distinct()
+    head = lambda c: F.substring(c, 1, least)
+    runs = lambda c: F.explode(grams(F.col(c), least))
+    holds = a.select("file", "l", runs("l").alias("k")).join(b.select("g", head("g").alias("k")), "k").where(F.instr("l", F.col("g")) > 0)
+    stands = a.select("file", "l", head("l").alias("k")).join(b.select("g", runs("g").alias("k")), "k").where(F.instr("g", F.col("l")) > 0)
+    return holds.select("file").union(stands.select("file")).distinct()
+
+
+def over_capacity(literals: DataFrame, per_file: int = 40, least: int = 12) -> DataFrame:
+    """Files with more than ``per_file`` string literals of ``least`` characters or more."""
+    return literals.where(F.length("literal") >= least).groupBy("file").agg(F.count("*").alias("literals")).where(F.col("literals") > per_file)
 
 
 def usage_totals(usage: DataFrame) -> DataFrame:

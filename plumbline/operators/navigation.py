@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import NAVIGATION_STOP, content_tokens, node_title
+from plumbline.functions.text import NAVIGATION_STOP, SPACE, content_tokens, node_title
 from plumbline.operators.decisions import first_match
+from plumbline.operators.probes import first_in_order
+from plumbline.stored import stored
 
 _PARAGRAPH = re.compile(r"\S[\s\S]*?(?=\r?\n[ \t]*\r?\n|\Z)")
 UNTITLED = "Untitled source segment"
@@ -22,38 +25,59 @@ def node_id(source_sha: Column, start: Column, end: Column, text_sha: Column) ->
     return F.substring(F.sha2(body, 256), 1, 24)
 
 
-def split_span(text: str, start: int, end: int, most: int) -> list[tuple[int, int]]:
-    """Pieces of at most ``most`` characters, cut at the last blank of a piece's second half if there is one."""
-    out = []
-    while end - start > most:
-        cut = text.rfind(" ", start + most // 2, start + most)
-        cut = cut if cut > start else start + most
-        out.append((start, cut))
-        start = cut
-        while start < end and text[start].isspace():
-            start += 1
-    return out + [(start, end)] * (start < end)
-
-
-def paragraph_spans(text: str, most: int = 3000, separator: re.Pattern = _PARAGRAPH) -> list[tuple[int, int]]:
-    """Spans of the paragraphs between blank lines, without the white space at their ends."""
-    out = []
-    for m in separator.finditer(text):
-        start, end = m.start(), m.start() + len(m.group().rstrip())
-        out += split_span(text, start, end, most)
-    return out
+@lru_cache(maxsize=16)
+def cut_rule(most: int) -> str:
+    """D5 as a regular expression for Python and Java, piece by piece: what fits whole, else up to the last blank of the second half, else
+    ``most`` characters; white space before a piece belongs to none."""
+    return rf"(?s)\s*(.{{1,{most}}}\Z|.{{{max(1, most // 2)},{most - 1}}}(?= )|.{{{most}}})"
+
 
+def paragraph_spans(text: str, most: int = 3000) -> list[tuple[int, int]]:
+    """Spans of the paragraphs between blank lines, without the white space at their ends, long ones in pieces."""
+    rule, out = re.compile(cut_rule(most)), []
+    for m in _PARAGRAPH.finditer(text):
+        out += [piece.span(1) for piece in rule.finditer(text, m.start(), m.start() + len(m.group().rstrip()))]
+    return out
 
-def _spans_udf(most: int, lines: bool) -> Callable:
-    pattern = re.compile(r"\S[^\n]*") if lines else _PARAGRAPH
 
+def _spans_udf(most: int) -> Callable:
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def spans(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for a, b in paragraph_spans(t or "", most, pattern)] for t in texts])
+        return pd.Series([[{"start": a, "end": b} for a, b in paragraph_spans(t or "", most)] for t in texts])
 
     return spans
 
 
+def line_spans(docs: DataFrame, most: int) -> DataFrame:
+    """``doc, piece, start, number`` of the pieces of each line that is not blank, number from 1. All within Java: what a piece uses up
+    of the text is added up over the pieces before it."""
+    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    lead = F.length("raw") - F.length(F.regexp_replace("raw", f"^{SPACE}+", ""))
+    solid = F.regexp_replace("raw", f"^{SPACE}+|{SPACE}+$", "")
+    cuts = F.when(F.length(solid) <= most, F.array(solid)).otherwise(F.regexp_extract_all(solid, F.lit(cut_rule(most).replace(r"\s", SPACE).replace(r"\Z", r"\z")), 0))
+    lines = lines.select("doc", "line", F.length("raw").alias("size"), lead.alias("lead"), F.when(F.length(solid) > 0, cuts).alias("cuts"))
+    parts = lines.select("doc", "line", "size", "lead", F.size("cuts").alias("n"), F.posexplode_outer("cuts").alias("part", "cut"))
+    first, last = F.col("part") == 0, F.col("part") == F.col("n") - 1
+    of = Window.partitionBy("doc").orderBy("line", "part")
+    within = Window.partitionBy("doc", "line").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    taken = F.sum(F.length("cut")).over(within)
+    used = F.when(F.col("cut").isNull(), F.col("size") + 1).otherwise(
+        F.length("cut") + F.when(first, F.col("lead")).otherwise(0) + F.when(last, F.col("size") - F.col("lead") - taken + 1).otherwise(0)
+    )
+    parts = parts.withColumn("used", used)
+    before = F.coalesce(F.sum("used").over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    piece = F.regexp_replace("cut", f"^{SPACE}+", "")
+    start = before + F.when(first, F.col("lead")).otherwise(0) + F.length("cut") - F.length(piece)
+    parts = parts.select("doc", "line", "part", piece.alias("piece"), start.cast("int").alias("start")).where("piece is not null")
+    return parts.withColumn("number", F.row_number().over(of)).select("doc", "piece", "start", "number")
+
+
+def root_ids(docs: DataFrame) -> DataFrame:
+    """``doc, node_id`` of the root of each text that is not blank."""
+    rows = docs.where(F.length(F.regexp_replace("text", SPACE, "")) > 0).select("doc", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"))
+    return rows.select("doc", node_id(F.col("sha"), F.lit(0), F.col("n"), F.col("sha")).alias("node_id"))
+
+
 def paragraph_nodes(docs: DataFrame, most: int = 3000, lines: bool = False) -> DataFrame:
     """``doc, node_id, parent_id, number, title, start, end, text_sha256, selectable``.
 
@@ -62,24 +86,29 @@ def paragraph_nodes(docs: DataFrame, most: int = 3000, lines: bool = False) -> D
     """
     if most < 256:
         raise ValueError("a node has room for 256 characters at least")
-    rows = docs.where(F.length(F.regexp_replace("text", r"[\s\x1c-\x1f\x{85}\p{Z}]", "")) > 0)
-    rows = rows.select("doc", "text", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"), _spans_udf(most, lines)("text").alias("spans"))
-    single = (F.size("spans") == 1) & (F.col("spans")[0]["start"] == 0) & (F.col("spans")[0]["end"] == F.col("n"))
+    rows = docs.where(F.length(F.regexp_replace("text", SPACE, "")) > 0)
+    heads = rows.select("doc", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"), node_title(F.col("text"), UNTITLED).alias("own_title"))
+    if lines:
+        parts = line_spans(rows, most)
+    else:
+        spans = rows.select("doc", "text", F.posexplode(_spans_udf(most)("text")).alias("i", "s"))
+        parts = spans.select("doc", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("piece"), F.col("s.start").alias("start"), (F.col("i") + 1).alias("number"))
+    parts = parts.select("doc", F.sha2("piece", 256).alias("text_sha256"), node_title(F.col("piece"), UNTITLED).alias("title"), "start", (F.col("start") + F.length("piece")).alias("end"), "number")
+    held = heads.join(parts.groupBy("doc").agg(F.collect_list(F.struct("number", "start", "end", "title", "text_sha256")).alias("parts")), "doc")
+    single = (F.size("parts") == 1) & (F.col("parts")[0]["start"] == 0) & (F.col("parts")[0]["end"] == F.col("n"))
     root_id = node_id(F.col("sha"), F.lit(0), F.col("n"), F.col("sha"))
-    rows = rows.withColumn("single", single).withColumn("root_id", root_id)
-    roots = rows.select(
-        "doc", F.col("root_id").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.when(F.col("single"), 1).otherwise(0).alias("number"),
-        F.when(F.col("single"), node_title(F.col("text"), UNTITLED)).otherwise(F.col("doc").cast("string")).alias("title"),
-        F.lit(0).alias("start"), F.col("n").alias("end"), F.col("sha").alias("text_sha256"), F.col("single").alias("selectable"),
-    )
-    parts = rows.where(~F.col("single")).select("doc", "text", "sha", "root_id", F.posexplode("spans").alias("i", "s"))
-    piece = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    parts = parts.select("doc", "sha", "root_id", "i", F.col("s.start").alias("start"), F.col("s.end").alias("end"), piece.alias("piece"))
-    children = parts.select(
-        "doc", node_id(F.col("sha"), F.col("start"), F.col("end"), F.sha2("piece", 256)).alias("node_id"), F.col("root_id").alias("parent_id"),
-        (F.col("i") + 1).alias("number"), node_title(F.col("piece"), UNTITLED).alias("title"), "start", "end", F.sha2("piece", 256).alias("text_sha256"), F.lit(True).alias("selectable"),
-    )
-    return roots.unionByName(children)
+    kind = "struct<node_id:string,parent_id:string,number:int,title:string,start:int,end:int,text_sha256:string,selectable:boolean>"
+    root = F.struct(
+        root_id.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.when(single, 1).otherwise(0).alias("number"), F.when(single, F.col("own_title")).otherwise(F.col("doc").cast("string")).alias("title"),
+        F.lit(0).alias("start"), F.col("n").alias("end"), F.col("sha").alias("text_sha256"), single.alias("selectable"),
+    ).cast(kind)
+
+    def child(p: Column) -> Column:
+        ident = node_id(F.col("sha"), p["start"], p["end"], p["text_sha256"])
+        return F.struct(ident, root_id, p["number"], p["title"], p["start"], p["end"], p["text_sha256"], F.lit(True)).cast(kind)
+
+    nodes = F.concat(F.array(root), F.when(single, F.array().cast(f"array<{kind}>")).otherwise(F.transform("parts", child)))
+    return held.select("doc", F.explode(nodes).alias("x")).select("doc", "x.*")
 
 
 def tree_violations(nodes: DataFrame) -> DataFrame:
@@ -100,17 +129,43 @@ def tree_violations(nodes: DataFrame) -> DataFrame:
 
 
 def unreachable(nodes: DataFrame) -> DataFrame:
-    """Nodes in a cycle of parents, found by doubling the length of the chains of parents."""
+    """Nodes that no chain of parents leads to a root from. Each round doubles the chains, is written out, and drops the
+    nodes that have reached a root; what remains when a round drops none is in a cycle or below one."""
     up = nodes.where("parent_id is not null").select("doc", "node_id", F.col("parent_id").alias("at"))
-    depth, reach = 1, up
-    deepest = nodes.groupBy("doc").count().agg(F.max("count")).first()[0] or 0
-    while depth < deepest:
-        step = reach.select("doc", F.col("node_id").alias("at"), F.col("at").alias("further"))
-        reach = reach.join(step, ["doc", "at"]).select("doc", "node_id", F.col("further").alias("at"))
-        depth *= 2
-        if reach.isEmpty():
-            break
-    return reach.select("doc", F.lit("cycle").alias("rule"), "node_id").distinct() if depth >= deepest and deepest > 1 else reach.limit(0).select("doc", F.lit("cycle").alias("rule"), "node_id")
+    reach, left = stored(up), None
+    while (now := reach.count()) and now != left:
+        step = reach.select("doc", F.col("node_id").alias("at"), F.col("at").alias("further")).distinct()
+        reach, left = stored(reach.join(step, ["doc", "at"]).select("doc", "node_id", F.col("further").alias("at")).distinct()), now
+    return reach.select("doc", F.lit("cycle").alias("rule"), "node_id").distinct()
+
+
+def tree_surface(nodes: DataFrame, levels: int = 8) -> DataFrame:
+    """``doc, surface``: the tree of a document as nested lists, canonical JSON: handle, title, selectable, children in source order. Children are folded
+    into their parents level by level from the deepest; trees deeper than ``levels`` are refused."""
+    own = handles(nodes).select("doc", "node_id", "parent_id", "start", "handle", "title", "selectable")
+    quoted = F.to_json(F.array("title"), {"ignoreNullFields": "false"})
+    own = own.withColumn("head", F.concat(F.lit('["'), "handle", F.lit('",'), F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(","), F.col("selectable").cast("string")))
+    depth = own.where("parent_id is null").select("doc", "node_id", F.lit(0).alias("depth"))
+    placed, last = depth, depth
+    for level in range(1, levels + 1):
+        last = own.join(last.select("doc", F.col("node_id").alias("parent_id")), ["doc", "parent_id"]).select("doc", "node_id", F.lit(level).alias("depth"))
+        placed = placed.union(last)
+    rows = stored(own.join(placed, ["doc", "node_id"], "left").withColumn("depth", F.coalesce("depth", F.raise_error(F.lit("a node is deeper than the levels")).cast("int"))))
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    empty = F.array().cast("array<string>")
+    below = None
+    for level in range(deepest, -1, -1):
+        at = rows.where(F.col("depth") == level)
+        if below is None:
+            at = at.withColumn("inner", empty)
+        else:
+            at = at.join(below, (at.doc == below.of_doc) & (at.node_id == below.of), "left").withColumn("inner", F.coalesce("inner", empty))
+        text = F.concat("head", F.lit(",["), F.array_join("inner", ","), F.lit("]]"))
+        folded = at.select("doc", "parent_id", "start", "node_id", text.alias("text"))
+        group = ["doc"] if level == 0 else ["doc", "parent_id"]
+        listed = folded.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "node_id", "text"))), lambda x: x["text"]).alias("inner"))
+        below = listed if level == 0 else listed.select(F.col("doc").alias("of_doc"), F.col("parent_id").alias("of"), "inner")
+    return below.select("doc", F.concat(F.lit("["), F.array_join("inner", ","), F.lit("]")).alias("surface"))
 
 
 def handles(nodes: DataFrame) -> DataFrame:
@@ -170,12 +225,13 @@ def select_with(nodes: DataFrame, cases: DataFrame, selector: Callable[[str, pd.
 def fetch_nodes(selections: DataFrame, cases: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The selected texts in selection order between blank lines, their hash and length. Nodes whose
     text does not have their hash are in ``changed``."""
-    picks = selections.where("status = 'selected'").select("case_id", F.posexplode("node_ids").alias("i", "node_id"))
+    by = ["case_id", *(["navigator"] if "navigator" in selections.columns else [])]
+    picks = selections.where("status = 'selected'").select(*by, F.posexplode("node_ids").alias("i", "node_id"))
     rows = picks.join(cases.select("case_id", "doc"), "case_id").join(nodes.select("doc", "node_id", "start", "end", "text_sha256"), ["doc", "node_id"]).join(docs.select("doc", "text"), "doc")
     piece = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    rows = rows.select("case_id", "i", "node_id", piece.alias("piece"), F.length("text").alias("source_characters"), (F.sha2(piece, 256) != F.col("text_sha256")).alias("wrong"))
+    rows = rows.select(*by, "i", "node_id", piece.alias("piece"), F.length("text").alias("source_characters"), (F.sha2(piece, 256) != F.col("text_sha256")).alias("wrong"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), "\n\n")
-    out = rows.groupBy("case_id").agg(joined.alias("context"), F.max("source_characters").alias("source_characters"), F.count_if("wrong").alias("changed"))
+    out = rows.groupBy(*by).agg(joined.alias("context"), F.max("source_characters").alias("source_characters"), F.count_if("wrong").alias("changed"))
     return out.withColumn("context_sha256", F.sha2("context", 256)).withColumn("context_characters", F.length("context"))
 
 
@@ -186,22 +242,60 @@ def gold_nodes(cases: DataFrame, nodes: DataFrame) -> DataFrame:
     return hit.groupBy("case_id").agg(F.array_sort(F.collect_list("node_id")).alias("gold"))
 
 
+def run_navigators(cases: DataFrame, nodes: DataFrame, navigators: dict[str, Callable[[DataFrame, DataFrame], DataFrame]]) -> DataFrame:
+    """every case with every navigator, ``navigator`` beside the selection. A navigator that answers a case twice or not at all
+    is an error; ``navigators`` maps a name to a function of (nodes, cases)."""
+    if not navigators:
+        raise ValueError("no navigator to run")
+    out = None
+    for name, select in sorted(navigators.items()):
+        rows = select(nodes, cases)
+        rows = rows.select("case_id", "status", F.col("reason") if "reason" in rows.columns else F.col("status").alias("reason"), "node_ids", F.lit(name).alias("navigator"))
+        out = rows if out is None else out.unionByName(rows)
+    pairs = cases.select("case_id").crossJoin(cases.sparkSession.createDataFrame([(n,) for n in sorted(navigators)], "navigator string"))  # the pairs are the result asked for
+    answered = out.withColumn("n", F.count("*").over(Window.partitionBy("case_id", "navigator")))
+    rows = pairs.join(answered, ["case_id", "navigator"], "left")
+    wrong = F.when(F.col("n").isNull() | (F.col("n") > 1), F.raise_error(F.concat(F.lit("not one answer: "), "navigator", F.lit(" "), F.col("case_id").cast("string"))).cast("boolean"))
+    return rows.where(wrong.otherwise(True)).drop("n")
+
+
 def evaluate(selections: DataFrame, gold: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Each case's recall, exact coverage, irrelevant nodes and share of the source read."""
-    rows = selections.join(gold, "case_id").join(fetched.select("case_id", "context_characters", "source_characters"), "case_id", "left")
+    """Each case's recall, exact coverage, irrelevant nodes and share of the source read; by navigator, where there is one."""
+    by = [c for c in ("navigator", "reason", "severity") if c in selections.columns]
+    on = ["case_id", *([c for c in ("navigator",) if c in selections.columns and c in fetched.columns])]
+    rows = selections.join(gold, "case_id").join(fetched.select(*on, "context_characters", "source_characters"), on, "left")
     both = F.size(F.array_intersect("node_ids", "gold"))
     return rows.select(
-        "case_id", "status", F.size("node_ids").alias("selected"), (both / F.size("gold")).alias("recall"), (both == F.size("gold")).alias("exact"),
+        "case_id", *by, "status", F.size("node_ids").alias("selected"), (both / F.size("gold")).alias("recall"), (both == F.size("gold")).alias("exact"),
         (F.size(F.array_except("node_ids", "gold"))).alias("irrelevant"), F.coalesce(F.try_divide("context_characters", "source_characters"), F.lit(0.0)).alias("context_ratio"),
     )
 
 
 def evaluation_summary(rows: DataFrame) -> DataFrame:
-    """One row of means and counts; means over selected cases only stand beside those over all."""
+    """Means and counts, one row or one for each navigator; means over selected cases only stand beside those over all."""
     chosen = F.col("status") == "selected"
-    return rows.agg(
+    more = [F.count_if((F.col("severity") == "high") & ~F.col("exact")).alias("high_severity_misses")] if "severity" in rows.columns else []
+    return rows.groupBy(*(["navigator"] if "navigator" in rows.columns else [])).agg(
         F.count("*").alias("cases"), F.count_if("exact").alias("exact_coverage"), F.avg("recall").alias("mean_recall"), F.avg("selected").alias("mean_selected"),
         F.avg("irrelevant").alias("mean_irrelevant"), F.avg("context_ratio").alias("mean_context_ratio"), F.count_if(chosen).alias("selected_cases"),
         F.avg(F.when(chosen, F.col("selected"))).alias("mean_selected_when_selected"), F.count_if(F.col("status") == "abstained").alias("abstentions"),
-        F.count_if(F.col("status") == "failed").alias("failures"),
+        F.count_if(F.col("status") == "failed").alias("failures"), *more,
     )
+
+
+def histogram(rows: DataFrame, column: str) -> DataFrame:
+    """How often each status or reason is, by navigator where there is one."""
+    return rows.groupBy(*(["navigator"] if "navigator" in rows.columns else []), column).agg(F.count("*").alias("n"))
+
+
+def navigation_pack(seeds: DataFrame, docs: DataFrame, count: int, seed: int, unique_sources: bool = True, most: int = 3000, shuffle: str = "python") -> tuple[DataFrame, DataFrame]:
+    """Cases (case_id, doc, question, gold) of the first ``count`` seeds in seeded order, one for each source, and the nodes of their
+    documents. ``seeds``: seed_id, source_id, question, start, end; ``docs``: doc (a source_id), text. A seed without a node is not eligible;
+    too few eligible seeds are an error."""
+    nodes = paragraph_nodes(docs.join(seeds.select(F.col("source_id").alias("doc")).distinct(), "doc", "left_semi"), most)
+    cases = seeds.select(F.col("seed_id").alias("case_id"), F.col("source_id").alias("doc"), "question", F.col("start").alias("gold_start"), F.col("end").alias("gold_end"))
+    eligible = cases.join(gold_nodes(cases, nodes), "case_id")
+    chosen = stored(first_in_order(eligible, "case_id", count, seed, "doc" if unique_sources else None, shuffle).drop("place"))
+    if (found := chosen.count()) != count:
+        raise ValueError(f"only {found} navigation cases were eligible")
+    return chosen, nodes.join(chosen.select("doc").distinct(), "doc", "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import lexical_overlap
 from plumbline.operators.scoring import IRRELEVANT_KIND, RELEVANT_KINDS
+from plumbline.stored import stored
 
 # The rules of the negation flip, in order; the first that matches is applied once.
 FLIPS = [
@@ -60,6 +61,10 @@ def candidate_pairs(seeds: DataFrame) -> DataFrame:
     return rows.withColumn("candidate_id", ident).drop("d_question")
 
 
+#: So many ids may be put in the order of Python's generator; that is done on the driver.
+MAX_BATCH = 100_000
+
+
 def seeded_order(spark: SparkSession, ids: list[str], seed: int) -> DataFrame:
     """``id, place`` in the order of Python's seeded shuffle of the sorted ids. A control-plane list: the
     ids of a review batch."""
@@ -68,18 +73,30 @@ def seeded_order(spark: SparkSession, ids: list[str], seed: int) -> DataFrame:
     return spark.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), "id string, place int")
 
 
-def sample_candidates(candidates: DataFrame, count: int, seed: int, unique_sources: bool = True, envelope: int | None = None) -> DataFrame:
+def first_in_order(rows: DataFrame, key: str, count: int, seed: int, unique: str | None = None, shuffle: str = "python") -> DataFrame:
+    """The first ``count`` rows in seeded order with their ``place``, one for each value of ``unique``. With ``shuffle`` "python" the order is that of Python's
+    seeded shuffle, for batches of at most ``MAX_BATCH`` ids; with "digest" that of a hash of seed and id, for tables of any size."""
+    if shuffle == "python":
+        ids = [str(r[0]) for r in rows.select(key).distinct().limit(MAX_BATCH + 1).collect()]
+        if len(ids) > MAX_BATCH:
+            raise ValueError(f"more than {MAX_BATCH} ids are no batch; use the digest order")
+        order = seeded_order(rows.sparkSession, ids, seed)
+        rows = rows.join(order, F.col(key).cast("string") == F.col("id")).drop("id")
+    else:
+        rows = rows.withColumn("place", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
+    if unique is not None:
+        first = Window.partitionBy(unique).orderBy("place")
+        rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    return rows.orderBy("place").limit(count)
+
+
+def sample_candidates(candidates: DataFrame, count: int, seed: int, unique_sources: bool = True, envelope: int | None = None, shuffle: str = "python") -> DataFrame:
     """The first ``count`` candidates in seeded order, one for each source, whose two spans lie within
     ``envelope`` characters."""
     rows = candidates
     if envelope is not None:
         rows = rows.where(F.greatest("end", "d_end") - F.least("start", "d_start") <= envelope)
-    order = seeded_order(candidates.sparkSession, [r.candidate_id for r in rows.select("candidate_id").collect()], seed)
-    rows = rows.join(order, F.col("candidate_id") == F.col("id")).drop("id")
-    if unique_sources:
-        first = Window.partitionBy("source_id").orderBy("place")
-        rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-    return rows.orderBy("place").limit(count)
+    return first_in_order(rows, "candidate_id", count, seed, "source_id" if unique_sources else None, shuffle)
 
 
 def review_rows(candidates: DataFrame) -> DataFrame:
@@ -88,6 +105,25 @@ def review_rows(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("flip", flipped).withColumn("flip_rule", rule).where("flip is not null AND flip <> target_text")
 
 
+def review_manifest(candidates: DataFrame, sources: DataFrame, target: int, reserve: int, seed: int, limit: int, shuffle: str = "python") -> DataFrame:
+    """The first ``target`` plus ``reserve`` candidates in seeded order, one for each source, whose text can be negated and whose
+    two spans fit a window of ``limit`` characters; with the window, and ``role`` target or reserve. A source that is not there, or too few rows, are an error.
+    ``sources``: source_id, text."""
+    texts = sources.select("source_id", "text")
+    rows = review_rows(candidates).join(texts, "source_id", "left")
+    rows = rows.withColumn("text", F.coalesce("text", F.raise_error(F.concat(F.lit("missing candidate source: "), F.col("source_id").cast("string"))).cast("string")))
+    low, high = F.least("start", "d_start"), F.greatest("end", "d_end")
+    rows = rows.where(high - low <= limit)
+    begin = F.greatest(F.lit(0), F.least(low - F.floor((limit - (high - low)) / 2).cast("int"), F.length("text") - limit)).cast("int")
+    rows = rows.withColumn("context_start", begin).withColumn("context_end", F.least(F.length("text"), begin + limit).cast("int"))
+    rows = rows.withColumn("context_text", F.substring(F.col("text"), F.col("context_start") + 1, F.col("context_end") - F.col("context_start"))).drop("text")
+    chosen = stored(first_in_order(rows, "candidate_id", target + reserve, seed, "source_id", shuffle))
+    if (found := chosen.count()) != target + reserve:
+        raise ValueError(f"only {found} eligible rows for {target + reserve}")
+    place = F.row_number().over(Window.orderBy("place"))  # a batch
+    return chosen.withColumn("number", place).withColumn("role", F.when(F.col("number") <= target, "target").otherwise("reserve")).drop("place")
+
+
 def screen(suggestions: DataFrame, low: float, high: float) -> DataFrame:
     """``reasons`` against each suggestion; none means included. Needs ``irrelevant_decision,
     contradiction_decision, overlap, absent``."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import content_tokens
+from plumbline.stored import stored
+
 
 def judged(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """each gold case with its predicted status, ``missing`` where there is none."""
@@ -41,28 +44,33 @@ def binary_scores(rows: DataFrame) -> DataFrame:
     )
 
 
-def roc_auc(scored: DataFrame, score: str = "score", relevant: str = "relevant") -> DataFrame:
-    """H15 from counts of equal scores: a win for each irrelevant row below, half a win for each equal one.
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds for each of ``sums`` (new name: column) the sum over all rows up to and with each one in the order. Rows are dealt out by
+    ranges of the order, equal leading values too, and stored; a task adds up its own range, to which the sums of the ranges
+    before it are added, of which there are as many as shuffle partitions."""
+    spark = rows.sparkSession
+    dealt = stored(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__range", F.spark_partition_id()))
+    totals = dealt.groupBy("__range").agg(*(F.sum(c).alias(f"__{name}") for name, c in sums.items()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = totals.select("__range", *(F.coalesce(F.sum(f"__{name}").over(before), F.lit(0)).alias(f"__{name}") for name in sums))
+    own = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(F.broadcast(offsets), "__range")
+    return out.withColumns({name: F.sum(c).over(own) + F.col(f"__{name}") for name, c in sums.items()}).drop("__range", *(f"__{name}" for name in sums))
 
-    Distinct scores are summed up first; the running sum over them is by score range, so one task sees the
-    distinct scores of the table, not its rows.
-    """
+
+def roc_auc(scored: DataFrame, score: str = "score", relevant: str = "relevant") -> DataFrame:
+    """H15 from counts of equal scores: a win for each irrelevant row below, half a win for each equal one."""
     counts = scored.groupBy(score).agg(F.count_if(F.col(relevant)).alias("pos"), F.count_if(~F.col(relevant)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.select(F.col("pos") * (below + F.col("neg") / 2), "pos", "neg").toDF("won", "pos", "neg")
+    below = running(counts, [F.col(score)], {"upto": "neg"})
+    won = below.select(F.col("pos") * (F.col("upto") - F.col("neg") / 2), "pos", "neg").toDF("won", "pos", "neg")
     return won.agg(F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, case: str = "case_id", score: str = "score", relevant: str = "relevant") -> DataFrame:
-    """Mean precision at the relevant ranks; score falling, ties by case id. Ranks are those within
-    equal scores plus the rows of all higher scores, so only distinct scores meet in one task."""
-    counts = scored.groupBy(score).agg(F.count("*").alias("n"), F.count_if(F.col(relevant)).alias("pos"))
-    above = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(score, F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"), F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("hits_before"))
-    within = Window.partitionBy(score).orderBy(case)
-    ranked = scored.select(score, relevant, F.row_number().over(within).alias("place"), F.sum(F.col(relevant).cast("long")).over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
-    ranked = ranked.where(F.col(relevant)).join(counts, score)
-    return ranked.agg(F.avg((F.col("hits_before") + F.col("hits")) / (F.col("before") + F.col("place"))).alias("average_precision"))
+    """Mean precision at the relevant ranks; score falling, ties by case id, so that a score that many rows share is cut too."""
+    rows = scored.select(score, case, F.col(relevant).cast("long").alias("hit"), F.lit(1).cast("long").alias("one"))
+    ranked = running(rows, [F.desc(score), F.asc(case)], {"rank": "one", "hits": "hit"})
+    return ranked.where("hit = 1").agg(F.avg(F.col("hits") / F.col("rank")).alias("average_precision"))
 
 
 # The kinds of case of a group.
@@ -117,3 +125,54 @@ def group_shapes(cases: DataFrame) -> DataFrame:
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that are not unique."""
     return rows.groupBy(*keys).count().where("count > 1")
+
+
+def query_token_recall(question: Column, evidence: Column) -> Column:
+    """The lexical relevance scorer: the share of a question's content words that the evidence has; 0 without any."""
+    return token_recall(content_tokens(question), content_tokens(evidence))
+
+
+def token_recall(wanted: Column, held: Column) -> Column:
+    """G34 on token arrays."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(wanted, held)), F.size(wanted)), F.lit(0.0))
+
+
+def revalidated(runs: DataFrame, gold: DataFrame, predictions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``run_id, problem`` of recorded runs that do not hold: a repeated or malformed context, a prediction whose source hash is not its context's,
+    contexts and gold of different cases, a score or a completeness that the recorded rows do not give.
+
+    ``runs``: run_id, accuracy, complete; ``gold``: run_id, case_id, expected_status; ``predictions``: run_id, claim_id, status, source_sha256;
+    ``contexts``: run_id, case_id, sha256, characters.
+    """
+    digest = F.col("sha256").rlike("^[0-9a-f]{64}$")
+    repeated = contexts.groupBy("run_id", "case_id").count().where("count > 1").select("run_id", F.lit("repeated_context").alias("problem"))
+    malformed = contexts.where(~F.coalesce(digest & (F.col("characters") >= 1) & (F.length(F.trim("case_id")) > 0), F.lit(False))).select("run_id", F.lit("malformed_context").alias("problem"))
+    c = contexts.select("run_id", "case_id", F.col("sha256").alias("context_sha256")).distinct()
+    moved = predictions.withColumnRenamed("claim_id", "case_id").join(c, ["run_id", "case_id"], "left").where("NOT (source_sha256 <=> context_sha256)").select("run_id", F.lit("other_source").alias("problem"))
+    sides = gold.select("run_id", "case_id", F.lit(1).alias("g")).distinct().join(c.select("run_id", "case_id", F.lit(1).alias("c")), ["run_id", "case_id"], "full")
+    apart = sides.where("g is null OR c is null").select("run_id", F.lit("other_cases").alias("problem"))
+    judged_ = gold.join(predictions.select("run_id", F.col("claim_id").alias("case_id"), F.col("status").alias("actual")), ["run_id", "case_id"], "full")
+    correct = F.coalesce(F.col("expected_status") == F.col("actual"), F.lit(False))
+    known = F.coalesce(F.col("actual").isin("supported", "contradicted", "insufficient") & F.col("expected_status").isNotNull(), F.lit(False))
+    found = judged_.groupBy("run_id").agg((F.count_if(correct) / F.count("expected_status")).alias("again"), F.bool_and(known).alias("whole"))
+    both = runs.join(found, "run_id", "left")
+    score = both.where("NOT (round(accuracy, 9) <=> round(again, 9))").select("run_id", F.lit("other_score").alias("problem"))
+    complete = both.where("NOT (complete <=> whole)").select("run_id", F.lit("other_completeness").alias("problem"))
+    out = repeated
+    for more in (malformed, moved, apart, score, complete):
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def compared_runs(rows: DataFrame) -> DataFrame:
+    """One row for each run of ``rows`` (run_id, case_id, kind, expected_status, actual): three-way and binary accuracy, and the recalls. Runs over other cases than
+    the first run are an error."""
+    cases = rows.select("run_id", F.xxhash64("case_id", "kind", "expected_status").cast("decimal(38,0)").alias("h")).groupBy("run_id").agg(F.count("*").alias("n"), F.sum("h").alias("sum"))
+    one = cases.agg(F.count_distinct("n", "sum").alias("sets"))
+    want, got = F.col("expected_status") == "supported", F.coalesce(F.col("actual") == "supported", F.lit(False))
+    scores = rows.groupBy("run_id").agg(
+        F.count("*").alias("cases"), F.avg(F.coalesce(F.col("expected_status") == F.col("actual"), F.lit(False)).cast("double")).alias("three_way_accuracy"), F.avg((want == got).cast("double")).alias("binary_accuracy"),
+        F.avg(F.when(want, got.cast("double"))).alias("supported_recall"), F.avg(F.when(~want, (~got).cast("double"))).alias("unsupported_recall"),
+    )
+    same = F.when(F.col("sets") > 1, F.raise_error(F.lit("runs use different cases")).cast("boolean")).otherwise(True)
+    return scores.crossJoin(F.broadcast(one)).where(same).drop("sets")  # one row

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.canonical import snapshot_key
+from plumbline.sources.pages import page_text
 
 
 def read_texts(references: DataFrame, path: str) -> DataFrame:
@@ -33,34 +32,6 @@ def decoded(content: Column) -> Column:
     return run(content)
 
 
-class _Words(HTMLParser):
-    SILENT = ("script", "style", "noscript")
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found: list[str] = []
-        self.silent = 0
-
-    def handle_starttag(self, tag, attrs):
-        self.silent += tag in self.SILENT
-
-    def handle_endtag(self, tag):
-        if tag in self.SILENT and self.silent:
-            self.silent -= 1
-
-    def handle_data(self, data):
-        if not self.silent:
-            self.found.append(data)
-
-
-def page_text(html: str | None) -> str | None:
-    if html is None:
-        return None
-    words = _Words()
-    words.feed(html)
-    return " ".join(" ".join(words.found).split())
-
-
 def html_to_text(html: Column) -> Column:
     """A3: what a page says: no scripts and styles, entities decoded, white space collapsed."""
 
@@ -72,14 +43,17 @@ def html_to_text(html: Column) -> Column:
 
 
 def write_snapshots(sources: DataFrame, path: str) -> None:
-    """A4: source_id, uri, text, status, media_type as a table with each text's hash, by snapshot key."""
+    """A4: source_id, uri, text, status, media_type as a table with each text's hash, by snapshot key. Rows are
+    added; of those with one key the one fetched last counts."""
     rows = sources.select("source_id", "uri", "text", "fetched_at", "status", "media_type", F.sha2("text", 256).alias("sha256"), snapshot_key(F.col("uri")).alias("key"))
     rows.write.mode("append").parquet(path)
 
 
 def load_snapshots(references: DataFrame, path: str) -> DataFrame:
     """A5: each reference with its snapshot's text, or why there is none."""
-    s = references.sparkSession.read.parquet(path).select("uri", F.col("source_id").alias("s_id"), "text", "sha256", "fetched_at")
+    s = references.sparkSession.read.parquet(path)
+    last = Window.partitionBy("key").orderBy(F.desc("fetched_at"), "source_id", "sha256")
+    s = s.withColumn("n", F.row_number().over(last)).where("n = 1").select("uri", F.col("source_id").alias("s_id"), "text", "sha256", "fetched_at")
     rows = references.join(s, "uri", "left")
     bad = (F.col("s_id") != F.col("source_id")) | F.col("text").isNull() | (F.sha2("text", 256) != F.col("sha256"))
     failure = F.when(F.col("s_id").isNull(), "source_unreachable").when(bad, "source_changed")
