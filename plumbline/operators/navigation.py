@@ -288,11 +288,11 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(*(["navigator"] if "navigator" in rows.columns else []), column).agg(F.count("*").alias("n"))
 
 
-def navigation_pack(seeds: DataFrame, docs: DataFrame, count: int, seed: int, unique_sources: bool = True, most: int = 3000, shuffle: str = "python") -> tuple[DataFrame, DataFrame]:
+def navigation_pack(seeds: DataFrame, docs: DataFrame, count: int, seed: int, unique_sources: bool = True, most: int = 3000, shuffle: str = "python", lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Cases (case_id, doc, question, gold) of the first ``count`` seeds in seeded order, one for each source, and the nodes of their
     documents. ``seeds``: seed_id, source_id, question, start, end; ``docs``: doc (a source_id), text. A seed without a node is not eligible;
     too few eligible seeds are an error."""
-    nodes = paragraph_nodes(docs.join(seeds.select(F.col("source_id").alias("doc")).distinct(), "doc", "left_semi"), most)
+    nodes = paragraph_nodes(docs.join(seeds.select(F.col("source_id").alias("doc")).distinct(), "doc", "left_semi"), most, lines)
     cases = seeds.select(F.col("seed_id").alias("case_id"), F.col("source_id").alias("doc"), "question", F.col("start").alias("gold_start"), F.col("end").alias("gold_end"))
     eligible = cases.join(gold_nodes(cases, nodes), "case_id")
     chosen = stored(first_in_order(eligible, "case_id", count, seed, "doc" if unique_sources else None, shuffle).drop("place"))

@@ -47,7 +47,7 @@ def fetched_contexts(spark, sf_dir):
 
 @plans.add(
     """SELECT 'q' || doc_id AS case_id, CASE WHEN doc_id % 6 = 5 THEN 'abstained' ELSE 'failed' END AS status,
-  ['selector_error', 'budget', 'malformed', 'repeated', 'unknown_node', 'abstained'][doc_id % 6 + 1] AS reason FROM documents WHERE length(text) >= 300"""
+  ['selector_error', 'budget', 'malformed', 'repeated', 'unknown_node', 'abstained'][doc_id % 6 + 1] AS reason FROM documents WHERE regexp_matches(text, '\\S')"""
 )
 def recorded_selections(spark, sf_dir):
     """Recorded outputs that fail in each way there is."""

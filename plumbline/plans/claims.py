@@ -13,8 +13,8 @@ plans = Plans()
 QUERIES, ORACLE_SQL = plans.queries, plans.sql
 
 # Claims are made of documents: the remainder of doc_id by 7 says what is wrong with a claim.
-# 0 cites nothing; 1 has no excerpt; 2 has its blanks doubled; 3 is a text backwards;
-# 5 cites a paywalled source; 6 one that there is not; the others quote their source.
+# 0 cites nothing; 1 has no excerpt; 2 has its blanks doubled; 3 is a text backwards; 4 is the whole text with its first e
+# or every 20th character replaced; 5 cites a paywalled source; 6 one that there is not. Excerpts come from anywhere in the text.
 KINDS = ["unclassified", "company_assertion", "analyst_calculation", "analyst_inference"]
 
 
@@ -23,9 +23,13 @@ def claims_and_sources(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     m = F.col("doc_id") % 7
     source = F.concat(F.lit("s"), F.col("doc_id").cast("string"))
     uri = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
+    place = (F.col("doc_id") * 37 % F.greatest(F.lit(1), F.length("text") - 120)).cast("int") + 1
+    part, long = F.substring(F.col("text"), place, F.lit(120)), F.length("text") >= 200
+    often = F.regexp_replace("text", r"(?s)(.{19}).", "$1q")
     excerpt = (
-        F.when(m == 1, F.lit(None).cast("string")).when(m == 2, F.replace(F.substring("text", 11, 80), F.lit(" "), F.lit("  ")))
-        .when(m == 3, F.reverse(F.substring("text", 1, 80))).otherwise(F.substring("text", 21, 120))
+        F.when(m == 1, F.lit(None).cast("string")).when(m == 2, F.replace(part, F.lit(" "), F.lit("  ")))
+        .when(m == 3, F.reverse(part)).when((m == 4) & long & (F.col("doc_id") % 21 == 4), often).when((m == 4) & long, F.regexp_replace("text", "(?s)^([^e]*)e", "$1q"))
+        .otherwise(part)
     )
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 4 + 1).cast("int"))
     claims = docs.select(
@@ -40,12 +44,13 @@ _CLAIMS = f"""
 claims AS (
   SELECT doc_id AS claim_id, lang, text,
          CASE WHEN doc_id % 7 <> 0 THEN 's' || doc_id END AS source_id,
-         CASE WHEN doc_id % 7 = 1 THEN NULL WHEN doc_id % 7 = 2 THEN replace(substr(text, 11, 80), ' ', '  ')
-              WHEN doc_id % 7 = 3 THEN reverse(substr(text, 1, 80)) ELSE substr(text, 21, 120) END AS excerpt,
+         CASE WHEN doc_id % 7 = 1 THEN NULL WHEN doc_id % 7 = 2 THEN replace(part, ' ', '  ') WHEN doc_id % 7 = 3 THEN reverse(part)
+              WHEN doc_id % 7 = 4 AND length(text) >= 200 AND doc_id % 21 = 4 THEN regexp_replace(text, '(?s)(.{{19}}).', '\\1q', 'g')
+              WHEN doc_id % 7 = 4 AND length(text) >= 200 THEN regexp_replace(text, '(?s)^([^e]*)e', '\\1q') ELSE part END AS excerpt,
          CASE WHEN doc_id % 14 = 1 THEN 'page 1' END AS locator,
          ['unclassified', 'company_assertion', 'analyst_calculation', 'analyst_inference'][doc_id % 4 + 1] AS provenance_class,
          doc_id % 8 = 2 AS has_lineage
-  FROM documents
+  FROM (SELECT *, substr(text, (doc_id * 37 % greatest(1, length(text) - 120))::INTEGER + 1, 120) AS part FROM documents)
 ), placed AS (
   SELECT *, {norm_sql("excerpt")} AS n, {norm_sql("text")} AS h FROM claims
 ), verified AS (
@@ -55,7 +60,8 @@ claims AS (
          WHEN coalesce(excerpt, '') = '' THEN CASE WHEN locator IS NOT NULL THEN 'locator' ELSE 'no_excerpt' END
          WHEN n = '' OR h = '' OR contains(h, n) THEN 'exact' ELSE 'fuzzy' END AS method,
     CASE WHEN source_id IS NULL OR claim_id % 7 IN (5, 6) OR coalesce(excerpt, '') = '' THEN NULL
-         WHEN n <> '' AND h <> '' AND contains(h, n) THEN 'found' ELSE 'not_found' END AS anchor,
+         WHEN n <> '' AND h <> '' AND contains(h, n) THEN 'found'
+         WHEN claim_id % 7 = 4 AND length(text) >= 200 THEN CASE WHEN claim_id % 21 = 4 THEN 'ambiguous' ELSE 'found' END ELSE 'not_found' END AS anchor,
     CASE WHEN source_id IS NULL THEN NULL WHEN claim_id % 7 = 5 THEN 'source_paywalled' WHEN claim_id % 7 = 6 THEN 'source_unreachable' END AS failure
   FROM placed
 )"""
@@ -111,16 +117,28 @@ JOIN (SELECT doc_id, {norm_sql("text")} AS h FROM documents) d ON n <> '' AND co
 def exact_anchor_pairs(spark, sf_dir):
     needles = table(spark, sf_dir, "benchmark").select("item_id", normalise_anchor(F.col("text")).alias("needle"))
     docs = table(spark, sf_dir, "documents").select("doc_id", normalise_anchor(F.col("text")).alias("haystack"))
-    return anchor.substring_join(needles, docs, "needle", "haystack").select("item_id", "doc_id")
+    return anchor.substring_join(needles, docs, "needle", "haystack", "doc_id").select("item_id", "doc_id")
 
 
-@plans.add()
+@plans.add(
+    f"""SELECT doc_id, CASE WHEN {norm_sql("text")} = '' THEN 'not_found' WHEN length(text) < 200 THEN 'found' WHEN doc_id % 2 = 0 THEN 'ambiguous' ELSE 'found' END AS anchor,
+  CASE WHEN length(text) < 200 OR (doc_id % 2 = 1 AND NOT contains(text, 'e')) THEN 'exact' ELSE 'fuzzy' END AS method FROM documents"""
+)
 def fuzzy_anchor(spark, sf_dir):
-    """Excerpts of 160 characters with every 40th one replaced, in their own documents."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 200)
-    damaged = F.array_join(F.transform(F.split(F.substring("text", 11, 160), ""), lambda c, i: F.when(i % 40 == 39, "q").otherwise(c)), "")
-    pairs = docs.select("doc_id", damaged.alias("excerpt"), F.col("text").alias("source_text"))
-    return anchor.anchor_excerpts(pairs).select("doc_id", "anchor", "method", F.round("score", 9).alias("score"))
+    """Whole texts in themselves: every 20th character replaced (even ids), the first e (odd ids), short ones as they are."""
+    even = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", r"(?s)(.{19}).", "$1q")).otherwise(F.regexp_replace("text", "(?s)^([^e]*)e", "$1q"))
+    pairs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") >= 200, even).otherwise(F.col("text")).alias("excerpt"), F.col("text").alias("source_text"))
+    return anchor.anchor_excerpts(pairs).select("doc_id", "anchor", "method")
+
+
+@plans.add(
+    f"""SELECT doc_id, CASE WHEN length(text) < 100 THEN 'found' WHEN contains({norm_sql("text")}, '1239') THEN 'found' ELSE 'ambiguous' END AS anchor, CASE WHEN length(text) < 100 THEN 'exact' ELSE 'fuzzy' END AS method FROM documents"""
+)
+def numeric_guard(spark, sf_dir):
+    """An excerpt that is the source but for one digit of an amount is not found."""
+    amount = F.when(F.length("text") >= 100, " cost 1239 units").otherwise(" cost 1234 units")
+    pairs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", amount).alias("excerpt"), F.concat("text", F.lit(" cost 1234 units")).alias("source_text"))
+    return anchor.anchor_excerpts(pairs).select("doc_id", "anchor", "method")
 
 
 @plans.add(

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import merge_key
 from plumbline.operators import extraction as X
 from plumbline.plans.tools import Plans, table
 
@@ -76,12 +77,73 @@ UNION ALL SELECT 'severe_precision', severe, coalesce(severe >= 0.70, false) FRO
 UNION ALL SELECT 'probe_gap', NULL, false"""
 )
 def macro_f1_gate(spark, sf_dir):
-    p, g = predictions(spark, sf_dir), gold(spark, sf_dir)
-    scores = X.precision_recall(X.match_counts(p, g)).where("tp + fp + fn > 0").agg(F.avg("f1").alias("macro_f1"))
-    row = scores.crossJoin(grounding_rate(spark, sf_dir)).crossJoin(high_severity_precision(spark, sf_dir))  # one row each
+    """The matches are counted once; the severe categories are a sum over some of the counts."""
+    scores = X.precision_recall(X.match_counts(predictions(spark, sf_dir), gold(spark, sf_dir)))
+    severe = F.col("category").isin("c2", "c3")
+    scores = scores.agg(F.avg(F.when(F.col("tp") + F.col("fp") + F.col("fn") > 0, F.col("f1"))).alias("macro_f1"), *(F.coalesce(F.sum(F.when(severe, F.col(c))), F.lit(0)).alias(c) for c in ("tp", "fp")))
+    row = scores.crossJoin(grounding_rate(spark, sf_dir))  # one row each
     return X.gate(row.withColumn("probe_gap", F.lit(None).cast("double")))
 
 
+@plans.add(
+    f"""WITH {_LINES}, {_MATCH} SELECT doc, category, count(*) AS n FROM gold g
+WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.doc = g.doc AND hits.category = g.category AND hits.g_ord = g.ord) GROUP BY doc, category"""
+)
+def unmatched_gold(spark, sf_dir):
+    """H8: gold that no prediction matches."""
+    return X.unmatched_gold(predictions(spark, sf_dir), gold(spark, sf_dir))
+
+
+@plans.add(
+    f"""WITH {_LINES}, {_MATCH} SELECT DISTINCT doc, category FROM gold g
+WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.doc = g.doc AND hits.category = g.category AND hits.g_ord = g.ord) ORDER BY doc, category LIMIT 20"""
+)
+def missed_pairs(spark, sf_dir):
+    """I4: the report of the first 20 (doc, category) with missed gold."""
+    return X.missed_pairs(predictions(spark, sf_dir), gold(spark, sf_dir))
+
+
+_ALTERED = "CASE WHEN ord % 3 = 0 THEN quote || ' not there' ELSE quote END"
+
+
+@plans.add(
+    f"""WITH {_LINES}, q AS (SELECT doc, category, {_ALTERED} AS quote FROM pred WHERE trim({_ALTERED}) <> '')
+SELECT q.doc, category, substr(trim(regexp_replace(quote, '\\s+', ' ', 'g')), 1, 80) AS head FROM q JOIN documents d ON d.doc_id = q.doc
+WHERE NOT contains({_NORM.format('d.text')}, {_NORM.format('quote')}) ORDER BY 1, 2, 3 LIMIT 10"""
+)
+def ungrounded_report(spark, sf_dir):
+    """The report of the first ten quotes that their document does not hold."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    altered = F.when(F.col("ord") % 3 == 0, F.concat("quote", F.lit(" not there"))).otherwise(F.col("quote"))
+    return X.ungrounded(X.grounding(predictions(spark, sf_dir).withColumn("quote", altered), docs))
+
+
+@plans.add(f"WITH {_LINES} SELECT doc, category, ord::INTEGER AS ord FROM pred WHERE category IN ('c1', 'c3')")
+def allowed_findings(spark, sf_dir):
+    """Findings of a pack that has two of the four categories."""
+    pack = spark.createDataFrame([("c1",), ("c3",), ("other",), ("c1",)], "category string")
+    return X.allowed(predictions(spark, sf_dir), pack).select("doc", "category", "ord")
+
+
+@plans.add(
+    """WITH a AS (SELECT conv_id AS file, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS l FROM conversations), b AS (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS g FROM documents)
+SELECT DISTINCT file FROM (SELECT * FROM a WHERE length(l) >= 25) JOIN (SELECT DISTINCT substr(g, (length(g) // 3)::INTEGER + 1, 40) AS g FROM b UNION SELECT l || ' and more' FROM a WHERE file % 5 = 0) ON length(g) >= 25 AND (contains(l, g) OR contains(g, l))"""
+)
+def literal_overlap(spark, sf_dir):
+    """Conversations as files of literals, 40 characters out of the middle of each document and some longer texts as gold."""
+    literals = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), F.col("text").alias("literal"))
+    low = merge_key(F.col("text"))
+    spans = table(spark, sf_dir, "documents").select(F.substring(low, (F.length(low) / 3).cast("int") + 1, F.lit(40)).alias("span"))
+    longer = literals.where("file % 5 = 0").select(F.concat(merge_key(F.col("literal")), F.lit(" and more")).alias("span"))
+    return X.literal_overlap(literals, spans.union(longer))
+
+
+@plans.add("SELECT conv_id AS file, count(*) AS literals FROM conversations WHERE length(text) >= 12 GROUP BY 1 HAVING count(*) > 4")
+def over_capacity(spark, sf_dir):
+    """Conversations as files with more than four literals."""
+    return X.over_capacity(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), F.col("text").alias("literal")), 4)
+
+
 @plans.add(
     """WITH l AS (SELECT doc_id AS doc, generate_subscripts(p, 1) - 1 AS ord, unnest(p) AS quote FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
 k AS (SELECT *, 'c' || ((ord + 1) % 2) AS category FROM l)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import NAVIGATION_STOP, content_tokens
 from plumbline.operators import navigation as N
+from plumbline.operators.scoring import token_recall
 from plumbline.plans.tools import Plans, table
+from plumbline.stored import stored
 
 plans = Plans()
 QUERIES, ORACLE_SQL = plans.queries, plans.sql
@@ -23,11 +25,12 @@ nodes AS (SELECT doc, {_ID} AS node_id, n = 1 AND s = 0 AND e = length(text) AS
 _WORDS = "list_filter(list_distinct(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-z0-9]+')), lambda t: NOT list_contains({}, t))"
 _STOP = str(NAVIGATION_STOP)
 _CHOSEN = f"""
-cases AS (SELECT 'q' || doc_id AS case_id, doc_id AS doc, text, {_WORDS.format("substr(text, 101, 80)", _STOP)} AS q FROM documents WHERE length(text) >= 300),
+cases AS (SELECT 'q' || doc_id AS case_id, doc_id AS doc, text, low, least(length(text), low + 80) AS high, {_WORDS.format("substr(text, low + 1, 80)", _STOP)} AS q
+  FROM (SELECT *, (doc_id * 41 % greatest(1, length(text) - 80))::INTEGER AS low FROM documents WHERE regexp_matches(text, '\\S'))),
 scored AS (SELECT case_id, node_id, s, e, len(list_intersect(q, {_WORDS.format("title", _STOP)}))::DOUBLE / len(q) AS score FROM cases JOIN nodes USING (doc) WHERE len(q) > 0),
 top AS (SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, s, node_id) <= 3),
 chosen AS (SELECT case_id, count(node_id) AS selected, list(node_id ORDER BY s, node_id) FILTER (node_id IS NOT NULL) AS node_ids, coalesce(sum(e - s) + 2 * (count(node_id) - 1), 0) AS characters FROM cases LEFT JOIN top USING (case_id) GROUP BY case_id),
-gold AS (SELECT case_id, list(node_id) AS gold, any_value(length(text)) AS total FROM cases JOIN nodes USING (doc) WHERE s < 180 AND 100 < e GROUP BY case_id),
+gold AS (SELECT case_id, list(node_id) AS gold, any_value(length(cases.text)) AS total FROM cases JOIN nodes USING (doc) WHERE s < high AND low < e GROUP BY case_id),
 evaluated AS (SELECT case_id, CASE WHEN selected > 0 THEN 'selected' ELSE 'abstained' END AS status, selected::INTEGER AS selected, len(list_intersect(coalesce(node_ids, []), gold))::DOUBLE / len(gold) AS recall,
   len(list_intersect(coalesce(node_ids, []), gold)) = len(gold) AS exact, (selected - len(list_intersect(coalesce(node_ids, []), gold)))::INTEGER AS irrelevant, characters::DOUBLE / total AS context_ratio FROM chosen JOIN gold USING (case_id))"""
 
@@ -37,20 +40,47 @@ def documents(spark, sf_dir):
 
 
 def nodes(spark, sf_dir):
-    """Every line is a node, however long."""
-    return N.paragraph_nodes(documents(spark, sf_dir), 1 << 30, lines=True)
+    """Every line is a node, however long; written out, as selection, gold and fetching all read them."""
+    return stored(N.paragraph_nodes(documents(spark, sf_dir), LINE, lines=True))
+
+
+#: Longer than any line.
+LINE = 1 << 20
 
 
 def cases(spark, sf_dir):
-    """A case for each document of 300 characters or more: its question are characters 101 to 180."""
-    docs = documents(spark, sf_dir).where(F.length("text") >= 300)
-    return docs.select(F.concat(F.lit("q"), F.col("doc").cast("string")).alias("case_id"), "doc", F.substring("text", 101, 80).alias("question"), F.lit(100).alias("gold_start"), F.lit(180).alias("gold_end"))
+    """A case for each document that is not blank: its question are 80 characters from anywhere in it, high severity for every third."""
+    docs = documents(spark, sf_dir).where(F.col("text").rlike(r"\S"))
+    low = (F.col("doc") * 41 % F.greatest(F.lit(1), F.length("text") - 80)).cast("int")
+    docs = docs.withColumn("gold_start", low).withColumn("gold_end", F.least(F.length("text"), low + 80))
+    return docs.select(
+        F.concat(F.lit("q"), F.col("doc").cast("string")).alias("case_id"), "doc", F.substring(F.col("text"), F.col("gold_start") + 1, F.lit(80)).alias("question"), "gold_start", "gold_end",
+        F.when(F.col("doc") % 3 == 0, "high").otherwise("low").alias("severity"),
+    )
 
 
-@plans.add()
+_BREAK = "replace(text, '. ', '.' || chr(10) || ' ' || chr(10))"
+
+
+@plans.add(
+    f"""WITH p AS (SELECT doc, generate_subscripts(l, 1) AS i, unnest(l) AS part FROM (SELECT doc_id AS doc, string_split_regex({_BREAK}, '\\n[ \\t]*\\n') AS l FROM documents)),
+q AS (SELECT doc, i, regexp_replace(part, '^\\s+|\\s+$', '', 'g') AS piece FROM p)
+SELECT doc, count(*)::BIGINT AS nodes, sum(length(piece))::BIGINT AS characters, sha256(string_agg(piece, chr(1) ORDER BY i)) AS pieces FROM q WHERE piece <> '' GROUP BY doc HAVING max(length(piece)) <= 3000"""
+)
 def paragraph_nodes(spark, sf_dir):
-    """Nodes of at most 1000 characters."""
-    return N.paragraph_nodes(documents(spark, sf_dir), 1000, lines=True)
+    """Paragraphs between blank lines, one after each sentence; documents whose paragraphs need no cut (D5) are compared."""
+    docs = documents(spark, sf_dir).select("doc", F.replace("text", F.lit(". "), F.lit(".\n \n")).alias("text"))
+    found = N.paragraph_nodes(docs, 3000).where("selectable").select("doc", "start", "end", "number")
+    whole = docs.where(F.array_max(F.transform(F.split("text", r"\n[ \t]*\n"), lambda p: F.length(F.regexp_replace(p, r"^\s+|\s+$", "")))) <= 3000)
+    rows = found.join(whole, "doc").withColumn("piece", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "piece"))), lambda x: x["piece"]), "\u0001")
+    return rows.groupBy("doc").agg(F.count("*").alias("nodes"), F.sum(F.length("piece")).cast("long").alias("characters"), F.sha2(joined, 256).alias("pieces"))
+
+
+@plans.add()
+def cut_nodes(spark, sf_dir):
+    """Lines cut into nodes of at most 256 characters; what the pieces are is tested against a walk over each line."""
+    return N.paragraph_nodes(documents(spark, sf_dir), 256, lines=True)
 
 
 @plans.add(f'WITH {_NODES} SELECT doc, node_id, number, title, s AS start, e AS "end" FROM nodes')
@@ -63,12 +93,38 @@ def line_nodes(spark, sf_dir):
 FROM documents WHERE regexp_matches(text, '\\S')"""
 )
 def root_node_ids(spark, sf_dir):
-    return N.paragraph_nodes(documents(spark, sf_dir)).where("parent_id is null").select("doc", "node_id")
+    return N.root_ids(documents(spark, sf_dir))
 
 
-@plans.add("SELECT NULL::BIGINT AS doc, NULL::VARCHAR AS rule, NULL::VARCHAR AS node_id WHERE false")
+@plans.add(
+    f"""WITH {_NODES}, t AS (SELECT doc, number, node_id, s, e, max(number) OVER (PARTITION BY doc) AS n FROM nodes WHERE NOT single)
+SELECT doc, 'outside_parent' AS rule, node_id FROM t WHERE number = 1 AND doc % 5 = 0
+UNION ALL SELECT doc, 'unknown_parent', node_id FROM t WHERE number = 1 AND doc % 5 = 1
+UNION ALL SELECT doc, 'repeated_id', node_id FROM t WHERE number = 1 AND doc % 5 = 2
+UNION ALL SELECT doc, 'cycle', node_id FROM t WHERE number <= 2 AND n >= 2 AND doc % 5 = 3
+UNION ALL SELECT doc, 'outside_parent', node_id FROM t WHERE number <= 2 AND n >= 2 AND doc % 5 = 3"""
+)
 def tree_integrity(spark, sf_dir):
-    return N.tree_violations(nodes(spark, sf_dir))
+    """Trees that are broken by the first or the first two children, in a way that doc_id says."""
+    own, m = nodes(spark, sf_dir), F.col("doc") % 5
+    first, second = (own.where(f"number = {n} and parent_id is not null").select("doc", F.col("node_id").alias(c)) for n, c in ((1, "one"), (2, "two")))
+    rows = own.join(first, "doc", "left").join(second, "doc", "left")
+    is_one, is_two = F.col("node_id") == F.col("one"), F.col("node_id") == F.col("two")
+    child = F.col("parent_id").isNotNull()
+    parent = F.when((m == 1) & is_one & child, "nowhere").when((m == 3) & F.col("two").isNotNull() & is_one & child, F.col("two")).when((m == 3) & is_two & child, F.col("one")).otherwise(F.col("parent_id"))
+    rows = rows.withColumn("parent_id", parent).withColumn("end", F.when((m == 0) & is_one & child, F.col("end") + 10**8).otherwise(F.col("end"))).withColumn("copies", F.when((m == 2) & is_one & child, 2).otherwise(1))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return N.tree_violations(rows.select("doc", "node_id", "parent_id", "start", "end"))
+
+
+@plans.add(
+    f"""WITH {_NODES} SELECT doc, string_agg('["n",' || to_json(title)::VARCHAR || ',true,[]]', ',' ORDER BY s) AS inner_nodes FROM nodes WHERE NOT single GROUP BY doc"""
+)
+def tree_surfaces(spark, sf_dir):
+    """The children of each document's tree, their handles left out (`node_handles` has those)."""
+    own = N.tree_surface(nodes(spark, sf_dir)).where(~F.col("surface").endswith(",true,[]]]") | (F.length(F.regexp_extract("surface", r",false,\[(?s:.*)\]\]\]$", 0)) > 0))
+    inner = F.regexp_extract("surface", r"(?s),false,\[(.*)\]\]\]$", 1)
+    return own.where(F.length(inner) > 0).select("doc", F.regexp_replace(inner, '"n[0-9]+"', '"n"').alias("inner_nodes"))
 
 
 @plans.add(f"WITH {_NODES}, {_CHOSEN} SELECT case_id, CASE WHEN selected > 0 THEN 'selected' ELSE 'abstained' END AS status, array_to_string(coalesce(node_ids, []), ',') AS node_ids FROM chosen")
@@ -104,7 +160,68 @@ SELECT q.conv_id, q.turn, coalesce(len(list_intersect(q.t, a.t))::DOUBLE / nulli
 )
 def lexical_relevance(spark, sf_dir):
     """Share of a user turn's words that the assistant's next turn has."""
-    turns = table(spark, sf_dir, "conversations").withColumn("t", content_tokens(F.col("text")))
+    turns = stored(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", content_tokens(F.col("text")).alias("t")))
     q = turns.where("role = 'user'").select("conv_id", "turn", "t")
     a = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("a"))
-    return q.join(a, ["conv_id", "turn"]).select("conv_id", "turn", F.coalesce(F.try_divide(F.size(F.array_intersect("t", "a")), F.size("t")), F.lit(0.0)).alias("relevance"))
+    return q.join(a, ["conv_id", "turn"]).select("conv_id", "turn", token_recall(F.col("t"), F.col("a")).alias("relevance"))
+
+
+def by_navigator(spark, sf_dir):
+    """Three navigators over every case: all nodes, the lexical one, and recorded outputs (every fourth fails, every fourth takes too many)."""
+    n, c = nodes(spark, sf_dir), cases(spark, sf_dir)
+
+    def recorded(nodes_, cases_):
+        first = nodes_.where("selectable").groupBy("doc").agg(F.min_by("node_id", F.struct("start", "node_id")).alias("first"))
+        rows, m = cases_.join(first, "doc"), F.col("doc") % 4
+        ids = F.when(m == 0, F.lit(None)).when(m == 1, F.array("first")).when(m == 2, F.array().cast("array<string>")).otherwise(F.array("first", F.lit("x"), F.lit("y")))
+        out = rows.select("case_id", ids.cast("array<string>").alias("node_ids"), F.lit(10).alias("input_tokens"), F.lit(1).alias("output_tokens"), F.when(m == 0, "timeout").alias("error"))
+        return N.select_recorded(out, nodes_, cases_, 2, 100)
+
+    runs = stored(N.run_navigators(c, n, {"all": N.select_all, "lexical": lambda a, b: N.select_lexical(a, b, 3), "recorded": recorded}))
+    fetched = N.fetch_nodes(runs, c, n, documents(spark, sf_dir))
+    return N.evaluate(runs.join(c.select("case_id", "severity"), "case_id"), N.gold_nodes(c, n), fetched)
+
+
+_RUNS = f"""
+gold_ AS (SELECT case_id, doc, list(node_id) AS gold, any_value(length(cases.text)) AS total FROM cases JOIN nodes USING (doc) WHERE s < high AND low < e GROUP BY case_id, doc),
+firsts AS (SELECT doc, arg_min(node_id, s) AS first, min(s) AS s, arg_min(e, s) AS e FROM nodes GROUP BY doc),
+answers AS (
+  SELECT case_id, 'all' AS navigator, 'selected' AS status, 'selected' AS reason, list(node_id) AS ids, sum(e - s) + 2 * (count(*) - 1) AS characters FROM cases JOIN nodes USING (doc) GROUP BY case_id
+  UNION ALL SELECT case_id, 'lexical', CASE WHEN selected > 0 THEN 'selected' ELSE 'abstained' END, CASE WHEN selected > 0 THEN 'selected' ELSE 'abstained' END, coalesce(node_ids, []), characters FROM chosen
+  UNION ALL SELECT case_id, 'recorded', ['failed', 'selected', 'abstained', 'failed'][doc % 4 + 1], ['selector_error', 'selected', 'abstained', 'too_many'][doc % 4 + 1], CASE WHEN doc % 4 = 1 THEN [first] ELSE [] END, CASE WHEN doc % 4 = 1 THEN e - s ELSE 0 END FROM cases JOIN firsts USING (doc)
+), evaluated_ AS (SELECT case_id, navigator, status, reason, doc, len(ids) AS selected, len(list_intersect(ids, gold))::DOUBLE / len(gold) AS recall, len(list_intersect(ids, gold)) = len(gold) AS exact,
+  len(ids) - len(list_intersect(ids, gold)) AS irrelevant, CASE WHEN len(ids) > 0 THEN characters::DOUBLE / total ELSE 0 END AS context_ratio FROM answers JOIN gold_ USING (case_id))"""
+
+
+@plans.add(
+    f"""WITH {_NODES}, {_CHOSEN}, {_RUNS} SELECT navigator, count(*) AS cases, count(*) FILTER (exact) AS exact_coverage, round(avg(recall), 9) AS mean_recall, round(avg(selected), 9) AS mean_selected, round(avg(irrelevant), 9) AS mean_irrelevant,
+  round(avg(context_ratio), 9) AS mean_context_ratio, count(*) FILTER (status = 'selected') AS selected_cases, round(avg(selected) FILTER (status = 'selected'), 9) AS mean_selected_when_selected,
+  count(*) FILTER (status = 'abstained') AS abstentions, count(*) FILTER (status = 'failed') AS failures, count(*) FILTER (doc % 3 = 0 AND NOT exact) AS high_severity_misses FROM evaluated_ GROUP BY navigator"""
+)
+def navigator_comparison(spark, sf_dir):
+    """The summary of each navigator."""
+    out = N.evaluation_summary(by_navigator(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 9) for c in out.columns if c.startswith("mean_")})
+
+
+@plans.add(f"WITH {_NODES}, {_CHOSEN}, {_RUNS} SELECT navigator, reason, count(*) AS n FROM evaluated_ GROUP BY ALL")
+def navigator_reasons(spark, sf_dir):
+    """The histogram of reasons."""
+    return N.histogram(by_navigator(spark, sf_dir), "reason")
+
+
+@plans.add(f"WITH {_NODES}, {_CHOSEN} SELECT case_id, array_to_string(list(node_id ORDER BY s, node_id), ',') AS node_ids FROM cases JOIN nodes USING (doc) GROUP BY case_id")
+def all_nodes(spark, sf_dir):
+    """Full injection."""
+    return N.select_all(nodes(spark, sf_dir), cases(spark, sf_dir)).select("case_id", F.array_join("node_ids", ",").alias("node_ids"))
+
+
+@plans.add(
+    f"""WITH {_NODES}, {_CHOSEN} SELECT case_id, len(gold)::INTEGER AS gold FROM gold ORDER BY sha256('7:' || case_id) LIMIT 25"""
+)
+def navigation_pack(spark, sf_dir):
+    """A pack of 25 cases in seeded order."""
+    docs = documents(spark, sf_dir)
+    seeds = cases(spark, sf_dir).select(F.col("case_id").alias("seed_id"), F.col("doc").alias("source_id"), "question", F.col("gold_start").alias("start"), F.col("gold_end").alias("end"))
+    chosen, _ = N.navigation_pack(seeds, docs, 25, 7, most=LINE, lines=True, shuffle="digest")
+    return chosen.select("case_id", F.size("gold").alias("gold"))
