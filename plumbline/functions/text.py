@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.isspace sees it, for Java's regular expressions.
 SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+#: The same characters one by one, for trimming.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Word characters as Python's \w sees them.
 WORD = r"[\p{L}\p{N}_]"
 

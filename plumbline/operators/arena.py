@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import collapse, emission_key, sentences_of_line
 from plumbline.operators.decisions import first_match
 from plumbline.sources.pages import page_lines
+from plumbline.stored import stored
 
 SECTION = "\x1e"
 
@@ -77,10 +78,10 @@ def _page_lines(html: Column) -> Column:
 def sentences(docs: DataFrame, html: bool = False, key: str = "doc") -> DataFrame:
     """``key, section, ordinal, text``. Sections count headings so far, ordinals sentences from 1."""
     lines = docs.select(key, F.posexplode(plain_lines(F.col("text"), html)).alias("line", "raw"))
-    lines = lines.withColumn("raw", F.when(F.ltrim("raw").startswith(SECTION), F.concat(F.lit(SECTION), collapse(F.replace("raw", F.lit(SECTION), F.lit(" "))))).otherwise(collapse(F.col("raw"))))
-    lines = lines.where(F.length("raw") > 0).withColumn("head", F.col("raw").startswith(SECTION).cast("int"))
+    # the costly white-space rules come behind the exchange, where a document's lines are spread
+    lines = lines.withColumn("head", F.ltrim("raw").startswith(SECTION).cast("int"))
     section = F.sum("head").over(Window.partitionBy(key).orderBy("line"))
-    lines = lines.withColumn("section", section).withColumn("raw", F.trim(F.replace("raw", F.lit(SECTION), F.lit(""))))
+    lines = lines.withColumn("section", section).withColumn("raw", collapse(F.replace("raw", F.lit(SECTION), F.lit(" ")))).where(F.length("raw") > 0)
     parts = lines.select(key, "section", "line", F.posexplode(sentences_of_line(F.col("raw"))).alias("part", "text"))
     ordinal = F.row_number().over(Window.partitionBy(key).orderBy("line", "part"))
     return parts.withColumn("ordinal", ordinal).select(key, "section", "ordinal", "text")
@@ -133,12 +134,12 @@ def contexts(stream: DataFrame, targets: DataFrame, profile: Profile, key: str =
 def emit_tasks(docs: DataFrame, profile: Profile, html: bool = False, key: str = "doc") -> DataFrame:
     """``key, task_id, assertion, context, location, trigger, section`` of each triggered sentence, the
     first of those with one C6 key, numbered in text order."""
-    stream = sentences(docs, html, key)
+    stream = stored(sentences(docs, html, key))
     rows = stream.where(F.length("text").between(profile.least, profile.most) & ~F.col("text").rlike(f"(?i){META}"))
     rows = rows.withColumn("trigger", trigger(F.col("text"), profile)).where("trigger is not null")
     first = Window.partitionBy(key, emission_key(F.col("text"))).orderBy("ordinal")
     rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-    rows = rows.withColumn("task_id", F.concat(F.lit("x"), F.row_number().over(Window.partitionBy(key).orderBy("ordinal")).cast("string")))
+    rows = stored(rows.withColumn("task_id", F.concat(F.lit("x"), F.row_number().over(Window.partitionBy(key).orderBy("ordinal")).cast("string"))))
     with_context = contexts(stream, rows.select(key, "section", "ordinal"), profile, key).drop("section")
     location = F.format_string("sentence %d, section %d", "ordinal", "section")
     return rows.join(with_context, [key, "ordinal"]).select(key, "task_id", F.col("text").alias("assertion"), "context", location.alias("location"), "trigger", "section")

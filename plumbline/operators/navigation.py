@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import NAVIGATION_STOP, SPACE, content_tokens, node_title
+from plumbline.functions.text import NAVIGATION_STOP, SPACE, SPACES, content_tokens, node_title
 from plumbline.operators.decisions import first_match
 from plumbline.operators.probes import first_in_order
 from plumbline.stored import stored
@@ -52,8 +52,8 @@ def line_spans(docs: DataFrame, most: int) -> DataFrame:
     """``doc, piece, start, number`` of the pieces of each line that is not blank, number from 1. All within Java: what a piece uses up
     of the text is added up over the pieces before it."""
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", f"^{SPACE}+", ""))
-    solid = F.regexp_replace("raw", f"^{SPACE}+|{SPACE}+$", "")
+    lead = F.length("raw") - F.length(F.ltrim(F.col("raw"), F.lit(SPACES)))
+    solid = F.trim(F.col("raw"), F.lit(SPACES))
     cuts = F.when(F.length(solid) <= most, F.array(solid)).otherwise(F.regexp_extract_all(solid, F.lit(cut_rule(most).replace(r"\s", SPACE).replace(r"\Z", r"\z")), 0))
     lines = lines.select("doc", "line", F.length("raw").alias("size"), lead.alias("lead"), F.when(F.length(solid) > 0, cuts).alias("cuts"))
     parts = lines.select("doc", "line", "size", "lead", F.size("cuts").alias("n"), F.posexplode_outer("cuts").alias("part", "cut"))
@@ -66,7 +66,7 @@ def line_spans(docs: DataFrame, most: int) -> DataFrame:
     )
     parts = parts.withColumn("used", used)
     before = F.coalesce(F.sum("used").over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    piece = F.regexp_replace("cut", f"^{SPACE}+", "")
+    piece = F.ltrim(F.col("cut"), F.lit(SPACES))
     start = before + F.when(first, F.col("lead")).otherwise(0) + F.length("cut") - F.length(piece)
     parts = parts.select("doc", "line", "part", piece.alias("piece"), start.cast("int").alias("start")).where("piece is not null")
     return parts.withColumn("number", F.row_number().over(of)).select("doc", "piece", "start", "number")
@@ -74,7 +74,7 @@ def line_spans(docs: DataFrame, most: int) -> DataFrame:
 
 def root_ids(docs: DataFrame) -> DataFrame:
     """``doc, node_id`` of the root of each text that is not blank."""
-    rows = docs.where(F.length(F.regexp_replace("text", SPACE, "")) > 0).select("doc", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"))
+    rows = docs.where(F.length(F.trim(F.col("text"), F.lit(SPACES))) > 0).select("doc", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"))
     return rows.select("doc", node_id(F.col("sha"), F.lit(0), F.col("n"), F.col("sha")).alias("node_id"))
 
 
@@ -86,7 +86,7 @@ def paragraph_nodes(docs: DataFrame, most: int = 3000, lines: bool = False) -> D
     """
     if most < 256:
         raise ValueError("a node has room for 256 characters at least")
-    rows = docs.where(F.length(F.regexp_replace("text", SPACE, "")) > 0)
+    rows = docs.where(F.length(F.trim(F.col("text"), F.lit(SPACES))) > 0)
     heads = rows.select("doc", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"), node_title(F.col("text"), UNTITLED).alias("own_title"))
     if lines:
         parts = line_spans(rows, most)
