@@ -8,17 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.canonical import unordered_sha256, with_hash
+from plumbline.functions.canonical import canonical_json, unordered_sha256, with_hash
 from plumbline.operators import anchor, decisions, extraction, scoring, spans
 from plumbline.policies import DomainPack, SupportPolicy
 from plumbline.sources import readers
 
-DECISION = "label string, confidence double, reason string, spans array<struct<start:int,end:int,text:string>>, error string"
+DECISION = "label string, confidence double, reason string, spans array<struct<start:int,end:int,text:string>>, error string, signal string"
 
 
 def detector(assess: Callable[[str, str, str | None], dict]) -> Callable[[Column, Column, Column], Column]:
-    """Extension point: a detector of one's own as a column of decisions. A row whose call fails has the error's
-    name and nothing else; the others are not touched by it."""
+    """Extension point (L1, L2): a detector of one's own as a column of decisions. It returns a decision, or a decision and a signal, which is
+    kept as canonical JSON. A row whose call fails has the error's name and nothing else; the others are not touched by it."""
 
     @F.pandas_udf(DECISION)
     def run(sources: pd.Series, claims: pd.Series, questions: pd.Series) -> pd.DataFrame:
@@ -26,10 +26,12 @@ def detector(assess: Callable[[str, str, str | None], dict]) -> Callable[[Column
         for source, claim, question in zip(sources, claims, questions, strict=True):
             try:
                 d = assess(source, claim, question)
-                out.append({"label": d["label"], "confidence": d.get("confidence"), "reason": d.get("reason"), "spans": d.get("spans") or [], "error": None})
+                d, signal = d if isinstance(d, tuple) else (d, None)
+                said = None if signal is None else canonical_json(signal)
+                out.append({"label": d["label"], "confidence": d.get("confidence"), "reason": d.get("reason"), "spans": d.get("spans") or [], "error": None, "signal": said})
             except Exception as problem:  # noqa: BLE001  the row's outcome is that the detector failed
-                out.append({"label": None, "confidence": None, "reason": None, "spans": [], "error": type(problem).__name__})
-        return pd.DataFrame(out, columns=["label", "confidence", "reason", "spans", "error"])
+                out.append({"label": None, "confidence": None, "reason": None, "spans": [], "error": type(problem).__name__, "signal": None})
+        return pd.DataFrame(out, columns=["label", "confidence", "reason", "spans", "error", "signal"])
 
     return run
 

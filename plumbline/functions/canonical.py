@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import json
 from typing import Any
@@ -105,6 +106,16 @@ def component_sha256(source_text: str, claim_text: str, question: str) -> Column
     return digest(source_text, claim_text, question)
 
 
+def profile_sha256(profile: Any) -> str:
+    """M5: the hash of a profile or policy, a dataclass whose fields JSON has a form for."""
+    return sha256_json(dataclasses.asdict(profile))
+
+
+def text_sha256(text: Column) -> Column:
+    """M6: the hash of a formula or a question as it stands."""
+    return F.sha2(text, 256)
+
+
 def snapshot_key(uri: Column) -> Column:
     """A4: 24 hex digits of the uri's hash."""
     return F.substring(F.sha2(uri, 256), 1, 24)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,3 +158,37 @@ def even_chunks(text: Column, sentences: Column, budget: int = 350) -> Column:
     each = F.greatest(F.floor(F.size(own) / (F.floor(words / budget) + 1)).cast("int"), F.lit(1))
     firsts = F.sequence(F.lit(1), F.size(own), each)
     return F.transform(firsts, lambda i: F.array_join(F.slice(own, i, each), " "))
+
+
+def segments_with(docs: DataFrame, key: str, segment: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+    """L7, extension point: ``key, seq, start, end, segment`` by a segmenter of one's own, which gives (start, end) pairs for a text."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b} for a, b in segment(t or "")] for t in texts])
+
+    rows = docs.select(key, "text", F.posexplode(run("text")).alias("seq", "s"))
+    return rows.select(key, "seq", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("segment"))
+
+
+def compare_segmenters(docs: DataFrame, quotes: DataFrame, key: str, size: int, overlap: int, segment: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+    """The measures (H20) of each document under fixed windows (``baseline``) and under another segmenter (``candidate``), over the same
+    documents and quotes (``key, quote``). Segments that do not hold, and a text without any, are an error."""
+    texts = docs.select(key, "text")
+    spots = quotes.select(key, "quote").distinct().join(texts, key).select(key, F.sha2("quote", 256).alias("quote"), F.length("quote").alias("n"), F.posexplode(overlapping_offsets(F.col("text"), F.col("quote"))).alias("occurrence", "start"))
+    spots = spots.withColumn("end", F.col("start") + F.col("n"))
+    out = None
+    for name, own in (("baseline", fixed_windows(texts, key, size=size, overlap=overlap)), ("candidate", segments_with(texts, key, segment))):
+        if not invalid_segments(own, texts, key, size).isEmpty() or not texts.where(F.length("text") > 0).join(own, key, "left_anti").isEmpty():
+            raise ValueError(f"the {name} segments do not hold")
+        places = own.select(key, "start", "end")
+        rows = segment_measures(texts, own, key).join(quote_measures(spots, places, key, "quote"), key, "left").fillna(0, ["grounded", "contained", "cut", "duplicate_exposures"])
+        rows = rows.withColumn("segmenter", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def comparison_summary(rows: DataFrame) -> DataFrame:
+    """One row for each segmenter."""
+    sums = [F.sum(c).cast("long").alias(c) for c in ("segments", "grounded", "contained", "cut", "duplicate_exposures")]
+    return rows.groupBy("segmenter").agg(F.count_if("several").alias("several"), F.min("covered_solid_ratio").alias("least_solid_ratio"), *sums)

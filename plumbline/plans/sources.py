@@ -59,10 +59,10 @@ def page_claims(spark, sf_dir):
 
 @plans.add(
     """SELECT doc_id AS doc, 'c1' AS claim_id, 'https://x.org/' || doc_id AS uri, CASE WHEN doc_id % 2 = 0 THEN t END AS excerpt, CASE WHEN doc_id % 2 = 1 THEN t END AS locator, CASE WHEN doc_id % 3 = 0 THEN 'Why so?' END AS question
-FROM (SELECT doc_id, trim(regexp_replace(substr(text, 1, 40), '[^A-Za-z]+', ' ', 'g')) AS t FROM documents) WHERE t <> ''"""
+FROM (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS t FROM documents) WHERE t <> ''"""
 )
 def markdown_claims(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.trim(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z]+", " ")).alias("t")).where("t <> ''")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")).alias("t")).where("t <> ''")
     kind = F.when(F.col("doc") % 2 == 0, "quote").otherwise("locator")
     question = F.when(F.col("doc") % 3 == 0, "<!-- evidence-question: Why so? -->").otherwise("")
     text = F.concat(F.lit("# Head\nA **claim** [label](https://x.org/"), F.col("doc").cast("string"), F.lit(")<!-- evidence-"), kind, F.lit(": "), "t", F.lit(" -->"), question, F.lit(" end."))
@@ -102,6 +102,10 @@ def claim_hashes(spark, sf_dir):
     return rows.select("conv_id", "turn", canonical.input_sha256("text", "question", "sha").alias("input_sha256"))
 
 
-@plans.add()
+@plans.add(
+    """WITH h AS (SELECT sha256('{"doc_id":' || coalesce(doc_id::VARCHAR, 'null') || ',"quality":' || coalesce(quality::VARCHAR, 'null') || ',"toxic":' || coalesce(toxic::VARCHAR, 'null') || '}') AS h FROM labels),
+d AS (SELECT greatest(0, ceil(log2(greatest(1, count(*)) / 4096.0) / 4))::INTEGER AS digits FROM h), g AS (SELECT substr(h, 1, digits) AS part, sha256(string_agg(h, '' ORDER BY h)) AS h, any_value(digits) AS digits FROM h, d GROUP BY 1)
+SELECT CASE WHEN max(digits) = 0 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY part)) END AS sha256 FROM g"""
+)
 def unordered_table_hash(spark, sf_dir):
     return canonical.unordered_sha256(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic")

@@ -42,6 +42,26 @@ def html_to_text(html: Column) -> Column:
     return run(html)
 
 
+def resolve_with(references: DataFrame, resolve) -> DataFrame:
+    """L5, extension point: a resolver of one's own, called with each uri; it returns a text or raises. What it raises on is
+    ``source_unreachable``, a PermissionError ``source_paywalled``."""
+
+    @F.pandas_udf("struct<text:string,failure:string>")
+    def run(uris: pd.Series) -> pd.DataFrame:
+        out = []
+        for uri in uris:
+            try:
+                text = resolve(uri)
+                out.append((text, None if text is not None else "source_unreachable"))
+            except PermissionError:
+                out.append((None, "source_paywalled"))
+            except Exception:  # noqa: BLE001  one source's failure is that row's outcome
+                out.append((None, "source_unreachable"))
+        return pd.DataFrame(out, columns=["text", "failure"])
+
+    return references.withColumn("r", run("uri")).select("*", "r.text", "r.failure").drop("r")
+
+
 def write_snapshots(sources: DataFrame, path: str) -> None:
     """A4: source_id, uri, text, status, media_type as a table with each text's hash, by snapshot key. Rows are
     added; of those with one key the one fetched last counts."""
