@@ -18,15 +18,26 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def third():
+    """Where the second third of a text begins."""
+    return F.expr("int(length(text) div 3)")
+
+
+def part(characters):
+    """So many characters of a text from its second third on."""
+    return F.substring(F.col("text"), third() + 1, F.lit(characters))
+
+
 @plans.add(
-    """SELECT doc_id, i AS start, fits, CASE WHEN fits THEN w END AS window_start, CASE WHEN fits THEN least(length(text), w + 300) END AS window_end FROM (
-  SELECT doc_id, text, i::INTEGER AS i, 250 + doc_id % 100 <= 300 AS fits, greatest(0, least(10 - floor((300 - (250 + doc_id % 100)) / 2)::INTEGER, length(text) - 300))::INTEGER AS w FROM documents, (VALUES (10), (200)) v(i) WHERE length(text) >= 400)"""
+    """WITH d AS (SELECT doc_id, length(text) AS n, length(text) // 10 AS low, length(text) // 2 + length(text) // 4 AS high FROM documents)
+SELECT doc_id, i::INTEGER AS start, high - low <= 300 AS fits, CASE WHEN high - low <= 300 THEN greatest(0, least(low - floor((300 - (high - low)) / 2), n - 300))::INTEGER END AS window_start,
+  CASE WHEN high - low <= 300 THEN least(n, greatest(0, least(low - floor((300 - (high - low)) / 2), n - 300)) + 300)::INTEGER END AS window_end FROM (SELECT *, unnest([low, n // 2]) AS i FROM d)"""
 )
 def shared_windows(spark, sf_dir):
-    """One window of 300 characters for a document's spans at 10 and at 200."""
-    docs = documents(spark, sf_dir).where(F.length("text") >= 400)
-    rows = docs.select("doc_id", F.length("text").alias("length"), F.explode(F.array(F.lit(10), F.lit(200))).alias("start"))
-    rows = rows.withColumn("end", F.when(F.col("start") == 10, 20).otherwise(260 + F.col("doc_id") % 100).cast("int"))
+    """One window of 300 characters for two spans of each document, at its tenth part and at its middle."""
+    n = F.length("text")
+    parts = F.array(*(F.struct(F.expr(f"int(length(text) div {k})").alias("start"), F.expr(end).alias("end")) for k, end in ((10, "int(length(text) div 10 + length(text) div 20)"), (2, "int(length(text) div 2 + length(text) div 4)"))))
+    rows = documents(spark, sf_dir).select("doc_id", n.alias("length"), F.explode(parts).alias("p")).select("doc_id", "length", "p.start", "p.end")
     out = spans.shared_windows(rows, "doc_id", 300)
     return out.select("doc_id", "start", "fits", F.when(F.col("fits"), F.col("window_start")).alias("window_start"), F.when(F.col("fits"), F.col("window_end")).alias("window_end"))
 
@@ -57,9 +68,9 @@ def recorded_selections(spark, sf_dir):
     return navigation.select_recorded(out, nav.nodes(spark, sf_dir), c, 5, 32_768).select("case_id", "status", "reason")
 
 
-@plans.add("SELECT doc_id FROM documents WHERE contains(text, CASE WHEN doc_id % 2 = 0 THEN substr(text, 5, 30) ELSE reverse(substr(text, 5, 30)) END)")
+@plans.add("SELECT doc_id FROM documents WHERE contains(text, CASE WHEN doc_id % 2 = 0 THEN substr(text, length(text) // 3 + 1, 30) ELSE reverse(substr(text, length(text) // 3 + 1, 30)) END)")
 def verbatim_quotes(spark, sf_dir):
-    quote = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 5, 30)).otherwise(F.reverse(F.substring("text", 5, 30)))
+    quote = F.when(F.col("doc_id") % 2 == 0, part(30)).otherwise(F.reverse(part(30)))
     return extraction.verbatim(documents(spark, sf_dir).withColumn("quote", quote), "text", "quote").select("doc_id")
 
 
@@ -72,18 +83,18 @@ def task_triggers(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", arena.trigger(text, PROFILE).alias("kind"))
 
 
-@plans.add("SELECT doc_id, doc_id % 3 <> 0 AS valid FROM documents WHERE length(text) >= 20")
+@plans.add("SELECT doc_id, doc_id % 3 <> 0 AS valid FROM documents")
 def detector_spans_valid(spark, sf_dir):
-    docs = documents(spark, sf_dir).where(F.length("text") >= 20)
-    span = F.struct(F.lit(3).alias("start"), F.lit(9).alias("end"), F.when(F.col("doc_id") % 3 == 0, F.lit("#")).otherwise(F.substring("text", 4, 6)).alias("text"))
+    docs = documents(spark, sf_dir)
+    span = F.struct(third().alias("start"), (third() + F.length(part(6))).alias("end"), F.when(F.col("doc_id") % 3 == 0, F.lit("##")).otherwise(part(6)).alias("text"))
     return docs.select("doc_id", decisions.spans_valid(F.array(span), F.col("text")).alias("valid"))
 
 
-@plans.add("SELECT 'd' || doc_id AS source_id FROM documents WHERE length(text) >= 20 AND doc_id % 4 IN (1, 2)")
+@plans.add("SELECT 'd' || doc_id AS source_id FROM documents WHERE doc_id % 4 IN (1, 2)")
 def span_violations(spark, sf_dir):
-    docs = documents(spark, sf_dir).where(F.length("text") >= 20).withColumn("source_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    docs = documents(spark, sf_dir).withColumn("source_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     m = F.col("doc_id") % 4
-    rows = docs.select("source_id", F.sha2(F.when(m == 1, "other").otherwise(F.col("text")), 256).alias("source_sha256"), F.lit(2).alias("start"), F.lit(8).alias("end"), F.when(m == 2, "#").otherwise(F.substring("text", 3, 6)).alias("span_text"))
+    rows = docs.select("source_id", F.sha2(F.when(m == 1, "other").otherwise(F.col("text")), 256).alias("source_sha256"), third().alias("start"), (third() + F.length(part(6))).alias("end"), F.when(m == 2, "##").otherwise(part(6)).alias("span_text"))
     return probes.span_violations(rows, docs).select("source_id")
 
 
@@ -111,11 +122,11 @@ def foreign_keys(spark, sf_dir):
 
 
 @plans.add(
-    """SELECT substr(sha256('g' || doc_id || ':' || k.kind), 1, 24) AS case_id, k.kind AS kind, k.status AS expected_status, CASE k.kind WHEN 'verbatim_supported' THEN substr(text, 1, 30) WHEN 'paraphrase_supported' THEN 'p' WHEN 'contradicted' THEN 'f' ELSE 'c' END AS claim_text
+    """SELECT substr(sha256('g' || doc_id || ':' || k.kind), 1, 24) AS case_id, k.kind AS kind, k.status AS expected_status, CASE k.kind WHEN 'verbatim_supported' THEN substr(text, length(text) // 3 + 1, 30) WHEN 'paraphrase_supported' THEN 'p' WHEN 'contradicted' THEN 'f' ELSE 'c' END AS claim_text
 FROM documents, (VALUES ('verbatim_supported', 'supported'), ('paraphrase_supported', 'supported'), ('contradicted', 'contradicted'), ('present_irrelevant', 'insufficient')) k(kind, status)"""
 )
 def probe_cases(spark, sf_dir):
-    groups = documents(spark, sf_dir).select(F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("group_id"), F.substring("text", 1, 30).alias("target_text"), F.lit("p").alias("paraphrase"), F.lit("f").alias("flip"), F.lit("c").alias("claim_text"))
+    groups = documents(spark, sf_dir).select(F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("group_id"), part(30).alias("target_text"), F.lit("p").alias("paraphrase"), F.lit("f").alias("flip"), F.lit("c").alias("claim_text"))
     return probes.probe_cases(groups).select("case_id", "kind", "expected_status", "claim_text")
 
 
@@ -207,7 +218,7 @@ def misplaced_claims(spark, sf_dir):
     d = F.col("doc_id")
     rows = documents(spark, sf_dir).select(
         "doc_id", F.col("text").alias("source_text"), F.when(d % 2 == 0, "verbatim_supported").otherwise("contradicted").alias("kind"),
-        F.when((d % 4 == 2) | (d % 4 == 3), F.substring("text", 1, 9)).otherwise(F.lit("\u0001never")).alias("claim_text"),
+        F.when((d % 4 == 2) | (d % 4 == 3), part(9)).otherwise(F.lit("\u0001never")).alias("claim_text"),
     )
     bad = probes.misplaced_claims(rows).select("doc_id", F.lit(True).alias("bad"))
     return rows.join(bad, "doc_id", "left").select("doc_id", F.coalesce("bad", F.lit(False)).alias("misplaced"))

@@ -66,18 +66,18 @@ def quote_occurrences_overlapping(spark, sf_dir):
 
 
 def quotes(spark, sf_dir):
-    """Where each document's characters 441 to 520 stand (they cross a window's end)."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 520).withColumn("quote", F.substring("text", 441, 80))
+    """Where the 80 characters from each document's middle on stand."""
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0).withColumn("quote", F.expr("substring(text, int(length(text) div 2) + 1, 80)"))
     found = docs.withColumn("found", spans.offsets(F.col("text"), F.col("quote")))
     found = found.select("doc_id", F.sha2("quote", 256).alias("quote_sha256"), F.length("quote").alias("n"), F.posexplode("found").alias("occurrence", "start"))
     return found.withColumnRenamed("quote_sha256", "quote").withColumn("end", F.col("start") + F.col("n"))
 
 
 @plans.add(
-    f"""WITH {_WINDOWS}, q AS (SELECT doc_id, text, substr(text, 441, 80) AS quote FROM documents WHERE length(text) >= 520),
+    f"""WITH {_WINDOWS}, q AS (SELECT doc_id, text, substr(text, length(text) // 2 + 1, 80) AS quote FROM documents WHERE length(text) > 0),
 p AS (SELECT doc_id, quote, string_split(text, quote) AS parts FROM q),
-o AS (SELECT doc_id, quote, i, (list_sum(list_transform(parts[:i], lambda x: length(x))) + (i - 1) * 80)::INTEGER AS s FROM (SELECT *, unnest(generate_series(1, len(parts) - 1)) AS i FROM p)),
-h AS (SELECT o.doc_id, i, count(*) FILTER (w.s <= o.s AND o.s + 80 <= w.e) AS n FROM o JOIN windows w USING (doc_id) GROUP BY o.doc_id, i)
+o AS (SELECT doc_id, quote, i, (list_sum(list_transform(parts[:i], lambda x: length(x))) + (i - 1) * length(quote))::INTEGER AS s FROM (SELECT *, unnest(generate_series(1, len(parts) - 1)) AS i FROM p)),
+h AS (SELECT o.doc_id, i, count(*) FILTER (w.s <= o.s AND o.s + length(o.quote) <= w.e) AS n FROM o JOIN windows w USING (doc_id) GROUP BY o.doc_id, i)
 SELECT doc_id, 1::BIGINT AS grounded, (max(n) > 0)::BIGINT AS contained, (max(n) = 0)::BIGINT AS cut, (CASE WHEN max(n) > 0 THEN sum(greatest(n - 1, 0)) ELSE 0 END)::BIGINT AS duplicate_exposures FROM h GROUP BY doc_id"""
 )
 def quote_boundary_cuts(spark, sf_dir):
@@ -85,18 +85,21 @@ def quote_boundary_cuts(spark, sf_dir):
     return spans.quote_measures(found, windows_of(spark, sf_dir)[1], "doc_id", "quote")
 
 
-@plans.add(f"WITH {_WINDOWS} SELECT doc_id, seq FROM windows WHERE s < 700 AND 430 < e AND length(text) >= 520")
+@plans.add(f"WITH {_WINDOWS} SELECT doc_id, seq FROM windows WHERE s < length(text) // 3 + 270 AND length(text) // 3 < e")
 def span_overlap_pairs(spark, sf_dir):
     docs, windows = windows_of(spark, sf_dir)
-    targets = docs.where(F.length("text") >= 520).select("doc_id", F.lit(430).alias("b_start"), F.lit(700).alias("b_end"))
+    targets = docs.select("doc_id", F.expr("int(length(text) div 3)").alias("b_start"), F.expr("int(length(text) div 3) + 270").alias("b_end"))
     return spans.overlapping_pairs(windows, targets, "doc_id").select("doc_id", "seq")
 
 
 @plans.add(
-    """SELECT doc_id, low::INTEGER AS low, high::INTEGER AS high, substr(text, low + 1, high - low) AS context FROM (SELECT doc_id, text, least(length(text), greatest(0, 300 - 40) + 200) AS high,
-  greatest(0, least(length(text), greatest(0, 300 - 40) + 200) - 200) AS low FROM documents WHERE length(text) >= 420)"""
+    """WITH d AS (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS s, least(length(text), length(text) // 2 + 120) AS e FROM documents),
+h AS (SELECT *, least(n, greatest(0, s - greatest(0, 200 - (e - s)) // 2) + greatest(200, e - s)) AS high FROM d)
+SELECT doc_id, greatest(0, high - greatest(200, e - s))::INTEGER AS low, high::INTEGER AS high, substr(text, greatest(0, high - greatest(200, e - s)) + 1, high - greatest(0, high - greatest(200, e - s))) AS context FROM h"""
 )
 def context_windows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 420)
-    low, high, text = spans.context_window(F.col("text"), F.lit(300), F.lit(420), 200)
+    """200 characters around the 120 from each document's middle on."""
+    docs = table(spark, sf_dir, "documents")
+    start = F.expr("int(length(text) div 2)")
+    low, high, text = spans.context_window(F.col("text"), start, F.least(F.length("text"), start + 120), 200)
     return docs.select("doc_id", low.alias("low"), high.alias("high"), text.alias("context"))

@@ -1,0 +1,212 @@
+"""Operators against their rules stated again: pages, cut nodes, joins, sums, hashes, extension points."""
+
+import random
+import re
+from html import unescape
+from html.parser import HTMLParser
+from pathlib import Path
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline import engine
+from plumbline.functions import canonical
+from plumbline.functions.text import casefold
+from plumbline.operators import anchor, arena, extraction, navigation, scoring, spans
+from plumbline.sources import pages, readers
+
+PAGES = Path("/root/testdata/sf0.001/pages.parquet")
+
+
+def rows(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+class Parsed(HTMLParser):
+    """What the library's own parser finds outside silent elements."""
+
+    def reset(self):
+        super().reset()
+        self.data, self.hidden = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript"):
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            self.hidden.remove(tag)
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.data.append(data)
+
+
+def some_pages():
+    odd = ["", "a <3 b &copy; 2 &#8212; x &amp;amp; y", "<p>a<br>b</p><!-- <b>no</b> --> c", "<style>p{}</style><noscript>n</noscript>d <a title='x > y'>e</a>", "plain &lt;b&gt; text", "<DIV Class='a'>x</DIV\n>y<img/>z", "<script>if (a < b) '</p>'</script>t"]
+    return odd + (pd.read_parquet(PAGES)["html"].tolist() if PAGES.exists() else [])
+
+
+def test_page_text_equals_the_parser_of_the_library():
+    for page in some_pages():
+        own = Parsed()
+        own.feed(page)
+        own.close()
+        assert readers.page_text(page) == " ".join(" ".join(own.data).split()), page[:200]
+    assert readers.page_text(None) is None
+
+
+def test_page_lines_decode_every_entity_and_keep_every_word():
+    for page in some_pages():
+        lines = pages.page_lines(page, "\x1e")
+        plain = re.sub(r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ", page)
+        words = unescape(re.sub(r"""(?s)<[/a-zA-Z!](?:"[^"]*"|'[^']*'|[^'">])*>""", " ", plain)).split()
+        assert " ".join(lines).replace("\x1e", " ").split() == words
+    marked = pages.page_lines("<h1>One &middot; two</h1><p>three<br>four</p><div class='big slide'>five</div><section>six", "#")
+    assert [x.strip() for x in marked if x.strip()] == ["#One · two", "three", "four", "#five", "#six"]
+
+
+def walk(text, start, end, most):
+    """Up to the last blank in the second half of what fits, else all that fits; then past white space."""
+    out = []
+    while end > start:
+        stop = end
+        if end - start > most:
+            blanks = [i for i in range(start + most // 2, start + most) if text[i] == " "]
+            stop = blanks[-1] if blanks else start + most
+        out.append((start, stop))
+        start = stop
+        while start < end and text[start].isspace():
+            start += 1
+    return out
+
+
+def odd_texts():
+    rng = random.Random(3)
+    return ["".join(rng.choices("abc  \n\n\t.é", k=rng.randint(0, 3000))) for _ in range(25)] + ["x" * 1500, " " * 900 + "y", "a " * 800, "a\n" + "b" * 256 + " " + "c" * 300, "　z \x1c\n\xa0"]
+
+
+def test_cut_lines_equal_a_walk(spark):
+    texts = odd_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    got = {i: [] for i in range(len(texts))}
+    for r in navigation.line_spans(docs, 256).orderBy("doc", "number").collect():
+        got[r.doc].append((r.start, r.start + len(r.piece)))
+        assert texts[r.doc][r.start : r.start + len(r.piece)] == r.piece
+    for i, text in enumerate(texts):
+        want, at = [], 0
+        for line in text.split("\n"):
+            if line.strip():
+                want += walk(text, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), 256)
+            at += len(line) + 1
+        assert got[i] == want
+
+
+def test_cut_paragraphs_equal_a_walk():
+    for text in odd_texts():
+        want = []
+        for m in re.finditer(r"\S[\s\S]*?(?=\r?\n[ \t]*\r?\n|\Z)", text):
+            want += walk(text, m.start(), m.start() + len(m.group().rstrip()), 256)
+        assert navigation.paragraph_spans(text, 256) == want
+
+
+def test_tree_surface_nests_children(spark):
+    nodes = [("d", "r", None, 0, 9, "Root", False), ("d", "a", "r", 0, 4, 'A "q"', True), ("d", "b", "r", 5, 9, "B", True), ("d", "c", "a", 1, 2, "C", True), ("e", "s", None, 0, 1, "S", True)]
+    got = navigation.tree_surface(spark.createDataFrame(nodes, "doc string, node_id string, parent_id string, start int, end int, title string, selectable boolean"))
+    assert rows(got, "doc", "surface") == [("d", '[["n0002","Root",false,[["n0001","A \\"q\\"",true,[["n0003","C",true,[]]]],["n0004","B",true,[]]]]]'), ("e", '[["n0001","S",true,[]]]')]
+
+
+def test_substring_join_with_short_needles(spark):
+    texts = ["the cat sat on the mat", "category theory", "a b c", "no hit at all", "x", ""]
+    needles = ["cat", "at", "a", "he c", "cat sat on", "mat", "theory", "the cat sat on the mat", "zz", "", "b c"]
+    got = anchor.substring_join(spark.createDataFrame([(n,) for n in needles], "n string"), spark.createDataFrame(list(enumerate(texts)), "i int, h string"), "n", "h", "i")
+    assert sorted((r.i, r.n) for r in got.collect()) == sorted((i, n) for i, h in enumerate(texts) for n in needles if n and n in h)
+
+
+def test_literal_overlap_holds_both_ways(spark):
+    a = spark.createDataFrame([("f", "x" * 10 + "The quick brown fox jumps over"), ("g", "quick brown fox jumps over the"), ("h", "nothing in common with these at all"), ("i", "short")], "file string, literal string")
+    b = spark.createDataFrame([("the quick  brown fox JUMPS over",), ("He said: Quick brown fox jumps over the dog",), ("short",)], "span string")
+    assert rows(extraction.literal_overlap(a, b), "file") == [("f",), ("g",)]
+
+
+def test_running_sums_cross_ranges(spark):
+    data = [(i, i % 7, 1) for i in range(500)]
+    got = scoring.running(spark.createDataFrame(data, "i int, k int, one int"), [F.col("k"), F.col("i")], {"n": "one"})
+    assert sorted((r.k, r.i, r.n) for r in got.collect()) == [(k, i, n) for n, (k, i) in enumerate(sorted((k, i) for i, k, _ in data), 1)]
+
+
+def test_average_precision_of_one_score_for_all(spark):
+    """All ties: the order is that of the ids, over as many tasks as there are ranges."""
+    df = spark.range(100_000).selectExpr("id AS case_id", "0.5D AS score", "id % 4 = 0 AS relevant")
+    want = sum((i // 4 + 1) / (i + 1) for i in range(0, 100_000, 4)) / 25_000
+    assert scoring.average_precision(df).first().average_precision == pytest.approx(want)
+    assert scoring.roc_auc(df).first().roc_auc == pytest.approx(0.5)
+
+
+def test_tree_hash_follows_the_rows(spark):
+    big = spark.range(9_000).selectExpr("id AS i")
+    one = canonical.unordered_sha256(big, "i").first().sha256
+    assert one == canonical.unordered_sha256(big.orderBy(F.desc("i")).repartition(5), "i").first().sha256
+    assert one != canonical.unordered_sha256(big.where("i <> 7"), "i").first().sha256
+    assert canonical.unordered_sha256(big.limit(0), "i").first().sha256
+
+
+def test_self_rulings_stop_the_adjudication(spark):
+    tasks = spark.createDataFrame([("a",)], "task_id string")
+    attacks = spark.createDataFrame([("a", "l1", "x", "s0")], "task_id string, lens string, attack string, session_id string")
+    own = spark.createDataFrame([("a", "l1", "lands", "f1", "s0")], "task_id string, lens string, ruling string, model_family string, session_id string")
+    with pytest.raises(Exception, match="no ruling is possible"):
+        arena.adjudicate(tasks, attacks, own, ["l1"], 1).collect()
+
+
+def test_navigators_answer_each_case_once(spark):
+    nodes = spark.createDataFrame([("d", "n1", "price", 0, 5, True)], "doc string, node_id string, title string, start int, end int, selectable boolean")
+    cases = spark.createDataFrame([("q", "d", "price?"), ("z", "d", "other")], "case_id string, doc string, question string")
+    got = navigation.run_navigators(cases, nodes, {"lexical": navigation.select_lexical, "all": navigation.select_all})
+    assert rows(got, "case_id", "navigator", "status") == [("q", "all", "selected"), ("q", "lexical", "selected"), ("z", "all", "selected"), ("z", "lexical", "abstained")]
+    with pytest.raises(Exception, match="not one answer"):
+        navigation.run_navigators(cases, nodes, {"some": lambda n, c: navigation.select_all(n, c.where("case_id = 'q'"))}).collect()
+
+
+def test_segmenters_must_hold(spark):
+    docs = spark.createDataFrame([("d", "x" * 30 + "TARGET" + "y" * 14)], "doc string, text string")
+    quotes = spark.createDataFrame([("d", "TARGET"), ("d", "absent")], "doc string, quote string")
+    got = spans.compare_segmenters(docs, quotes, "doc", 20, 5, lambda t: [(0, 20), (20, 33), (33, len(t))])
+    assert rows(got, "segmenter", "segments", "grounded", "contained", "cut") == [("baseline", 3, 1, 1, 0), ("candidate", 3, 1, 0, 1)]
+    with pytest.raises(ValueError):
+        spans.compare_segmenters(docs, quotes, "doc", 20, 5, lambda t: [(0, 40)])
+
+
+def test_extension_points(spark):
+    df = spark.createDataFrame([("s", "c", "q"), ("t", "boom", "q")], "s string, c string, q string")
+
+    def assess(source, claim, question):
+        if claim == "boom":
+            raise ValueError
+        return {"label": "supported", "confidence": 0.5}, {"b": 1, "a": "é"}
+
+    got = {r.c: r.d for r in df.withColumn("d", engine.detector(assess)(F.col("s"), F.col("c"), F.col("q"))).collect()}
+    assert got["c"].signal == '{"a":"\\u00e9","b":1}' and got["boom"].error == "ValueError" and got["boom"].signal is None
+
+    def resolve(uri):
+        if uri == "p":
+            raise PermissionError
+        return {"a": "text"}[uri]
+
+    refs = spark.createDataFrame([("a",), ("p",), ("z",)], "uri string")
+    assert rows(readers.resolve_with(refs, resolve), "uri", "text", "failure") == [("a", "text", None), ("p", None, "source_paywalled"), ("z", None, "source_unreachable")]
+    assert canonical.profile_sha256(arena.Profile()) != canonical.profile_sha256(arena.Profile(least=31))
+
+
+def test_snapshots_of_one_key(spark, tmp_path):
+    for text, at in (("old", "2024-01-01"), ("new", "2024-02-01")):
+        readers.write_snapshots(spark.createDataFrame([("1", "u", text, at, 200, "text/plain")], "source_id string, uri string, text string, fetched_at string, status int, media_type string"), str(tmp_path / "s"))
+    refs = spark.createDataFrame([("1", "u")], "source_id string, uri string")
+    assert rows(readers.load_snapshots(refs, str(tmp_path / "s")), "uri", "text", "failure") == [("u", "new", None)]
+
+
+def test_casefold_paths(spark):
+    texts = ["Plain ASCII", "Größe ÄÖÜ ß", "ﬁ ſ ŉ ǰ ΐ", "Σίσυφος ΣΑΣ", "İstanbul", "Ꭰ ꭰ", "日本 ÉÈ – “x”", "", None]
+    got = {r.i: r.c for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", casefold(F.col("t")).alias("c")).collect()}
+    assert [got[i] for i in range(len(texts))] == [None if t is None else t.casefold() for t in texts]
