@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, prepare, table
+from plumbline.llm.common import cut, done, prepare, table
 
 SENTENCES = 2
 WORDS = 15
@@ -219,6 +219,7 @@ def substring_dedup(docs: DataFrame, sentences: int = SENTENCES, least_words: in
     )
     again = found.select("hi", "lo", "row", "first").join(repeated, ["hi", "lo"]).where("NOT (row = o_row AND first = o_first)")
     covered = cut(again.groupBy("row").agg(F.collect_list("first").alias("firsts")))  # bounded by the row's text
+    done(repeated)
     schema = "doc_id long, text string, removed int, removed_spans array<struct<start:int,stop:int>>"
     return texts.join(covered, "row", "left").select("doc_id", "text", "firsts").mapInArrow(_removed(sentences, least_words, long), schema)
 
