@@ -22,8 +22,9 @@ _OTHER = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
 class Encoder:
     """``encode(text)`` gives uint32 ids without special tokens.
 
-    Ranks give the ids of ordinary texts. A text that spells an added token, or has
-    characters on which two versions of Unicode may differ, goes to the tokenizer itself.
+    Ranks give the ids of ordinary texts. A text that spells an added token, has
+    characters on which two versions of Unicode may differ, or has a run of white space that is too long for
+    the ranks' pattern goes to the tokenizer itself.
     """
 
     def __init__(self, tokenizer: str, ranks: str):
@@ -41,7 +42,10 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         if (text.isascii() or not _OTHER.search(text)) and not any(t in text for t in self.added):
-            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError:  # its pattern's stack does not hold a run of about a million white spaces
+                pass
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

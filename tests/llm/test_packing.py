@@ -23,6 +23,13 @@ def test_ids_equal_the_tokenizer_on_odd_texts(exact):
         assert encoder().encode(t).tolist() == exact.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("text", [" " * 1_200_000, "word" + " " * 1_200_000 + "end.", "\n" * 1_200_000, "ab " * 400_000, "z" * 1_200_000])
+def test_ids_equal_the_tokenizer_on_long_runs(exact, text):
+    ids = encoder().encode(text)
+    assert np.array_equal(ids, exact.encode(text, add_special_tokens=False).ids)
+    assert exact.decode(ids.tolist(), skip_special_tokens=False) == text
+
+
 def expected(exact, text, prompt=None):
     head = exact.encode(prompt, add_special_tokens=False).ids if prompt else []
     return head + exact.encode(text or "", add_special_tokens=False).ids + [1], len(head)
