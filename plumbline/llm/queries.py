@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_dedup, language, mixing, packing, quality, simhash, substring_dedup, tokencount, topk, urlfilter
+from plumbline.llm import exact_dedup, language, mixing, packing, quality, repeats, simhash, substring_dedup, tokencount, topk, urlfilter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_tokencount": tokencount.op9_tokencount,
     "op10_mixing": mixing.op10_mixing,
+    "op11_periodic_runs": repeats.op11_periodic_runs,
 }
 ORACLE_SQL = {
     "op3_urlfilter": urlfilter.OP3_SQL,
