@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_dedup, language, mixing, packing, quality, repeats, simhash, substring_dedup, tokencount, topk, urlfilter
+from plumbline.llm import alignment, exact_dedup, language, line_dedup, mixing, packing, quality, repeats, simhash, substring_dedup, tokencount, topk, urlfilter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_tokencount": tokencount.op9_tokencount,
     "op10_mixing": mixing.op10_mixing,
     "op11_periodic_runs": repeats.op11_periodic_runs,
+    "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLE_SQL = {
     "op3_urlfilter": urlfilter.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op8_topk": topk.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op12_line_dedup": line_dedup.OP12_SQL,
 }

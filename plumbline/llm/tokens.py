@@ -24,21 +24,23 @@ class Encoder:
 
     Ranks give the ids of ordinary texts. A text that spells an added token, has
     characters on which two versions of Unicode may differ, or has a run of white space that is too long for
-    the ranks' pattern goes to the tokenizer itself.
+    the ranks' pattern goes to the tokenizer itself. ``plain`` makes added tokens in a text plain text.
     """
 
-    def __init__(self, tokenizer: str, ranks: str):
+    def __init__(self, tokenizer: str, ranks: str, plain: bool = False):
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.file = tokenizer
+        self.file, self.plain = tokenizer, plain
         with open(tokenizer, encoding="utf-8") as text:
-            self.added = [t["content"] for t in json.load(text).get("added_tokens", [])]
+            self.added = [] if plain else [t["content"] for t in json.load(text).get("added_tokens", [])]
 
     @cached_property
     def exact(self) -> Tokenizer:
         """The tokenizer itself, read when a text needs it: it takes more memory than the ranks."""
-        return Tokenizer.from_file(self.file)
+        tokenizer = Tokenizer.from_file(self.file)
+        tokenizer.encode_special_tokens = self.plain
+        return tokenizer
 
     def encode(self, text: str) -> np.ndarray:
         if (text.isascii() or not _OTHER.search(text)) and not any(t in text for t in self.added):
