@@ -257,7 +257,7 @@ def align(docs: DataFrame, keep_groups: bool = False, tokenizer: str = TOKENIZER
     highest = counts.groupBy("a").agg(F.max("count").alias("highest"))  # at most a row for each entry of A's vocabulary
     counts = counts.join(F.broadcast(highest), "a").select("pair", "count", (F.col("count") == F.col("highest")).cast("long").alias("best"))
     asked = own.select("block", "pair").join(counts, "pair")
-    scored = held.where("NOT is_block").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_scored, _RESULT)
+    scored = spark.read.parquet(folder).where("NOT is_block").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_scored, _RESULT)
     result = cut(scored)
     delete(spark, folder)
     return result if keep_groups else result.drop("groups")
