@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import arena as A
-from plumbline.plans.tools import Plans, space_sql, table
+from plumbline.plans.tools import Plans, entities_sql, space_sql, table
 
 plans = Plans()
 QUERIES, ORACLE_SQL = plans.queries, plans.sql
@@ -35,7 +35,30 @@ def emitted_tasks(spark, sf_dir):
     return A.emit_tasks(documents(spark, sf_dir), PROFILE)
 
 
-@plans.add()
+def _marked_sql() -> str:
+    """The pages' lines with section marks (character 30), in DuckDB's SQL."""
+    x = "html"
+    for pattern, value in (
+        ("(?is)<script.*?</script>|<style.*?</style>", "' '"),
+        (r"(?i)<(?:section|article)\b[^>]*>", "chr(10) || chr(30)"),
+        (r"""(?i)<div\b[^>]*class=["''][^"'']*\bslide\b[^"'']*["''][^>]*>""", "chr(10) || chr(30)"),
+        (r"(?i)<h[1-6]\b[^>]*>", "chr(10) || chr(30)"),
+        ("(?i)</(?:p|div|li|h[1-6]|td|th|tr|section|article|header|footer|blockquote)>", "chr(10)"),
+        (r"(?i)<(?:br|hr)\s*/?>", "chr(10)"),
+        ("<[^>]+>", "' '"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', {value}, 'g')"
+    return entities_sql(x)
+
+
+_PAGES = f"""
+raw AS (SELECT doc, generate_subscripts(l, 1) AS i, unnest(l) AS raw FROM (SELECT page_id AS doc, string_split({_marked_sql()}, chr(10)) AS l FROM pages)),
+lines AS (SELECT doc, i, sum(starts_with(ltrim(raw), chr(30))::INT) OVER (PARTITION BY doc ORDER BY i) AS section, {space_sql("replace(raw, chr(30), ' ')")} AS line FROM raw),
+parts AS (SELECT doc, i, section, generate_subscripts(p, 1) AS j, trim(unnest(p)) AS text FROM (
+  SELECT doc, i, section, string_split(regexp_replace(line, '([.!?])\\s+([A-Z$£€0-9''"])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM lines WHERE line <> ''))"""
+
+
+@plans.add(f"WITH {_PAGES} SELECT doc, section::BIGINT AS section, (row_number() OVER (PARTITION BY doc ORDER BY i, j))::INTEGER AS ordinal, text FROM parts WHERE length(text) >= 8")
 def page_sections(spark, sf_dir):
     return A.sentences(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.col("html").alias("text")), html=True)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import canonical
 from plumbline.operators import decisions, parity
-from plumbline.plans.tools import Plans, table
+from plumbline.plans.tools import Plans, entities_sql, space_sql, table
 from plumbline.sources import artifacts, readers
 
 plans = Plans()
@@ -38,7 +38,10 @@ def fetch_failures(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", decisions.http_failure(status, F.when(p % 4 == 3, "application/pdf").otherwise("text/html")).alias("failure"))
 
 
-@plans.add()
+_SAID = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->|<[a-z/!?][^>]*>', ' ', 'g')"
+
+
+@plans.add(f"SELECT page_id, {space_sql(entities_sql(_SAID))} AS text FROM pages")
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", readers.html_to_text(F.col("html")).alias("text"))
 

@@ -35,3 +35,10 @@ def norm_sql(x: str) -> str:
 def space_sql(x: str) -> str:
     """White space collapsed, in DuckDB's SQL."""
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def entities_sql(x: str) -> str:
+    """Decodes the entities of the pages, in DuckDB's SQL."""
+    for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "''"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{sign}')"
+    return x
