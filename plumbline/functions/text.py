@@ -122,12 +122,12 @@ def numeric_tokens(x: Column) -> Column:
 def sentences_of_line(x: Column, least: int = 8) -> Column:
     """Sentences of one line, at least ``least`` characters long."""
     parts = F.split(x, r"""(?<=[.!?])\s+(?=[A-Z$£€0-9'"])""")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
 def sentences_of_text(x: Column, least: int = 10) -> Column:
     """C11: sentences split at line ends too, longer than ``least`` characters."""
-    return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: F.length(s) > least)
+    return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: F.length(s) > least)
 
 
 def reading_text(x: Column, comment_prefix: str = "evidence", question_marker: str = "evidence-question") -> Column:

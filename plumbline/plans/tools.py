@@ -38,7 +38,7 @@ def space_sql(x: str) -> str:
 
 
 def entities_sql(x: str) -> str:
-    """Decodes the entities of the pages, in DuckDB's SQL."""
+    """Decodes the entities of the pages, with or without their semicolon, in DuckDB's SQL."""
     for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "''"), ("amp", "&")):
-        x = f"replace({x}, '&{name};', '{sign}')"
+        x = f"regexp_replace({x}, '&{name};?', '{sign}', 'g')"
     return x

@@ -115,3 +115,10 @@ def test_anchor_table(spark):
     assert got[0] == got[1] == ("found", "exact")
     assert got[2][0] != "found" and got[3] == ("found", "fuzzy")
     assert got[5] == ("not_found", "exact") and got[6] == ("not_found", "fuzzy")
+
+
+def test_sentences_keep_digits_at_their_ends(spark):
+    """A function of two parameters would get an element's index as the second one."""
+    line = spark.createDataFrame([("0 is first, then 100. Ends in 41. 2 begins 32.",)], "t string")
+    assert line.select(T.sentences_of_line(F.col("t"))).first()[0] == ["0 is first, then 100.", "Ends in 41.", "2 begins 32."]
+    assert line.select(T.sentences_of_text(F.col("t"))).first()[0] == ["0 is first, then 100.", "Ends in 41.", "2 begins 32."]
