@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import normalise_anchor, numeric_tokens
+from plumbline.stored import stored
 
 FOUND, AMBIGUOUS = 0.95, 0.80
 
@@ -150,20 +152,67 @@ def grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
 
 
+#: Characters of the needles that one pass over a text looks for, and needles up to which it looks for each by itself.
+AT_ONCE, FEW = 1 << 22, 8
+
+
+def held(text: str, needles: list[str]) -> list[str]:
+    """The needles that a text holds, in one pass of an automaton over it."""
+    if len(needles) <= FEW:
+        return [n for n in needles if n in text]
+    automaton = ahocorasick.Automaton()
+    for n in needles:
+        automaton.add_word(n, n)
+    automaton.make_automaton()
+    found: set[str] = set()
+    for _, n in automaton.iter(text):
+        found.add(n)
+        if len(found) == len(needles):
+            break
+    return sorted(found)
+
+
+def _held(text: Column, needles: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([held(t, list(n)) for t, n in zip(texts, lists, strict=True)], dtype=object)
+
+    return run(text, needles)
+
+
+def _kind(needle: Column) -> Column:
+    """0 where a needle has inner words, else the size of the runs of characters that it is known by."""
+    return F.when(F.size(F.split(needle, " ")) > 2, 0).otherwise(F.least(F.length(needle), F.lit(GRAM)))
+
+
+def _marked(text: Column, size: int) -> Column:
+    """Runs of characters, told from words by a blank in front."""
+    return F.transform(grams(text, size), lambda g: F.concat(F.lit(" "), g))
+
+
 def substring_join(needles: DataFrame, haystacks: DataFrame, needle: str, haystack: str, key: str) -> DataFrame:
-    """F10 without a nested loop: pairs in which a normalised haystack holds a normalised needle; ``key`` names a haystack.
+    """F10 without a nested loop: the rows of ``needles`` with the ``key`` of each normalised haystack that holds them.
+
+    A needle's words but the first and last stand whole in the haystack; a needle of one or two words shares its runs of ``GRAM``
+    characters (or all of it). Only those parts of a text that some needle has are kept, counted, and each needle is known by
+    the part that the fewest texts have: a needle with a part that no text has goes at once. Where no needle is short, no runs are made.
 
-    A needle's words but the first and last stand whole in the haystack, so the longest of them is a
-    word that both sides share. Needles of one or two words share their first ``GRAM`` characters (or all of them).
-    Only keys meet; a text is read once for each needle that it may hold.
+    What a text may hold meets it as one list, so a text is shuffled once for each ``AT_ONCE`` characters of needles that it may
+    hold, and one pass of an automaton finds which of them it does.
     """
+    strings = needles.select(needle).where(F.length(needle) > 0).distinct().withColumn("__kind", _kind(F.col(needle)))
+    kinds = sorted(r[0] for r in strings.select("__kind").distinct().collect())  # 4 at most
     words = F.split(F.col(needle), " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
-    longest = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
-    keyed = needles.where(F.length(needle) > 0).withColumn("__part", F.when(F.size(words) > 2, longest))
+    own = F.array_distinct(F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2)))
+    for n in range(1, GRAM + 1):
+        own = F.when(F.col("__kind") == n, _marked(F.col(needle), n)).otherwise(own)
+    parts = stored(strings.select(needle, F.explode(own).alias("__part")))
     text = F.col(haystack)
-    parts = haystacks.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("__part"))
-    short = keyed.where("__part is null").withColumn("__part", F.substring(needle, 1, GRAM))
-    runs = F.flatten(F.array(*(grams(text, n) for n in range(1, GRAM + 1))))
-    spots = parts.join(keyed.where("__part is not null"), "__part").unionByName(haystacks.select(key, F.explode(runs).alias("__part")).join(short, "__part"))
-    return spots.drop("__part").join(haystacks, key).where(F.instr(text, F.col(needle)) > 0)
+    all_parts = F.flatten(F.array(*(_marked(text, n) if n else F.array_distinct(F.split(text, " ")) for n in kinds or [0])))
+    shared = stored(haystacks.select(key, F.explode(all_parts).alias("__part")).join(parts.select("__part").distinct(), "__part", "left_semi"))
+    often = parts.join(shared.groupBy("__part").agg(F.count("*").alias("__often")), "__part", "left").withColumn("__often", F.coalesce("__often", F.lit(0)))
+    rarest = often.groupBy(needle).agg(F.min(F.struct("__often", "__part")).alias("__r")).where("__r.__often > 0").select(needle, F.col("__r.__part").alias("__part"))
+    upto = F.sum(F.length(needle)).over(Window.partitionBy(key).orderBy(needle))
+    lists = shared.join(rarest, "__part").withColumn("__list", F.floor(upto / AT_ONCE)).groupBy(key, "__list").agg(F.collect_list(needle).alias("__needles"))
+    found = haystacks.select(key, haystack).join(lists, key).select(key, F.explode(_held(text, F.col("__needles"))).alias(needle))
+    return found.join(needles, needle)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import collapse, match_tokens, merge_key, normalise_grounding
-from plumbline.operators.anchor import grams
+from plumbline.stored import stored
 
 
 def reply_object(reply: Column) -> Column:
@@ -58,41 +60,60 @@ def token_match(a: Column, b: Column, threshold: float = 0.5) -> Column:
     return (F.size(x) > 0) & (F.size(y) > 0) & (both / (F.size(x) + F.size(y) - both) >= threshold)
 
 
-def _both_sides(predictions: DataFrame, gold: DataFrame) -> DataFrame:
-    """One row for each (doc, category): its distinct token sets ``p`` and ``g`` of either side, each with its number of rows."""
+def _token_sets(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """``side, doc, category, t, n, id``: the distinct token sets of each (doc, category) on either side with their numbers of rows, stored."""
 
     def held(rows: DataFrame, text: str, side: str) -> DataFrame:
-        tokens = rows.select("doc", "category", F.array_sort(match_tokens(F.col(text))).alias("t"))
-        counted = tokens.groupBy("doc", "category", "t").agg(F.count("*").alias("n"))
-        return counted.groupBy("doc", "category").agg(F.collect_list(F.struct("t", "n")).alias(side))
+        return rows.select(F.lit(side).alias("side"), "doc", "category", F.coalesce(F.array_sort(match_tokens(F.col(text))), F.array().cast("array<string>")).alias("t"))
 
-    both = held(predictions, "quote", "p").join(held(gold, "span", "g"), ["doc", "category"], "full")
-    none = F.array().cast("array<struct<t:array<string>,n:bigint>>")
-    return both.withColumn("p", F.coalesce("p", none)).withColumn("g", F.coalesce("g", none))
+    both = held(predictions, "quote", "p").union(held(gold, "span", "g"))
+    return stored(both.groupBy("side", "doc", "category", "t").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
 
 
-def _rows_of(side: str, other: str, matched: bool) -> Column:
-    """How many rows of a side match some row of the other, or none."""
+def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """F11 as a prefix-filtered join: ``p, g``, the ids of the sets of the two sides of a (doc, category) whose Jaccard similarity reaches the threshold.
 
-    def hit(x: Column, y: Column) -> Column:
-        shared = F.size(F.array_intersect(x["t"], y["t"]))
-        return (F.size(x["t"]) > 0) & (F.size(y["t"]) > 0) & (shared / (F.size(x["t"]) + F.size(y["t"]) - shared) >= 0.5)
+    Tokens are put in one order within a (doc, category): those of one side only first, then by the number of sets that
+    hold them. Two sets that reach the threshold share a token among the first ``size - ceil(threshold * size) + 1`` of
+    either, so only those meet, in sets whose sizes allow it. What meets is compared once, on the whole sets. No row
+    holds more than one set, so adaptive execution splits a document of any length.
+    """
+    tokens = sets.select("side", "doc", "category", "id", F.size("t").alias("size"), F.explode("t").alias("token"))
+    often = tokens.groupBy("doc", "category", "token").agg(F.count("*").alias("often"), (F.min("side") != F.max("side")).alias("shared"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("shared", "often", "token"))
+    first = tokens.join(often, ["doc", "category", "token"]).withColumn("place", place)
+    first = first.where(F.col("shared") & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1))
 
-    own = F.filter(side, lambda x: F.exists(other, lambda y: hit(x, y)) == matched)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    def of(side: str) -> DataFrame:
+        return first.where(F.col("side") == side).select("doc", "category", "token", F.col("id").alias(side), F.col("size").alias(f"{side}_size"))
+
+    sizes = (F.col("p_size") >= F.col("g_size") * threshold) & (F.col("g_size") >= F.col("p_size") * threshold)
+    pairs = of("p").join(of("g"), ["doc", "category", "token"]).where(sizes).select("p", "g").distinct()
+    for side in ("p", "g"):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("t").alias(f"{side}_t")), side)
+    both = F.size(F.array_intersect("p_t", "g_t"))
+    return pairs.where(both / (F.size("p_t") + F.size("g_t") - both) >= threshold).select("p", "g")
+
+
+def _judged_sets(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """The token sets of both sides with ``hit``: some set of the other side is similar."""
+    sets = _token_sets(predictions, gold)
+    pairs = similar_sets(sets)
+    hits = pairs.select(F.explode(F.array("p", "g")).alias("id")).distinct().withColumn("hit", F.lit(True))
+    return sets.join(hits, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def unmatched_gold(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """H8: ``doc, category, n`` of the gold spans that no prediction matches."""
-    return _both_sides(predictions, gold).select("doc", "category", _rows_of("g", "p", False).alias("n")).where("n > 0")
+    return _judged_sets(predictions, gold).where("side = 'g' AND NOT hit").groupBy("doc", "category").agg(F.sum("n").alias("n"))
 
 
 def match_counts(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """H8: ``category, tp, fp, fn``, many to many: a prediction counts once if any gold span matches it,
     a gold span is missed if no prediction does. ``doc, category, quote`` / ``doc, category, span``.
-    Quotes with the same tokens are compared once, within the row of their (doc, category)."""
-    counts = _both_sides(predictions, gold).select("category", _rows_of("p", "g", True).alias("tp"), _rows_of("p", "g", False).alias("fp"), _rows_of("g", "p", False).alias("fn"))
-    return counts.groupBy("category").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    Quotes with the same tokens are compared once."""
+    rules = {"tp": "side = 'p' AND hit", "fp": "side = 'p' AND NOT hit", "fn": "side = 'g' AND NOT hit"}
+    return _judged_sets(predictions, gold).groupBy("category").agg(*(F.sum(F.when(F.expr(rule), F.col("n")).otherwise(0)).alias(name) for name, rule in rules.items()))
 
 
 def precision_recall(counts: DataFrame) -> DataFrame:
@@ -150,15 +171,47 @@ def gate(row: DataFrame) -> DataFrame:
     return row.select(F.explode(each).alias("c")).select("c.*")
 
 
+def winnowed(text: str, least: int) -> np.ndarray:
+    """Winnowing: hashes of runs of 3/5 of ``least`` characters, the smallest one of each stretch of ``least`` characters. Texts that share
+    such a stretch share its hash; about two of ``2/5 least + 1`` runs are kept."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    width = least * 3 // 5
+    count, span = len(points) - width + 1, least - width + 1
+    if count < span:
+        return np.zeros(0, np.int64)
+    hashes = np.zeros(count, np.uint64)
+    for j in range(width):
+        hashes = hashes * _STEP + points[j : j + count]
+    hashes = (hashes ^ (hashes >> np.uint64(31))) * _STEP
+    hashes ^= hashes >> np.uint64(29)
+    small = hashes[: count - span + 1].copy()
+    for j in range(1, span):
+        np.minimum(small, hashes[j : j + len(small)], out=small)
+    return np.unique(small).view(np.int64)
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _fingerprints(text: Column, least: int) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: winnowed(t, least), na_action="ignore")
+
+    return run(text)
+
+
 def literal_overlap(literals: DataFrame, gold: DataFrame, least: int = 25) -> DataFrame:
-    """Files with a string literal of at least that length that holds a gold text or stands in one. The first ``least`` characters of
-    the shorter text are a run of the longer one, so both meet on a key."""
-    a = literals.select("file", merge_key(F.col("literal")).alias("l")).where(F.length("l") >= least).distinct()
-    b = gold.select(merge_key(F.col("span")).alias("g")).where(F.length("g") >= least).distinct()
-    head = lambda c: F.substring(c, 1, least)
-    runs = lambda c: F.explode(grams(F.col(c), least))
-    holds = a.select("file", "l", runs("l").alias("k")).join(b.select("g", head("g").alias("k")), "k").where(F.instr("l", F.col("g")) > 0)
-    stands = a.select("file", "l", head("l").alias("k")).join(b.select("g", runs("g").alias("k")), "k").where(F.instr("g", F.col("l")) > 0)
+    """Files with a string literal of at least that length that holds a gold text or stands in one. The first ``least`` characters
+    of the shorter text stand in the longer one, so the one fingerprint of the former is one of the latter's; what meets is compared."""
+    a = stored(literals.select("file", merge_key(F.col("literal")).alias("l")).where(F.length("l") >= least).distinct())
+    b = stored(gold.select(merge_key(F.col("span")).alias("g")).where(F.length("g") >= least).distinct())
+
+    def keyed(rows: DataFrame, text: str, head: bool) -> DataFrame:
+        return rows.withColumn("k", F.explode(_fingerprints(F.substring(text, 1, least) if head else F.col(text), least)))
+
+    holds = keyed(a, "l", False).join(keyed(b, "g", True), "k").where(F.instr("l", F.col("g")) > 0)
+    stands = keyed(a, "l", True).join(keyed(b, "g", False), "k").where(F.instr("g", F.col("l")) > 0)
     return holds.select("file").union(stands.select("file")).distinct()
 
 

@@ -95,11 +95,26 @@ def paired_ranking(scored: DataFrame) -> DataFrame:
     )
 
 
+def medians(scored: DataFrame, stratum: str, score: str) -> DataFrame:
+    """``stratum, median`` by exact selection. Equal scores of a stratum are one row with their number; running sums over the
+    order of (stratum, score) say which ranks a row holds, and the one or two rows that hold a stratum's middle ranks are kept. Ranges of the
+    order are by score too, so no task holds a stratum. Strata without a score have no row."""
+    counts = scored.where(F.col(score).isNotNull()).groupBy(F.col(stratum).alias("s"), F.col(score).alias("x")).agg(F.count("*").alias("c"))
+    ranked = stored(running(counts, [F.col("s"), F.col("x")], {"upto": "c"}))
+    ends = ranked.groupBy(F.col("s").alias("of")).agg(F.min(F.col("upto") - F.col("c")).alias("low"), F.max("upto").alias("high"))
+    rows = ranked.join(ends, F.col("s").eqNullSafe(F.col("of")))
+    last, size = F.col("upto") - F.col("low"), F.col("high") - F.col("low")
+    first = last - F.col("c") + 1
+    middle = [F.when(at.between(first, last), F.col("x")) for at in (F.floor((size + 1) / 2), F.floor(size / 2) + 1)]
+    rows = rows.select(F.col("s").alias(stratum), middle[0].alias("a"), middle[1].alias("b")).where("a is not null or b is not null")
+    return rows.groupBy(stratum).agg(((F.max("a") + F.max("b")) / 2).alias("median"))
+
+
 def stratum_summary(scored: DataFrame, stratum: str = "stratum", score: str = "score") -> DataFrame:
     """Count, least, interpolated median, mean, greatest."""
-    return scored.groupBy(stratum).agg(
-        F.count("*").alias("n"), F.min(score).alias("least"), F.percentile(score, 0.5).alias("median"), F.avg(score).alias("mean"), F.max(score).alias("greatest")
-    )
+    whole = scored.groupBy(stratum).agg(F.count("*").alias("n"), F.min(score).alias("least"), F.avg(score).alias("mean"), F.max(score).alias("greatest"))
+    middle = medians(scored, stratum, score).withColumnRenamed(stratum, "__of")
+    return whole.join(middle, F.col(stratum).eqNullSafe(F.col("__of")), "left").select(stratum, "n", "least", "median", "mean", "greatest")
 
 
 def admission(baseline: DataFrame, candidate: DataFrame, by: str, metric: str, minimum: float) -> DataFrame:

@@ -243,3 +243,80 @@ def test_casefold_paths(spark):
     texts = ["Plain ASCII", "Größe ÄÖÜ ß", "ﬁ ſ ŉ ǰ ΐ", "Σίσυφος ΣΑΣ", "İstanbul", "Ꭰ ꭰ", "日本 ÉÈ – “x”", "", None]
     got = {r.i: r.c for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", casefold(F.col("t")).alias("c")).collect()}
     assert [got[i] for i in range(len(texts))] == [None if t is None else t.casefold() for t in texts]
+
+
+def test_substring_join_with_a_hot_word_and_many_needles(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(["the", *rng.choices(words, k=40), "the"]) for _ in range(80)] + ["the the the"] * 5 + [""]
+    needles = list({" ".join(t.split()[i : i + k]) for t in texts for i, k in [(rng.randint(0, 38), rng.randint(1, 5))]}) + ["the the the", "q the q", "the", "w1", "w1 w", ""]
+    long = [t[3:] + " x" for t in texts[:3]] + [texts[0], texts[1][1:]]
+    frames = spark.createDataFrame([(n, k) for k, n in enumerate(needles + long)], "n string, k int"), spark.createDataFrame(list(enumerate(texts)), "i int, h string")
+    want = sorted((i, k) for i, h in enumerate(texts) for k, n in enumerate(needles + long) if n and n in h)
+    assert sorted((r.i, r.k) for r in anchor.substring_join(*frames, "n", "h", "i").collect()) == want
+    assert anchor.substring_join(frames[0].limit(0), frames[1], "n", "h", "i").count() == 0
+
+
+def test_substring_join_in_several_lists(spark, monkeypatch):
+    monkeypatch.setattr(anchor, "AT_ONCE", 40)
+    needles = [f"a{i} b c{i}" for i in range(50)]
+    text = " ".join(needles)
+    got = anchor.substring_join(spark.createDataFrame([(n,) for n in needles], "n string"), spark.createDataFrame([(1, text), (2, "a1 b c2")], "i int, h string"), "n", "h", "i")
+    assert sorted((r.i, r.n) for r in got.collect()) == sorted((1, n) for n in needles)
+
+
+def test_an_automaton_finds_what_stands_in_a_text():
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choices("ab ", k=60))
+        needles = list({"".join(rng.choices("ab ", k=rng.randint(1, 6))) for _ in range(30)})
+        assert sorted(anchor.held(text, needles)) == sorted(n for n in needles if n in text)
+
+
+def similar(a, b):
+    return bool(a and b) and len(a & b) / len(a | b) >= 0.5
+
+
+def test_token_matches_equal_brute_force(spark):
+    rng = random.Random(4)
+
+    def side(n):
+        return [(rng.choice("de"), rng.choice("xy"), " ".join(rng.choices([f"t{i}" for i in range(14)], k=rng.randint(0, 7)))) for _ in range(n)]
+
+    p, g = [*side(150), ("d", "z", "alone")], [*side(150), ("e", "w", "other"), ("d", "x", "")]
+    got = extraction.match_counts(spark.createDataFrame(p, "doc string, category string, quote string"), spark.createDataFrame(g, "doc string, category string, span string"))
+    want = {}
+    for own, other, hit, miss in ((p, g, 0, 1), (g, p, None, 2)):
+        for doc, c, t in own:
+            k = hit if any((doc, c) == (d, e) and similar(set(t.split()), set(u.split())) for d, e, u in other) else miss
+            counts = want.setdefault(c, [0, 0, 0])
+            if k is not None:
+                counts[k] += 1
+    assert {r.category: [r.tp, r.fp, r.fn] for r in got.collect()} == want
+
+
+def test_token_matches_of_one_long_document(spark):
+    """100,000 lines on each side that share a frequent word, every tenth similar to one of the other side."""
+    line = "concat('the ', 'a', id, ' b', id, ' c', id % 1000, ' d', id % 7)"
+    p = spark.range(100_000).selectExpr("'d' AS doc", "'c' AS category", f"{line} AS quote")
+    g = spark.range(100_000).selectExpr("'d' AS doc", "'c' AS category", f"CASE WHEN id % 10 = 0 THEN {line} ELSE concat('the ', 'e', id, ' f', id, ' d', id % 7) END AS span")
+    assert rows(extraction.match_counts(p, g), "tp", "fp", "fn") == [(10_000, 90_000, 90_000)]
+
+
+def test_winnowing_meets_in_every_shared_stretch():
+    rng = random.Random(6)
+    for _ in range(300):
+        inner = "".join(rng.choices("ab c", k=rng.randint(25, 40)))
+        outer = "".join(rng.choices("ab c", k=rng.randint(0, 90))) + inner + "".join(rng.choices("ab c", k=rng.randint(0, 90)))
+        assert set(extraction.winnowed(inner[:25], 25)) <= set(extraction.winnowed(outer, 25)) and len(extraction.winnowed(inner[:25], 25)) == 1
+    text = "".join(rng.choices("abcdefgh ", k=60_000))
+    assert len(extraction.winnowed(text, 25)) < len(text) / 5
+    assert len(extraction.winnowed("x" * 24, 25)) == 0 and len(extraction.winnowed("x" * 5000, 25)) == 1
+
+
+def test_medians_are_selected_exactly(spark):
+    rng = random.Random(7)
+    data = [(s, None if rng.random() < 0.1 else float(rng.choice([rng.randint(0, 9), rng.random()]))) for s in ["a"] * 301 + ["b"] * 40 + [None] * 21 + ["c"] for _ in range(3)] + [("none", None)]
+    df = spark.createDataFrame(data, "stratum string, score double")
+    want = df.groupBy("stratum").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.percentile("score", 0.5).alias("median"), F.max("score").alias("greatest"))
+    assert rows(scoring.stratum_summary(df), "stratum", "n", "least", "median", "greatest") == rows(want, "stratum", "n", "least", "median", "greatest")
