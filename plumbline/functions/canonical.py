@@ -77,11 +77,11 @@ def unordered_sha256(rows: DataFrame, *columns: str) -> DataFrame:
         digits = max(0, digits - 3)
 
 
-def records_sha256(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """The hash of a set of records as the canonical JSON list of them in the order of their key: a probe, a bundle or a pool, which
-    is one value."""
+def records_sha256(rows: DataFrame, key: str, *columns: str, by: str) -> DataFrame:
+    """``by, sha256``: the hash of each set of records as the canonical JSON list of them in the order of their key. A set is a probe, a bundle or
+    a pool, which is one value; a whole table has ``unordered_sha256``."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), row_json(*columns).alias("j")))), lambda x: x["j"])
-    return rows.agg(F.sha2(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")), 256).alias("sha256"))
+    return rows.groupBy(by).agg(F.sha2(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")), 256).alias("sha256"))
 
 
 def input_sha256(claim_text: str, question: str, source_sha256: str) -> Column:

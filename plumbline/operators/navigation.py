@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import NAVIGATION_STOP, SPACE, SPACES, content_tokens, node_title
 from plumbline.operators.decisions import first_match
 from plumbline.operators.probes import first_in_order
-from plumbline.stored import stored
+from plumbline.stored import forget, stored
 
-_PARAGRAPH = re.compile(r"\S[\s\S]*?(?=\r?\n[ \t]*\r?\n|\Z)")
+# Fixed value: what separates paragraphs.
+_BLANK_LINE = re.compile(r"\r?\n[ \t]*\r?\n")
 UNTITLED = "Untitled source segment"
 
 
@@ -33,19 +34,23 @@ def cut_rule(most: int) -> str:
 
 
 def paragraph_spans(text: str, most: int = 3000) -> list[tuple[int, int]]:
-    """Spans of the paragraphs between blank lines, without the white space at their ends, long ones in pieces."""
-    rule, out = re.compile(cut_rule(most)), []
-    for m in _PARAGRAPH.finditer(text):
-        out += [piece.span(1) for piece in rule.finditer(text, m.start(), m.start() + len(m.group().rstrip()))]
+    """Spans of what lies between blank lines, without the white space at its ends, long ones in pieces."""
+    rule, out, at = re.compile(cut_rule(most)), [], 0
+    for stop, beyond in [*(m.span() for m in _BLANK_LINE.finditer(text)), (len(text), len(text))]:
+        body = text[at:stop].rstrip()
+        first = at + len(body) - len(body.lstrip())
+        out += [piece.span(1) for piece in rule.finditer(text, first, at + len(body))]
+        at = beyond
     return out
 
 
-def _spans_udf(most: int) -> Callable:
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for a, b in paragraph_spans(t or "", most)] for t in texts])
+@F.udtf(returnType="number: int, start: int, piece: string", useArrow=True)
+class Paragraphs:
+    """D4, D5 as a table function of a text: its pieces, numbered from 1."""
 
-    return spans
+    def eval(self, text: str, most: int):
+        for number, (start, end) in enumerate(paragraph_spans(text or "", most), 1):
+            yield number, start, text[start:end]
 
 
 def line_spans(docs: DataFrame, most: int) -> DataFrame:
@@ -91,8 +96,7 @@ def paragraph_nodes(docs: DataFrame, most: int = 3000, lines: bool = False) -> D
     if lines:
         parts = line_spans(rows, most)
     else:
-        spans = rows.select("doc", "text", F.posexplode(_spans_udf(most)("text")).alias("i", "s"))
-        parts = spans.select("doc", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("piece"), F.col("s.start").alias("start"), (F.col("i") + 1).alias("number"))
+        parts = rows.select("doc", "text").lateralJoin(Paragraphs(F.col("text").outer(), F.lit(most))).select("doc", "piece", "start", "number")
     parts = parts.select("doc", F.sha2("piece", 256).alias("text_sha256"), node_title(F.col("piece"), UNTITLED).alias("title"), "start", (F.col("start") + F.length("piece")).alias("end"), "number")
     held = heads.join(parts.groupBy("doc").agg(F.collect_list(F.struct("number", "start", "end", "title", "text_sha256")).alias("parts")), "doc")
     single = (F.size("parts") == 1) & (F.col("parts")[0]["start"] == 0) & (F.col("parts")[0]["end"] == F.col("n"))
@@ -135,37 +139,54 @@ def unreachable(nodes: DataFrame) -> DataFrame:
     reach, left = stored(up), None
     while (now := reach.count()) and now != left:
         step = reach.select("doc", F.col("node_id").alias("at"), F.col("at").alias("further")).distinct()
-        reach, left = stored(reach.join(step, ["doc", "at"]).select("doc", "node_id", F.col("further").alias("at")).distinct()), now
+        before, left = reach, now
+        reach = stored(reach.join(step, ["doc", "at"]).select("doc", "node_id", F.col("further").alias("at")).distinct())
+        forget(before)
     return reach.select("doc", F.lit("cycle").alias("rule"), "node_id").distinct()
 
 
-def tree_surface(nodes: DataFrame, levels: int = 8) -> DataFrame:
-    """``doc, surface``: the tree of a document as nested lists, canonical JSON: handle, title, selectable, children in source order. Children are folded
-    into their parents level by level from the deepest; trees deeper than ``levels`` are refused."""
-    own = handles(nodes).select("doc", "node_id", "parent_id", "start", "handle", "title", "selectable")
+def euler_tour(nodes: DataFrame) -> DataFrame:
+    """``doc, node_id, enters, place, later``: each node's place on the walk around its document's trees when it is entered and when it is left, and
+    whether a sibling stands before it; siblings in the order of their starts.
+
+    Each event points to the next one of the walk: a node's first child or its own end, an end's next sibling or the parent's end.
+    The places are those of a list: each round doubles what an event's pointer skips, so a chain of any depth takes as many
+    rounds as its length has binary digits. A round's table is deleted when the next one stands. A node that no root leads to stops the query.
+    """
+    siblings = Window.partitionBy("doc", "parent_id").orderBy("start", "node_id")
+    own = nodes.select("doc", "node_id", "parent_id", F.lead("node_id").over(siblings).alias("next"), (F.row_number().over(siblings) > 1).alias("later"))
+    first = own.where("NOT later and parent_id is not null").select("doc", F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"))
+    own = stored(own.join(first, ["doc", "node_id"], "left"))
+
+    def event(node: Column, enters: Column) -> Column:
+        return F.when(node.isNotNull(), F.struct(node.alias("node"), enters.alias("enters")))
+
+    yes, no = F.lit(True), F.lit(False)
+    enter = own.select("doc", event(F.col("node_id"), yes).alias("at"), F.coalesce(event(F.col("child"), yes), event(F.col("node_id"), no)).alias("to"))
+    leave = own.select("doc", event(F.col("node_id"), no).alias("at"), F.coalesce(event(F.col("next"), yes), event(F.col("parent_id"), no)).alias("to"))
+    walk = stored(enter.union(leave).withColumn("skips", F.lit(1).cast("long")))
+    rounds = walk.count().bit_length() + 1
+    while walk.where("to is not null").limit(1).count():
+        if rounds == 0:
+            raise ValueError("a node that no root leads to")
+        step = walk.select("doc", F.col("at").alias("to"), F.col("to").alias("further"), F.col("skips").alias("more"), F.lit(True).alias("known"))
+        lost = F.raise_error(F.lit("a parent that is no node")).cast("long")
+        on = walk.where("to is not null").join(step, ["doc", "to"], "left").select("doc", "at", F.col("further").alias("to"), F.when(F.col("known"), F.col("skips") + F.col("more")).otherwise(lost).alias("skips"))
+        before, walk, rounds = walk, stored(walk.where("to is null").unionByName(on)), rounds - 1
+        forget(before)
+    places = walk.select("doc", F.col("at.node").alias("node_id"), F.col("at.enters").alias("enters"), (-F.col("skips")).alias("place"))
+    return places.join(own.select("doc", "node_id", "later"), ["doc", "node_id"])
+
+
+def tree_surface(nodes: DataFrame) -> DataFrame:
+    """``doc, surface``: the trees of a document as nested lists, canonical JSON: handle, title, selectable, children in source order.
+    What each node writes when it is entered and left is put in the order of the walk around the tree; any depth."""
     quoted = F.to_json(F.array("title"), {"ignoreNullFields": "false"})
-    own = own.withColumn("head", F.concat(F.lit('["'), "handle", F.lit('",'), F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(","), F.col("selectable").cast("string")))
-    depth = own.where("parent_id is null").select("doc", "node_id", F.lit(0).alias("depth"))
-    placed, last = depth, depth
-    for level in range(1, levels + 1):
-        last = own.join(last.select("doc", F.col("node_id").alias("parent_id")), ["doc", "parent_id"]).select("doc", "node_id", F.lit(level).alias("depth"))
-        placed = placed.union(last)
-    rows = stored(own.join(placed, ["doc", "node_id"], "left").withColumn("depth", F.coalesce("depth", F.raise_error(F.lit("a node is deeper than the levels")).cast("int"))))
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
-    empty = F.array().cast("array<string>")
-    below = None
-    for level in range(deepest, -1, -1):
-        at = rows.where(F.col("depth") == level)
-        if below is None:
-            at = at.withColumn("inner", empty)
-        else:
-            at = at.join(below, (at.doc == below.of_doc) & (at.node_id == below.of), "left").withColumn("inner", F.coalesce("inner", empty))
-        text = F.concat("head", F.lit(",["), F.array_join("inner", ","), F.lit("]]"))
-        folded = at.select("doc", "parent_id", "start", "node_id", text.alias("text"))
-        group = ["doc"] if level == 0 else ["doc", "parent_id"]
-        listed = folded.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "node_id", "text"))), lambda x: x["text"]).alias("inner"))
-        below = listed if level == 0 else listed.select(F.col("doc").alias("of_doc"), F.col("parent_id").alias("of"), "inner")
-    return below.select("doc", F.concat(F.lit("["), F.array_join("inner", ","), F.lit("]")).alias("surface"))
+    own = handles(nodes).select("doc", "node_id", F.concat(F.lit('["'), "handle", F.lit('",'), F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(","), F.col("selectable").cast("string"), F.lit(",[")).alias("head"))
+    written = F.when(F.col("enters"), F.concat(F.when(F.col("later"), ",").otherwise(""), "head")).otherwise("]]")
+    rows = euler_tour(nodes).join(own, ["doc", "node_id"]).select("doc", F.struct("place", written.alias("text")).alias("e"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"]), "")
+    return rows.groupBy("doc").agg(F.concat(F.lit("["), listed, F.lit("]")).alias("surface"))
 
 
 def handles(nodes: DataFrame) -> DataFrame:

@@ -59,22 +59,28 @@ def cases(spark, sf_dir):
     )
 
 
-_BREAK = "replace(text, '. ', '.' || chr(10) || ' ' || chr(10))"
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 @plans.add(
-    f"""WITH p AS (SELECT doc, generate_subscripts(l, 1) AS i, unnest(l) AS part FROM (SELECT doc_id AS doc, string_split_regex({_BREAK}, '\\n[ \\t]*\\n') AS l FROM documents)),
-q AS (SELECT doc, i, regexp_replace(part, '^\\s+|\\s+$', '', 'g') AS piece FROM p)
-SELECT doc, count(*)::BIGINT AS nodes, sum(length(piece))::BIGINT AS characters, sha256(string_agg(piece, chr(1) ORDER BY i)) AS pieces FROM q WHERE piece <> '' GROUP BY doc HAVING max(length(piece)) <= 3000"""
+    f"""WITH RECURSIVE p AS (SELECT doc, generate_subscripts(l, 1) AS i, unnest(l) AS part FROM (
+  SELECT doc_id AS doc, string_split_regex(replace(text, '. ', '.' || chr(10) || ' ' || chr(10)), '\n[ \t]*\n') AS l FROM documents)),
+cut AS (
+  SELECT doc, i, 0 AS k, '' AS piece, trim(part, {_SPACES}) AS rest FROM p
+  UNION ALL
+  SELECT doc, i, k + 1, substr(rest, 1, stop), ltrim(substr(rest, stop + 1), {_SPACES}) FROM (
+    SELECT *, CASE WHEN length(rest) <= 256 THEN length(rest) WHEN contains(substr(rest, 129, 128), ' ') THEN 256 - strpos(reverse(substr(rest, 129, 128)), ' ') ELSE 256 END AS stop FROM cut WHERE rest <> '')
+)
+SELECT doc, count(*)::BIGINT AS nodes, sum(length(piece))::BIGINT AS characters, sha256(string_agg(piece, chr(1) ORDER BY i, k)) AS pieces FROM cut WHERE k > 0 GROUP BY doc"""
 )
 def paragraph_nodes(spark, sf_dir):
-    """Paragraphs between blank lines, one after each sentence; documents whose paragraphs need no cut (D5) are compared."""
+    """Paragraphs between blank lines, one after each sentence, those of more than 256 characters cut."""
     docs = documents(spark, sf_dir).select("doc", F.replace("text", F.lit(". "), F.lit(".\n \n")).alias("text"))
-    found = N.paragraph_nodes(docs, 3000).where("selectable").select("doc", "start", "end", "number")
-    whole = docs.where(F.array_max(F.transform(F.split("text", r"\n[ \t]*\n"), lambda p: F.length(F.regexp_replace(p, r"^\s+|\s+$", "")))) <= 3000)
-    rows = found.join(whole, "doc").withColumn("piece", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "piece"))), lambda x: x["piece"]), "\u0001")
-    return rows.groupBy("doc").agg(F.count("*").alias("nodes"), F.sum(F.length("piece")).cast("long").alias("characters"), F.sha2(joined, 256).alias("pieces"))
+    found = N.paragraph_nodes(docs, 256).where("selectable").select("doc", "start", "end", "number")
+    held = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("number", "start", "end"))).alias("spans"))
+    pieces = F.transform("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
+    rows = held.join(docs, "doc").select("doc", pieces.alias("pieces"))
+    return rows.select("doc", F.size("pieces").cast("long").alias("nodes"), F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + F.length(p)).alias("characters"), F.sha2(F.array_join("pieces", "\u0001"), 256).alias("pieces"))
 
 
 @plans.add()

@@ -26,6 +26,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Deletes the files of stored tables that no plan reads any more."""
+    for df in frames:
+        held = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if held.isDefined():
+            remove(df.sparkSession, held.get())
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """The path of a folder of one's own in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

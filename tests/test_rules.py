@@ -320,3 +320,21 @@ def test_medians_are_selected_exactly(spark):
     df = spark.createDataFrame(data, "stratum string, score double")
     want = df.groupBy("stratum").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.percentile("score", 0.5).alias("median"), F.max("score").alias("greatest"))
     assert rows(scoring.stratum_summary(df), "stratum", "n", "least", "median", "greatest") == rows(want, "stratum", "n", "least", "median", "greatest")
+
+
+NODE = "doc string, node_id string, parent_id string, start int, end int, title string, selectable boolean"
+
+
+def test_tree_surface_of_a_chain_of_any_depth(spark):
+    depth = 10_000
+    nodes = [("d", f"x{i}", f"x{i - 1}" if i else None, i, depth, "t", True) for i in range(depth)] + [("e", "a", None, 0, 1, "t", True), ("e", "b", None, 2, 3, "u", True)]
+    got = dict(rows(navigation.tree_surface(spark.createDataFrame(nodes, NODE)), "doc", "surface"))
+    assert got["d"] == "[" + ",".join(f'["n{i:04d}","t",true,[' for i in range(1, depth + 1)).replace("[,", "[") + "]]" * depth + "]"
+    assert got["e"] == '[["n0001","t",true,[]],["n0002","u",true,[]]]'
+
+
+@pytest.mark.parametrize("parent", ["b", "nowhere"])
+def test_tree_surface_stops_at_nodes_without_a_root(spark, parent):
+    nodes = [("d", "r", None, 0, 9, "R", True), ("d", "a", parent, 1, 2, "A", True), ("d", "b", "a", 1, 2, "B", True)]
+    with pytest.raises(Exception, match="no root leads to|no node"):
+        navigation.tree_surface(spark.createDataFrame(nodes, NODE)).collect()
