@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,38 +97,63 @@ def trigger(text: Column, profile: Profile) -> Column:
     return first_match([(c, n) for c, n in rules if c is not None])
 
 
-#: Neighbours on either side that are looked at before the whole section is.
-NEAR = 32
+class Ladder:
+    """The least length of each stretch of 1, 2, 4, ... lengths. ``ahead(at, room)`` is the first place from ``at`` on whose length fits,
+    found in as many steps as there are stretches of different sizes; the number of lengths if none fits."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.size, self.least = len(lengths), [lengths]
+        while 2 << len(self.least) - 1 <= self.size:
+            step = 1 << len(self.least) - 1
+            self.least.append(np.minimum(self.least[-1][:-step], self.least[-1][step:]))
+
+    def ahead(self, at: int, room: int) -> int:
+        for k in range(len(self.least) - 1, -1, -1):
+            if at + (1 << k) <= self.size and self.least[k][at] > room:
+                at += 1 << k
+        return at
+
+
+def nearest_that_fit(lengths: np.ndarray, targets: list[int], most: int, room: int) -> list[list[int]]:
+    """For each target the places nearest to it, the left one of two equally near, whose lengths fit one after the other into what room is left.
+    Room only shrinks, so a place that was passed over never fits later."""
+    right, left, end, out = Ladder(lengths), Ladder(lengths[::-1]), len(lengths), []
+    for target in targets:
+        taken, rest, before, after = [], room, target - 1, target + 1
+        while len(taken) < most:
+            before, after = end - 1 - left.ahead(end - 1 - before, rest), right.ahead(after, rest)
+            if before < 0 and after >= end:
+                break
+            if before >= 0 and (after >= end or target - before <= after - target):
+                place, before = before, before - 1
+            else:
+                place, after = after, after + 1
+            taken.append(place)
+            rest -= int(lengths[place])
+        out.append(sorted(taken))
+    return out
 
 
 def contexts(stream: DataFrame, targets: DataFrame, profile: Profile, key: str = "doc") -> DataFrame:
     """The nearest sentences of a target's section (by distance, then place), skipping those that
     would pass the characters, joined in text order. ``targets``: key, section, ordinal.
 
-    A section's sentences stand in one array and its targets in another, so neither is copied for the other. The
-    neighbours come first; the whole section is only looked at where they leave room.
+    A section's sentences stand in one array and its targets in another, so neither is copied for the other; only lengths and places
+    go to Python, where each sentence that is taken costs two lookups in a table of least lengths.
     """
-    whole = stream.groupBy(key, "section").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("own"))
-    asked = targets.groupBy(key, "section").agg(F.collect_list("ordinal").alias("asked"))
-    start = F.struct(F.array().cast("array<struct<ordinal:int,text:string>>").alias("kept"), F.lit(0).alias("used"))
-
-    def take(acc, row):
-        room = (F.size(acc["kept"]) < profile.context_sentences) & (acc["used"] + F.length(row["text"]) <= profile.context_characters)
-        grown = F.concat(acc["kept"], F.array(F.struct(row["ordinal"].alias("ordinal"), row["text"].alias("text"))))
-        return F.struct(F.when(room, grown).otherwise(acc["kept"]).alias("kept"), F.when(room, acc["used"] + F.length(row["text"])).otherwise(acc["used"]).alias("used"))
 
-    def nearest(rows, target):
-        far = F.transform(F.filter(rows, lambda r: r["ordinal"] != target), lambda r: F.struct(F.abs(r["ordinal"] - target).alias("far"), r["ordinal"].alias("ordinal"), r["text"].alias("text")))
-        return F.aggregate(F.array_sort(far), start, take, lambda acc: acc["kept"])
+    @F.pandas_udf("array<array<int>>")
+    def places(lengths: pd.Series, asked: pd.Series) -> pd.Series:
+        found = [nearest_that_fit(np.asarray(n, np.int64), list(a), profile.context_sentences, profile.context_characters) for n, a in zip(lengths, asked, strict=True)]
+        return pd.Series(found, dtype=object)
 
-    def context(target):
-        own = F.col("own")
-        place = target - F.get(own, F.lit(0))["ordinal"] + 1
-        close = nearest(F.slice(own, F.greatest(F.lit(1), place - NEAR), F.lit(2 * NEAR + 1)), target)
-        kept = F.when((F.size(own) <= NEAR) | (F.size(close) >= profile.context_sentences), close).otherwise(nearest(own, target))
-        return F.struct(target.alias("ordinal"), F.array_join(F.transform(F.array_sort(kept), lambda r: r["text"]), " ").alias("context"))
-
-    joined = whole.join(asked, [key, "section"]).select(key, F.explode(F.transform("asked", context)).alias("c")).select(key, "c.ordinal", "c.context")
+    whole = stream.groupBy(key, "section").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("own"))
+    asked = targets.groupBy(key, "section").agg(F.collect_list("ordinal").alias("asked"))
+    first = F.get("own", F.lit(0))["ordinal"]
+    rows = whole.join(asked, [key, "section"]).withColumn("places", places(F.transform("own", lambda r: F.length(r["text"])), F.transform("asked", lambda t: t - first)))
+    text = lambda z: F.array_join(F.transform(z["places"], lambda i: F.get("own", i)["text"]), " ")
+    found = F.transform(F.arrays_zip("asked", "places"), lambda z: F.struct(z["asked"].alias("ordinal"), text(z).alias("context")))
+    joined = rows.select(key, F.explode(found).alias("c")).select(key, "c.ordinal", "c.context")
     return targets.join(joined, [key, "ordinal"], "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 

@@ -30,7 +30,31 @@ def sentence_sections(spark, sf_dir):
     return A.sentences(documents(spark, sf_dir))
 
 
-@plans.add()
+#: A boundary of a word on either side.
+_EDGE = "[^\\pL\\pN_]"
+
+_TASKS = f"""
+triggered AS (SELECT doc, ordinal, text, CASE WHEN regexp_matches(text, '(?i)(^|{_EDGE})no[a-z0-9_]') THEN 'absence' WHEN regexp_matches(text, '(?i)ation($|{_EDGE})') THEN 'derived'
+  WHEN regexp_matches(text, '(?i)(^|{_EDGE})the{_EDGE}.*ing($|{_EDGE})') THEN 'inferential' END AS trigger
+  FROM sentences WHERE length(text) BETWEEN 30 AND 500 AND NOT regexp_matches(text, '(?i)^(prepared (by|for)\\b|data cutoff|confidential\\b|©|page \\d)|\\bthis (report|document|section|page) (will|suggests)\\b')),
+once AS (SELECT * FROM triggered WHERE trigger IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY doc, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9%$£€]+', ' ', 'g')) ORDER BY ordinal) = 1),
+tasks AS (SELECT *, 'x' || row_number() OVER (PARTITION BY doc ORDER BY ordinal) AS task_id FROM once),
+near AS (SELECT t.doc, t.ordinal AS target, s.ordinal, length(s.text) AS n, row_number() OVER (PARTITION BY t.doc, t.ordinal ORDER BY abs(s.ordinal - t.ordinal), s.ordinal) AS place
+  FROM tasks t JOIN sentences s ON s.doc = t.doc AND s.ordinal <> t.ordinal),
+walk AS (
+  SELECT doc, ordinal AS target, 0::BIGINT AS place, 0::BIGINT AS used, 0 AS taken, NULL::BIGINT AS ordinal FROM tasks
+  UNION ALL
+  SELECT w.doc, w.target, min(c.place), w.used + arg_min(c.n, c.place), w.taken + 1, arg_min(c.ordinal, c.place) FROM walk w JOIN near c ON c.doc = w.doc AND c.target = w.target AND c.place > w.place AND w.used + c.n <= 2400
+  WHERE w.taken < 14 GROUP BY w.doc, w.target, w.used, w.taken
+),
+context AS (SELECT w.doc, w.target, string_agg(s.text, ' ' ORDER BY s.ordinal) AS context FROM walk w JOIN sentences s ON s.doc = w.doc AND s.ordinal = w.ordinal GROUP BY ALL)"""
+
+
+@plans.add(
+    f"""WITH RECURSIVE {_SENTENCES}, {_TASKS} SELECT t.doc, task_id, text AS assertion, coalesce(context, '') AS context, 'sentence ' || ordinal || ', section 0' AS location, trigger, 0::BIGINT AS section
+FROM tasks t LEFT JOIN context c ON c.doc = t.doc AND c.target = t.ordinal"""
+)
 def emitted_tasks(spark, sf_dir):
     return A.emit_tasks(documents(spark, sf_dir), PROFILE)
 

@@ -7,6 +7,7 @@ from html import unescape
 from html.parser import HTMLParser
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -338,3 +339,29 @@ def test_tree_surface_stops_at_nodes_without_a_root(spark, parent):
     nodes = [("d", "r", None, 0, 9, "R", True), ("d", "a", parent, 1, 2, "A", True), ("d", "b", "a", 1, 2, "B", True)]
     with pytest.raises(Exception, match="no root leads to|no node"):
         navigation.tree_surface(spark.createDataFrame(nodes, NODE)).collect()
+
+
+def walked(lengths, target, most, room):
+    """Every place by distance, then place; those that fit are taken."""
+    taken = []
+    for i in sorted((i for i in range(len(lengths)) if i != target), key=lambda i: (abs(i - target), i)):
+        if len(taken) < most and sum(lengths[j] for j in taken) + lengths[i] <= room:
+            taken.append(i)
+    return sorted(taken)
+
+
+def test_the_nearest_that_fit_equal_a_walk_over_all():
+    rng = random.Random(8)
+    for _ in range(300):
+        lengths = [rng.choice([rng.randint(8, 90), rng.randint(200, 3000)]) for _ in range(rng.randint(1, 70))]
+        targets = rng.choices(range(len(lengths)), k=4)
+        most, room = rng.randint(1, 14), rng.choice([10, 100, 700, 2400])
+        assert arena.nearest_that_fit(np.array(lengths), targets, most, room) == [walked(lengths, t, most, room) for t in targets]
+
+
+def test_a_section_of_a_hundred_thousand_sentences_takes_no_time():
+    lengths = np.full(100_000, 3000)
+    lengths[::30_000] = 10
+    began = time.process_time()
+    found = arena.nearest_that_fit(lengths, list(range(0, 100_000, 100)), 14, 2400)
+    assert all(found) and time.process_time() - began < 3
