@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from plumbline import engine, policies
 from plumbline.functions import canonical
 from plumbline.plans.tools import Plans, table
-from plumbline.sources import readers
+from plumbline.sources import readers, web
 from plumbline.stored import new_folder, remove, stored
 
 plans = Plans()
@@ -44,6 +44,30 @@ def resolved_pages(spark, sf_dir):
     return readers.resolve_with(numbered_pages(spark, sf_dir).where("uri IS NOT NULL"), _resolve).select("page_id", "text", "failure")
 
 
+def _answered(uri: str, timeout: float) -> tuple:
+    """A server that answers by the number at a uri's end."""
+    number = int(uri.rsplit("#", 1)[1])
+    if number % 7 == 6:
+        raise OSError(uri)
+    return [
+        (200, "text/html", f"<p>page <b>{number}</b><script>no</script></p>".encode()), (200, "text/plain", f"<p> {number}".encode()), (403, None, b""),
+        (404, None, b""), (200, "application/pdf", b""), (200, "application/xhtml+xml", b"a&amp;b \xff<br/>"),
+    ][number % 7]
+
+
+@plans.add(
+    """SELECT page_id, [200, 200, 403, 404, 200, 200, NULL][page_id % 7 + 1] AS status, CASE page_id % 7 WHEN 0 THEN 'page ' || page_id WHEN 1 THEN '<p> ' || page_id WHEN 5 THEN 'a&b ' || chr(65533) END AS text,
+  CASE page_id % 7 WHEN 2 THEN 'source_paywalled' WHEN 3 THEN 'source_unreachable' WHEN 4 THEN 'pdf_unsupported' WHEN 6 THEN 'source_unreachable' END AS failure FROM pages WHERE url IS NOT NULL"""
+)
+def fetched_pages(spark, sf_dir):
+    """Every page's uri asked through the source, by files of 50 requests."""
+    pages, path = numbered_pages(spark, sf_dir).where("uri IS NOT NULL"), new_folder(spark, "requests")
+    web.write_requests(pages, path, 50)
+    found = stored(web.resolved(web.read_pages(spark, path, f"{__name__}:_answered")))
+    remove(spark, path)
+    return pages.select("page_id", "uri").join(found, "uri").select("page_id", "status", "text", "failure")
+
+
 def _complete(prompt: str) -> str:
     if len(prompt) % 5 == 0:
         raise ValueError("no completion")

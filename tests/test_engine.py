@@ -2,14 +2,17 @@
 
 import datetime
 import json
+import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In
 
 from plumbline import cli, engine, policies
 from plumbline.functions.canonical import hash_holds, with_hash
 from plumbline.operators import probes, spans
-from plumbline.sources import readers
+from plumbline.sources import readers, web
 from plumbline.streaming import claims as streaming
 
 POLICY = policies.SupportPolicy("p", "1", "2024-01-01", policies.Detector("exact", "m", "1"), 0.5)
@@ -152,3 +155,38 @@ def test_stream(spark, tmp_path):
     query.stop()
     assert sorted(r.claim_id for r in seen) == ["a", "b", "c", "d", "e"]
     assert {r.claim_id: r.method for r in seen}["a"] == "exact"
+
+
+def asked(uri, timeout):
+    """A server that notes what it is asked."""
+    with open(os.environ["ASKED"], "a") as log:
+        log.write(uri + "\n")
+    if "bad" in uri:
+        raise TimeoutError(uri)
+    return 200, "text/plain", uri.encode()
+
+
+def test_requests_are_bounded_by_file_and_filters_reach_the_scan(spark, tmp_path, monkeypatch):
+    log = tmp_path / "asked"
+    monkeypatch.setenv("ASKED", str(log))
+    opener = "plumbline.sources.web:open_url"
+    uris = [f"http://Hot.org/{i}" for i in range(230)] + [f"https://h{i}.net/?bad" for i in range(20)] + ["http://hot.org/1", None]
+    web.write_requests(spark.createDataFrame([(u,) for u in uris], "uri string"), str(tmp_path / "r"), 40)
+    sizes = [pq.read_metadata(f).num_rows for f in (tmp_path / "r").glob("*.parquet")]
+    assert sum(sizes) == 251 and max(sizes) <= 80
+    reader = web.PageReader({"path": str(tmp_path / "r"), "opener": opener})
+    monkeypatch.setattr(web, "named", lambda _: asked)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert len(rows) == 251 and sum(r[4] == "TimeoutError" for r in rows) == 20 and {r[3] for r in rows if r[3]} == {u for u in uris if u and "bad" not in u}
+    log.unlink()
+    only = web.PageReader({"path": str(tmp_path / "r")})
+    kept = list(only.pushFilters([In(("uri",), ("http://Hot.org/3", "http://Hot.org/4")), EqualTo(("uri",), "http://Hot.org/4"), EqualTo(("status",), 200)]))
+    assert kept == [EqualTo(("status",), 200)]
+    assert [r[0] for p in only.partitions() for r in only.read(p)] == ["http://Hot.org/4"] and log.read_text().split() == ["http://Hot.org/4"]
+
+
+def test_the_source_is_read_through_spark(spark, tmp_path):
+    web.write_requests(spark.createDataFrame([("http://127.0.0.1:9/x",), ("no uri",)], "uri string"), str(tmp_path / "r"))
+    pages = web.read_pages(spark, str(tmp_path / "r"), timeout=1)
+    assert sorted((r.uri, r.status, r.error) for r in pages.collect()) == [("http://127.0.0.1:9/x", None, "URLError"), ("no uri", None, "ValueError")]
+    assert [r.failure for r in web.resolved(pages.where("uri = 'no uri'")).collect()] == ["source_unreachable"]
