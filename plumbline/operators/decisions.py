@@ -155,3 +155,19 @@ def invalid_signals(signals: DataFrame) -> DataFrame:
         (F.count("*") > F.count_distinct("role", "component")).alias("repeated"),
         F.bool_or(F.coalesce(bad, F.lit(False))).alias("bad_scores"),
     ).where("mixed_inputs OR repeated OR bad_scores")
+
+
+def raw_signals(outputs: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds ``signal``, a component's output as it came, of any JSON shape; null where it is no JSON, which ``broken`` says."""
+    rows = outputs.withColumn("signal", F.try_parse_json(F.col(raw)))
+    return rows.withColumn("broken", F.col(raw).isNotNull() & F.col("signal").isNull())
+
+
+def signal_at(path: str, kind: str) -> Column:
+    """What stands at a path of ``signal``, as a value of a kind; null where there is none or another one."""
+    return F.try_variant_get("signal", path, kind)
+
+
+def signal_shapes(signals: DataFrame, by: str) -> DataFrame:
+    """``by, signals, broken, shape``: what the outputs of each component have in common."""
+    return signals.groupBy(by).agg(F.count("signal").alias("signals"), F.count_if("broken").alias("broken"), F.schema_of_variant_agg("signal").alias("shape"))

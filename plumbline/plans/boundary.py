@@ -7,8 +7,9 @@ from pyspark.sql import types as T
 
 from plumbline import engine, policies
 from plumbline.functions import canonical
+from plumbline.operators import decisions
 from plumbline.plans.tools import Plans, table
-from plumbline.sources import readers, web
+from plumbline.sources import ledger, readers, web
 from plumbline.stored import new_folder, remove, stored
 
 plans = Plans()
@@ -173,3 +174,53 @@ def component_hashes(spark, sf_dir):
     """M3: what a component is given, by its hash."""
     rows = table(spark, sf_dir, "documents").withColumn("question", F.lit("Is it so?"))
     return rows.select("doc_id", canonical.component_sha256("source", "lang", "question").alias("sha256"))
+
+
+@plans.add(
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN sha256(html || '!') ELSE sha256(html) END AS sha256, CASE WHEN page_id % 3 = 0 THEN '2024-02-01' ELSE '2024-01-01' END AS fetched_at, NULL::VARCHAR AS failure
+FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+UNION ALL SELECT -count(*), NULL, NULL, 'rows' FROM pages WHERE url IS NOT NULL AND html IS NOT NULL"""
+)
+def compacted_snapshots(spark, sf_dir):
+    """A4: an archive with a later snapshot of every third page, compacted; all pages loaded from it, and the number of rows that it has left."""
+    pages, path = numbered_pages(spark, sf_dir).where("url IS NOT NULL AND html IS NOT NULL"), new_folder(spark, "snapshots")
+    rows = pages.select(F.lit("s").alias("source_id"), "uri", F.col("html").alias("text"), F.lit("2024-01-01").alias("fetched_at"), F.lit(200).alias("status"), F.lit("text/html").alias("media_type"), "page_id")
+    readers.write_snapshots(rows, path)
+    readers.write_snapshots(rows.where("page_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))).withColumn("fetched_at", F.lit("2024-02-01")), path)
+    readers.compact_snapshots(spark, path)
+    loaded = readers.load_snapshots(rows.select("page_id", "source_id", "uri"), path).select("page_id", F.sha2("text", 256).alias("sha256"), "fetched_at", "failure")
+    left = spark.read.parquet(path).agg((-F.count("*")).alias("page_id")).select("page_id", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("fetched_at"), F.lit("rows").alias("failure"))
+    found = stored(loaded.unionByName(left))
+    remove(spark, path)
+    return found
+
+
+@plans.add("SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 2 END AS run, length(text)::INTEGER AS reply FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL")
+def resumed_run(spark, sf_dir):
+    """A run over all documents in four batches that breaks off after two; a second one does the rest."""
+    docs, path = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL"), new_folder(spark, "ledger")
+    inputs = docs.select("doc_id", "text", F.sha2(F.concat_ws("\u0001", F.col("doc_id").cast("string"), "text"), 256).alias("input_sha256"))
+    for number, most in ((1, 2), (2, None)):
+        ledger.run(inputs, path, "policy", lambda rows, n=number: rows.select("input_sha256", "doc_id", F.lit(n).alias("run"), F.length("text").alias("reply")), F.col("doc_id") % 4, most)
+    found = stored(ledger.outputs(inputs, path, "policy").select("doc_id", "run", "reply"))
+    remove(spark, path)
+    return found
+
+
+_RAW = """CASE conv_id % 4 WHEN 0 THEN json_object('label', role, 'scores', json_object('support', length(text) / 1000.0))::VARCHAR WHEN 1 THEN json_object('label', role, 'spans', json_array(1, length(text)))::VARCHAR
+  WHEN 2 THEN json_array(role, text)::VARCHAR ELSE '{broken ' || role END"""
+
+
+@plans.add(
+    f"""WITH s AS (SELECT conv_id, turn, conv_id % 4 = 3 AS broken, CASE WHEN conv_id % 4 < 3 THEN ({_RAW})::JSON END AS signal FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, broken, json_extract_string(signal, '$.label') AS label, json_extract(signal, '$.scores.support')::DOUBLE AS support, json_extract(signal, '$.spans[1]')::BIGINT AS last FROM s"""
+)
+def component_outputs(spark, sf_dir):
+    """Outputs of four components of different shapes, one of them no JSON; what stands at a path is asked of all."""
+    c = F.col("conv_id") % 4
+    named = F.struct(F.col("role").alias("label"), F.struct((F.length("text") / 1000.0).alias("support")).alias("scores"))
+    placed = F.struct(F.col("role").alias("label"), F.array(F.lit(1), F.length("text")).alias("spans"))
+    raw = F.when(c == 0, F.to_json(named)).when(c == 1, F.to_json(placed)).when(c == 2, F.to_json(F.array("role", "text"))).otherwise(F.concat(F.lit("{broken "), "role"))
+    rows = decisions.raw_signals(table(spark, sf_dir, "conversations").where("text IS NOT NULL").withColumn("raw", raw))
+    at = decisions.signal_at
+    return rows.select("conv_id", "turn", "broken", at("$.label", "string").alias("label"), at("$.scores.support", "double").alias("support"), at("$.spans[1]", "bigint").alias("last"))

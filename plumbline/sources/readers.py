@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.canonical import snapshot_key
 from plumbline.sources.pages import page_text
+from plumbline.stored import remove
 
 
 def read_texts(references: DataFrame, path: str) -> DataFrame:
@@ -62,22 +65,54 @@ def resolve_with(references: DataFrame, resolve) -> DataFrame:
     return references.withColumn("r", run("uri")).select("*", "r.text", "r.failure").drop("r")
 
 
+#: Hex digits of a snapshot's key that its bucket is named by.
+BUCKET_DIGITS = 2
+_HELD = ("source_id", "uri", "text", "fetched_at", "status", "media_type", "sha256", "key", "bucket")
+
+
+def _bucket(key: Column) -> Column:
+    return F.substring(key, 1, BUCKET_DIGITS)
+
+
 def write_snapshots(sources: DataFrame, path: str) -> None:
-    """A4: source_id, uri, text, status, media_type as a table with each text's hash, by snapshot key. Rows are
+    """A4: source_id, uri, text, status, media_type as a table with each text's hash, in buckets by the first digits of the snapshot key. Rows are
     added; of those with one key the one fetched last counts."""
-    rows = sources.select("source_id", "uri", "text", "fetched_at", "status", "media_type", F.sha2("text", 256).alias("sha256"), snapshot_key(F.col("uri")).alias("key"))
-    rows.write.mode("append").parquet(path)
+    rows = sources.withColumn("sha256", F.sha2("text", 256)).withColumn("key", snapshot_key(F.col("uri"))).withColumn("bucket", _bucket(F.col("key"))).select(*_HELD)
+    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    last = Window.partitionBy("bucket", "key").orderBy(F.desc("fetched_at"), "source_id", "sha256")
+    return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+
+
+_BUCKETS = "source_id string, uri string, text string, fetched_at string, status int, media_type string, sha256 string, key string, bucket string"
+
+
+def compact_snapshots(spark: SparkSession, path: str) -> None:
+    """A4: leaves the newest row of each key, bucket by bucket. The new table is written beside the old one and takes its place by a rename; the
+    old one goes when it stands."""
+    new, old = f"{path}-new-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
+    _newest(spark.read.schema(_BUCKETS).parquet(path)).repartition("bucket").write.partitionBy("bucket").parquet(new)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    store = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for a, b in ((path, old), (new, path)):
+        if not store.rename(place(a), place(b)):
+            raise OSError(f"{a} could not be renamed")
+    remove(spark, old)
 
 
 def load_snapshots(references: DataFrame, path: str) -> DataFrame:
-    """A5: each reference with its snapshot's text, or why there is none."""
-    s = references.sparkSession.read.parquet(path)
-    last = Window.partitionBy("key").orderBy(F.desc("fetched_at"), "source_id", "sha256")
-    s = s.withColumn("n", F.row_number().over(last)).where("n = 1").select("uri", F.col("source_id").alias("s_id"), "text", "sha256", "fetched_at")
-    rows = references.join(s, "uri", "left")
-    bad = (F.col("s_id") != F.col("source_id")) | F.col("text").isNull() | (F.sha2("text", 256) != F.col("sha256"))
+    """A5: each reference with its snapshot's text, or why there is none. Only the buckets and keys that are asked for are read; of what they hold
+    the newest row counts, so the history of other keys is not looked at."""
+    keyed = references.withColumn("__key", snapshot_key(F.col("uri"))).withColumn("__bucket", _bucket(F.col("__key")))
+    asked = keyed.where("uri is not null").select(F.col("__bucket").alias("bucket"), F.col("__key").alias("key")).distinct()
+    s = _newest(references.sparkSession.read.schema(_BUCKETS).parquet(path).join(asked, ["bucket", "key"], "left_semi"))
+    s = s.select(F.col("key").alias("__key"), F.col("uri").alias("s_uri"), F.col("source_id").alias("s_id"), F.col("text"), "sha256", "fetched_at")
+    rows = keyed.join(s, "__key", "left")
+    bad = (F.col("s_id") != F.col("source_id")) | F.col("text").isNull() | (F.sha2("text", 256) != F.col("sha256")) | (F.col("s_uri") != F.col("uri"))
     failure = F.when(F.col("s_id").isNull(), "source_unreachable").when(bad, "source_changed")
-    return rows.withColumn("failure", failure).withColumn("text", F.when(F.col("failure").isNull(), F.col("text"))).drop("s_id", "sha256")
+    return rows.withColumn("failure", failure).withColumn("text", F.when(F.col("failure").isNull(), F.col("text"))).drop("s_id", "sha256", "s_uri", "__key", "__bucket")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql.datasource import EqualTo, In
 
 from plumbline import cli, engine, policies
 from plumbline.functions.canonical import hash_holds, with_hash
-from plumbline.operators import probes, spans
-from plumbline.sources import readers, web
+from plumbline.operators import decisions, probes, spans
+from plumbline.sources import ledger, readers, web
 from plumbline.streaming import claims as streaming
 
 POLICY = policies.SupportPolicy("p", "1", "2024-01-01", policies.Detector("exact", "m", "1"), 0.5)
@@ -190,3 +190,61 @@ def test_the_source_is_read_through_spark(spark, tmp_path):
     pages = web.read_pages(spark, str(tmp_path / "r"), timeout=1)
     assert sorted((r.uri, r.status, r.error) for r in pages.collect()) == [("http://127.0.0.1:9/x", None, "URLError"), ("no uri", None, "ValueError")]
     assert [r.failure for r in web.resolved(pages.where("uri = 'no uri'")).collect()] == ["source_unreachable"]
+
+
+def test_a_run_that_broke_off_goes_on(spark, tmp_path):
+    def inputs(texts):
+        return spark.createDataFrame(list(texts.items()), "id int, text string").withColumn("input_sha256", F.sha2(F.concat_ws("|", F.col("id").cast("string"), "text"), 256))
+
+    def work(tag, broken=()):
+        def of(rows):
+            log.append(sorted(r.id for r in rows.collect()))
+            if any(i in broken for i in log[-1]):
+                raise RuntimeError("broken off")
+            return rows.select("input_sha256", "id", F.concat(F.lit(tag), "text").alias("out"))
+
+        return of
+
+    def run(frame, folder, step):
+        return ledger.run(frame, str(tmp_path / folder), "p", step, F.col("id") % 5)
+
+    log, texts = [], {i: f"t{i}" for i in range(40)}
+    assert run(inputs(texts), "whole", work("x")) == 5
+    want = sorted(map(tuple, ledger.outputs(inputs(texts), str(tmp_path / "whole"), "p").select("id", "out").collect()))
+    log.clear()
+    with pytest.raises(RuntimeError):
+        run(inputs(texts), "broken", work("x", broken=[2]))
+    with pytest.raises(Exception, match="still pending"):
+        ledger.outputs(inputs(texts), str(tmp_path / "broken"), "p").collect()
+    assert run(inputs(texts), "broken", work("x")) == 3
+    done = [i for batch in log[:2] + log[3:] for i in batch]
+    assert sorted(done) == list(range(40)) and log[2] == log[3]
+    assert sorted(map(tuple, ledger.outputs(inputs(texts), str(tmp_path / "broken"), "p").select("id", "out").collect())) == want
+    log.clear()
+    assert run(inputs(texts), "broken", work("y")) == 0 and log == []
+    assert run(inputs({**texts, 7: "new"}), "broken", work("y")) == 1 and log == [[7]]
+    assert ledger.run(inputs({1: "a"}), str(tmp_path / "broken"), "other policy", work("z"), F.lit(0)) == 1
+
+
+def test_a_compacted_archive_keeps_the_newest_and_reads_the_keys_asked_for(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    schema = "source_id string, uri string, text string, fetched_at string, status int, media_type string"
+    for day in range(3):
+        readers.write_snapshots(spark.createDataFrame([("s", f"u{i}", f"{i} on {day}", f"2024-01-0{day + 1}", 200, "text/plain") for i in range(40) if i % 3 >= day], schema), path)
+    refs = spark.createDataFrame([(i, "s", f"u{i}") for i in range(42)] + [(50, "t", "u1"), (51, "s", None)], "i int, source_id string, uri string")
+    before = sorted(map(tuple, readers.load_snapshots(refs, path).select("i", "text", "failure", "fetched_at").collect()))
+    assert [(t, f) for i, t, f, _ in before if i in (4, 41, 50, 51)] == [("4 on 1", None), (None, "source_unreachable"), (None, "source_changed"), (None, "source_unreachable")]
+    readers.compact_snapshots(spark, path)
+    assert spark.read.parquet(path).count() == 40
+    assert sorted(map(tuple, readers.load_snapshots(refs, path).select("i", "text", "failure", "fetched_at").collect())) == before
+    assert len(list((tmp_path / "archive").glob("bucket=*"))) > 20 and [p.name for p in tmp_path.iterdir()] == ["archive"]
+
+
+def test_raw_signals_keep_any_shape(spark):
+    raw = ['{"a": [1, {"b": "x"}]}', "[]", "7", '"s"', "null", "{", "", None, '{"a": "no list"}']
+    rows = decisions.raw_signals(spark.createDataFrame(list(enumerate(raw)), "i int, raw string"))
+    got = rows.select("i", "broken", decisions.signal_at("$.a[1].b", "string").alias("b"), decisions.signal_at("$", "int").alias("n")).orderBy("i").collect()
+    assert [r.broken for r in got] == [False] * 5 + [True, True, False, False]
+    assert [r.b for r in got] == ["x"] + [None] * 8 and [r.n for r in got if r.n is not None] == [7]
+    shapes = decisions.signal_shapes(rows.withColumn("of", F.lit("c")), "of").first()
+    assert shapes.signals == 6 and shapes.broken == 2 and shapes["shape"]
