@@ -18,8 +18,8 @@ are a document with ``ended`` false; an empty file has no documents; a file whos
 multiple of the width stops the query, and so does a document of the table that is not found in the files; files may
 have any size; repeated rows and ids are counted each; an empty table gives no rows; other columns are not looked at.
 
-Files up to ``WHOLE`` bytes are read through Spark, from any store that it knows. Larger ones are read in ranges by
-pyarrow's file systems (local, HDFS, S3, GCS), a range of ``RANGE`` bytes at a time.
+A store that pyarrow knows (local, HDFS, S3, GCS) is read in ranges of ``RANGE`` bytes, whatever a file's size. A store that only
+Spark knows has no ranges for Python; its files come whole through Spark, which reads files below 2 GB so.
 """
 
 from __future__ import annotations
@@ -38,8 +38,9 @@ from plumbline.llm.tokens import RANKS, TOKENIZER, encoder
 END = 0xC480
 END_TEXT = b"\xc4\x80".decode()
 BLOCK_BYTES = 1 << 20
-WHOLE = 1 << 28
 RANGE = 1 << 24
+#: Neighbouring blocks that one task adds up.
+GROUP = 4096
 
 
 def _encoded(tokenizer: str, ranks: str):
@@ -88,12 +89,12 @@ def _scanned(dtype: str, end: int):
 
 
 def _ranged(dtype: str, end: int, block_bytes: int, range_bytes: int):
-    """Blocks from ``first`` on of a large file, ``range_bytes`` of it."""
+    """The blocks of ``range_bytes`` of a file, from block ``first`` on."""
 
     def run(batches):
         for batch in batches:
             for path, first in zip(*(batch.column(c).to_pylist() for c in ("path", "first")), strict=True):
-                store, name = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                store, name = _opened(path)
                 with store.open_input_file(name) as file:
                     for number in range(first, first + range_bytes // block_bytes):
                         block = file.read_at(min(block_bytes, max(0, file.size() - number * block_bytes)), number * block_bytes)
@@ -103,6 +104,39 @@ def _ranged(dtype: str, end: int, block_bytes: int, range_bytes: int):
     return run
 
 
+def _opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
+def in_ranges(path: str) -> bool:
+    """Whether a file is in a store that can be read in ranges from Python."""
+    try:
+        _opened(path)
+    except (ValueError, OSError, NotImplementedError):
+        return False
+    return True
+
+
+def placed_blocks(scanned: DataFrame, group: int = GROUP) -> DataFrame:
+    """The prefix scan: adds to each block's counts ``before`` (separators of the file before it) and ``carried`` (tokens since the last of them).
+
+    It is in two steps, so that no task sees all blocks of a file: within groups of ``group`` neighbouring blocks, and over the groups' sums.
+    What stands between separators takes no part.
+    """
+    of = Window.partitionBy("path", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(0).cast("long")
+    own = scanned.select("path", "block", "tokens", "ends", "head", "tail", F.floor(F.col("block") / group).alias("group"))
+    own = own.withColumn("o_ends", F.coalesce(F.sum("ends").over(of), nothing)).withColumn("o_seen", F.coalesce(F.sum("tokens").over(of), nothing))
+    own = own.withColumn("last_end", F.when(F.col("ends") > 0, F.col("o_seen") + F.col("tokens") - F.col("tail"))).withColumn("o_last", F.max("last_end").over(of))
+    sums = own.groupBy("path", "group").agg(F.sum("ends").alias("g_ends"), F.sum("tokens").alias("g_tokens"), F.max("last_end").alias("g_last"))
+    over = Window.partitionBy("path").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("b_ends", F.coalesce(F.sum("g_ends").over(over), nothing)).withColumn("b_seen", F.coalesce(F.sum("g_tokens").over(over), nothing))
+    sums = sums.withColumn("b_last", F.coalesce(F.max(F.col("b_seen") + F.col("g_last")).over(over), nothing))
+    rows = own.join(sums.select("path", "group", "b_ends", "b_seen", "b_last"), ["path", "group"])
+    last = F.coalesce(F.col("b_seen") + F.col("o_last"), F.col("b_last"))
+    return rows.select("path", "block", "ends", "head", "tail", (F.col("b_ends") + F.col("o_ends")).alias("before"), (F.col("b_seen") + F.col("o_seen") - last).alias("carried"))
+
+
 def token_counts(spark: SparkSession, path: str, dtype: str = ">u2", end: int = END, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``path, ordinal, tokens, ended`` of each document of the token files below ``path``; ordinal
     counts from 0 in each file."""
@@ -113,30 +147,26 @@ def token_counts(spark: SparkSession, path: str, dtype: str = ">u2", end: int =
     files = spark.read.format("binaryFile").load(path).where("length > 0")
     wrong = F.when(F.col("length") % width != 0, F.raise_error(F.concat(F.lit("not a whole number of tokens: "), F.col("path"))))
     files = files.where(wrong.isNull())
-    last = ((F.col("length") - 1) / block_bytes).cast("long")
-    rows = files.where(F.col("length") <= WHOLE).select("path", "content", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
-    start = (F.col("block") * block_bytes + 1).cast("int")
-    blocks = rows.select("path", "block", F.substring(F.col("content"), start, F.lit(block_bytes)).alias("bytes"))
+    final = ((F.col("length") - 1) / block_bytes).cast("long")
     schema = "path string, block long, tokens long, ends long, head long, tail long, between array<bigint>"
-    range_bytes = max(1, RANGE // block_bytes) * block_bytes
-    first = F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(range_bytes // block_bytes).cast("long")))
-    ranges = files.where(F.col("length") > WHOLE).select("path", first.alias("first"))  # names and sizes only
-    ranges = ranges.repartition("path", "first").mapInArrow(_ranged(dtype, end, block_bytes, range_bytes), schema)
-    scanned = cut(blocks.mapInArrow(_scanned(dtype, end), schema).union(ranges))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    after_all = Window.partitionBy("path").orderBy(F.desc("block"))
-    placed = (
-        scanned.withColumn("first", F.coalesce(F.sum("ends").over(before), F.lit(0)))
-        .withColumn("seen", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-        .withColumn("last_end", F.when(F.col("ends") > 0, F.col("seen") + F.col("tokens") - F.col("tail")))
-        .withColumn("carried", F.col("seen") - F.coalesce(F.max("last_end").over(before), F.lit(0)))
-        .withColumn("is_last", F.row_number().over(after_all) == 1)
-    )
+    some = files.select("path").limit(1).collect()
+    if some and in_ranges(some[0][0]):
+        step = max(1, RANGE // block_bytes)
+        first = F.explode(F.sequence(F.lit(0).cast("long"), final, F.lit(step).cast("long")))
+        ranges = files.select("path", first.alias("first"))  # names and sizes only
+        scanned = ranges.repartition("path", "first").mapInArrow(_ranged(dtype, end, block_bytes, step * block_bytes), schema)
+    else:
+        rows = files.select("path", "content", F.explode(F.sequence(F.lit(0).cast("long"), final)).alias("block"))
+        start = (F.col("block") * block_bytes + 1).cast("int")
+        scanned = rows.select("path", "block", F.substring(F.col("content"), start, F.lit(block_bytes)).alias("bytes")).mapInArrow(_scanned(dtype, end), schema)
+    scanned = cut(scanned)
+    placed = placed_blocks(scanned)
     counts = F.when(F.col("ends") > 0, F.concat(F.array(F.col("carried") + F.col("head")), F.col("between"))).otherwise(F.array().cast("array<bigint>"))
+    ended = scanned.select("path", "block", "between").join(placed, ["path", "block"]).select("path", "before", F.posexplode(counts).alias("n", "tokens"), F.lit(True).alias("ended"))
     rest = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("tail"))
-    ended = placed.select("path", "first", F.posexplode(counts).alias("n", "tokens"), F.lit(True).alias("ended"))
-    open_ = placed.where(F.col("is_last") & (rest > 0)).select("path", (F.col("first") + F.col("ends")).alias("first"), F.lit(0).alias("n"), rest.alias("tokens"), F.lit(False).alias("ended"))
-    return ended.unionByName(open_).select("path", (F.col("first") + F.col("n")).alias("ordinal"), "tokens", "ended")
+    end_block = scanned.groupBy("path").agg(F.max("block").alias("block"))
+    open_ = placed.join(end_block, ["path", "block"]).where(rest > 0).select("path", (F.col("before") + F.col("ends")).alias("before"), F.lit(0).alias("n"), rest.alias("tokens"), F.lit(False).alias("ended"))
+    return ended.unionByName(open_).select("path", (F.col("before") + F.col("n")).alias("ordinal"), "tokens", "ended")
 
 
 def count_documents(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import tokencount as C
@@ -21,10 +23,10 @@ def brute(ids, end):
     return out + [(n, False)] * (n > 0)
 
 
-@pytest.mark.parametrize("whole", [1 << 28, 40])
+@pytest.mark.parametrize("ranges", [True, False])
 @pytest.mark.parametrize(("dtype", "block"), [("<u2", 8), (">u4", 16), ("<u4", 1 << 20)])
-def test_flat_files(spark, tmp_path, monkeypatch, dtype, block, whole):
-    monkeypatch.setattr(C, "WHOLE", whole)
+def test_flat_files(spark, tmp_path, monkeypatch, dtype, block, ranges):
+    monkeypatch.setattr(C, "in_ranges", lambda _: ranges)
     monkeypatch.setattr(C, "RANGE", 64)
     rng, files = random.Random(2), {}
     for k, size in enumerate([0, 1, 7, 400, 900]):
@@ -76,3 +78,24 @@ def test_errors_and_empty(spark, tmp_path):
         C.token_counts(spark, str(tmp_path), "<u4", 1, 6)
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e"))
     assert C.count_documents(spark.read.parquet(str(tmp_path / "e"))).count() == 0
+
+
+def test_no_task_sees_all_blocks_of_a_file(spark):
+    """A file of 100,000 blocks: its sums are added up by groups, and equal a plain scan."""
+    rng = np.random.default_rng(4)
+    n = 100_000
+    ends = np.where(rng.random(n) < 0.2, rng.integers(1, 4, n), 0)
+    head, tail = rng.integers(0, 50, n), rng.integers(0, 50, n)
+    tokens = np.where(ends > 0, head + tail + 10 * (ends - 1), head)
+    tail, head = np.where(ends > 0, tail, tokens), np.where(ends > 0, head, tokens)
+    df = spark.createDataFrame(pd.DataFrame({"path": "f", "block": np.arange(n), "tokens": tokens, "ends": ends, "head": head, "tail": tail}))
+    got = C.placed_blocks(df.withColumn("between", F.array().cast("array<bigint>")), 1000).orderBy("block").toPandas()
+    seen = np.cumsum(tokens) - tokens
+    last = np.maximum.accumulate(np.where(ends > 0, seen + tokens - tail, 0))
+    assert (got["before"] == np.cumsum(ends) - ends).all() and (got["carried"] == seen - np.concatenate([[0], last[:-1]])).all()
+    plan = C.placed_blocks(df, 1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "between" not in plan
+
+
+def test_a_store_that_python_does_not_know():
+    assert C.in_ranges("file:/tmp/x") and not C.in_ranges("viewfs://store/x")
