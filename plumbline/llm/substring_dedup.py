@@ -3,17 +3,16 @@
 Sentences end at ``. ! ?`` before white space, or at a line end. A sentence of more than ``LONG`` words
 counts in pieces: a piece begins where the hash of two neighbouring words is the least within ``REACH`` words,
 which copies of a passage agree on wherever it stands. A span is ``SENTENCES`` consecutive
-sentences (or pieces). Every span of every text is hashed (96 bits), however short, and the hashes are
+sentences (or pieces). Every span of every text is hashed (128 bits), however short, and the hashes are
 joined globally. The first occurrence of a span (smallest doc_id, then the earliest row and sentence) stays; the
 sentences that any other occurrence covers are removed.
 
-A repeated run of any length is a chain of repeated spans, so these spans cover all of it, both ends included.
-What is removed are whole stretches of covered sentences that stand together: ``WORDS`` words or more, so
-that a short line that many texts have in common stays.
+A repeated run of any length of ``SENTENCES`` sentences or more is a chain of repeated spans, so these spans cover all of it, both ends included. All that they
+cover is removed. The option ``least_words`` leaves stretches of fewer words; the query sets it to ``WORDS``.
 
-Hashes are counted before they are joined, with map-side sums, so a passage that a third of
-the documents share is one row a task; the join has a written table on its small side and its other
-side is split by adaptive execution. Words are hashed one by one in C, all the rest is arithmetic on whole
+Hashes are counted first, with map-side sums, so a passage that a third of the documents share is one row a task. Only the
+places of hashes that occur again are looked at further: the join with those hashes has a written table on its small side and its other
+side is split by adaptive execution, and a hash's first place is a map-side minimum. Words are hashed one by one in C, all the rest is arithmetic on whole
 Arrow batches, so the spans are made anew for the join, which costs less than to store them.
 
 Defined results: null and blank texts have no spans and are returned as they are; a text with fewer
@@ -35,8 +34,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut, done, prepare, table
 
 SENTENCES = 2
-WORDS = 15
 LONG = 20
+#: What the query leaves: stretches of fewer words, lines that many clean documents have in common.
+WORDS = 15
 REACH = 3
 #: Bytes that are looked at at once; cut at line ends, where sentences end anyway.
 BLOCK = 1 << 22
@@ -133,7 +133,7 @@ def spans(own: Units, sentences: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return own.row[whole], whole - np.searchsorted(own.row, own.row[whole]), *hashes
 
 
-_SPANS = "row long, doc_id long, first int, hi long, lo int"
+_SPANS = "row long, doc_id long, first int, hi long, lo long"
 
 
 def _spans(sentences: int, long: int | None):
@@ -143,7 +143,7 @@ def _spans(sentences: int, long: int | None):
             row, first, hi, lo = spans(units([t or b"" for t in texts], long), sentences)
             row = pa.array(row)
             yield pa.record_batch(
-                [batch.column("row").take(row), batch.column("doc_id").take(row), pa.array(first.astype(np.int32)), pa.array(hi.view(np.int64)), pa.array((lo >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                [batch.column("row").take(row), batch.column("doc_id").take(row), pa.array(first.astype(np.int32)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))],
                 names=["row", "doc_id", "first", "hi", "lo"],
             )
 
@@ -204,25 +204,27 @@ def _removed(sentences: int, least_words: int, long: int | None):
     return run
 
 
-def substring_dedup(docs: DataFrame, sentences: int = SENTENCES, least_words: int = WORDS, long: int | None = LONG) -> DataFrame:
+def substring_dedup(docs: DataFrame, sentences: int = SENTENCES, least_words: int = 0, long: int | None = LONG) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``, a stored table: ``doc_id, text`` (without
     what was removed), ``removed`` (how many sentences or pieces), ``removed_spans`` (code points
     of the original text, from and up to). A span has ``sentences`` sentences; sentences of more than ``long`` words
-    count in pieces (None: whole); a stretch that is removed has ``least_words`` words or more."""
+    count in pieces (None: whole); a stretch that is removed has ``least_words`` words or more (by default any)."""
     prepare(docs.sparkSession)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(_spans(sentences, long), _SPANS)
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "first")
-    repeated = cut(
-        found.groupBy("hi", "lo").agg(F.count("*").alias("times"), F.min(place).alias("origin")).where("times > 1")
-        .select("hi", "lo", F.col("origin.row").alias("o_row"), F.col("origin.first").alias("o_first"))
-    )
-    again = found.select("hi", "lo", "row", "first").join(repeated, ["hi", "lo"]).where("NOT (row = o_row AND first = o_first)")
-    covered = cut(again.groupBy("row").agg(F.collect_list("first").alias("firsts")))  # bounded by the row's text
+    repeated = cut(found.groupBy("hi", "lo").agg(F.count("*").alias("times")).where("times > 1").select("hi", "lo"))
+    again = cut(found.join(repeated, ["hi", "lo"]))
     done(repeated)
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "first")
+    origins = again.groupBy("hi", "lo").agg(F.min(place).alias("origin"))
+    stays = F.lit(True).alias("stays")
+    places = again.select("row", "first", (~stays).alias("stays")).union(origins.select("origin.row", "origin.first", stays))
+    held = places.groupBy("row").agg(F.collect_list("first").alias("all"), F.collect_list(F.when(F.col("stays"), F.col("first"))).alias("stay"))  # bounded by the row's text
+    covered = cut(held.select("row", F.array_except("all", "stay").alias("firsts")).where(F.size("firsts") > 0))
+    done(again)
     schema = "doc_id long, text string, removed int, removed_spans array<struct<start:int,stop:int>>"
     return texts.join(covered, "row", "left").select("doc_id", "text", "firsts").mapInArrow(_removed(sentences, least_words, long), schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=WORDS)

@@ -112,12 +112,22 @@ def test_code_points_of_what_is_removed(spark, tmp_path):
     assert rows[1][1][spot.start : spot.stop].strip() == passage and got[2].text == rows[1][1][: spot.start] + rows[1][1][spot.stop :]
 
 
-def test_the_defaults_leave_short_shared_lines_alone(spark, tmp_path):
+def test_short_shared_lines_go_unless_they_are_to_stay(spark, tmp_path):
     line = "All rights are reserved here. Ask before you copy it."
     passage = " ".join(f"Sentence {w} of the passage that repeats has some ten words." for w in "one two three four five six".split())
     rows = [(i, f"Document {i} begins so. {line} Number {i} has its own words. " + (passage if i % 2 else "")) for i in range(8)]
-    got = {r.doc_id: r.removed for r in D.substring_dedup(stored(spark, tmp_path, rows)).collect()}
-    assert got == {i: 6 * (i % 2 and i > 1) for i in range(8)}
+    docs = stored(spark, tmp_path, rows)
+    assert {r.doc_id: r.removed for r in D.substring_dedup(docs, least_words=D.WORDS).collect()} == {i: 6 * (i % 2 and i > 1) for i in range(8)}
+    assert {r.doc_id: r.removed for r in D.substring_dedup(docs).collect()} == {i: 2 * (i > 0) + 6 * (i % 2 and i > 1) for i in range(8)}
+
+
+def test_first_places_are_sums_of_no_sorted_spans(spark, tmp_path, capfd):
+    """Hashes are counted in a hash table; only the places of repeated ones are sorted for their minimum."""
+    docs = stored(spark, tmp_path, some_rows(1))
+    found = docs.selectExpr("0L AS row", "doc_id", "text").mapInArrow(D._spans(2, 20), D._SPANS)
+    found.groupBy("hi", "lo").count().where("count > 1").explain()
+    plan = capfd.readouterr().out
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 def test_empty_table(spark, tmp_path):
