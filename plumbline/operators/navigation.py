@@ -233,6 +233,13 @@ def select_recorded(outputs: DataFrame, nodes: DataFrame, cases: DataFrame, max_
     return rows.select("case_id", status.alias("status"), "reason", F.when(F.col("reason") == "selected", ids).otherwise(F.array().cast("array<string>")).alias("node_ids"))
 
 
+def replayed(prompts: DataFrame, recorded: DataFrame) -> DataFrame:
+    """What was recorded for each case's prompt, known by the prompt's hash: a case whose prompt is another one than the recorded has the error
+    ``prompt_changed``. ``prompts``: case_id, prompt; ``recorded``: prompt_sha256, node_ids, input_tokens, output_tokens, error, a row for each prompt. For ``select_recorded``."""
+    rows = prompts.select("case_id", F.sha2("prompt", 256).alias("prompt_sha256")).join(recorded.withColumn("__known", F.lit(True)), "prompt_sha256", "left")
+    return rows.withColumn("error", F.when(F.col("__known").isNull(), "prompt_changed").otherwise(F.col("error"))).drop("__known")
+
+
 def select_with(nodes: DataFrame, cases: DataFrame, selector: Callable[[str, pd.DataFrame], list[str]]) -> DataFrame:
     """Extension point: a selector of one's own, called with the question and the case's selectable nodes."""
 

@@ -118,3 +118,19 @@ def arena_adjudication(spark, sf_dir):
 @plans.add(f"WITH {_ARENA} SELECT count(*) AS tasks, count(*) FILTER (verdict = 'withheld') AS withheld, count(*) FILTER (verdict = 'withheld')::DOUBLE / count(*) AS withheld_density, bool_and(verdict = 'stands') AS passed FROM verdicts")
 def withheld_density(spark, sf_dir):
     return A.arena_summary(findings(spark, sf_dir))
+
+
+@plans.add(
+    """WITH attacks AS (SELECT conv_id AS task_id, 'l' || turn AS lens, CASE WHEN (conv_id + turn) % 5 <> 0 THEN text END AS attack, 's' || (turn % 4) AS session_id FROM conversations),
+rulings AS (SELECT conv_id AS task_id, 'l' || (turn + CASE WHEN conv_id % 7 = 0 THEN 1000 ELSE 0 END) AS lens, 's' || ((turn + k) % 4) AS session_id, k FROM conversations, range(3) r(k))
+SELECT r.task_id, r.lens, r.session_id, k::INTEGER AS k FROM rulings r LEFT JOIN attacks a USING (task_id, lens) WHERE a.attack IS NULL OR r.session_id = a.session_id"""
+)
+def stopped_rulings(spark, sf_dir):
+    """rulings on attacks that are not there or null, and those of the attack's own session."""
+    turns, lens = table(spark, sf_dir, "conversations"), F.concat(F.lit("l"), F.col("turn").cast("string"))
+    attack = F.when((F.col("conv_id") + F.col("turn")) % 5 != 0, F.col("text"))
+    attacks = turns.select(F.col("conv_id").alias("task_id"), lens.alias("lens"), attack.alias("attack"), F.concat(F.lit("s"), (F.col("turn") % 4).cast("string")).alias("session_id"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    rulings = turns.select("*", k.alias("k")).withColumn("turn_", F.col("turn") + F.when(F.col("conv_id") % 7 == 0, 1000).otherwise(0))
+    rulings = rulings.select(F.col("conv_id").alias("task_id"), F.concat(F.lit("l"), F.col("turn_").cast("string")).alias("lens"), F.concat(F.lit("s"), ((F.col("turn") + F.col("k")) % 4).cast("string")).alias("session_id"), "k")
+    return A.self_rulings(attacks, rulings)

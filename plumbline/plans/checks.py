@@ -99,18 +99,34 @@ def span_violations(spark, sf_dir):
 
 
 @plans.add(
-    """WITH c AS (SELECT doc_id, ['verbatim_supported', 'paraphrase_supported', 'contradicted', 'present_irrelevant'][doc_id % 4 + 1] AS kind FROM documents)
-SELECT doc_id AS case_id, 'wrong_status' AS rule FROM c WHERE kind IN ('contradicted', 'present_irrelevant')
-UNION ALL SELECT doc_id, 'wrong_provenance' FROM c WHERE kind <> 'contradicted'
-UNION ALL SELECT doc_id, 'no_parent' FROM c WHERE doc_id % 8 < 4
-UNION ALL SELECT doc_id, 'claim_offsets' FROM c WHERE kind IN ('paraphrase_supported', 'contradicted')"""
+    """WITH rules(kind, status, sources, placed) AS (VALUES ('verbatim_supported', 'supported', ['attested'], true), ('paraphrase_supported', 'supported', ['authored', 'model_authored'], false),
+  ('contradicted', 'contradicted', ['derived'], false), ('present_irrelevant', 'insufficient', ['adjudicated'], true)),
+c AS (SELECT doc_id AS case_id, ['verbatim_supported', 'paraphrase_supported', 'contradicted', 'present_irrelevant', 'other'][doc_id % 5 + 1] AS kind, ['supported', 'contradicted', 'insufficient'][doc_id % 3 + 1] AS status,
+  ['attested', 'authored', 'model_authored', 'derived', 'adjudicated'][doc_id // 5 % 5 + 1] AS provenance, doc_id % 8 < 4 AS orphan, doc_id % 7 < 3 AS unread, substr(text, 1, doc_id % 4 + 2) AS claim, substr(text, 1, 4) AS own,
+  CASE WHEN doc_id % 6 < 4 THEN doc_id % 2 END AS s, CASE WHEN doc_id % 6 < 4 THEN doc_id % 2 + 4 END AS e FROM documents),
+j AS (SELECT c.*, r.kind IS NOT NULL AS known, r.status AS want, r.sources, coalesce(r.placed, false) AS present FROM c LEFT JOIN rules r USING (kind))
+SELECT case_id, 'unknown_kind' AS rule FROM j WHERE NOT known
+UNION ALL SELECT case_id, 'wrong_status' FROM j WHERE known AND status <> want
+UNION ALL SELECT case_id, 'wrong_provenance' FROM j WHERE known AND NOT list_contains(sources, provenance)
+UNION ALL SELECT case_id, 'no_parent' FROM j WHERE provenance = 'derived' AND orphan
+UNION ALL SELECT case_id, 'not_reviewed' FROM j WHERE provenance IN ('model_authored', 'adjudicated') AND unread
+UNION ALL SELECT case_id, 'span_length' FROM j WHERE length(own) <> 4
+UNION ALL SELECT case_id, 'claim_offsets' FROM j WHERE present <> (s IS NOT NULL) OR (s IS NOT NULL AND length(claim) <> e - s)
+UNION ALL SELECT case_id, 'not_verbatim' FROM j WHERE kind = 'verbatim_supported' AND coalesce(claim <> own OR s <> 0, false)"""
 )
 def case_violations(spark, sf_dir):
-    kinds = F.array(*map(F.lit, list(probes.CASE_RULES)))
+    d = F.col("doc_id")
+
+    def one_of(values, place):
+        return F.element_at(F.array(*map(F.lit, values)), (place + 1).cast("int"))
+
+    none, some = F.array().cast("array<string>"), F.array(F.lit("p"))
+    placed = F.when(d % 6 < 4, d % 2)
     cases = documents(spark, sf_dir).select(
-        F.col("doc_id").alias("case_id"), F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")).alias("kind"), F.lit("supported").alias("expected_status"), F.lit("derived").alias("provenance"),
-        F.when(F.col("doc_id") % 8 < 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("p"))).alias("parents"), F.array().cast("array<string>").alias("reviewers"),
-        F.lit(0).alias("original_start"), F.lit(3).alias("original_end"), F.lit("abc").alias("original_text"), F.lit("abc").alias("claim_text"), F.lit(0).alias("present_start"), F.lit(3).alias("present_end"),
+        d.alias("case_id"), one_of([*probes.CASE_RULES, "other"], d % 5).alias("kind"), one_of(["supported", "contradicted", "insufficient"], d % 3).alias("expected_status"),
+        one_of(["attested", "authored", "model_authored", "derived", "adjudicated"], F.floor(d / 5) % 5).alias("provenance"), F.when(d % 8 < 4, none).otherwise(some).alias("parents"), F.when(d % 7 < 3, none).otherwise(some).alias("reviewers"),
+        F.lit(0).alias("original_start"), F.lit(4).alias("original_end"), F.substring("text", 1, 4).alias("original_text"), F.substring(F.col("text"), F.lit(1), (d % 4 + 2).cast("int")).alias("claim_text"),
+        placed.alias("present_start"), (placed + 4).alias("present_end"),
     )
     return probes.case_violations(cases)
 
@@ -205,7 +221,13 @@ def relevance_strata(spark, sf_dir):
     return probes.relevance_strata(claims, anchors).select("case_id", "stratum")
 
 
-@plans.add()
+@plans.add(
+    """WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda x: trim(x)), lambda x: length(x) > 10) AS l FROM documents),
+n AS (SELECT doc_id, l, list_transform(l, lambda x: len(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> ''))) AS w FROM s),
+walk AS (SELECT doc_id, 1 AS i, 0 AS piece, 0::BIGINT AS words, NULL::VARCHAR AS text, l, w FROM n WHERE len(l) > 0
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN words > 0 AND words + w[i] > 100 THEN piece + 1 ELSE piece END, CASE WHEN words > 0 AND words + w[i] > 100 THEN w[i] ELSE words + w[i] END, l[i], l, w FROM walk WHERE i <= len(l))
+SELECT doc_id, piece::INTEGER AS n, string_agg(text, ' ' ORDER BY i) AS piece FROM walk WHERE text IS NOT NULL GROUP BY doc_id, piece"""
+)
 def packed_sentences(spark, sf_dir):
     """Each document's sentences in pieces of up to 100 words."""
     docs = documents(spark, sf_dir).select("doc_id", spans.pack_sentences(sentences_of_text(F.col("text")), 100).alias("pieces"))

@@ -131,8 +131,40 @@ def fuzzy_anchor(spark, sf_dir):
     return anchor.anchor_excerpts(pairs).select("doc_id", "anchor", "method")
 
 
+_SHARE = """SELECT id, s, 2.0 * sum(least(have, c)) / any_value(ln + w - 2) AS share FROM (
+  SELECT a.id, a.s, g.g, any_value(g.c) AS c, count(*) AS have, any_value(a.ln) AS ln, any_value(a.w) AS w FROM {starts} a JOIN grams g ON g.id = a.id AND g.i BETWEEN a.s + 1 AND a.s + a.w - 1 GROUP BY a.id, a.s, g.g) GROUP BY id, s"""
+
+
+@plans.add(
+    f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, {norm_sql("text")} AS h FROM conversations WHERE text IS NOT NULL),
+x AS (SELECT id, h, regexp_replace(substr(h, length(h) // 3 + 1, length(h) // 3), '(.{{8}}).', '\\1q', 'g') AS raw FROM t),
+p AS (SELECT id, h, {norm_sql("raw")} AS n FROM x),
+q AS (SELECT *, length(n) AS ln, least(length(h), floor(length(n) * 1.2 + 0.999999)::INTEGER) AS w, greatest(1, length(n) // 4) AS stride FROM p WHERE length(n) >= 2 AND NOT contains(h, n)),
+need AS (SELECT id, substr(n, i, 2) AS g, count(*) AS c FROM (SELECT id, n, unnest(generate_series(1, ln - 1)) AS i FROM q) GROUP BY ALL),
+grams AS (SELECT id, i, g, c FROM (SELECT id, i, substr(h, i, 2) AS g FROM (SELECT id, h, unnest(generate_series(1, length(h) - 1)) AS i FROM q)) JOIN need USING (id, g)),
+coarse AS (SELECT id, ln, w, unnest(generate_series(0, length(h) - w, stride)) AS s FROM q),
+walked AS ({_SHARE.format(starts="coarse")}),
+best AS (SELECT id, max(share) AS share, arg_min(s, (-share, s)) AS place FROM walked GROUP BY id),
+fine AS (SELECT id, ln, w, unnest(generate_series(greatest(0, coalesce(place, 0) - stride), least(length(h) - w, coalesce(place, 0) + stride), 7)) AS s FROM q LEFT JOIN best USING (id) WHERE length(h) > w),
+near AS (SELECT id, max(share) AS share FROM ({_SHARE.format(starts="fine")}) GROUP BY id)
+SELECT p.id, CASE WHEN n = '' OR h = '' OR contains(h, n) THEN 'exact' ELSE 'fuzzy' END AS method,
+  round(CASE WHEN n <> '' AND contains(h, n) THEN 1.0 WHEN n = '' OR h = '' THEN 0.0 ELSE greatest(coalesce(best.share, 0), coalesce(near.share, 0)) END, 9)::DOUBLE AS score
+FROM p LEFT JOIN best USING (id) LEFT JOIN near USING (id)"""
+)
+def fuzzy_scores(spark, sf_dir):
+    """The middle third of each turn, every ninth character replaced, in the whole turn: the score itself."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), normalise_anchor(F.col("text")).alias("source_text"))
+    third = F.floor(F.length("source_text") / 3).cast("int")
+    excerpt = F.regexp_replace(F.substring(F.col("source_text"), third + 1, third), "(?s)(.{8}).", "$1q")
+    return anchor.anchor_excerpts(turns.withColumn("excerpt", excerpt)).select("id", "method", F.round("score", 9).alias("score"))
+
+
+_NUMBERS = "list_filter(regexp_extract_all(n, '[$£€]?\\pN[\\pN,.]*%?'), lambda t: NOT contains(h, t))"
+
+
 @plans.add(
-    f"""SELECT doc_id, CASE WHEN length(text) < 100 THEN 'found' WHEN contains({norm_sql("text")}, '1239') THEN 'found' ELSE 'ambiguous' END AS anchor, CASE WHEN length(text) < 100 THEN 'exact' ELSE 'fuzzy' END AS method FROM documents"""
+    f"""WITH p AS (SELECT doc_id, {norm_sql("text || CASE WHEN length(text) >= 100 THEN ' cost 1239 units' ELSE ' cost 1234 units' END")} AS n, {norm_sql("text || ' cost 1234 units'")} AS h FROM documents)
+SELECT doc_id, CASE WHEN contains(h, n) OR len({_NUMBERS}) = 0 THEN 'found' ELSE 'ambiguous' END AS anchor, CASE WHEN contains(h, n) THEN 'exact' ELSE 'fuzzy' END AS method FROM p"""
 )
 def numeric_guard(spark, sf_dir):
     """An excerpt that is the source but for one digit of an amount is not found."""

@@ -231,3 +231,18 @@ def navigation_pack(spark, sf_dir):
     seeds = cases(spark, sf_dir).select(F.col("case_id").alias("seed_id"), F.col("doc").alias("source_id"), "question", F.col("gold_start").alias("start"), F.col("gold_end").alias("end"))
     chosen, _ = N.navigation_pack(seeds, docs, 25, 7, most=LINE, lines=True, shuffle="digest")
     return chosen.select("case_id", F.size("gold").alias("gold"))
+
+
+@plans.add(
+    f"""WITH {_NODES}, {_CHOSEN}
+SELECT case_id, CASE WHEN c.doc % 3 = 0 THEN 'failed' ELSE 'selected' END AS status, CASE WHEN c.doc % 3 = 0 THEN 'selector_error' ELSE 'selected' END AS reason,
+  CASE WHEN c.doc % 3 = 0 THEN '' ELSE (SELECT arg_min(n.node_id, (n.s, n.node_id)) FROM nodes n WHERE n.doc = c.doc) END AS node_ids FROM cases c"""
+)
+def replayed_selections(spark, sf_dir):
+    """Recorded outputs found by their prompts' hashes; the prompts of every third document are other ones by now."""
+    own, asked = nodes(spark, sf_dir), cases(spark, sf_dir)
+    first = own.where("selectable").groupBy("doc").agg(F.min(F.struct("start", "node_id")).alias("f")).select("doc", F.array("f.node_id").alias("node_ids"))
+    prompts = asked.select("doc", "case_id", F.concat_ws("|", "case_id", "question").alias("prompt"))
+    recorded = prompts.join(first, "doc").select(F.sha2("prompt", 256).alias("prompt_sha256"), "node_ids", F.lit(10).alias("input_tokens"), F.lit(1).alias("output_tokens"), F.lit(None).cast("string").alias("error"))
+    now = prompts.select("case_id", F.when(F.col("doc") % 3 == 0, F.concat("prompt", F.lit("?"))).otherwise(F.col("prompt")).alias("prompt"))
+    return N.select_recorded(N.replayed(now, recorded), own, asked, 5, 32_768).select("case_id", "status", "reason", F.array_join("node_ids", ",").alias("node_ids"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import sentences_of_text
 from plumbline.operators import spans
 from plumbline.plans.tools import Plans, table
 
@@ -28,13 +29,17 @@ def fixed_windows(spark, sf_dir):
 
 
 @plans.add(
-    f"""WITH {_WINDOWS}, m AS (SELECT doc_id, count(*) AS segments, max(e - s) AS longest, sum(e - s) - max(length(text)) AS overlap_excess FROM windows GROUP BY doc_id)
-SELECT doc_id, coalesce(segments, 0) AS segments, coalesce(segments, 0) > 1 AS several, coalesce(longest, 0) AS longest, 1.0::DOUBLE AS covered_ratio, 1.0::DOUBLE AS covered_solid_ratio,
-  coalesce(overlap_excess, 0)::BIGINT AS overlap_excess FROM documents LEFT JOIN m USING (doc_id)"""
+    f"""WITH {_WINDOWS}, kept AS (SELECT * FROM windows WHERE seq % 3 <> 2),
+f AS (SELECT *, greatest(s, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS fresh FROM kept),
+m AS (SELECT doc_id, count(*) AS segments, max(e - s) AS longest, sum(e - s) AS characters, sum(greatest(0, e - fresh)) AS covered, sum(length(regexp_replace(substr(text, fresh + 1, greatest(0, e - fresh)), '\\s', '', 'g'))) AS solid FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(segments, 0) AS segments, coalesce(segments, 0) > 1 AS several, coalesce(longest, 0) AS longest, round(coalesce(covered / nullif(length(text), 0)::DOUBLE, 1), 9) AS covered_ratio,
+  round(coalesce(solid / nullif(length(regexp_replace(text, '\\s', '', 'g')), 0)::DOUBLE, 1), 9) AS covered_solid_ratio, coalesce(characters - covered, 0)::BIGINT AS overlap_excess FROM documents LEFT JOIN m USING (doc_id)"""
 )
 def segment_measures(spark, sf_dir):
+    """H20 over windows of which every third one is left out."""
     docs, windows = windows_of(spark, sf_dir)
-    return spans.segment_measures(docs, windows, "doc_id")
+    rows = spans.segment_measures(docs, windows.where("seq % 3 <> 2"), "doc_id")
+    return rows.withColumns({c: F.round(c, 9) for c in ("covered_ratio", "covered_solid_ratio")})
 
 
 def intervals(spark, sf_dir):
@@ -78,7 +83,7 @@ def quotes(spark, sf_dir):
 p AS (SELECT doc_id, quote, string_split(text, quote) AS parts FROM q),
 o AS (SELECT doc_id, quote, i, (list_sum(list_transform(parts[:i], lambda x: length(x))) + (i - 1) * length(quote))::INTEGER AS s FROM (SELECT *, unnest(generate_series(1, len(parts) - 1)) AS i FROM p)),
 h AS (SELECT o.doc_id, i, count(*) FILTER (w.s <= o.s AND o.s + length(o.quote) <= w.e) AS n FROM o JOIN windows w USING (doc_id) GROUP BY o.doc_id, i)
-SELECT doc_id, 1::BIGINT AS grounded, (max(n) > 0)::BIGINT AS contained, (max(n) = 0)::BIGINT AS cut, (CASE WHEN max(n) > 0 THEN sum(greatest(n - 1, 0)) ELSE 0 END)::BIGINT AS duplicate_exposures FROM h GROUP BY doc_id"""
+SELECT doc_id, (SELECT count(DISTINCT o.quote) FROM o WHERE o.doc_id = h.doc_id) AS grounded, (max(n) > 0)::BIGINT AS contained, (max(n) = 0)::BIGINT AS cut, (CASE WHEN max(n) > 0 THEN sum(greatest(n - 1, 0)) ELSE 0 END)::BIGINT AS duplicate_exposures FROM h GROUP BY doc_id"""
 )
 def quote_boundary_cuts(spark, sf_dir):
     found = quotes(spark, sf_dir).select("doc_id", "quote", "occurrence", "start", "end")
@@ -103,3 +108,15 @@ def context_windows(spark, sf_dir):
     start = F.expr("int(length(text) div 2)")
     low, high, text = spans.context_window(F.col("text"), start, F.least(F.length("text"), start + 120), 200)
     return docs.select("doc_id", low.alias("low"), high.alias("high"), text.alias("context"))
+
+
+@plans.add(
+    """WITH s AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda x: trim(x)), lambda x: length(x) > 10) AS l FROM documents),
+n AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN l ELSE [text] END AS l, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words FROM s),
+k AS (SELECT doc_id, l, greatest(1, len(l) // (words // 350 + 1)) AS each FROM n)
+SELECT doc_id, (i - 1)::INTEGER AS n, array_to_string(l[(i - 1) * each + 1:i * each], ' ') AS chunk FROM (SELECT *, unnest(generate_series(1, ceil(len(l) / each::DOUBLE)::BIGINT)) AS i FROM k)"""
+)
+def even_chunks(spark, sf_dir):
+    """Each document's sentences in equal runs."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", spans.even_chunks(F.col("text"), sentences_of_text(F.col("text"))).alias("chunks"))
+    return docs.select("doc_id", F.posexplode("chunks").alias("n", "chunk"))

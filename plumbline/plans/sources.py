@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import canonical
 from plumbline.operators import decisions, parity
-from plumbline.plans.tools import Plans, entities_sql, space_sql, table
+from plumbline.plans.tools import Plans, ascii_json_sql, entities_sql, space_sql, table
 from plumbline.sources import artifacts, readers
 
 plans = Plans()
@@ -98,7 +98,9 @@ def parity_projection(spark, sf_dir):
     return parity.projected_equal(left, right, "id", ["role"])
 
 
-@plans.add()
+@plans.add(
+    f"""SELECT conv_id, turn, sha256('{{"claim_text":' || coalesce({ascii_json_sql("text")}, 'null') || ',"question":"Is it so?","source_sha256":' || coalesce('"' || sha256(text) || '"', 'null') || '}}') AS input_sha256 FROM conversations"""
+)
 def claim_hashes(spark, sf_dir):
     """What a detector's input and a component's input are known by."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.sha2("text", 256).alias("sha"), F.lit("Is it so?").alias("question"))

@@ -42,3 +42,10 @@ def entities_sql(x: str) -> str:
     for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "''"), ("amp", "&")):
         x = f"regexp_replace({x}, '&{name};?', '{sign}', 'g')"
     return x
+
+
+def ascii_json_sql(x: str) -> str:
+    """A text as a JSON string of ASCII characters, in DuckDB's SQL."""
+    pair = "'\\u' || to_hex(55296 + (unicode(c) - 65536) // 1024) || '\\u' || to_hex(56320 + (unicode(c) - 65536) % 1024)"
+    sign = f"CASE WHEN unicode(c) < 127 THEN c WHEN unicode(c) < 65536 THEN '\\u' || lower(lpad(to_hex(unicode(c)), 4, '0')) ELSE lower({pair}) END"
+    return f"array_to_string(list_transform(string_split(to_json({x})::VARCHAR, ''), lambda c: {sign}), '')"

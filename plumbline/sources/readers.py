@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.canonical import snapshot_key
 from plumbline.sources.pages import page_text
-from plumbline.stored import remove
+from plumbline.stored import remove, stored
 
 
 def read_texts(references: DataFrame, path: str) -> DataFrame:
@@ -115,16 +115,27 @@ def load_snapshots(references: DataFrame, path: str) -> DataFrame:
     return rows.withColumn("failure", failure).withColumn("text", F.when(F.col("failure").isNull(), F.col("text"))).drop("s_id", "sha256", "s_uri", "__key", "__bucket")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, value``: the lines of text files, numbered from 1 in each file, blank ones too. Lines keep their order within a part of a file that a
+    task reads, so a line's number is its place there and the number of lines in the parts before, of which there are few."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
+    rows = stored(rows)
+    parts = rows.groupBy("file", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("file", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(parts, ["file", "part"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False, numbered: bool = False) -> DataFrame:
     """JSON lines; blank lines are skipped. Lines that are no object of the schema, or with ``strict`` have
-    other fields, come back with ``problem``."""
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    other fields, come back with ``problem``; with ``numbered`` each row has its ``file`` and ``line``."""
+    lines = (numbered_lines(spark, path) if numbered else spark.read.text(path)).where(F.length(F.trim("value")) > 0)
     rows = lines.withColumn("row", F.from_json("value", T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())]), {"mode": "PERMISSIVE"}))
     foreign = F.array_except(F.json_object_keys("value"), F.array(*(F.lit(f.name) for f in schema.fields)))
     problem = F.when(F.col("row._corrupt_record").isNotNull() | F.json_object_keys("value").isNull(), "malformed")
     if strict:
         problem = problem.when(F.size(foreign) > 0, "unknown_fields")
-    return rows.select(*(F.col(f"row.{f.name}").alias(f.name) for f in schema.fields), problem.alias("problem"))
+    return rows.select(*(F.col(f"row.{f.name}").alias(f.name) for f in schema.fields), problem.alias("problem"), *(["file", "line"] if numbered else []))
 
 
 def read_domains(spark: SparkSession, path: str) -> DataFrame:

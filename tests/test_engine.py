@@ -7,6 +7,7 @@ import os
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import EqualTo, In
 
 from plumbline import cli, engine, policies
@@ -248,3 +249,21 @@ def test_raw_signals_keep_any_shape(spark):
     assert [r.b for r in got] == ["x"] + [None] * 8 and [r.n for r in got if r.n is not None] == [7]
     shapes = decisions.signal_shapes(rows.withColumn("of", F.lit("c")), "of").first()
     assert shapes.signals == 6 and shapes.broken == 2 and shapes["shape"]
+
+
+def test_lines_keep_their_numbers_across_parts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    want = {}
+    for name, n in (("a", 3000), ("b", 1), ("c", 700)):
+        lines = ["" if i % 7 == 3 else '{"id": no}' if i % 11 == 5 else f'{{"id": {i}}}' for i in range(1, n + 1)]
+        (tmp_path / "in" / name).write_text("\n".join(lines) + "\n")
+        want |= {(name, i): x for i, x in enumerate(lines, 1)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 5
+        got = {(r.file.rsplit("/", 1)[1], r.line): r.value for r in readers.numbered_lines(spark, str(tmp_path / "in")).collect()}
+        bad = readers.read_jsonl(spark, str(tmp_path / "in"), T.StructType([T.StructField("id", T.LongType())]), numbered=True).where("problem is not null")
+        assert {(r.file.rsplit("/", 1)[1], r.line) for r in bad.collect()} == {k for k, x in want.items() if "no" in x}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
