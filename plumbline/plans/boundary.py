@@ -224,3 +224,27 @@ def component_outputs(spark, sf_dir):
     rows = decisions.raw_signals(table(spark, sf_dir, "conversations").where("text IS NOT NULL").withColumn("raw", raw))
     at = decisions.signal_at
     return rows.select("conv_id", "turn", "broken", at("$.label", "string").alias("label"), at("$.scores.support", "double").alias("support"), at("$.spans[1]", "bigint").alias("last"))
+
+
+@plans.add(
+    """WITH p AS (SELECT conv_id * 1000 + turn AS doc, 'Read this.|turn|- A: one' || chr(10) || '- B|' || text AS prompt FROM conversations WHERE text IS NOT NULL)
+SELECT 'own' AS backend, 'length' AS model, greatest(1, length(prompt) // 4)::BIGINT AS in_tokens, CASE WHEN length(prompt) % 5 <> 0 THEN greatest(1, length(length(prompt)::VARCHAR) // 4) ELSE 0 END::BIGINT AS out_tokens, doc FROM p"""
+)
+def usage_records(spark, sf_dir):
+    """The usage log of a completion function over all turns, written and read again."""
+    chunks, path = turns(spark, sf_dir).where("text IS NOT NULL").select(F.col("id").alias("doc"), F.col("text").alias("chunk")), new_folder(spark, "usage")
+    replies = readers.with_backend(readers.prompts(chunks, "- A: one\n- B", "Read this.", "turn", TEMPLATE), _complete)
+    readers.write_results(readers.usage_log(replies, "own", "length"), path)
+    found = stored(spark.read.schema("backend string, model string, in_tokens long, out_tokens long, doc long").json(path))
+    remove(spark, path)
+    return found
+
+
+@plans.add("SELECT conv_id * 1000 + turn AS id, role || chr(9) || '\"' || role AS role, text || chr(10) || 'a \"quoted\" end' AS text FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL")
+def worksheet_rows(spark, sf_dir):
+    """A worksheet of all turns whose cells have tabs, quotes and line ends, written and read again."""
+    rows, path = turns(spark, sf_dir).where("text IS NOT NULL AND role IS NOT NULL"), new_folder(spark, "sheet")
+    readers.write_worksheet(rows.select("id", F.concat("role", F.lit('\t"'), "role").alias("role"), F.concat("text", F.lit('\na "quoted" end')).alias("text")), path)
+    found = stored(readers.read_worksheet(spark, path, "id long, role string, text string"))
+    remove(spark, path)
+    return found

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline import engine, policies
 from plumbline.functions.text import normalise_anchor
 from plumbline.operators import anchor, decisions
 from plumbline.plans.tools import Plans, norm_sql, table
@@ -227,3 +228,12 @@ def shadow_outcomes(spark, sf_dir):
     question = F.when(F.col("claim_id") % 3 == 0, " ").otherwise("Is it so?")
     rows = verified.withColumn("cited", F.col("source_id").isNotNull()).withColumn("question", question)
     return decisions.shadow_outcomes(rows).select("claim_id", "outcome", "reason")
+
+
+@plans.add(ORACLE_SQL["verification_metrics"])
+def checked_rates(spark, sf_dir):
+    """The rates of a whole run under a policy."""
+    claims, sources = claims_and_sources(spark, sf_dir)
+    more = {c: F.lit(None).cast("string") for c in ("text", "question") if c not in claims.columns}
+    policy = policies.SupportPolicy("exact", "1", "2024-01-01", policies.Detector("exact", "normalised-substring", "1"), 1.0)
+    return engine.check(claims.withColumns(more), sources, policy)["rates"]

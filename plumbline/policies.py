@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from plumbline.functions.canonical import hash_holds, sha256_json
+from plumbline.functions.canonical import canonical_json, hash_holds, sha256_json
 
 _MOVING = re.compile(r"^(latest|main|master|head|stable|nightly)$", re.I)
 
@@ -96,6 +96,45 @@ class DomainPack:
         return "\n".join(f"- {c.name}: {c.description}" if c.description else f"- {c.name}" for c in self.categories)
 
 
+@dataclass(frozen=True)
+class Renderer:
+    """M4: what a report is rendered by; its settings are known by their hash alone, whatever the renderer is called."""
+
+    name: str
+    version: str
+    settings: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        if not self.name.strip() or not self.version.strip():
+            raise ValueError("a renderer has a name and a version")
+        canonical_json(self.settings)  # raises where JSON has no form
+
+    @property
+    def configuration_sha256(self) -> str:
+        return sha256_json(self.settings)
+
+
+@dataclass(frozen=True)
+class Segmenter(Hashed):
+    """M4: by which rule each kind of artifact is cut into claims."""
+
+    key: str
+    version: str
+    strategies: tuple[tuple[str, str], ...]
+
+    def __post_init__(self):
+        kinds = [kind for kind, _ in self.strategies]
+        if not self.key.strip() or not self.version.strip() or not kinds:
+            raise ValueError("a segmenter has a key, a version and a rule")
+        if len(set(kinds)) < len(kinds) or not all(kind.strip() and rule.strip() for kind, rule in self.strategies):
+            raise ValueError("a segmenter has one rule for each kind")
+
+    @property
+    def sha256(self) -> str:
+        """The order in which the rules are given makes no difference."""
+        return sha256_json({"type": "Segmenter", "key": self.key, "version": self.version, "strategies": dict(self.strategies)})
+
+
 @dataclass(frozen=True)
 class Plan(Hashed):
     """What a comparison of detectors was decided to be before it ran."""
@@ -106,6 +145,8 @@ class Plan(Hashed):
     baseline_policies: tuple[str, ...]
     candidate_policies: tuple[str, ...]
     probe_sha256: str
+    frozen_at: str = ""
+    policy_hashes: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self):
         if self.metric not in ("accuracy", "macro_f1"):
@@ -113,12 +154,28 @@ class Plan(Hashed):
         if set(self.baseline_policies) & set(self.candidate_policies):
             raise ValueError("a policy is a baseline or a candidate")
 
-    def admits(self, baseline: str, candidate: str, probe_sha256: str) -> None:
-        """Raises unless the two runs are those that the plan names, over its probe."""
+    def admits(self, baseline: str, candidate: str, probe_sha256: str, policies: tuple[SupportPolicy, ...] = ()) -> None:
+        """Raises unless the two runs are those that the plan names, over its probe, and the policies those that were frozen."""
         if probe_sha256 != self.probe_sha256:
             raise ValueError("the run used another probe")
         if baseline not in self.baseline_policies or candidate not in self.candidate_policies:
             raise ValueError("the plan does not name this policy")
+        if any(dict(self.policy_hashes).get(p.key) != p.sha256 for p in policies):
+            raise ValueError("a policy is not as it was frozen")
+
+
+def freeze(
+    key: str, frozen_at: str, metric: str, minimum_improvement: float, baselines: list[SupportPolicy], candidates: list[SupportPolicy], probe_sha256: str, groups: int, reviewed_groups: int
+) -> Plan:
+    """The plan of a comparison over a probe that was reviewed: it names each policy with its hash. A probe with another number of groups
+    than the review, and a key that two policies have, are refused."""
+    if groups != reviewed_groups:
+        raise ValueError("the probe has another number of groups than the review")
+    every = [*baselines, *candidates]
+    if not baselines or not candidates or len({p.key for p in every}) < len(every):
+        raise ValueError("a plan has policies of different keys on both sides")
+    hashes = tuple(sorted((p.key, p.sha256) for p in every))
+    return Plan(key, metric, minimum_improvement, tuple(p.key for p in baselines), tuple(p.key for p in candidates), probe_sha256, frozen_at, hashes)
 
 
 def load_pack(path: str | Path, count: int) -> list[dict]:

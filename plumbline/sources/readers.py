@@ -211,9 +211,24 @@ def with_backend(chunks: DataFrame, complete, schema: str = "reply string") -> D
     return chunks.withColumn("reply", run("prompt"))
 
 
+def usage_log(replies: DataFrame, backend: str, model: str, doc: str = "doc") -> DataFrame:
+    """``backend, model, in_tokens, out_tokens, doc`` of each call of ``prompt, reply``; a call that failed has used nothing up on the way out."""
+    size = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("long")
+    return replies.select(F.lit(backend).alias("backend"), F.lit(model).alias("model"), size("prompt").alias("in_tokens"), F.when(F.col("reply").isNull(), F.lit(0).cast("long")).otherwise(size("reply")).alias("out_tokens"), F.col(doc).alias("doc"))
+
+
+_SHEET = {"sep": "\t", "header": "true", "quote": '"', "escape": '"'}
+
+
 def write_worksheet(rows: DataFrame, path: str) -> None:
-    """A tab-separated worksheet with a header."""
-    rows.write.option("sep", "\t").option("header", "true").option("quoteAll", "true").csv(path)
+    """A tab-separated worksheet with a header; quotes in a cell are doubled."""
+    rows.write.options(**_SHEET, quoteAll="true").csv(path)
+
+
+def read_worksheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A worksheet with the columns of ``schema``, cells of several lines too. A header with other names is an error."""
+    rows = spark.read.schema(schema).options(**_SHEET, multiLine="true", enforceSchema="false", emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    return rows
 
 
 def write_results(rows: DataFrame, path: str, by: str | None = None) -> None:

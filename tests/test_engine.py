@@ -267,3 +267,32 @@ def test_lines_keep_their_numbers_across_parts(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == want
+
+
+def test_configurations_are_known_by_what_they_do():
+    a = policies.Renderer("html", "1", {"wide": True, "fonts": ["x"]})
+    assert a.configuration_sha256 == policies.Renderer("pdf", "2", {"fonts": ["x"], "wide": True}).configuration_sha256 != policies.Renderer("html", "1").configuration_sha256
+    for wrong in (lambda: policies.Renderer(" ", "1"), lambda: policies.Renderer("h", "1", {"x": float("nan")}), lambda: policies.Segmenter("k", "1", ()), lambda: policies.Segmenter("k", "1", (("md", "a"), ("md", "b"))), lambda: policies.Segmenter("k", "1", (("md", " "),))):
+        with pytest.raises(ValueError):
+            wrong()
+    assert policies.Segmenter("k", "1", (("md", "a"), ("html", "b"))).sha256 == policies.Segmenter("k", "1", (("html", "b"), ("md", "a"))).sha256
+
+
+def test_a_plan_is_frozen_after_its_review():
+    of = policies.Detector("a", "m", "1")
+    base, new = policies.SupportPolicy("base", "1", "d", of), policies.SupportPolicy("new", "1", "d", of, 0.5)
+    plan = policies.freeze("p", "2024-01-01", "macro_f1", 0.1, [base], [new], "h", 30, 30)
+    plan.admits("base", "new", "h", (base, new))
+    assert plan.sha256 != policies.freeze("p", "2024-01-01", "macro_f1", 0.1, [base], [policies.SupportPolicy("new", "2", "d", of, 0.5)], "h", 30, 30).sha256
+    for wrong in (
+        lambda: policies.freeze("p", "d", "macro_f1", 0.1, [base], [new], "h", 30, 29), lambda: policies.freeze("p", "d", "macro_f1", 0.1, [base], [base], "h", 1, 1),
+        lambda: policies.freeze("p", "d", "macro_f1", 0.1, [], [new], "h", 1, 1), lambda: plan.admits("base", "new", "h", (policies.SupportPolicy("new", "1", "d", of, 0.6),)),
+    ):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_a_worksheet_with_another_header_is_refused(spark, tmp_path):
+    readers.write_worksheet(spark.createDataFrame([(1, "x")], "id int, other string"), str(tmp_path / "s"))
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        readers.read_worksheet(spark, str(tmp_path / "s"), "id int, decision string").collect()
