@@ -82,7 +82,8 @@ def similar_sets(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     often = tokens.groupBy("doc", "category", "token").agg(F.count("*").alias("often"), (F.min("side") != F.max("side")).alias("shared"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("shared", "often", "token"))
     first = tokens.join(often, ["doc", "category", "token"]).withColumn("place", place)
-    first = first.where(F.col("shared") & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1))
+    kept = F.col("shared") & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1)
+    first = stored(first.where(kept).select("side", "doc", "category", "token", "id", "size"))
 
     def of(side: str) -> DataFrame:
         return first.where(F.col("side") == side).select("doc", "category", "token", F.col("id").alias(side), F.col("size").alias(f"{side}_size"))
