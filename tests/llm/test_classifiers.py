@@ -196,7 +196,7 @@ def test_language_equals_a_plain_computation():
             grad = grad - 2 * (0.5 / max(1, (side == s).sum())) * slack * s * v
         new = ahead - 0.2 * grad
         ahead, w = new + step / (step + 3) * (new - w), new
-    assert np.allclose(L.Votes._machine(x, side), w, atol=1e-4)
+    assert np.allclose(L.machine(x, side), w, atol=1e-4)
     model = L.Hierarchy().fit(x, languages)
     assert model.top.classes == ["germanic", "romance"] and model.below["romance"].classes == ["es", "fr"]
 
@@ -220,14 +220,34 @@ def test_language_equals_a_plain_computation():
         assert names[i] == name and scores[i] == pytest.approx(sure * score, abs=1e-4)
 
 
-def test_a_dirty_column_of_languages_does_not_grow_the_model(spark):
-    rows = corpus(120)
+def test_every_language_is_learned_and_machines_grow_with_their_number(spark):
+    """300 names beside four languages: all are learned, in levels of at most ``WIDE`` classes; the frequent ones are still told apart."""
+    rows = corpus(240)
     dirty = [(1000 + i, prose(random.Random(i), "en", 9), f"x{i}") for i in range(300)]
-    labelled = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows] + dirty, "doc_id long, text string, lang string")
-    model = L.learn(labelled, learned=5)
-    learned = sorted(c for v in model.below.values() for c in v.classes)
-    assert len(learned) == 5 and set(SYLLABLES) < set(learned)
-    assert len([c for v in L.learn(labelled, per_language=4).below.values() for c in v.classes]) == L.LEARNED
+    labelled = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows if r[0] % 3 != 1] + dirty, "doc_id long, text string, lang string")
+    model = L.learn(labelled)
+    assert model.languages == sorted([*SYLLABLES, *(f"x{i}" for i in range(300))])
+    assert max(len(v.classes) for v in model.votes.values()) <= L.WIDE and sum(len(v.pairs) for v in model.votes.values()) < 10 * 304
+    assert all(np.abs(v.planes).max(axis=1).min() > 0 for v in model.votes.values() if v.pairs)  # no machine is left unfitted
+    held = [r for r in rows if r[0] % 3 == 1 and r[2] != "en"]
+    names, _ = model.predict(np.array([L.scaled(L.grams(np.frombuffer(r[1].encode(), np.uint8))) for r in held], np.float32))
+    assert np.mean([a == r[2] for a, r in zip(names, held, strict=True)]) > 0.9
+
+
+def test_machines_of_tasks_equal_those_fitted_here(spark, monkeypatch):
+    """Flat families and, with a small ``WIDE``, levels of groups; an id in several rows counts once, whatever its other rows are."""
+    rows = corpus(80)
+    rows += [(i, t, f"own{i % 5}", 1) for i, t, _, _ in corpus(120)[80:]]
+    labelled = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows] + [(0, None, "en"), (None, "abc", "en"), (rows[1][0], rows[1][1], rows[1][2])], "doc_id long, text string, lang string")
+    x = np.array([L.scaled(L.grams(np.frombuffer(r[1].encode(), np.uint8))) for r in rows], np.float32)
+    for wide in (16, 3):
+        monkeypatch.setattr(L, "WIDE", wide)
+        here = L.Hierarchy().fit(x, np.array([r[2] for r in rows], dtype=object))
+        there = L.learn(labelled)
+        assert there.votes.keys() == here.votes.keys() and (max(map(len, here.votes)) > 1) == (wide == 3)
+        for path, votes in here.votes.items():
+            assert there.votes[path].classes == votes.classes
+            assert np.allclose(there.votes[path].planes, votes.planes, atol=1e-3)
 
 
 def test_texts_of_no_language_go_from_the_pipeline(spark):
