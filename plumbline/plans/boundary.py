@@ -248,3 +248,15 @@ def worksheet_rows(spark, sf_dir):
     found = stored(readers.read_worksheet(spark, path, "id long, role string, text string"))
     remove(spark, path)
     return found
+
+
+@plans.add("SELECT DISTINCT lang AS domain, source AS category, upper(source) AS name, (1 + length(source) % 5)::INTEGER AS severity, 'about ' || source AS description FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def domain_categories(spark, sf_dir):
+    """A pack for each language with the sources of its documents as categories, written as a folder of files and scanned."""
+    rows, path = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL").select("lang", "source").distinct(), new_folder(spark, "packs")
+    category = F.struct(F.col("source").alias("key"), F.upper("source").alias("name"), (1 + F.length("source") % 5).alias("severity"), F.concat(F.lit("about "), "source").alias("description"))
+    packs = rows.groupBy(F.col("lang").alias("key")).agg(F.sort_array(F.collect_list(category)).alias("categories"))
+    packs.write.option("maxRecordsPerFile", 1).json(path)  # a file is a pack
+    found = stored(readers.read_domains(spark, path))
+    remove(spark, path)
+    return found

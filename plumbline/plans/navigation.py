@@ -246,3 +246,19 @@ def replayed_selections(spark, sf_dir):
     recorded = prompts.join(first, "doc").select(F.sha2("prompt", 256).alias("prompt_sha256"), "node_ids", F.lit(10).alias("input_tokens"), F.lit(1).alias("output_tokens"), F.lit(None).cast("string").alias("error"))
     now = prompts.select("case_id", F.when(F.col("doc") % 3 == 0, F.concat("prompt", F.lit("?"))).otherwise(F.col("prompt")).alias("prompt"))
     return N.select_recorded(N.replayed(now, recorded), own, asked, 5, 32_768).select("case_id", "status", "reason", F.array_join("node_ids", ",").alias("node_ids"))
+
+
+def _longest(question, nodes):
+    """A selector that answers questions with an article by the longest line."""
+    lengths = nodes["end"] - nodes["start"]
+    return [nodes["node_id"][lengths.idxmax()]] if "the" in question else []
+
+
+@plans.add(
+    f"""WITH {_NODES}, {_CHOSEN}, r AS (SELECT case_id, contains(substr(text, low + 1, 80), 'the') AS asked, node_id FROM cases JOIN nodes USING (doc) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY e - s DESC, s, node_id) = 1)
+SELECT case_id, CASE WHEN asked THEN 'selected' ELSE 'abstained' END AS status, CASE WHEN asked THEN node_id END AS node_id FROM r"""
+)
+def longest_nodes(spark, sf_dir):
+    """L4: a selector of one's own over every document's lines."""
+    out = N.select_with(nodes(spark, sf_dir), cases(spark, sf_dir), _longest)
+    return out.select("case_id", "status", F.get("node_ids", F.lit(0)).alias("node_id"))

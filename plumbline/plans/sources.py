@@ -114,3 +114,29 @@ SELECT CASE WHEN max(digits) = 0 THEN max(h) ELSE sha256(string_agg(h, '' ORDER
 )
 def unordered_table_hash(spark, sf_dir):
     return canonical.unordered_sha256(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic")
+
+
+_CLASSES = ["company_assertion", "analyst_calculation", "analyst_inference", "recommendation"]
+
+
+@plans.add(
+    f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, length(text) AS n, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS t FROM documents),
+d AS (SELECT *, 'https://x.org/' || doc_id AS link, {_CLASSES}[n % 4 + 1] AS a, {_CLASSES}[length(t) % 4 + 1] AS b FROM t WHERE t <> ''),
+e AS (SELECT *, CASE WHEN lang = 'es' THEN 'unsupported suffix: txt' WHEN lang = 'de' AND a <> b THEN 'conflicting provenance classes: ' || least(a, b) || ', ' || greatest(a, b) END AS error FROM d)
+SELECT doc_id AS doc, CASE WHEN error IS NULL THEN 'c1' END AS claim_id, CASE WHEN error IS NULL THEN link END AS uri, CASE WHEN error IS NULL THEN 'url:' || substr(sha256(link), 1, 16) END AS source_id,
+  CASE WHEN error IS NULL AND lang <> 'de' THEN t END AS excerpt, CASE WHEN error IS NULL AND lang = 'de' THEN t END AS locator,
+  CASE WHEN error IS NULL THEN CASE WHEN lang = 'de' THEN a ELSE '{artifacts.UNCLASSIFIED}' END END AS provenance_class, error FROM e"""
+)
+def mixed_artifacts(spark, sf_dir):
+    """Each document's letters as evidence of a claim in a page (de), Markdown (fr), a suffix without a parser (es)
+    or JSON. A page stands under two classes, which contradict each other where they differ."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("lang", F.lit("")).alias("lang"), F.length("text").alias("n"), F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")).alias("t")).where("t <> ''")
+    marks = F.array(*(F.lit(f"provenance-{x}") for x in ("company", "calculation", "inference", "recommendation")))
+    link = F.concat(F.lit("https://x.org/"), F.col("doc").cast("string"))
+    page = F.concat(F.lit('<p class="'), marks[F.col("n") % 4], F.lit(" "), marks[F.length("t") % 4], F.lit('">A claim <a href="'), link, F.lit('">label</a><!-- evidence-locator: '), "t", F.lit(" --> end.</p>"))
+    marked = F.concat(F.lit("A **claim** [label]("), link, F.lit(")<!-- evidence-quote: "), "t", F.lit(" --> end."))
+    record = F.to_json(F.struct(F.array(F.struct(F.lit("A claim.").alias("claim_text"), link.alias("source_url"), F.col("t").alias("source_excerpt"))).alias("claims")))
+    lang = F.col("lang")
+    path = F.when(lang == "de", "page.HTML").when(lang == "fr", "notes.md").when(lang == "es", "notes.txt").otherwise("claims.json")
+    docs = rows.select("doc", path.alias("path"), F.when(lang == "de", page).when(lang == "fr", marked).otherwise(record).alias("text"))
+    return artifacts.extract(docs).select("doc", "claim_id", "uri", "source_id", "excerpt", "locator", "provenance_class", "error")

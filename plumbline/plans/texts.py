@@ -143,3 +143,9 @@ def joined_holdouts(spark, sf_dir):
     """The union of two sets."""
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source")
     return docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 3 = 0")).select("lang", "source").distinct()
+
+
+@plans.add("SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9%$£€]+', ' ', 'g'))) AS sha FROM documents")
+def emission_keys(spark, sf_dir):
+    """C6."""
+    return documents(spark, sf_dir).select("doc_id", F.sha2(text.emission_key(F.col("text")), 256).alias("sha"))
