@@ -204,16 +204,20 @@ def _fingerprints(text: Column, least: int) -> Column:
 
 def literal_overlap(literals: DataFrame, gold: DataFrame, least: int = 25) -> DataFrame:
     """Files with a string literal of at least that length that holds a gold text or stands in one. The first ``least`` characters
-    of the shorter text stand in the longer one, so the one fingerprint of the former is one of the latter's; what meets is compared."""
-    a = stored(literals.select("file", merge_key(F.col("literal")).alias("l")).where(F.length("l") >= least).distinct())
-    b = stored(gold.select(merge_key(F.col("span")).alias("g")).where(F.length("g") >= least).distinct())
+    of the shorter text stand in the longer one, so the one fingerprint of the former is one of the latter's; what meets is compared.
+    Fingerprints travel with the number of their text, each distinct text once; their tables are many times what Spark estimates from the
+    texts' files, so those joins are merges."""
+    files = literals.select("file", merge_key(F.col("literal")).alias("l")).where(F.length("l") >= least)
+    a = stored(files.select("l").distinct().withColumn("l_id", F.monotonically_increasing_id()))
+    b = stored(gold.select(merge_key(F.col("span")).alias("g")).where(F.length("g") >= least).distinct().withColumn("g_id", F.monotonically_increasing_id()))
 
     def keyed(rows: DataFrame, text: str, head: bool) -> DataFrame:
-        return rows.withColumn("k", F.explode(_fingerprints(F.substring(text, 1, least) if head else F.col(text), least)))
+        return rows.select(f"{text}_id", F.explode(_fingerprints(F.substring(text, 1, least) if head else F.col(text), least)).alias("k")).hint("merge")
 
-    holds = keyed(a, "l", False).join(keyed(b, "g", True), "k").where(F.instr("l", F.col("g")) > 0)
-    stands = keyed(a, "l", True).join(keyed(b, "g", False), "k").where(F.instr("g", F.col("l")) > 0)
-    return holds.select("file").union(stands.select("file")).distinct()
+    met = [keyed(a, "l", head).join(keyed(b, "g", not head), "k").select("l_id", "g_id") for head in (False, True)]
+    pairs = met[0].union(met[1]).distinct().hint("merge").join(a, "l_id").hint("merge").join(b, "g_id")
+    hits = pairs.where((F.instr("l", F.col("g")) > 0) | (F.instr("g", F.col("l")) > 0)).select("l").distinct()
+    return files.join(hits.hint("merge"), "l", "left_semi").select("file").distinct()
 
 
 def over_capacity(literals: DataFrame, per_file: int = 40, least: int = 12) -> DataFrame:

@@ -164,6 +164,13 @@ def test_literal_overlap_holds_both_ways(spark):
     assert rows(extraction.literal_overlap(a, b), "file") == [("f",), ("g",)]
 
 
+def test_literal_overlap_broadcasts_no_fingerprints(spark):
+    a = spark.createDataFrame([("f", "The quick brown fox jumps over the lazy dog"), ("g", "the quick brown fox jumps over THE lazy dog"), ("h", "nothing in common with these at all")], "file string, literal string")
+    got = extraction.literal_overlap(a, spark.createDataFrame([("brown fox jumps over the lazy",)], "span string"))
+    assert rows(got, "file") == [("f",), ("g",)]
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_sums_cross_ranges(spark):
     data = [(i, i % 7, 1) for i in range(500)]
     got = scoring.running(spark.createDataFrame(data, "i int, k int, one int"), [F.col("k"), F.col("i")], {"n": "one"})
