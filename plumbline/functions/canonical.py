@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -77,11 +78,44 @@ def unordered_sha256(rows: DataFrame, *columns: str) -> DataFrame:
         digits = max(0, digits - 3)
 
 
-def records_sha256(rows: DataFrame, key: str, *columns: str, by: str) -> DataFrame:
-    """``by, sha256``: the hash of each set of records as the canonical JSON list of them in the order of their key. A set is a probe, a bundle or
-    a pool, which is one value; a whole table has ``unordered_sha256``."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), row_json(*columns).alias("j")))), lambda x: x["j"])
-    return rows.groupBy(by).agg(F.sha2(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")), 256).alias("sha256"))
+#: Characters of the records that are put together in one row before they are hashed.
+BLOCK = 1 << 18
+
+
+def records_sha256(rows: DataFrame, key: str, *columns: str, by: str | None = None) -> DataFrame:
+    """``sha256``: the hash of a set of records as the canonical JSON list of them in the order of their key; with ``by`` one of each set, a probe or a bundle,
+    which is one value. Without it the rows may be a whole table: they are ordered by ranges, whose tasks write the JSON and put it together in blocks, and
+    the hash, which each byte of the list goes through after the one before it, is taken from the stream of blocks, of which one is held at a time."""
+    if by is not None:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), row_json(*columns).alias("j")))), lambda x: x["j"])
+        return rows.groupBy(by).agg(F.sha2(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")), 256).alias("sha256"))
+    ordered = rows.select(F.col(key).alias("k"), row_json(*columns).alias("j")).orderBy(F.asc_nulls_last("k"), "j").select(F.spark_partition_id().alias("place"), "j")
+    blocks = ordered.mapInPandas(_blocks, "place int, number int, text string")
+    return blocks.repartition(1).sortWithinPartitions("place", "number").select("text").mapInPandas(_stream_sha256, "sha256 string")
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The records of an ordered partition, a comma before each, in blocks of about ``BLOCK`` characters."""
+    held, size, number = [], 0, 0
+    for batch in batches:
+        for place, record in zip(batch["place"], batch["j"], strict=True):
+            held.append(f",{record}")
+            size += len(held[-1])
+            if size >= BLOCK:
+                yield pd.DataFrame({"place": [place], "number": [number], "text": ["".join(held)]})
+                held, size, number = [], 0, number + 1
+    if held:
+        yield pd.DataFrame({"place": [place], "number": [number], "text": ["".join(held)]})
+
+
+def _stream_sha256(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    digest, first = hashlib.sha256(b"["), True
+    for batch in batches:
+        for text in batch["text"]:
+            digest.update(text[first:].encode())
+            first = False
+    digest.update(b"]")
+    yield pd.DataFrame({"sha256": [digest.hexdigest()]})
 
 
 def input_sha256(claim_text: str, question: str, source_sha256: str) -> Column:

@@ -125,11 +125,10 @@ def corpus_placement(spark, sf_dir):
 _RECORD = """'{"doc_id":' || coalesce(doc_id::VARCHAR, 'null') || ',"quality":' || coalesce(quality::VARCHAR, 'null') || ',"toxic":' || coalesce(toxic::VARCHAR, 'null') || '}'"""
 
 
-@plans.add(f"SELECT doc_id // 100 AS bundle, sha256('[' || string_agg({_RECORD}, ',' ORDER BY doc_id) || ']') AS sha256 FROM labels GROUP BY 1")
+@plans.add(f"SELECT sha256('[' || string_agg({_RECORD}, ',' ORDER BY doc_id) || ']') AS sha256 FROM labels")
 def labels_sha256(spark, sf_dir):
-    """The labels of each hundred ids as a set of records."""
-    labels = table(spark, sf_dir, "labels").withColumn("bundle", F.expr("doc_id div 100"))
-    return canonical.records_sha256(labels, "doc_id", "doc_id", "quality", "toxic", by="bundle")
+    """All labels as one set of records."""
+    return canonical.records_sha256(table(spark, sf_dir, "labels"), "doc_id", "doc_id", "quality", "toxic")
 
 
 @plans.add("SELECT conv_id * 1000 + turn AS id, sha256(text) AS question_sha256 FROM conversations")

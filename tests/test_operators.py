@@ -2,6 +2,7 @@
 
 import json
 import random
+from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,6 +295,13 @@ def test_hashes(spark):
 # --- sources --------------------------------------------------------------------------------------
 
 
+def test_the_hash_of_a_whole_set_of_records(spark):
+    df = spark.range(20_000).selectExpr("id * 7919 % 20000 AS k", "concat('é', id % 3) AS v").repartition(7)
+    want = sha256(("[" + ",".join(canonical.canonical_json({"k": k, "v": v}) for k, v in sorted((i * 7919 % 20_000, f"é{i % 3}") for i in range(20_000))) + "]").encode()).hexdigest()
+    got = canonical.records_sha256(df, "k", "k", "v")
+    assert [r.sha256 for r in got.collect()] == [want] and "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "a.txt").write_bytes("café".encode() + b"\xff")
