@@ -311,6 +311,16 @@ def test_token_matches_of_one_long_document(spark):
     assert rows(extraction.match_counts(p, g), "tp", "fp", "fn") == [(10_000, 90_000, 90_000)]
 
 
+def test_token_matches_shuffle_texts_once(spark):
+    p = spark.createDataFrame([("d", "x", "a b c d"), ("d", "x", "A b"), ("d", "x", None), ("e", "x", "q"), (None, "x", "a")], "doc string, category string, quote string")
+    g = spark.createDataFrame([("d", "x", "a b c"), ("d", "x", "z"), (None, "x", "a"), ("f", "y", "q")], "doc string, category string, span string")
+    got = extraction.unmatched_gold(p, g)
+    assert rows(got, "doc", "category", "n") == [("d", "x", 1), ("f", "y", 1), (None, "x", 1)]
+    assert rows(extraction.match_counts(p, g), "category", "tp", "fp", "fn") == [("x", 2, 3, 2), ("y", 0, 0, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange ") == 1 and "explode" not in plan
+
+
 def test_winnowing_meets_in_every_shared_stretch():
     rng = random.Random(6)
     for _ in range(300):
