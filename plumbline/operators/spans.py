@@ -155,9 +155,13 @@ def even_chunks(text: Column, sentences: Column, budget: int = 350) -> Column:
     sentences is one chunk."""
     own = F.when(F.size(sentences) > 0, sentences).otherwise(F.array(text))
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    each = F.greatest(F.floor(F.size(own) / (F.floor(words / budget) + 1)).cast("int"), F.lit(1))
-    firsts = F.sequence(F.lit(1), F.size(own), each)
-    return F.transform(firsts, lambda i: F.array_join(F.slice(own, i, each), " "))
+
+    def runs(x: Column) -> Column:
+        each = F.greatest(F.floor(F.size(x["own"]) / (F.floor(x["words"] / budget) + 1)).cast("int"), F.lit(1))
+        return F.transform(F.array(each), lambda n: F.transform(F.sequence(F.lit(1), F.size(x["own"]), n), lambda i: F.array_join(F.slice(x["own"], i, n), " ")))[0]
+
+    # as a variable, the sentences are split once and not for each chunk again
+    return F.transform(F.array(F.struct(own.alias("own"), words.alias("words"))), runs)[0]
 
 
 def segments_with(docs: DataFrame, key: str, segment: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
