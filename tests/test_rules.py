@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline import engine
 from plumbline.functions import canonical
-from plumbline.functions.text import casefold
+from plumbline.functions.text import casefold, sentences_of_text
 from plumbline.operators import anchor, arena, extraction, navigation, scoring, spans
 from plumbline.sources import pages, readers
 
@@ -382,3 +382,29 @@ def test_a_section_of_a_hundred_thousand_sentences_takes_no_time():
     began = time.process_time()
     found = arena.nearest_that_fit(lengths, list(range(0, 100_000, 100)), 14, 2400)
     assert all(found) and time.process_time() - began < 3
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_even_chunks_split_a_text_once(spark):
+    df = spark.createDataFrame([("One sentence here. " * 50,)], "t string")
+    chunks = df.select(spans.even_chunks(F.col("t"), sentences_of_text(F.col("t")), 6).alias("p"))
+    assert planned(chunks).count("(?<=[.!?])") <= 2
+    assert [len(r.p) for r in chunks.collect()] == [50]
+
+
+def test_trees_are_walked_in_one_row_of_a_document(spark):
+    nodes = spark.createDataFrame([("d", "r", None, 0, 9, "R", True), ("d", "a", "r", 1, 2, "A", True), ("d", "x", "y", 1, 2, "X", True), ("d", "y", "x", 1, 12, "Y", True), ("d", "z", "x", 0, 2, "Z", True)], NODE)
+    found = navigation.tree_violations(nodes)
+    assert rows(found, "rule", "node_id") == [("cycle", "x"), ("cycle", "y"), ("cycle", "z"), ("outside_parent", "y"), ("outside_parent", "z")]
+    assert "Join" not in planned(found) and "Join" not in planned(navigation.tree_surface(nodes))
+
+
+def test_selectors_get_the_nodes_of_their_case_in_order(spark):
+    nodes = spark.createDataFrame([(d, f"{d}{i}", None, 9 - i, 10, f"t{i}", i != 1) for d in "de" for i in range(4)], NODE)
+    cases = spark.createDataFrame([("p", "d", "2"), ("q", "e", "9"), ("s", "e", "3")], "case_id string, doc string, question string")
+    out = navigation.select_with(nodes, cases, lambda question, table: list(table[table["start"] > int(question)]["node_id"])[:2])
+    assert rows(out, "case_id", "status", "node_ids") == [("p", "selected", ["d3", "d2"]), ("q", "abstained", []), ("s", "selected", ["e3", "e2"])]
+    assert "FlatMapGroups" not in planned(out)
