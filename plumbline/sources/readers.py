@@ -36,13 +36,9 @@ def decoded(content: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    """A3: what a page says: no scripts and styles, entities decoded, white space collapsed."""
-
-    @F.pandas_udf("string")
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(page_text)
-
-    return run(html)
+    """A3: what a page says: no scripts and styles, entities decoded, white space collapsed. Pages are large and read one by one, so they do not come in
+    Arrow batches of thousands of rows."""
+    return F.udf(page_text, "string", useArrow=False)(html)
 
 
 def resolve_with(references: DataFrame, resolve) -> DataFrame:

@@ -408,3 +408,8 @@ def test_selectors_get_the_nodes_of_their_case_in_order(spark):
     out = navigation.select_with(nodes, cases, lambda question, table: list(table[table["start"] > int(question)]["node_id"])[:2])
     assert rows(out, "case_id", "status", "node_ids") == [("p", "selected", ["d3", "d2"]), ("q", "abstained", []), ("s", "selected", ["e3", "e2"])]
     assert "FlatMapGroups" not in planned(out)
+
+
+def test_pages_are_read_without_arrow_batches(spark):
+    read = spark.createDataFrame([("<p>a &amp; b</p>",), (None,)], "h string").select(readers.html_to_text(F.col("h")).alias("t"))
+    assert rows(read, "t") == [("a & b",), (None,)] and "ArrowEvalPython" not in planned(read)
