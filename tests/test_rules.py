@@ -16,7 +16,7 @@ from plumbline import engine
 from plumbline.functions import canonical
 from plumbline.functions.text import casefold, sentences_of_text
 from plumbline.operators import anchor, arena, extraction, navigation, scoring, spans
-from plumbline.sources import pages, readers
+from plumbline.sources import artifacts, pages, readers
 
 PAGES = Path("/root/testdata/sf0.001/pages.parquet")
 
@@ -413,3 +413,4 @@ def test_selectors_get_the_nodes_of_their_case_in_order(spark):
 def test_pages_are_read_without_arrow_batches(spark):
     read = spark.createDataFrame([("<p>a &amp; b</p>",), (None,)], "h string").select(readers.html_to_text(F.col("h")).alias("t"))
     assert rows(read, "t") == [("a & b",), (None,)] and "ArrowEvalPython" not in planned(read)
+    assert "MapInPandas" not in planned(artifacts.extract_html(spark.createDataFrame([(1, "<p>a</p>")], "doc long, text string")))
