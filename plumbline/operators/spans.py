@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.stored import stored
+
 
 def window_starts(length: Column, size: int, overlap: int) -> Column:
     """Starts of fixed windows over a text of so many characters (none for an empty one)."""
@@ -175,21 +178,69 @@ def segments_with(docs: DataFrame, key: str, segment: Callable[[str], list[tuple
     return rows.select(key, "seq", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("segment"))
 
 
+_MEASURES = "segments long, longest int, covered long, solid_covered long, characters long, grounded long, contained long, cut long, duplicate_exposures long"
+_SOLID = np.array([not chr(p).isspace() for p in range(0x3002)])
+
+
+def occurrences(text: str, quote: str) -> list[int]:
+    """Starts of all occurrences, overlapping ones too; none of an empty quote."""
+    found, at = [], text.find(quote) if quote else -1
+    while at >= 0:
+        found.append(at)
+        at = text.find(quote, at + 1)
+    return found
+
+
+def measured(segments: list[tuple[int, int]], solid: np.ndarray, spots: list[tuple[int, np.ndarray]], most: int) -> tuple | None:
+    """H20 for one text: the fields of ``_MEASURES``, nothing where the segments do not hold. ``solid`` has the number of non-space characters before
+    each offset, ``spots`` the length and the starts of each grounded quote. Sorted once, the segments are walked in time linear in the text."""
+    if not segments:
+        return (0, 0, 0, 0, 0, len(spots), 0, len(spots), 0) if len(solid) == 1 else None
+    start, end = np.array(sorted(segments), np.int64).T
+    if start[0] < 0 or (start >= end).any() or end.max() >= len(solid) or (end - start).max() > most:
+        return None
+    fresh = np.minimum(np.maximum(start, np.concatenate(([0], np.maximum.accumulate(end)[:-1]))), end)
+    contained = extra = 0
+    for n, at in spots:
+        fits = end - start >= n
+        holding = np.searchsorted(start[fits], at, "right") - np.searchsorted(np.sort(end[fits]) - n, at, "left")
+        if holding.max() > 0:
+            contained, extra = contained + 1, extra + int(np.maximum(holding - 1, 0).sum())
+    sums = (len(start), (end - start).max(), (end - fresh).sum(), (solid[end] - solid[fresh]).sum(), (end - start).sum())
+    return (*map(int, sums), len(spots), contained, len(spots) - contained, extra)
+
+
 def compare_segmenters(docs: DataFrame, quotes: DataFrame, key: str, size: int, overlap: int, segment: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
     """The measures (H20) of each document under fixed windows (``baseline``) and under another segmenter (``candidate``), over the same
-    documents and quotes (``key, quote``). Segments that do not hold, and a text without any, are an error."""
-    texts = docs.select(key, "text")
-    spots = quotes.select(key, "quote").distinct().join(texts, key).select(key, F.sha2("quote", 256).alias("quote"), F.length("quote").alias("n"), F.posexplode(overlapping_offsets(F.col("text"), F.col("quote"))).alias("occurrence", "start"))
-    spots = spots.withColumn("end", F.col("start") + F.col("n"))
-    out = None
-    for name, own in (("baseline", fixed_windows(texts, key, size=size, overlap=overlap)), ("candidate", segments_with(texts, key, segment))):
-        if not invalid_segments(own, texts, key, size).isEmpty() or not texts.where(F.length("text") > 0).join(own, key, "left_anti").isEmpty():
+    documents and quotes (``key, quote``). Segments that do not hold, and a text without any, are an error.
+
+    A document's text meets its quotes in one row, is read once for both segmenters, and leaves numbers only: no segment is a row of its own. ``docs`` has
+    one row for each key."""
+
+    def run(text: str | None, starts: list[int], quotes: list[str] | None) -> tuple:
+        text = text or ""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        solid = np.concatenate(([0], np.cumsum(_SOLID[np.minimum(points, 0x3001)])))
+        spots = [(len(q), np.array(at)) for q in quotes or [] if (at := occurrences(text, q))]
+        windows = [(a, min(a + size, len(text))) for a in starts]
+        return len(text), int(solid[-1]), measured(windows, solid, spots, size), measured(list(segment(text)), solid, spots, size)
+
+    held = quotes.groupBy(key).agg(F.collect_set("quote").alias("quotes"))
+    measure = F.udf(run, f"length long, solid long, baseline struct<{_MEASURES}>, candidate struct<{_MEASURES}>", useArrow=False)
+    starts = window_starts(F.length("text"), size, overlap)
+    rows = docs.select(key, "text").join(held, key, "left").select(key, measure("text", starts, "quotes").alias("x"))
+    rows = stored(rows.select(key, "x.*"))
+    for name in ("baseline", "candidate"):
+        if not rows.where(F.col(name).isNull()).isEmpty():
             raise ValueError(f"the {name} segments do not hold")
-        places = own.select(key, "start", "end")
-        rows = segment_measures(texts, own, key).join(quote_measures(spots, places, key, "quote"), key, "left").fillna(0, ["grounded", "contained", "cut", "duplicate_exposures"])
-        rows = rows.withColumn("segmenter", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    both = F.explode(F.array(*(F.struct(F.lit(name).alias("segmenter"), F.col(name).alias("m")) for name in ("baseline", "candidate"))))
+    return rows.select(key, "length", "solid", both.alias("s")).select(key, "length", "solid", "s.segmenter", "s.m.*").select(
+        key, "segments", (F.col("segments") > 1).alias("several"), "longest",
+        F.coalesce(F.try_divide("covered", "length"), F.lit(1.0)).alias("covered_ratio"),
+        F.coalesce(F.try_divide("solid_covered", "solid"), F.lit(1.0)).alias("covered_solid_ratio"),
+        (F.col("characters") - F.col("covered")).alias("overlap_excess"),
+        "grounded", "contained", "cut", "duplicate_exposures", "segmenter",
+    )
 
 
 def comparison_summary(rows: DataFrame) -> DataFrame:

@@ -219,6 +219,32 @@ def test_segmenters_must_hold(spark):
         spans.compare_segmenters(docs, quotes, "doc", 20, 5, lambda t: [(0, 40)])
 
 
+def test_segmenters_are_compared_within_a_row(spark):
+    """No segment is a row, no text is joined again; all occurrences of a text of one word count."""
+    texts = [("a", "roreer " * 400, ["roreer roreer"]), ("b", "x \u00a0é😀" * 30 + "end", ["😀x", "end", "none", ""]), ("c", "", ["x"]), ("d", None, None)]
+    docs = spark.createDataFrame([r[:2] for r in texts], "doc string, text string")
+    quotes = spark.createDataFrame([(k, q) for k, _, own in texts for q in own or []] * 2, "doc string, quote string")
+
+    def segment(t):
+        return [(i, min(i + 30, len(t))) for i in range(0, len(t), 40)][::-1] + [(0, 1)] * bool(t)
+
+    got = spans.compare_segmenters(docs, quotes, "doc", 50, 20, segment)
+    assert not any(x in planned(got) for x in ("Join", "Window", "Exchange"))
+    expected = []
+    for k, t, own in texts:
+        t = t or ""
+        for name, parts in (("baseline", [(i, min(i + 50, len(t))) for i in range(0, max(len(t) - 20, 1), 30)] if t else []), ("candidate", segment(t))):
+            covered = {i for a, b in parts for i in range(a, b)}
+            held = {q: h for q in own or [] if q and (h := [sum(a <= i and i + len(q) <= b for a, b in parts) for i in range(len(t)) if t.startswith(q, i)])}
+            solid, whole = (sum(not t[i].isspace() for i in x) for x in (covered, range(len(t))))
+            expected.append((
+                k, name, len(parts), max((b - a for a, b in parts), default=0), len(covered) / len(t) if t else 1.0, solid / whole if whole else 1.0, sum(b - a for a, b in parts) - len(covered),
+                len(held), sum(max(h) > 0 for h in held.values()), sum(max(h) == 0 for h in held.values()), sum(max(n - 1, 0) for h in held.values() for n in h),
+            ))
+    columns = ("doc", "segmenter", "segments", "longest", "covered_ratio", "covered_solid_ratio", "overlap_excess", "grounded", "contained", "cut", "duplicate_exposures")
+    assert rows(got, *columns) == sorted(expected)
+
+
 def test_extension_points(spark):
     df = spark.createDataFrame([("s", "c", "q"), ("t", "boom", "q")], "s string, c string, q string")
 
