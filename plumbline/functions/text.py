@@ -55,15 +55,20 @@ def _plain() -> str:
     return "[" + "".join(f"\\x{{{a + 1:x}}}-\\x{{{b - 1:x}}}" for a, b in zip(edges, edges[1:], strict=False) if b - a > 1) + "]"
 
 
+# Of the characters of _plain, those that nearly all texts consist of: taken off in one go, they need not be held against its many ranges.
+_COMMON = r"[\x{0}-\x{b4}\x{b6}-\x{148}\x{2010}-\x{206f}]++"
+
+
 def casefold(x: Column) -> Column:
     """Python's str.casefold. ASCII is lower-cased only; the rare folds and expansions are tried only on texts with
     characters that may have one."""
     one, to, several = _folds()
     low = F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    uncommon = F.regexp_replace(low, _COMMON, "")
     rare = low
     for c, folded in several:
         rare = F.replace(rare, F.lit(c), F.lit(folded))
-    return F.when(F.octet_length(x) == F.length(x), F.lower(x)).when(low.rlike(f"^{_plain()}*+$"), low).otherwise(F.translate(rare, one, to))
+    return F.when(F.octet_length(x) == F.length(x), F.lower(x)).when(uncommon.rlike(f"^{_plain()}*+$"), low).otherwise(F.translate(rare, one, to))
 
 
 def collapse(x: Column) -> Column:
@@ -71,11 +76,18 @@ def collapse(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, SPACE + "+", " "))
 
 
+# What the anchor normaliser keeps besides single spaces, within a class of a regular expression.
+_KEPT = r"""\p{L}\p{N}$%£€.,'"\-"""
+
+
 def normalise_anchor(x: Column) -> Column:
-    """What excerpts and sources are compared as."""
-    folded = F.translate(casefold(x), *_QUOTES_ANCHOR)
-    kept = F.regexp_replace(folded, r"""[^\p{L}\p{N}_$%£€.,'"-]+""", " ")
-    return F.trim(F.regexp_replace(F.replace(kept, F.lit("_"), F.lit(" ")), " +", " "))
+    """What excerpts and sources are compared as. A run of other characters, underscores and spaces becomes one space in one pass, which
+    leaves single spaces alone; ASCII has no quotes to fold."""
+    folded = casefold(x)
+    for c, plain in zip(*_QUOTES_ANCHOR, strict=True):
+        folded = F.replace(folded, F.lit(c), F.lit(plain))
+    folded = F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(folded)
+    return F.trim(F.regexp_replace(folded, f"[^{_KEPT} ][^{_KEPT}]*| [^{_KEPT}]+", " "))
 
 
 def normalise_text(x: Column) -> Column:

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from collections import Counter
 from html import unescape
 from html.parser import HTMLParser
 from pathlib import Path
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline import engine
 from plumbline.functions import canonical
-from plumbline.functions.text import casefold, sentences_of_text
+from plumbline.functions.text import casefold, normalise_anchor, sentences_of_text
 from plumbline.operators import anchor, arena, extraction, navigation, scoring, spans
 from plumbline.sources import artifacts, pages, readers
 
@@ -440,3 +441,30 @@ def test_pages_are_read_without_arrow_batches(spark):
     read = spark.createDataFrame([("<p>a &amp; b</p>",), (None,)], "h string").select(readers.html_to_text(F.col("h")).alias("t"))
     assert rows(read, "t") == [("a & b",), (None,)] and "ArrowEvalPython" not in planned(read)
     assert "MapInPandas" not in planned(artifacts.extract_html(spark.createDataFrame([(1, "<p>a</p>")], "doc long, text string")))
+
+
+def test_anchoring_reads_texts_once_and_one_by_one(spark):
+    """No pass of single characters through a map, none for runs of spaces of their own, no Arrow batches of whole texts."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aB9é_ -,;:\n\u00a0’“”–—$£€%ßİﬁ😀", k=rng.randint(0, 40))) for _ in range(300)] + ["_", "  ", "a _ b", "a  b", " a", "(a) (b)", "a_b__c"]
+
+    def plain(t):
+        folded = re.sub(r"[^\w$%£€.,'\"-]+", " ", t.casefold().translate(str.maketrans("‘’‛“”–—", "'''\"\"--")).replace("\u0307", " "))
+        return " ".join(folded.replace("_", " ").split())
+
+    df = spark.createDataFrame([(i, t, t + "x") for i, t in enumerate(texts)], "i int, excerpt string, source_text string")
+    normal = df.select("i", normalise_anchor(F.col("excerpt")).alias("n"))
+    assert [r.n for r in normal.orderBy("i").collect()] == [plain(t) for t in texts]
+    found = anchor.anchor_excerpts(df)
+    assert found.where("anchor is null").isEmpty()
+    assert "ArrowEvalPython" not in planned(found) and "‘’‛“”–—" not in planned(normal)
+
+
+def test_similarity_of_few_and_of_many_different_characters():
+    rng = random.Random(4)
+    for alphabet in ("ab é", [chr(0x4E00 + i) for i in range(900)]):
+        for _ in range(20):
+            n = "".join(rng.choices(alphabet, k=300))
+            h = "".join(c if rng.random() < 0.9 else rng.choice(alphabet) for c in n)
+            a, b = (Counter(zip(t, t[1:], strict=False)) for t in (n, h))
+            assert anchor.window_similarity(n, h) == 2 * (a & b).total() / (len(n) + len(h) - 2)
